@@ -22,11 +22,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def rename_clear(df: DataFrame, *names: str) -> DataFrame:
-    """Project exactly the named columns, so that extra columns of any name cannot clash."""
-    return df.select(*names)
-
-
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n + 1) of an Arrow string column; nulls count as empty."""
     if isinstance(column, pa.ChunkedArray):
