@@ -1,9 +1,12 @@
 """All queries of the library by name."""
 
+from quarry.plans import maintenance, reads, retrieval, streams, texts, trees, vectors  # noqa: F401  they register
+from quarry.registry import QUERIES, SQL
 
-def queries():
-    return {}
 
+def queries() -> dict:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
