@@ -2,7 +2,7 @@
 
 Texts are read in windows of WINDOW bytes, every byte of every text; the network labels each position and a text's
 probabilities are the mean over its letter bytes. It is fitted by backpropagation through time on the driver, on at most
-SAMPLE_DOCS texts (about equally many of each language, at most SAMPLE_WINDOWS windows of each) chosen by hash.
+SAMPLE_DOCS texts (about equally many of each language, about SAMPLE_WINDOWS windows of each) chosen by hash.
 """
 
 import numpy as np
@@ -14,6 +14,8 @@ from quarry.llm.common import blocks, doc_bucket, string_buffer
 
 WINDOW, HIDDEN, BATCH = 64, 8, 4096
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE = 1600, 5, 8, 0.02
+#: A small sample is read more often, up to this many steps, and gives more windows of each text.
+STEPS = 250
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, np.float32)
@@ -137,6 +139,7 @@ class Network:
 
     def fit(self, x: np.ndarray, real: np.ndarray, label: np.ndarray, epochs: int = EPOCHS, seed: int = 5) -> "Network":
         rng, m, s, step = np.random.default_rng(seed), {}, {}, 0
+        epochs = max(epochs, STEPS // -(-len(label) // 256))
         total = epochs * -(-len(label) // 256)
         for _ in range(epochs):
             order = rng.permutation(len(label))
@@ -166,7 +169,9 @@ def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
 
 def training_windows(docs: DataFrame, labels: DataFrame, per_label: int) -> list:
     """[(lang, windows as bytes)] of about per_label texts of each language, chosen by hash."""
-    share = {r["lang"]: min(1.0, per_label / r["n"]) for r in labels.collect()}
+    counts = {r["lang"]: r["n"] for r in labels.collect()}
+    share = {k: min(1.0, per_label / n) for k, n in counts.items()}
+    each = SAMPLE_DOCS * SAMPLE_WINDOWS // max(1, sum(min(per_label, n) for n in counts.values()))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     want = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
 
@@ -176,7 +181,7 @@ def training_windows(docs: DataFrame, labels: DataFrame, per_label: int) -> list
             x, _, first = windows(buf, off)
             out = []
             for a, e in zip(first[:-1], first[1:]):
-                pick = np.unique(np.linspace(a, e - 1, min(SAMPLE_WINDOWS, e - a)).astype(int)) if e > a else []
+                pick = np.unique(np.linspace(a, e - 1, min(each, e - a)).astype(int)) if e > a else []
                 out.append([x[:, k].tobytes() for k in pick])
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["lang", "windows"])
 
@@ -199,9 +204,9 @@ def learn(docs: DataFrame) -> tuple[Network | None, list[str]]:
 
 
 def predict(docs: DataFrame, network: Network | None, names: list[str]) -> DataFrame:
-    """docs' columns with lang_pred and score.
+    """docs' columns with __lang_pred and __score.
 
-    lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned.
+    __lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned.
     """
     schema = docs.schema.names
     has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
@@ -225,11 +230,11 @@ def predict(docs: DataFrame, network: Network | None, names: list[str]) -> DataF
                 score[s:e] = pooled.max(0) / np.maximum(pooled.sum(0), 1e-9)
             known = lettered & (score > 0)
             pred = [names[k] if ok else UNKNOWN for k, ok in zip(best, known)]
-            out = b.drop_columns(["__lettered"]).append_column("lang_pred", pa.array(pred, pa.string()))
-            yield out.append_column("score", pa.array(np.where(known, np.clip(score, 0, 1), 0.0)))
+            out = b.drop_columns(["__lettered"]).append_column("__lang_pred", pa.array(pred, pa.string()))
+            yield out.append_column("__score", pa.array(np.where(known, np.clip(score, 0, 1), 0.0)))
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select(*[F.col(f"`{c}`") for c in schema], has.alias("__lettered")).mapInArrow(run, kept + ", lang_pred string, score double")
+    return docs.select(*[F.col(f"`{c}`") for c in schema], has.alias("__lettered")).mapInArrow(run, kept + ", __lang_pred string, __score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -239,4 +244,4 @@ def identify(docs: DataFrame) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     out = predict(docs.select("doc_id", "text"), *learn(docs))
-    return out.select("doc_id", F.coalesce(doc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(doc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))

@@ -82,7 +82,8 @@ def count_block(v, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
         new = np.zeros(len(cp), bool)
         new[np.searchsorted(at, np.unique(off[:-1][off[1:] > off[:-1]]))] = True
         starts = at[scan(symbols_of(cp, new))]
-        total = np.append(0, np.cumsum(v.n[v.slots_of(buf, starts)], dtype=np.int64))
+        slots = v.slots_of(buf, starts)  # may move v.n
+        total = np.append(0, np.cumsum(v.n[slots], dtype=np.int64))
         n = np.diff(total[np.searchsorted(starts, off)])
     return n
 
