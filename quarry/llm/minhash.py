@@ -33,13 +33,14 @@ ITEM_SCHEMA = "id long, n long, digest binary, sketch binary"
 _MULTIPLIERS = np.random.default_rng(7).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
 
-def sketch(members: np.ndarray) -> np.ndarray:
+def sketch(members: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
     """SetSketch registers (uint16) of a set of 64-bit hashes; an empty set has zeros."""
-    low = np.full(len(_MULTIPLIERS), 2**64 - 1, np.uint64)
+    by = _MULTIPLIERS[:registers]
+    low = np.full(registers, 2**64 - 1, np.uint64)
     if not len(members):
         return np.zeros(len(low), np.uint16)
     for s in range(0, len(members), 4096):
-        low = np.minimum(low, (members[s : s + 4096, None] * _MULTIPLIERS).min(axis=0))
+        low = np.minimum(low, (members[s : s + 4096, None] * by).min(axis=0))
     x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64) / RATE
     k = np.floor(1.0 - np.log(np.maximum(x, 1e-300)) / np.log(BASE))
     return np.clip(k, 0, LEVELS + 1).astype(np.uint16)
@@ -85,12 +86,12 @@ def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
         yield from shingle_sets(h, bounds, k)
 
 
-def items_of(sets: Iterator[np.ndarray], ids: pa.Array) -> pa.RecordBatch:
+def items_of(sets: Iterator[np.ndarray], ids: pa.Array, registers: int = BANDS * ROWS) -> pa.RecordBatch:
     n, digest, regs = [], [], []
     for v in sets:
         n.append(len(v))
         digest.append(hashlib.blake2b(v.tobytes(), digest_size=16).digest() if len(v) else None)
-        regs.append(sketch(v).tobytes() if len(v) else None)
+        regs.append(sketch(v, registers).tobytes() if len(v) else None)
     arrays = [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(regs, pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, ["id", "n", "digest", "sketch"])
 
@@ -118,16 +119,17 @@ def load_text_sets(docs: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
     return lambda ids: docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, members binary")
 
 
-def _bands(items: DataFrame) -> DataFrame:
+def _bands(items: DataFrame, rows: int) -> DataFrame:
     def run(batches):
         for b in batches:
             if not b.num_rows:
                 continue
-            regs = np.stack(_rows(b.column("sketch"), np.uint16)).astype(np.uint64).reshape(-1, BANDS, ROWS)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), regs.shape[:2]).copy()
-            for r in range(ROWS):
+            regs = np.stack(_rows(b.column("sketch"), np.uint16)).astype(np.uint64)
+            regs = regs.reshape(len(regs), -1, rows)
+            key = np.broadcast_to(np.arange(regs.shape[1], dtype=np.uint64), regs.shape[:2]).copy()
+            for r in range(rows):
                 key = mix(key * np.uint64(0x9E3779B97F4A7C15) + regs[:, :, r])
-            ids = np.repeat(b.column("id").to_numpy(), BANDS)
+            ids = np.repeat(b.column("id").to_numpy(), regs.shape[1])
             yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(ids)], ["key", "id"])
 
     return items.select("id", "sketch").mapInArrow(run, "key long, id long")
@@ -207,20 +209,22 @@ def _cell_links(percent: int):
     return run
 
 
-def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS) -> DataFrame:
     """(digest, component_id) of every class of items (id, n, digest, sketch) with equal, non-empty sets.
 
     component_id is the smallest id reachable by links with 100 * intersection >= percent * union. Every pair that
     shares a band is either in one component already or compared on full sets; a pair at 0.85 shares none with a
-    probability of 8e-6, one at 0.8 with 3e-4. Ids must be unique; items with null ids or empty sets take no part.
+    probability of 8e-6, one at 0.8 with 3e-4. Items that repeat an id with another set share its group; items with
+    null ids or empty sets take no part. rows: registers of a band.
     """
     live = items.filter("id IS NOT NULL AND n > 0")
-    reps = live.groupBy("digest").agg(F.min("id").alias("id"))
-    # items that repeat an id with another text are told apart by their digest
-    items = cut(live.join(reps, ["digest", "id"]).dropDuplicates(["id"]).select("id", "n", "sketch"))
-    bands = _bands(items)
-    order = F.xxhash64("id", "key")
-    pivots = bands.groupBy("key").agg(F.count("*").alias("size"), F.min_by("id", order).alias("pivot"))
+    # equal sets have equal sizes and sketches, so any of a class will do
+    classes = cut(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    reps, items = classes.select("digest", "id"), classes.select("id", "n", "sketch")
+    bands = _bands(items, rows)
+    # the pivot is the least id under a scrambling of its own in every bucket
+    low = F.min(F.col("id").bitwiseXOR(F.col("key")))
+    pivots = bands.groupBy("key").agg(F.count("*").alias("size"), low.bitwiseXOR(F.col("key")).alias("pivot"))
     members = cut(bands.join(pivots.filter("size > 1"), "key"))
     sets = cut(load_sets(members.select("id").distinct()))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]

@@ -16,6 +16,8 @@ from quarry.llm.common import blocks, cut, shingle_sets, string_buffer, words
 from quarry.llm.minhash import items_of, similar_classes
 
 MIN_WORDS = 25
+#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of eight with a probability of 0.9997.
+BANDS, ROWS = 8, 2
 
 
 def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int):
@@ -51,7 +53,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataF
                 text, first, last, n, sets = zip(*found)
                 text, first, last = np.array(text), np.array(first), np.array(last)
                 chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
-                items = items_of(iter(sets), pa.array(np.zeros(len(n), np.int64)))
+                items = items_of(iter(sets), pa.array(np.zeros(len(n), np.int64)), BANDS * ROWS)
                 columns = [ids[s + text], first - at[text], last - at[text], chars[first] - chars[at[text]], chars[last] - chars[at[text]], n]
                 arrays = [pa.array(x, pa.int64()) for x in columns] + items.columns[1:]
                 yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PARAGRAPHS.split(", ")])
@@ -92,11 +94,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = cut(paragraphs(texts, min_words, k).dropDuplicates(["doc_id", "first_byte", "last_byte", "digest"]).withColumn("id", F.monotonically_increasing_id()))
-    groups = similar_classes(found.select("id", "n", "digest", "sketch"), _load_sets(texts, found, k), percent)
-    named = cut(found.drop("sketch", "n").join(groups, "digest"))
-    place = F.struct("doc_id", "start")
-    sums = named.groupBy("component_id").agg(F.count("*").alias("n_copies"), F.min(place).alias("head")).filter("n_copies > 1")
+    found = cut(paragraphs(texts, min_words, k).withColumn("id", F.monotonically_increasing_id()))
+    groups = cut(similar_classes(found.select("id", "n", "digest", "sketch"), _load_sets(texts, found, k), percent, ROWS))
+    # most clusters are one paragraph: sizes come from counts by digest, and only the others' paragraphs go on
+    sizes = found.groupBy("digest").agg(F.count("*").alias("copies")).join(groups, "digest")
+    many = sizes.groupBy("component_id").agg(F.sum("copies").alias("all")).filter("all > 1").select("component_id")
+    wanted = cut(groups.join(many, "component_id", "left_semi"))
+    named = found.drop("sketch", "n").join(wanted, "digest").dropDuplicates(["doc_id", "first_byte", "digest"])
+    named = cut(named)
+    sums = named.groupBy("component_id").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "start")).alias("head")).filter("n_copies > 1")
     out = named.join(sums, "component_id")
     kept = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))
     return out.select(
