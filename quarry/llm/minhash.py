@@ -226,10 +226,13 @@ def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame
     low = F.min(F.col("id").bitwiseXOR(F.col("key")))
     pivots = bands.groupBy("key").agg(F.count("*").alias("size"), low.bitwiseXOR(F.col("key")).alias("pivot"))
     members = cut(bands.join(pivots.filter("size > 1"), "key"))
-    sets = cut(load_sets(members.select("id").distinct()))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     stars = members.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).select(*pair)
-    links = cut(_confirmed(_hopeful_pairs(stars.distinct(), items, percent / 100), sets, percent))
+    stars = cut(_hopeful_pairs(stars.distinct(), items, percent / 100))
+    # full sets only of those that a sketch leaves in question, or that share a bucket of three or more
+    asked = stars.select(F.explode(F.array("a", "b")).alias("id")).union(members.filter("size > 2").select("id"))
+    sets = cut(load_sets(asked.distinct()))
+    links = cut(_confirmed(stars, sets, percent))
     first = components(links)
 
     named = members.join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))

@@ -16,8 +16,8 @@ from quarry.llm.common import blocks, cut, shingle_sets, string_buffer, words
 from quarry.llm.minhash import items_of, similar_classes
 
 MIN_WORDS = 25
-#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of eight with a probability of 0.9997.
-BANDS, ROWS = 8, 2
+#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of eleven with a probability of 0.9996.
+BANDS, ROWS = 11, 3
 
 
 def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int):
@@ -77,10 +77,11 @@ def _load_sets(docs: DataFrame, found: DataFrame, k: int):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "members"])
 
     def load(ids: DataFrame) -> DataFrame:
+        # a repeated row gives a paragraph's set again, which no later step minds
         wanted = found.join(ids, "id", "left_semi").groupBy("doc_id").agg(
             F.collect_list(F.struct("id", "first_byte", "last_byte", "digest")).alias("wanted")
         )
-        return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(run, "id long, members binary").dropDuplicates(["id"])
+        return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(run, "id long, members binary")
 
     return load
 
