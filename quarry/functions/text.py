@@ -53,8 +53,9 @@ def plan_query(q: str) -> dict:
 
 
 def follow_up(q: str, before: str) -> str:
-    """A query with fewer than two terms borrows the turn before."""
-    return q if len(plan_query(q)["terms"]) >= 2 else f"{before} {q}"
+    """A query with fewer than two terms, stopwords aside, borrows the turn before, if there is one."""
+    content = [t for t in plan_query(q)["terms"] if t not in STOPWORDS]
+    return q if len(content) >= 2 or not (before or "").strip() else f"{before} {q}"
 
 
 def looks_literal(q: str) -> bool:
