@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from quarry import catalog
@@ -13,7 +14,7 @@ DATA = "/root/testdata/sf0.001"
 
 
 def _value(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
