@@ -1,6 +1,6 @@
 """Nearest neighbours by a vantage-point tree in every shard.
 
-Rows are dealt into shards of about SHARD_ROWS and queries into blocks of QUERY_BLOCK; each shard meets each block in a task of
+Rows are dealt into shards of at most about SHARD_ROWS and queries into blocks of QUERY_BLOCK; each shard meets each block in a task of
 its own, builds its tree and searches all of the block's queries together. A subtree is skipped where the triangle
 inequality, with the current k-th distance multiplied by `factor`, rules it out: factor 1 is exact search, smaller
 ones prune more.
@@ -14,7 +14,11 @@ from pyspark.sql import functions as F
 from quarry.llm.common import cut
 from quarry.llm.vectors import finite_vectors, matrix
 
-SHARD_ROWS, QUERY_BLOCK, LEAF = 8192, 1024, 128
+SHARD_ROWS, QUERY_BLOCK, LEAF = 32768, 16384, 128
+#: Tables of fewer rows are dealt into smaller shards, so that they still keep several tasks busy.
+SMALL_SHARD, LEAST_SHARDS = 4096, 64
+#: Numbers in one temporary array of a search.
+LEAF_CELLS = 1 << 20
 
 
 class VantageTree:
@@ -39,6 +43,11 @@ class VantageTree:
         best_i = np.full((len(queries), k), np.iinfo(np.int64).max)
 
         def leaf(rows, q):
+            step = max(1, LEAF_CELLS // len(rows))  # copies make long leaves
+            for s in range(0, len(q), step):
+                compare(rows, q[s : s + step])
+
+        def compare(rows, q):
             d = _distance(queries[q], self.points[rows])
             i = np.broadcast_to(self.ids[rows], d.shape)
             d = np.where(i == own[q][:, None], np.inf, d)
@@ -67,8 +76,9 @@ class VantageTree:
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty((len(a), len(b)))
-    for s in range(0, len(a), 64):
-        out[s : s + 64] = np.sqrt(((a[s : s + 64, None] - b[None]) ** 2).sum(-1))
+    step = max(1, LEAF_CELLS // max(1, b.size))
+    for s in range(0, len(a), step):
+        out[s : s + step] = np.sqrt(((a[s : s + step, None] - b[None]) ** 2).sum(-1))
     return out
 
 
@@ -93,7 +103,9 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0
     rows = cut(finite_vectors(table).filter("valid").select("id", "v", F.size("v").alias("dim")))
     is_query = F.col("id") % every == 0
     n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, groups = max(1, -(-n // SHARD_ROWS)), max(1, -(-n_queries // QUERY_BLOCK))
+    # rows are copied to every block and queries to every shard: both are as large as a task's memory allows
+    shards = max(1, -(-n // SHARD_ROWS), min(LEAST_SHARDS, -(-n // SMALL_SHARD)))
+    groups = max(1, -(-n_queries // QUERY_BLOCK))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
     dealt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
     data = rows.select("id", "v", "dim", dealt(shards).alias("shard"), spread(groups).alias("block"), F.lit(False).alias("asked"))
