@@ -15,6 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from quarry.llm import ann, bpe, graphdedup, langid, minhash, packing, secrets, substring, tokencount, toxicity
+from quarry.llm.common import words
 from quarry.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -112,6 +113,18 @@ def test_sketches():
     assert not minhash.sketch(a[:0]).any()
 
 
+def test_word_hashes_ignore_neighbours(spark):
+    hashes = lambda t: words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+    long = b"q" * 1000
+    alone, beside = hashes(b"some ordinary words"), hashes(b"some ordinary words " + long)
+    assert (alone == beside[:3]).all() and hashes(long)[0] == beside[3] != hashes(b"q" * 999 + b"r")[0]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, "z" * 1000), (3, text), (4, text + " more")]
+    parts = [spark.createDataFrame(rows[a:b], "doc_id long, text string").coalesce(1) for a, b in ((0, 2), (2, 4))]
+    got = {r.doc_id: r.kept for r in minhash.near_duplicates(parts[0].union(parts[1]), k=5, percent=80).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: False}
+
+
 def test_bpe_round_trip(documents, empty):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
     enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
