@@ -3,21 +3,28 @@
 A paragraph is a line with at least MIN_WORDS words. Bands of SetSketch registers over its 5-word shingles, tuned for
 recall, bring paragraphs together; exact Jaccard similarities confirm them; components are clusters, and all but the
 first paragraph of a cluster (by doc_id and place) are removed.
+
+Passages inside or across lines: runs of MIN_WORDS words are anchors where their hash is the least of any WINDOW runs in
+a row, so equal stretches of MIN_WORDS + WINDOW - 1 = 49 words share an anchor wherever they begin. All but the first
+place of an anchor are copies; copies that touch are one passage, drawn out at its ends as far as the words go on equal.
 """
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, cut, shingle_sets, string_buffer, words
+from quarry.llm.common import _SHINGLE, blocks, cut, mix, shingle_sets, string_buffer, words
 from quarry.llm.minhash import items_of, similar_classes
 
 MIN_WORDS = 25
 #: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of eleven with a probability of 0.9996.
 BANDS, ROWS = 11, 3
+#: Runs of words of which the one with the least hash is an anchor.
+WINDOW = 25
 
 
 def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int):
@@ -86,11 +93,178 @@ def _load_sets(docs: DataFrame, found: DataFrame, k: int):
     return load
 
 
+def _run_hashes(h: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of all runs of k words; never those of an empty array."""
+    s = h[: len(h) - k + 1] * _SHINGLE[0]
+    for j in range(1, k):
+        s = s + h[j : len(h) - k + 1 + j] * _SHINGLE[j]
+    return mix(s)
+
+
+def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
+    """Minima (or maxima) of each `width` values in a row."""
+    best, have = np.minimum if least else np.maximum, 1
+    while have < width:
+        step = min(have, width - have)
+        x, have = best(x[:-step], x[step:]), have + step
+    return x
+
+
+def _chosen(g: np.ndarray, k: int) -> np.ndarray:
+    """Places of the anchors among a text's run hashes; of equal runs that overlap each other, the first."""
+    width = min(WINDOW, len(g))
+    low = _slide(g, width, True)
+    edge = np.zeros(width - 1, np.uint64)
+    at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), width, False) == g)
+    if len(np.unique(g[at])) < len(at):
+        last, keep = {}, []
+        for p, x in zip(at.tolist(), g[at].tolist()):
+            if p - last.get(x, -k) >= k:
+                last[x] = p
+                keep.append(p)
+        at = np.array(keep, np.int64)
+    return at
+
+
+def _anchors(texts: DataFrame, k: int) -> DataFrame:
+    """(h, doc_id, at): hash and first word of each anchor of k words."""
+
+    def run(batches):
+        for b in batches:
+            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            buf, off = string_buffer(b.column("text"))
+            for s, e in blocks(off):
+                h, _, _, bounds = words(buf[off[s] : off[e]], off[s : e + 1] - off[s])
+                if len(h) < k:
+                    continue
+                g, out = _run_hashes(h, k), []
+                for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
+                    if y - x >= k:
+                        part = g[x : y - k + 1]
+                        at = _chosen(part, k)
+                        out.append((part[at].view(np.int64), np.full(len(at), ids[s + i]), at.astype(np.int32)))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "doc_id", "at"])
+
+    return texts.mapInArrow(run, "h long, doc_id long, at int")
+
+
+EDGES = "h long, doc_id long, at int, left boolean, right boolean, n_copies long, head_id long"
+ENDS = "first_byte long, last_byte long, start long, end long, word long, end_word long"
+
+
+def _surroundings(held: DataFrame, k: int) -> DataFrame:
+    """EDGES, low, around of held (text, wanted): hashes, places in bytes and in code points of the WINDOW - 1 words on each side, from word `low`.
+
+    around is packed: 32 bits of each hash, then firsts and last + 1 of these words and of the anchor's two outer ones.
+    """
+    names = [c.split()[0] for c in EDGES.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            buf, off = string_buffer(b.column("text"))
+            for i, wanted in enumerate(b.column("wanted").to_pylist()):
+                part = buf[off[i] : off[i + 1]]
+                h, first, size, _ = words(part, np.array([0, len(part)]))
+                chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
+                table = np.array([first, chars[first], first + size, chars[first + size]])
+                for w in wanted:
+                    at = w["at"]
+                    if at + k <= len(h) and int(_run_hashes(h[at : at + k], k).view(np.int64)[0]) == w["h"]:  # else the row of another text with this doc_id
+                        low, high = max(0, at - WINDOW + 1), at + k + WINDOW - 1
+                        near = np.append(h[low:at], h[at + k : high]).astype("<u4")
+                        place = np.append(table[:, low : at + 1], table[:, at + k - 1 : high], axis=1)
+                        packed = zlib.compress(near.tobytes() + np.diff(place, axis=1, prepend=0).astype("<i8").tobytes(), 1)
+                        rows.append([w[n] for n in names] + [low, packed])
+            types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in EDGES.split(", ")] + [pa.int32(), pa.binary()]
+            columns = zip(*rows) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*names, "low", "around"])
+
+    return held.mapInArrow(run, f"{EDGES}, low int, around binary")
+
+
+def _unpack(around: bytes, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of the words on the left and on the right, and the places."""
+    raw = zlib.decompress(around)
+    n = (len(raw) - 64) // 36  # 4 bytes of hash and 32 of places a word, and places of two words more
+    near = np.frombuffer(raw, "<u4", n)
+    return near[:left], near[left:], np.cumsum(np.frombuffer(raw, "<i8", offset=4 * n).reshape(4, -1), axis=1)
+
+
+def _drawn_out(edges: DataFrame, k: int) -> DataFrame:
+    """EDGES with ENDS of the copy and, prefixed head_, of its first place: as far as the words on both sides go on equal."""
+    kept, names = [c.split()[0] for c in EDGES.split(", ")], [c.split()[0] for c in ENDS.split(", ")]
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for r in b.select(["at", "low", "around", "head_at", "head_low", "head_around"]).to_pylist():
+                i, j = r["at"] - r["low"], r["head_at"] - r["head_low"]
+                (before, after, x), (head_before, head_after, y) = _unpack(r["around"], i), _unpack(r["head_around"], j)
+                n = min(i, j)
+                differ = np.flatnonzero(before[i - n :] != head_before[j - n :])
+                left = n - 1 - int(differ[-1]) if len(differ) else n
+                n = min(len(after), len(head_after))
+                differ = np.flatnonzero(after[:n] != head_after[:n])
+                right = int(differ[0]) if len(differ) else n
+                row = []
+                for t, m, at in ((x, i, r["at"]), (y, j, r["head_at"])):
+                    a, z = m - left, m + 1 + right
+                    row += [t[0, a], t[2, z], t[1, a], t[3, z], at - left, at + k + right]
+                rows.append(row)
+            columns = zip(*rows) if rows else [[]] * 12
+            arrays = b.select(kept).columns + [pa.array(np.array(c, np.int64)) for c in columns]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, *names, *("head_" + n for n in names)])
+
+    return edges.mapInArrow(run, f"{EDGES}, {ENDS}, {', '.join('head_' + c for c in ENDS.split(', '))}")
+
+
+def inner_passages(texts: DataFrame, k: int) -> DataFrame:
+    """The columns of repeated_passages of stretches of words that other places repeat, wherever lines begin or end; no digest.
+
+    A first place has one row; where a passage goes on from another first place, that row ends before it.
+    """
+    often = _anchors(texts, k).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    places = cut(_anchors(texts, k).join(often, "h", "left_semi").dropDuplicates(["h", "doc_id", "at"]))
+    heads = places.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "at")).alias("head")).filter("n_copies > 1")
+    copies = places.join(heads, "h").filter("doc_id <> head.doc_id OR at <> head.at")
+    w = Window.partitionBy("doc_id").orderBy("at")
+    copies = copies.withColumn("left", F.coalesce(F.col("at") - F.lag("at").over(w) > k, F.lit(True)))
+    copies = copies.withColumn("right", F.coalesce(F.lead("at").over(w) - F.col("at") > k, F.lit(True)))
+    copies = copies.select("h", "doc_id", "at", "left", "right", "n_copies", F.col("head.doc_id").alias("head_id"), F.col("head.at").alias("head_at"))
+    edges = cut(copies.filter("left OR right"))
+    none = [F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("boolean").alias("right"), F.lit(None).cast("long").alias("n_copies")]
+    heads = edges.select("h", F.col("head_id").alias("doc_id"), F.col("head_at").alias("at"), *none, F.col("head_id")).distinct()
+    names = [c.split()[0] for c in EDGES.split(", ")]
+    wanted = edges.select(names).union(heads).groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted"))
+    around = _surroundings(texts.join(wanted, "doc_id").select("text", "wanted"), k)
+    other = around.filter("left IS NULL").select("h", F.col("at").alias("head_at"), F.col("low").alias("head_low"), F.col("around").alias("head_around"))
+    ends = _drawn_out(around.filter("left IS NOT NULL").join(other.dropDuplicates(["h"]), "h"), k).dropDuplicates(["doc_id", "at"])
+    # a passage is a left edge and the next right edge
+    z = F.first(F.when(F.col("right"), F.struct(*ends.columns)), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    spans = cut(ends.withColumn("z", z).filter("left AND z IS NOT NULL"))
+    out = spans.select(
+        "doc_id", "start", "z.end", (F.col("z.end_word") - F.col("word")).alias("n_words"), F.col("head_id").alias("first_doc_id"),
+        F.col("head_start").alias("first_start"), "n_copies", F.lit(False).alias("kept"), "first_byte", "z.last_byte",
+    )
+    same = (F.col("z.head_id") == F.col("head_id")) & (F.col("z.head_word") - F.col("head_word") == F.col("z.word") - F.col("word"))
+    last = F.when(same | (F.col("z.at") == F.col("at")), F.struct("z.head_end", "z.head_end_word", "z.head_last_byte"))
+    last = F.coalesce(last, F.struct("head_end", "head_end_word", "head_last_byte"))
+    firsts = spans.withColumn("last", last).groupBy("head_id", "head_start", "head_word", "head_first_byte")
+    firsts = firsts.agg(F.max("last").alias("last"), F.max("n_copies").alias("n_copies")).select(
+        F.col("head_id").alias("doc_id"), F.col("head_start").alias("start"), F.col("last.head_end").alias("end"),
+        (F.col("last.head_end_word") - F.col("head_word")).alias("n_words"), F.col("head_id").alias("first_doc_id"), F.col("head_start").alias("first_start"),
+        "n_copies", F.lit(True).alias("kept"), F.col("head_first_byte").alias("first_byte"), F.col("last.head_last_byte").alias("last_byte"),
+    )
+    return out.unionByName(firsts)
+
+
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id, first_start, n_copies, kept, first_byte, last_byte) of paragraphs with copies.
+    """(doc_id, start, end, n_words, first_doc_id, first_start, n_copies, kept, first_byte, last_byte) of passages with copies.
 
-    start and end are code points of the text, the line's end included; kept marks the first paragraph of a cluster. Paragraphs
-    without copies, and so most documents, have no row. Null and empty texts have no paragraphs; rows without a
+    start and end are code points of the text, a paragraph's with the line's end; kept marks the first place of a cluster.
+    Passages that paragraphs tell of already have no row of their own. What has no copies, and so most documents, has no row. Null and empty texts have no paragraphs; rows without a
     doc_id take no part; a repeated row's paragraphs count once.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -106,10 +280,14 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     sums = named.groupBy("component_id").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "start")).alias("head")).filter("n_copies > 1")
     out = named.join(sums, "component_id")
     kept = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))
-    return out.select(
+    out = out.select(
         "doc_id", "start", "end", "n_words", F.col("head.doc_id").alias("first_doc_id"), F.col("head.start").alias("first_start"),
         "n_copies", kept.alias("kept"), "first_byte", "last_byte", "digest",
     )
+    out = cut(out)
+    over = out.select(F.col("doc_id").alias("of"), F.col("first_byte").alias("from"), F.col("last_byte").alias("to"), F.col("kept").alias("stays"))
+    inner, within = inner_passages(texts, min_words), F.expr("doc_id = of AND first_byte >= from AND last_byte <= to AND (kept OR NOT stays)")
+    return out.unionByName(inner.join(over, within, "left_anti"), allowMissingColumns=True)
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, percent: int = 80) -> DataFrame:

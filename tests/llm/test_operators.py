@@ -281,6 +281,23 @@ def test_repeated_passages(spark, empty):
     assert substring.repeated_passages(empty).count() == 0
 
 
+def test_passages_inside_and_across_lines(spark):
+    rng = random.Random(5)
+    line = lambda n: " ".join(f"v{rng.randrange(10**6)}" for _ in range(n))
+    shared = line(49)
+    w = shared.split()
+    wrapped = "\n".join(" ".join(w[i : i + 12]) for i in range(0, 49, 12))
+    rows = [(1, f"{line(41)} {shared} {line(30)}"), (2, f"{line(80)}é {shared} {line(7)}"), (3, f"{line(60)}\n{wrapped}\n{line(20)}")]
+    rows += [(4, f"{line(15000)} {shared} {line(15000)}"), (5, line(400)), (6, f"{line(9)} {' '.join(w[:24])} {line(9)}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, text = substring.repeated_passages(docs).collect(), dict(rows)
+    assert sorted((r.doc_id, r.kept, r.first_doc_id, r.n_words) for r in got) == [(1, True, 1, 49)] + [(i, False, 1, 49) for i in (2, 3, 4)]
+    assert all(text[r.doc_id][r.start : r.end].split() == w for r in got)
+    after = {r.doc_id: r.text for r in substring.remove_repeats(docs).collect()}
+    assert all(after[i] == text[i] for i in (1, 5, 6))
+    assert all(after[r.doc_id] == text[r.doc_id][: r.start] + text[r.doc_id][r.end :] for r in got if not r.kept)
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 
 
