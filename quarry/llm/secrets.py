@@ -51,18 +51,19 @@ def linked_parts(found: DataFrame) -> DataFrame:
     """(key, more): per row key, the weak candidates that lie within SCOPE of complementary parts.
 
     found: (key, base, weak) with span arrays. An opaque string needs an access identifier or an endpoint near it; an
-    endpoint needs a secret (opaque or assigned) and an access identifier. Parts are bucketed by scope, so that
-    each is joined with its own and the neighbouring buckets only.
+    endpoint needs a secret (opaque or assigned) and an access identifier. Parts lie in all buckets of SCOPE characters
+    that they touch, weak ones look in all that their reach touches, so that each is joined with the buckets near it only.
     """
     part = lambda column: found.filter(F.size(column) > 0).select("key", F.explode(column).alias("s")).select("key", "s.*")
     weak = part("weak")
     near = weak.select("key").distinct()
     parts = part("base").join(near, "key", "left_semi").union(weak).distinct()
-    bucket = F.floor(F.col("start") / SCOPE)
-    counted = parts.groupBy("key", bucket.alias("bucket"), "kind").agg(
+    buckets = lambda low, high: F.explode(F.sequence(F.floor(low / SCOPE), F.floor(high / SCOPE)))
+    touched = parts.withColumn("bucket", buckets(F.col("start"), F.col("end")))
+    counted = touched.groupBy("key", "bucket", "kind").agg(
         F.sort_array(F.collect_list(F.struct("start", "end"))).alias("at")
     )
-    left = weak.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
+    left = weak.withColumn("bucket", buckets(F.col("start") - SCOPE, F.col("end") + SCOPE))
     right = counted.filter(~F.col("kind").isin(KINDS.index("hex"))).select("key", "bucket", F.col("kind").alias("other"), "at")
     close = F.exists("at", lambda p: (p["start"] < F.col("end") + SCOPE) & (p["end"] > F.col("start") - SCOPE))
     seen = left.join(right, ["key", "bucket"]).filter("kind <> other").filter(close)

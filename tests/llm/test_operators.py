@@ -333,6 +333,16 @@ def test_secret_scan(spark, documents, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secret_links_at_all_alignments(spark):
+    key, opaque, url = "AKIA" + "B2" * 9, "Ab1/" * 10, "https://a.example.com"
+    rows = [(i, f"{'-' * i} {opaque} {'.' * 374} {url} ") for i in range(0, 400, 13)]
+    rows += [(1000 + i, f"{'-' * i} secret={'t' * 1200} {'.' * 90} {url} {key}") for i in range(0, 400, 13)]
+    rows += [(2000 + i, f"{'-' * i} {opaque} {'.' * 401} {url} ") for i in range(0, 400, 13)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert all(("opaque" in s) == (i < 1000) and ("endpoint" in s) == (1000 <= i < 2000) for i, s in got.items())
+
+
 def test_network_gradient():
     rng = np.random.default_rng(0)
     x, label = rng.integers(97, 123, (6, 4)).astype(np.uint8), np.array([0, 1, 0, 1])
