@@ -3,29 +3,33 @@
 The pre-token rules are those of `public_tokenizers.PATTERN`: contractions ('s 't 're 've 'm 'll 'd), runs of
 letters, of numbers or of other characters with one optional space before, and white space. They are local, so
 boundaries follow from character classes of neighbours; a batch's distinct pre-tokens are encoded once.
+
+A text of more than CHUNK_CHARS characters is dealt out as rows of overlapping chunks. Each is pre-tokenised by itself;
+boundaries depend on the closest neighbours only, so within the overlap a chunk's list agrees again with its
+predecessor's, and what lies across a seam (from a chunk's last boundary to the next one's first) is encoded in stitching.
 """
 
-import base64
-import json
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import sha256
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, span_hashes, string_buffer
+from quarry.llm.common import HASHED, HashKey, blocks, same_spans, span_hashes, string_buffer
+from quarry.llm.merges import Merges
+from quarry.llm.transducer import CountingTransducer
 
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)  # BLANK is U+0020 alone
-CACHE = 400_000
-#: Texts beyond this many bytes are pre-tokenised in overlapping chunks of it.
-CHUNK_BYTES, OVERLAP_BYTES = 1 << 16, 1 << 10
+#: Pre-tokens, and bytes of pre-tokens and ids, that a worker remembers before it starts afresh.
+CACHE, CACHE_BYTES = 400_000, 64 << 20
+#: Characters of a chunk of a long text, and of the overlap before and after it.
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 18, 64
 
 
 @lru_cache(1)
@@ -140,112 +144,99 @@ def pretoken_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
-def chunked_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """As pretoken_starts, from overlapping chunks of long texts.
+class PieceCache:
+    """What was worked out for the pre-tokens met so far. A hash finds the entry and the bytes confirm it.
 
-    Each chunk after the first begins OVERLAP_BYTES early, as if a text began there. Boundaries depend only on close
-    neighbours, so its list soon agrees with its predecessor's; the lists are stitched at the first boundary that both
-    have and after which they agree through the overlap. Where they never do, the chunks are joined and read as one.
+    work: (ids of all given pre-tokens in a row, how many each has); for counts alone, no ids.
     """
-    sizes = np.diff(off)
-    if not len(sizes) or sizes.max() <= CHUNK_BYTES:
-        return pretoken_starts(buf, off)
-    out = []
-    for s, e in zip(off[:-1], off[1:]):
-        if e - s <= CHUNK_BYTES:
-            out.append(pretoken_starts(buf[s:e], np.array([0, e - s])) + s)
-            continue
-        cuts = [*range(s, e, CHUNK_BYTES), e]
-        done = pretoken_starts(buf[s : cuts[1]], np.array([0, cuts[1] - s])) + s
-        for a, b in zip(cuts[1:-1], cuts[2:]):
-            begin = a - OVERLAP_BYTES
-            while (buf[begin] & 0xC0) == 0x80:
-                begin += 1
-            fresh = pretoken_starts(buf[begin:b], np.array([0, b - begin])) + begin
-            # the last bytes before a lack what follows them, so the earlier list is trusted up to a margin only
-            old, new = done[(done >= begin) & (done < a - 16)], fresh[fresh < a - 16]
-            same = min(len(old), len(new))
-            agree = np.flatnonzero(old[len(old) - same :][::-1] != new[len(new) - same :][::-1])
-            same = int(agree[0]) if len(agree) else same
-            if same < 2:
-                done = np.concatenate([done[done < s], pretoken_starts(buf[s:b], np.array([0, b - s])) + s])
-                continue
-            seam = new[len(new) - same]
-            done = np.concatenate([done[done < seam], fresh[fresh >= seam]])
-        out.append(done)
-    return np.concatenate(out)
-
-
-class Vocabulary:
-    """Ids, ranks and bytes of a byte-level BPE file (.tiktoken ranks, or .json whose ids follow its merges)."""
 
-    def __init__(self, path: str):
-        self.special: dict[bytes, int] = {}
-        if path.endswith(".json"):
-            with open(path, encoding="utf-8") as f:
-                j = json.load(f)
-            self.special = {x["content"].encode(): x["id"] for x in j["added_tokens"]}
-            names = {i: w for w, i in j["model"]["vocab"].items() if w.encode() not in self.special}
-            printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
-            rest = [b for b in range(256) if b not in printable]
-            byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(rest)}
-            ranks = {bytes(byte_of[c] for c in w): i for i, w in names.items()}
-        else:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe
-        size = max([*ranks.values(), *self.special.values()]) + 1
-        piece: list[bytes] = [b""] * size
-        for w, i in [*ranks.items(), *self.special.items()]:
-            piece[i] = w
-        self.bytes = np.frombuffer(b"".join(piece), np.uint8)
-        self.lengths = np.array([len(w) for w in piece], np.int64)
-        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+    def __init__(self, work: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.work, self.key = work, HashKey()
         self.reset()
 
     def reset(self) -> None:
         self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.pool_at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def add(self, keys: np.ndarray, pieces: list[bytes]) -> np.ndarray:
-        """Encode new pre-tokens (keys ascending) and put them in the cache; returns their slots."""
-        ids = list(map(self.core.encode_single_piece, pieces))
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
+    def _add(self, pieces: list[bytes]) -> np.ndarray:
+        ids, n = self.work(pieces)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         slots = np.arange(len(self.n), len(self.n) + len(n))
         self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
-        self.n = np.concatenate([self.n, n])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), np.uint32, int(n.sum()))])
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.slots = np.insert(self.keys, place, keys), np.insert(self.slots, place, slots)
+        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids.astype(np.uint32)])
+        self.pool_at = np.concatenate([self.pool_at, len(self.pool) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(pieces), np.uint8)])
         return slots
 
     def slots_of(self, buf: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The cache slot of every pre-token."""
-        if len(self.keys) > CACHE:
+        """The entry of every pre-token of a buffer. Until the next call, self.n and self.ids hold what belongs to it."""
+        if len(self.n) > CACHE or len(self.pool) + 4 * len(self.ids) > CACHE_BYTES:
             self.reset()
-        lengths = np.diff(np.append(starts, len(buf)))
-        keys, index, inverse = np.unique(span_hashes(buf, starts, lengths), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.keys, keys)
-        known = np.append(self.keys, np.uint64(0))[place] == keys
-        known &= place < len(self.keys)
-        slot = np.append(self.slots, 0)[place]
-        if not known.all():
-            a = starts[index[~known]]
-            data = buf.tobytes()
-            pieces = [data[i:j] for i, j in zip(a.tolist(), (a + lengths[index[~known]]).tolist())]
-            slot[~known] = self.add(keys[~known], pieces)
-        return slot[inverse]
-
-    def encode(self, buf: np.ndarray, off: np.ndarray, starts=None) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.append(starts[1:], len(buf))
+        lengths = ends - starts
+        slot = np.full(len(starts), -1, np.int64)
+        short = np.flatnonzero(lengths <= HASHED)
+        if len(short):
+            begin, size = starts[short], lengths[short]
+            keys, index, inverse = np.unique(span_hashes(buf, begin, size, self.key), return_index=True, return_inverse=True)
+            place = np.searchsorted(self.keys, keys)
+            new = np.append(self.keys, np.uint64(0))[place] != keys
+            new |= place >= len(self.keys)
+            if new.any():
+                i = short[index[new]]
+                added = self._add([buf[a:b].tobytes() for a, b in zip(starts[i].tolist(), ends[i].tolist())])
+                self.keys, self.slots = np.insert(self.keys, place[new], keys[new]), np.insert(self.slots, place[new], added)
+                place = np.searchsorted(self.keys, keys)
+            found = self.slots[place][inverse]
+            same = same_spans(buf, begin, size, self.pool, self.pool_at[found], self.size[found])
+            slot[short[same]] = found[same]
+        # very long ones, and those that share a hash with others
+        odd = np.flatnonzero(slot < 0)
+        if len(odd):
+            slot[odd] = self._add([buf[a:b].tobytes() for a, b in zip(starts[odd].tolist(), ends[odd].tolist())])
+        return slot
+
+
+class Vocabulary:
+    """A vocabulary file with its merges, the transducer compiled from them, and the caches of both."""
+
+    def __init__(self, path: str):
+        self.merges = Merges(path)
+        self.special = self.merges.special
+        self.transducer = CountingTransducer(self.merges)
+        self.bytes = np.frombuffer(b"".join(self.merges.piece), np.uint8)
+        self.lengths = np.array(self.merges.size, np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
+        self.encoded, self.counted = PieceCache(self.encode_pieces), PieceCache(self.count_pieces)
+
+    def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        long = [k for k, p in enumerate(pieces) if len(p) > HASHED]
+        ids, bounds = self.merges.encode([b"" if len(p) > HASHED else p for p in pieces])
+        n = np.diff(bounds)
+        if long:
+            parts = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+            for k in long:  # rounds over all places would take too long for these
+                parts[k] = np.array(self.transducer.tokens(pieces[k]), np.int64)
+                n[k] = len(parts[k])
+            ids = np.concatenate(parts)
+        return ids, n
+
+    def count_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        n = np.fromiter(map(self.transducer.count, pieces), np.int64, len(pieces))
+        return np.zeros(0, np.uint32), n
+
+    def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts back to back, and each text's first id (n + 1 places)."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        starts = chunked_starts(buf, off) if starts is None else starts
-        slot = self.slots_of(buf, starts)
-        n = self.n[slot]
+        starts, cache = pretoken_starts(buf, off), self.encoded
+        slot = cache.slots_of(buf, starts)
+        n = cache.n[slot]
         ends = np.cumsum(n)
-        at = np.arange(int(ends[-1])) + np.repeat(self.at[slot] - (ends - n), n)
-        return self.ids[at], np.append(0, ends)[np.searchsorted(starts, off)]
+        at = np.arange(int(ends[-1])) + np.repeat(cache.at[slot] - (ends - n), n)
+        return cache.ids[at], np.append(0, ends)[np.searchsorted(starts, off)]
 
     def segments(self, data: bytes) -> list[bytes | int]:
         """A text cut at the special tokens' strings, which stand as their ids."""
@@ -257,11 +248,13 @@ class Vocabulary:
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The tokens' raw bytes, concatenated."""
-        n = self.lengths[ids]
-        ends = np.cumsum(n)
-        if not len(ends):
-            return b""
-        return self.bytes[np.arange(int(ends[-1])) + np.repeat(self.first[ids] - (ends - n), n)].tobytes()
+        out = []
+        for s in range(0, len(ids), 1 << 18):
+            part = ids[s : s + (1 << 18)]
+            n = self.lengths[part]
+            ends = np.cumsum(n)
+            out.append(self.bytes[np.arange(int(ends[-1])) + np.repeat(self.first[part] - (ends - n), n)].tobytes())
+        return b"".join(out)
 
 
 @lru_cache(4)
@@ -289,42 +282,145 @@ def encode_texts(column: pa.Array, path: str, special: bool) -> Iterator[np.ndar
             yield ids[a:b]
 
 
-def encode_decode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, token_ids, decoded) of docs (doc_id, text): ids by the ranks at `path`, and the bytes they decode to.
+CHUNKS = "row long, doc_id long, segment int, chunk int, mark string, n_bytes long, begun boolean, head binary, n long, ids binary, tail binary"
 
-    Null and empty texts have no ids. One row for every row of docs; other columns are ignored.
+
+def chunk_rows(texts: DataFrame, path: str, special: bool, with_ids: bool, chars: int) -> DataFrame:
+    """CHUNKS of texts (doc_id, text): pre-tokens that lie whole in a chunk are encoded, or counted; its ends stay bytes.
+
+    head: up to the chunk's first boundary, tail: from its last one on. Special strings end a segment and are its mark.
     """
+    marks = vocabulary(path).special if special else {}
+    pattern = "|".join(re.escape(w.decode()) for w in marks) or "(?!)"
+    cut = texts.select("doc_id", F.monotonically_increasing_id().alias("row"), F.split("text", pattern, -1).alias("part"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("marks"))
+    cut = cut.select("row", "doc_id", "marks", F.posexplode("part").alias("segment", "part")).withColumn("mark", F.get("marks", F.col("segment")))
+    pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("part") / chars).cast("int") - 1))
+    cut = cut.select("row", "doc_id", "segment", "mark", "part", F.explode(pieces).alias("chunk"))
+    at = F.col("chunk") * chars
+    before = F.least(at, F.lit(OVERLAP_CHARS))
+    sub = lambda a, n: F.substr("part", (a + 1).cast("int"), n)
+    cut = cut.select(
+        "row", "doc_id", "segment", "chunk", "mark", sub(at - before, before).alias("before"), sub(at, F.lit(chars)).alias("own"), sub(at + chars, F.lit(OVERLAP_CHARS)).alias("after")
+    ).repartition("row", "segment", "chunk")
 
     def run(batches):
         v = vocabulary(path)
         for b in batches:
-            ids = list(encode_texts(b.column("text"), path, special=False))
-            tokens = pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
-            raw = pa.array([v.decode(x) for x in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), tokens, raw], ["doc_id", "token_ids", "decoded"])
+            rows = []
+            for before, own, after, mark, chunk in zip(*(b.column(c).to_pylist() for c in ("before", "own", "after", "mark", "chunk"))):
+                before, own = before.encode(), own.encode()
+                size = len(own) + (len(mark.encode()) if mark is not None and chunk == 0 else 0)
+                buf = np.frombuffer(before + own + after.encode(), np.uint8)
+                starts = pretoken_starts(buf, np.array([0, len(buf)]))
+                low, high = len(before), len(before) + len(own)
+                starts = starts[(starts >= low) & (starts < high)]
+                if not len(starts):
+                    rows.append((size, False, own, 0, b"", b""))
+                    continue
+                # the last pre-token may go on in the next chunk
+                whole = buf[starts[0] : starts[-1]]
+                ids = n = np.zeros(0, np.uint32)
+                if len(whole):
+                    cache = v.encoded if with_ids else v.counted
+                    slot = cache.slots_of(whole, starts[:-1] - starts[0])
+                    n = cache.n[slot]
+                    ends = np.cumsum(n)
+                    ids = cache.ids[np.arange(int(ends[-1])) + np.repeat(cache.at[slot] - (ends - n), n)] if with_ids else ids
+                rows.append((size, True, buf[low : starts[0]].tobytes(), int(n.sum()), ids.astype("<u4").tobytes(), buf[starts[-1] : high].tobytes()))
+            kinds = (pa.int64(), pa.bool_(), pa.binary(), pa.int64(), pa.binary(), pa.binary())
+            more = [pa.array(x, t) for x, t in zip(zip(*rows) if rows else [[]] * 6, kinds)]
+            names = [c.split()[0] for c in CHUNKS.split(", ")]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in names[:5]] + more, names)
+
+    return cut.mapInArrow(run, CHUNKS)
+
+
+def _stitched(chunks: list[dict], v: Vocabulary, with_ids: bool) -> tuple[int, np.ndarray]:
+    """The number of ids of one text, and the ids, of its chunks in order."""
+    out, n, open_ = [np.zeros(0, np.uint32)], 0, []
+
+    def close():
+        nonlocal n
+        piece = b"".join(open_)
+        open_.clear()
+        if piece:
+            if with_ids:
+                out.append(v.encode_pieces([piece])[0].astype(np.uint32))
+                n += len(out[-1])
+            else:
+                n += v.transducer.count(piece)
+
+    for k, c in enumerate(chunks):
+        open_.append(c["head"])
+        if c["begun"]:
+            close()
+            out.append(np.frombuffer(c["ids"], "<u4"))
+            n += c["n"]
+            open_.append(c["tail"])
+        if k + 1 == len(chunks) or chunks[k + 1]["segment"] != c["segment"]:
+            close()
+            if c["mark"] is not None:
+                out.append(np.array([v.special[c["mark"].encode()]], np.uint32))
+                n += 1
+    return n, np.concatenate(out)
+
+
+def encoded(docs: DataFrame, path: str, special: bool, emit: Callable, schema: str, count: Callable | None = None, chars: int = CHUNK_CHARS) -> DataFrame:
+    """The rows that emit(doc_ids, n_bytes, n_tokens, ids) makes of all texts, in batches. Null texts are empty.
+
+    Short texts are encoded where they are read. Those of more than `chars` characters, which are few, are dealt out as
+    rows of chunks over all tasks and stitched. With count(texts), tokens are counted and there are no ids.
+    """
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    is_long = F.coalesce(F.length("text") > chars, F.lit(False))
 
-    return _texts(docs).mapInArrow(run, "doc_id long, token_ids array<long>, decoded binary")
+    def short(batches):
+        for b in batches:
+            column = b.column("text")
+            n_bytes = np.diff(string_buffer(column)[1])
+            if count is not None:
+                yield emit(b.column("doc_id"), n_bytes, count(column), None)
+            else:
+                ids = list(encode_texts(column, path, special))
+                yield emit(b.column("doc_id"), n_bytes, np.array([len(x) for x in ids], np.int64), ids)
+
+    def long(batches):
+        v = vocabulary(path)
+        for b in batches:
+            for doc_id, size, chunks in zip(b.column("doc_id").to_pylist(), b.column("n_bytes").to_pylist(), b.column("chunks").to_pylist()):
+                n, ids = _stitched(chunks, v, count is None)
+                yield emit(pa.array([doc_id], pa.int64()), np.array([size]), np.array([n]), [ids] if count is None else None)
 
+    rows = chunk_rows(texts.filter(is_long), path, special, count is None, chars)
+    fields = F.struct("segment", "chunk", "mark", "begun", "head", "n", "ids", "tail")
+    joined = rows.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sum("n_bytes").alias("n_bytes"), F.array_sort(F.collect_list(fields)).alias("chunks"))
+    return texts.filter(~is_long).mapInArrow(short, schema).union(joined.select("doc_id", "n_bytes", "chunks").mapInArrow(long, schema))
 
-def encoding_digests(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_decode with its long columns digested where they are made."""
 
-    def run(batches):
+def encode_decode(docs: DataFrame, path: str, chars: int = CHUNK_CHARS) -> DataFrame:
+    """(doc_id, token_ids, decoded) of docs (doc_id, text): ids by the ranks at `path`, and the bytes they decode to.
+
+    Null and empty texts have no ids. One row for every row of docs; other columns are ignored.
+    """
+
+    def emit(doc_ids, n_bytes, n, ids):
         v = vocabulary(path)
-        for b in batches:
-            ids = list(encode_texts(b.column("text"), path, special=False))
-            columns = [
-                b.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], pa.string()),
-                pa.array([sha256(v.decode(x)).hexdigest() for x in ids], pa.string()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tokens = pa.array([x.astype(np.int64) for x in ids], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([doc_ids, tokens, pa.array([v.decode(x) for x in ids], pa.binary())], ["doc_id", "token_ids", "decoded"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded(docs, path, False, emit, "doc_id long, token_ids array<long>, decoded binary", chars=chars)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def encoding_digests(docs: DataFrame, path: str, chars: int = CHUNK_CHARS) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encode_decode with its long columns digested where they are made."""
+
+    def emit(doc_ids, n_bytes, n, ids):
+        v = vocabulary(path)
+        digests = [[sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids], [sha256(v.decode(x)).hexdigest() for x in ids]]
+        columns = [doc_ids, pa.array(n, pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return encoded(docs, path, False, emit, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", chars=chars)
 
 
 def crc32_ids(ids: np.ndarray) -> int:

@@ -1,5 +1,6 @@
 """Shared helpers: checkpoint folder, Arrow string access and byte-wise text hashing."""
 
+import os
 from hashlib import blake2b
 
 import numpy as np
@@ -11,9 +12,13 @@ BLOCK_BYTES = 1 << 20
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; only where none is configured (tests), set one."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    """Use the folder the cluster shares and names in spark.checkpoint.dir; one machine's own folder serves local mode only."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -44,10 +49,12 @@ def blocks(off: np.ndarray, limit: int = BLOCK_BYTES):
         s = min(e, n)
 
 
-_RNG = np.random.default_rng(20240229)
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _KEEP = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
+_LOW, _HALF = np.uint64(0xFFFFFFFF), np.uint64(32)
+#: Bytes of a span that are hashed in place; what follows goes through a keyed digest.
+HASHED = 256
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,34 +66,74 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """64-bit hashes of spans of bytes, taken eight bytes at a time."""
-    h = lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+class HashKey:
+    """The secret of one run's hashes. The driver draws it and tasks get it in their closures.
+
+    Two lanes of NH, a universal hash over 32-bit halves, read the bytes: whatever two spans a text's author chooses,
+    the chance over the key that both lanes agree is about 2^-64. Shingles are sums of word hashes with secret odd
+    multipliers, a universal hash too.
+    """
+
+    def __init__(self):
+        rng = np.random.default_rng(list(os.urandom(32)))
+        draw = lambda n: rng.integers(0, 2**64, n, dtype=np.uint64)
+        self.halves = draw(HASHED // 4 + 2) & _LOW
+        self.ends = draw(3) | np.uint64(1)
+        self.shingle = draw(64) | np.uint64(1)
+        self.secret = os.urandom(32)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: HashKey) -> np.ndarray:
+    """64-bit hashes of spans of bytes, taken eight bytes at a time; a span's hash depends on its bytes and the key alone."""
+    n = lengths.astype(np.uint64)
+    a, b = n * key.ends[0], n * key.ends[1]
     if len(starts) == 0:
-        return h
-    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
-    words8 = np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
-    which, k = slice(None), 0
+        return a
+    words8, which, k = _eights(buf), slice(None), 0
     while True:
-        left = lengths[which] - k
-        h[which] = mix(h[which] ^ (words8[starts[which] + k] & _KEEP[np.minimum(left, 8)]))
+        w = words8[starts[which] + k] & _KEEP[np.minimum(lengths[which] - k, 8)]
+        low, high, p = w & _LOW, w >> _HALF, key.halves[k // 4 :]
+        a[which] += ((low + p[0]) & _LOW) * ((high + p[1]) & _LOW)
+        b[which] += ((low + p[2]) & _LOW) * ((high + p[3]) & _LOW)
         k += 8
         which = np.flatnonzero(lengths > k)
         if not len(which):
-            return h
-        if k >= 256:  # the few very long ones
+            break
+        if k >= HASHED:  # the few very long ones
             for i in which.tolist():
-                rest = blake2b(buf[starts[i] + k : starts[i] + lengths[i]].tobytes(), digest_size=8).digest()
-                h[i] ^= np.uint64(int.from_bytes(rest, "little"))
-            h[which] = mix(h[which])  # theirs only: a word's hash must not depend on its neighbours in the buffer
-            return h
+                rest = blake2b(buf[starts[i] + k : starts[i] + lengths[i]], digest_size=16, key=key.secret).digest()
+                a[i] ^= np.uint64(int.from_bytes(rest[:8], "little"))
+                b[i] ^= np.uint64(int.from_bytes(rest[8:], "little"))
+            break
+    return mix(mix(a) + b * key.ends[2])
+
+
+def _eights(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray((len(buf) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def same_spans(a: np.ndarray, at: np.ndarray, size: np.ndarray, b: np.ndarray, b_at: np.ndarray, b_size: np.ndarray) -> np.ndarray:
+    """Whether spans of `a` have the same bytes as those of `b`, one by one."""
+    same = size == b_size
+    x, y, which, k = _eights(a), _eights(b), np.flatnonzero(same & (size > 0)), 0
+    while len(which):
+        differ = ((x[at[which] + k] ^ y[b_at[which] + k]) & _KEEP[np.minimum(size[which] - k, 8)]) != 0
+        same[which[differ]] = False
+        k += 8
+        which = which[~differ]
+        which = which[size[which] > k]
+    return same
 
 
 _WORD_BYTE = np.ones(256, bool)
 _WORD_BYTE[[0x20, *range(9, 14)]] = False
+#: Bytes whose words are looked for at once.
+STRETCH = 1 << 22
 
 
-def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes other than space and 09-0D) of texts in one buffer.
 
     Returns their hashes with A-Z folded, first bytes, byte lengths, and the number of words up to each text's start.
@@ -100,28 +147,49 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     end[heads - 1] = w[heads - 1]
     first, last = np.flatnonzero(start), np.flatnonzero(end)
     lengths = last + 1 - first
-    return span_hashes(_FOLD[buf], first, lengths), first, lengths, np.searchsorted(first, off)
-
-
-_SHINGLE = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-
-
-def shingle_sets(h: np.ndarray, bounds: np.ndarray, k: int):
+    return span_hashes(_FOLD[buf], first, lengths, key), first, lengths, np.searchsorted(first, off)
+
+
+def word_hashes(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last of words(), reading one very long text in stretches that end at a space."""
+    if len(buf) <= STRETCH or len(off) > 2:
+        h, _, _, bounds = words(buf, off, key)
+        return h, bounds
+    parts, at = [], 0
+    while at < len(buf):
+        stop = min(at + STRETCH, len(buf))
+        while stop < len(buf):
+            gap = np.flatnonzero(~_WORD_BYTE[buf[at:stop]])
+            if len(gap):
+                stop = at + int(gap[-1]) + 1
+                break
+            stop = min(stop + STRETCH, len(buf))
+        parts.append(words(buf[at:stop], np.array([0, stop - at]), key)[0])
+        at = stop
+    h = np.concatenate(parts)
+    return h, np.array([0, len(h)])
+
+
+def run_hashes(h: np.ndarray, k: int, key: HashKey) -> np.ndarray:
+    """Hashes of all runs of k words, given at least k word hashes."""
+    s = h[: len(h) - k + 1] * key.shingle[0]
+    for j in range(1, k):
+        s += h[j : len(h) - k + 1 + j] * key.shingle[j]
+    return mix(s)
+
+
+def shingle_sets(h: np.ndarray, bounds: np.ndarray, k: int, key: HashKey):
     """For each text, given its word hashes, the sorted distinct hashes of its k-word shingles.
 
     A text with 1 to k - 1 words has its whole sequence as the only shingle; without words its set is empty.
     """
-    if len(h) >= k:
-        s = h[: len(h) - k + 1] * _SHINGLE[0]
-        for j in range(1, k):
-            s = s + h[j : len(h) - k + 1 + j] * _SHINGLE[j]
-        s = mix(s)
+    s = run_hashes(h, k, key) if len(h) >= k else None
     for a, b in zip(bounds[:-1], bounds[1:]):
         if b - a >= k:
             v = np.sort(s[a : b - k + 1])
             yield v[np.append(True, v[1:] != v[:-1])] if len(v) > 1 else v
         elif b > a:
-            part = h[a:b] * _SHINGLE[32 + b - a : 32 + 2 * (b - a)]
+            part = h[a:b] * key.shingle[32 + b - a : 32 + 2 * (b - a)]
             yield mix(np.add.reduce(part, keepdims=True) + np.uint64(int(b - a)))
         else:
             yield np.zeros(0, np.uint64)

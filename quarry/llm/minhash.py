@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, cut, mix, shingle_sets, string_buffer, words
+from quarry.llm.common import HashKey, blocks, cut, mix, shingle_sets, string_buffer, word_hashes
 from quarry.llm.components import components
 
 BANDS, ROWS = 16, 4
@@ -78,12 +78,12 @@ def _rows(column: pa.Array, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x, dtype) for x in column.to_pylist()]
 
 
-def text_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
+def text_sets(column: pa.Array, k: int, key: HashKey) -> Iterator[np.ndarray]:
     """Shingle sets of an Arrow text column."""
     buf, off = string_buffer(column)
     for s, e in blocks(off):
-        h, _, _, bounds = words(buf[off[s] : off[e]], off[s : e + 1] - off[s])
-        yield from shingle_sets(h, bounds, k)
+        h, bounds = word_hashes(buf[off[s] : off[e]], off[s : e + 1] - off[s], key)
+        yield from shingle_sets(h, bounds, k, key)
 
 
 def items_of(sets: Iterator[np.ndarray], ids: pa.Array, registers: int = BANDS * ROWS) -> pa.RecordBatch:
@@ -96,24 +96,24 @@ def items_of(sets: Iterator[np.ndarray], ids: pa.Array, registers: int = BANDS *
     return pa.RecordBatch.from_arrays(arrays, ["id", "n", "digest", "sketch"])
 
 
-def sketch_texts(docs: DataFrame, k: int) -> DataFrame:
+def sketch_texts(docs: DataFrame, k: int, hashes: HashKey) -> DataFrame:
     """(id, n, digest, sketch) of the k-word shingle sets of (id, text)."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield items_of(text_sets(b.column("text"), k), b.column("id"))
+                yield items_of(text_sets(b.column("text"), k, hashes), b.column("id"))
 
     return docs.select("id", "text").mapInArrow(run, ITEM_SCHEMA)
 
 
-def load_text_sets(docs: DataFrame, k: int) -> Callable[[DataFrame], DataFrame]:
+def load_text_sets(docs: DataFrame, k: int, hashes: HashKey) -> Callable[[DataFrame], DataFrame]:
     """A loader of (id, members): the shingle sets of the texts with the given ids, made again from the texts."""
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                sets = [v.tobytes() for v in text_sets(b.column("text"), k)]
+                sets = [v.tobytes() for v in text_sets(b.column("text"), k, hashes)]
                 yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(sets, pa.binary())], ["id", "members"])
 
     return lambda ids: docs.select("id", "text").join(ids, "id", "left_semi").mapInArrow(run, "id long, members binary")
@@ -269,8 +269,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Rows that repeat a doc_id share its group.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    items = cut(sketch_texts(texts, k))
-    groups = similar_classes(items, load_text_sets(texts, k), percent)
+    hashes = HashKey()
+    items = cut(sketch_texts(texts, k, hashes))
+    groups = similar_classes(items, load_text_sets(texts, k, hashes), percent)
     out = items.select("id", "n", "digest").join(groups, "digest", "left")
     comp = F.coalesce("component_id", "id")
     return out.select(

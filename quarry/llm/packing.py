@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import crc32_ids, encode_texts
+from quarry.llm.bpe import crc32_ids, encoded
 from quarry.llm.common import cut
 
 #: Rows of one length in one bucket, about.
@@ -23,23 +23,22 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 def pieces(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool = False) -> DataFrame:
     """Windows and rests of each text's ids with end_id after them."""
 
-    def run(batches):
-        for b in batches:
-            out = ([], [], [], [], [], [])
-            for doc, ids in zip(b.column("doc_id").to_pylist(), encode_texts(b.column("text"), path, special=True)):
-                ids = np.append(ids, np.uint32(end_id))
-                for s in range(0, len(ids), window):
-                    part = ids[s : s + window]
-                    for column, x in zip(out, (doc, s, len(part), crc32_ids(part), len(ids), part.astype(np.int64))):
-                        column.append(x)
-            columns = [pa.array(x, pa.int64()) for x in out[:5]]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            if with_ids:
-                columns, names = [*columns, pa.array(out[5], pa.list_(pa.int64()))], [*names, "token_ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, PIECES + ", token_ids array<long>" * with_ids)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+
+    def emit(doc_ids, n_bytes, n, ids):
+        out = ([], [], [], [], [], [])
+        for doc, x in zip(doc_ids.to_pylist(), ids):
+            x = np.append(x, np.uint32(end_id))
+            for s in range(0, len(x), window):
+                part = x[s : s + window]
+                for column, value in zip(out, (doc, s, len(part), crc32_ids(part), len(x), part.astype(np.int64))):
+                    column.append(value)
+        columns = [pa.array(x, pa.int64()) for x in out[:5]]
+        if with_ids:
+            return pa.RecordBatch.from_arrays([*columns, pa.array(out[5], pa.list_(pa.int64()))], [*names, "token_ids"])
+        return pa.RecordBatch.from_arrays(columns, names)
+
+    return encoded(docs, path, True, emit, PIECES + ", token_ids array<long>" * with_ids)
 
 
 def best_fill(counts: dict[int, int], room: int) -> dict[int, int]:

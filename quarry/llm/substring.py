@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import _SHINGLE, blocks, cut, mix, shingle_sets, string_buffer, words
+from quarry.llm.common import HashKey, blocks, cut, run_hashes, shingle_sets, string_buffer, words
 from quarry.llm.minhash import items_of, similar_classes
 
 MIN_WORDS = 25
@@ -27,15 +27,15 @@ BANDS, ROWS = 11, 3
 WINDOW = 25
 
 
-def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int):
+def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int, key: HashKey):
     """Of texts back to back: for each paragraph its text's number, first and last byte + 1 in buf, words and shingle set."""
     cut_at = np.unique(np.concatenate([np.flatnonzero(buf == 10) + 1, off]))
-    h, _, _, bounds = words(buf, cut_at)
+    h, _, _, bounds = words(buf, cut_at, key)
     n = np.diff(bounds)
     which = np.flatnonzero(n >= min_words)
     if not len(which):
         return
-    sets = shingle_sets(h, bounds, k)
+    sets = shingle_sets(h, bounds, k, key)
     text = np.searchsorted(off, cut_at[:-1], side="right") - 1
     for i, s in enumerate(sets):
         if n[i] >= min_words:
@@ -45,7 +45,7 @@ def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int):
 PARAGRAPHS = "doc_id long, first_byte long, last_byte long, start long, end long, n_words long, n long, digest binary, sketch binary"
 
 
-def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataFrame:
+def paragraphs(docs: DataFrame, key: HashKey, min_words: int = MIN_WORDS, k: int = 5) -> DataFrame:
     """The paragraphs of docs (doc_id, text): bytes [first_byte, last_byte) with the line's end, code points [start, end)."""
 
     def run(batches):
@@ -54,7 +54,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataF
             buf, off = string_buffer(b.column("text"))
             for s, e in blocks(off):
                 part, at = buf[off[s] : off[e]], off[s : e + 1] - off[s]
-                found = list(_lines(part, at, min_words, k))
+                found = list(_lines(part, at, min_words, k, key))
                 if not found:
                     continue
                 text, first, last, n, sets = zip(*found)
@@ -68,7 +68,7 @@ def paragraphs(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5) -> DataF
     return docs.select("doc_id", "text").mapInArrow(run, PARAGRAPHS)
 
 
-def _load_sets(docs: DataFrame, found: DataFrame, k: int):
+def _load_sets(docs: DataFrame, found: DataFrame, k: int, key: HashKey):
     def run(batches):
         for b in batches:
             ids, sets = [], []
@@ -76,8 +76,8 @@ def _load_sets(docs: DataFrame, found: DataFrame, k: int):
             for i, wanted in enumerate(b.column("wanted").to_pylist()):
                 for w in wanted:
                     part = buf[off[i] + w["first_byte"] : off[i] + w["last_byte"]]
-                    h, _, _, bounds = words(part, np.array([0, len(part)]))
-                    s = next(shingle_sets(h, bounds, k)).tobytes()
+                    h, _, _, bounds = words(part, np.array([0, len(part)]), key)
+                    s = next(shingle_sets(h, bounds, k, key)).tobytes()
                     if hashlib.blake2b(s, digest_size=16).digest() == w["digest"]:  # not the row of another text with this doc_id
                         ids.append(w["id"])
                         sets.append(s)
@@ -93,14 +93,6 @@ def _load_sets(docs: DataFrame, found: DataFrame, k: int):
     return load
 
 
-def _run_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all runs of k words; never those of an empty array."""
-    s = h[: len(h) - k + 1] * _SHINGLE[0]
-    for j in range(1, k):
-        s = s + h[j : len(h) - k + 1 + j] * _SHINGLE[j]
-    return mix(s)
-
-
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     """Minima (or maxima) of each `width` values in a row."""
     best, have = np.minimum if least else np.maximum, 1
@@ -126,7 +118,7 @@ def _chosen(g: np.ndarray, k: int) -> np.ndarray:
     return at
 
 
-def _anchors(texts: DataFrame, k: int) -> DataFrame:
+def _anchors(texts: DataFrame, k: int, key: HashKey) -> DataFrame:
     """(h, doc_id, at): hash and first word of each anchor of k words."""
 
     def run(batches):
@@ -134,10 +126,10 @@ def _anchors(texts: DataFrame, k: int) -> DataFrame:
             ids = b.column("doc_id").to_numpy(zero_copy_only=False)
             buf, off = string_buffer(b.column("text"))
             for s, e in blocks(off):
-                h, _, _, bounds = words(buf[off[s] : off[e]], off[s : e + 1] - off[s])
+                h, _, _, bounds = words(buf[off[s] : off[e]], off[s : e + 1] - off[s], key)
                 if len(h) < k:
                     continue
-                g, out = _run_hashes(h, k), []
+                g, out = run_hashes(h, k, key), []
                 for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
                     if y - x >= k:
                         part = g[x : y - k + 1]
@@ -153,7 +145,7 @@ EDGES = "h long, doc_id long, at int, left boolean, right boolean, n_copies long
 ENDS = "first_byte long, last_byte long, start long, end long, word long, end_word long"
 
 
-def _surroundings(held: DataFrame, k: int) -> DataFrame:
+def _surroundings(held: DataFrame, k: int, key: HashKey) -> DataFrame:
     """EDGES, low, around of held (text, wanted): hashes, places in bytes and in code points of the WINDOW - 1 words on each side, from word `low`.
 
     around is packed: 32 bits of each hash, then firsts and last + 1 of these words and of the anchor's two outer ones.
@@ -166,12 +158,12 @@ def _surroundings(held: DataFrame, k: int) -> DataFrame:
             buf, off = string_buffer(b.column("text"))
             for i, wanted in enumerate(b.column("wanted").to_pylist()):
                 part = buf[off[i] : off[i + 1]]
-                h, first, size, _ = words(part, np.array([0, len(part)]))
+                h, first, size, _ = words(part, np.array([0, len(part)]), key)
                 chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
                 table = np.array([first, chars[first], first + size, chars[first + size]])
                 for w in wanted:
                     at = w["at"]
-                    if at + k <= len(h) and int(_run_hashes(h[at : at + k], k).view(np.int64)[0]) == w["h"]:  # else the row of another text with this doc_id
+                    if at + k <= len(h) and int(run_hashes(h[at : at + k], k, key).view(np.int64)[0]) == w["h"]:  # else the row of another text with this doc_id
                         low, high = max(0, at - WINDOW + 1), at + k + WINDOW - 1
                         near = np.append(h[low:at], h[at + k : high]).astype("<u4")
                         place = np.append(table[:, low : at + 1], table[:, at + k - 1 : high], axis=1)
@@ -220,13 +212,13 @@ def _drawn_out(edges: DataFrame, k: int) -> DataFrame:
     return edges.mapInArrow(run, f"{EDGES}, {ENDS}, {', '.join('head_' + c for c in ENDS.split(', '))}")
 
 
-def inner_passages(texts: DataFrame, k: int) -> DataFrame:
+def inner_passages(texts: DataFrame, k: int, key: HashKey) -> DataFrame:
     """The columns of repeated_passages of stretches of words that other places repeat, wherever lines begin or end; no digest.
 
     A first place has one row; where a passage goes on from another first place, that row ends before it.
     """
-    often = _anchors(texts, k).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = cut(_anchors(texts, k).join(often, "h", "left_semi").dropDuplicates(["h", "doc_id", "at"]))
+    often = _anchors(texts, k, key).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    places = cut(_anchors(texts, k, key).join(often, "h", "left_semi").dropDuplicates(["h", "doc_id", "at"]))
     heads = places.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "at")).alias("head")).filter("n_copies > 1")
     copies = places.join(heads, "h").filter("doc_id <> head.doc_id OR at <> head.at")
     w = Window.partitionBy("doc_id").orderBy("at")
@@ -238,7 +230,7 @@ def inner_passages(texts: DataFrame, k: int) -> DataFrame:
     heads = edges.select("h", F.col("head_id").alias("doc_id"), F.col("head_at").alias("at"), *none, F.col("head_id")).distinct()
     names = [c.split()[0] for c in EDGES.split(", ")]
     wanted = edges.select(names).union(heads).groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted"))
-    around = _surroundings(texts.join(wanted, "doc_id").select("text", "wanted"), k)
+    around = _surroundings(texts.join(wanted, "doc_id").select("text", "wanted"), k, key)
     other = around.filter("left IS NULL").select("h", F.col("at").alias("head_at"), F.col("low").alias("head_low"), F.col("around").alias("head_around"))
     ends = _drawn_out(around.filter("left IS NOT NULL").join(other.dropDuplicates(["h"]), "h"), k).dropDuplicates(["doc_id", "at"])
     # a passage is a left edge and the next right edge
@@ -269,8 +261,9 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = cut(paragraphs(texts, min_words, k).withColumn("id", F.monotonically_increasing_id()))
-    groups = cut(similar_classes(found.select("id", "n", "digest", "sketch"), _load_sets(texts, found, k), percent, ROWS))
+    key = HashKey()
+    found = cut(paragraphs(texts, key, min_words, k).withColumn("id", F.monotonically_increasing_id()))
+    groups = cut(similar_classes(found.select("id", "n", "digest", "sketch"), _load_sets(texts, found, k, key), percent, ROWS))
     # most clusters are one paragraph: sizes come from counts by digest, and only the others' paragraphs go on
     sizes = found.groupBy("digest").agg(F.count("*").alias("copies")).join(groups, "digest")
     many = sizes.groupBy("component_id").agg(F.sum("copies").alias("all")).filter("all > 1").select("component_id")
@@ -286,7 +279,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     )
     out = cut(out)
     over = out.select(F.col("doc_id").alias("of"), F.col("first_byte").alias("from"), F.col("last_byte").alias("to"), F.col("kept").alias("stays"))
-    inner, within = inner_passages(texts, min_words), F.expr("doc_id = of AND first_byte >= from AND last_byte <= to AND (kept OR NOT stays)")
+    inner, within = inner_passages(texts, min_words, key), F.expr("doc_id = of AND first_byte >= from AND last_byte <= to AND (kept OR NOT stays)")
     return out.unionByName(inner.join(over, within, "left_anti"), allowMissingColumns=True)
 
 

@@ -3,16 +3,16 @@
 The pre-tokenizer is compiled to a deterministic transducer over character symbols (class, what follows, possible
 contraction). A text is cut into chunks of CHUNK characters; each chunk's map from any entry state to its exit state
 is made for all chunks side by side, the maps are composed by a parallel prefix scan, and a second pass from the now
-known entry states marks the transitions that open a pre-token. Such a transition closes the pre-token before it and
-emits that one's token count; the count is annotated once for each distinct pre-token read.
+known entry states marks the transitions that open a pre-token. Inside a pre-token the transducer of transducer.py is
+compiled from the vocabulary's merges: each of its transitions is annotated with the change of the token count, and a
+pre-token's count is the sum of what it emits. Distinct pre-tokens are run once and remembered.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from quarry.llm.bpe import BLANK, LETTER, SPACE, char_facts, code_points, vocabulary
+from quarry.llm.bpe import BLANK, CHUNK_CHARS, SPACE, char_facts, code_points, encoded, vocabulary
 from quarry.llm.common import blocks, string_buffer
 
 CHUNK = 256
@@ -75,42 +75,43 @@ def symbols_of(cp: np.ndarray, new: np.ndarray) -> np.ndarray:
 
 
 def count_block(v, buf: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Tokens of each text of a buffer."""
+    """Tokens of each text of a buffer: the sums of what its pre-tokens' transitions emit."""
     n = np.zeros(len(off) - 1, np.int64)
     if len(buf):
         cp, at = code_points(buf)
         new = np.zeros(len(cp), bool)
         new[np.searchsorted(at, np.unique(off[:-1][off[1:] > off[:-1]]))] = True
         starts = at[scan(symbols_of(cp, new))]
-        slots = v.slots_of(buf, starts)  # may move v.n
-        total = np.append(0, np.cumsum(v.n[slots], dtype=np.int64))
+        slots = v.counted.slots_of(buf, starts)
+        total = np.append(0, np.cumsum(v.counted.n[slots], dtype=np.int64))
         n = np.diff(total[np.searchsorted(starts, off)])
     return n
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
+def count_column(column: pa.Array, path: str) -> np.ndarray:
+    v, n = vocabulary(path), []
+    buf, off = string_buffer(column)
+    for s, e in blocks(off):
+        part, at = buf[off[s] : off[e]], off[s : e + 1] - off[s]
+        data = part.tobytes() if v.special else b""
+        if not any(w in data for w in v.special):
+            n.extend(count_block(v, part, at).tolist())
+            continue
+        for x, y in zip(at[:-1], at[1:]):
+            cut = [np.frombuffer(z, np.uint8) if isinstance(z, bytes) else None for z in v.segments(data[x:y])]
+            n.append(sum(1 if z is None else int(count_block(v, z, np.array([0, len(z)]))[0]) for z in cut))
+    return np.array(n, np.int64)
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 512, chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) of every row of docs (doc_id, text; other columns are ignored).
 
     Null texts count as empty: 0 bytes, 0 tokens. A special token's string inside a text is that one token.
     """
 
-    def run(batches):
-        v = vocabulary(path)
-        for b in batches:
-            buf, off = string_buffer(b.column("text"))
-            n = []
-            for s, e in blocks(off):
-                part, at = buf[off[s] : off[e]], off[s : e + 1] - off[s]
-                data = part.tobytes() if v.special else b""
-                if not any(w in data for w in v.special):
-                    n.extend(count_block(v, part, at).tolist())
-                    continue
-                for x, y in zip(at[:-1], at[1:]):
-                    cut = [np.frombuffer(z, np.uint8) if isinstance(z, bytes) else None for z in v.segments(data[x:y])]
-                    n.append(sum(1 if z is None else int(count_block(v, z, np.array([0, len(z)]))[0]) for z in cut))
-            n = np.array(n, np.int64)
-            columns = [b.column("doc_id"), pa.array(np.diff(off)), pa.array(n), pa.array(n > limit)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    def emit(doc_ids, n_bytes, n, ids):
+        columns = [doc_ids, pa.array(n_bytes, pa.int64()), pa.array(n, pa.int64()), pa.array(n > limit)]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
+
+    schema = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
+    return encoded(docs, path, True, emit, schema, count=lambda column: count_column(column, path), chars=chars)

@@ -15,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from quarry.llm import ann, bpe, graphdedup, langid, minhash, packing, secrets, substring, tokencount, toxicity
-from quarry.llm.common import words
+from quarry.llm.common import HashKey, word_hashes, words
 from quarry.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -114,7 +114,8 @@ def test_sketches():
 
 
 def test_word_hashes_ignore_neighbours(spark):
-    hashes = lambda t: words(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+    key = HashKey()
+    hashes = lambda t: words(np.frombuffer(t, np.uint8), np.array([0, len(t)]), key)[0]
     long = b"q" * 1000
     alone, beside = hashes(b"some ordinary words"), hashes(b"some ordinary words " + long)
     assert (alone == beside[:3]).all() and hashes(long)[0] == beside[3] != hashes(b"q" * 999 + b"r")[0]
@@ -153,9 +154,57 @@ def test_boundaries_of_random_texts():
         for m in pattern.findall(t):
             want.append(at)
             at += len(m.encode())
-        assert bpe.chunked_starts(buf, off).tolist() == want
-        if len(t) < 100:
-            assert tokencount.count_block(v, buf, off)[0] == len(v.encode(buf, off)[0])
+        assert bpe.pretoken_starts(buf, off).tolist() == want
+        assert tokencount.count_block(v, buf, off)[0] == len(v.encode(buf, off)[0])
+
+
+@pytest.mark.parametrize("path", [JSON, RANKS])
+def test_merges_and_transducer(path):
+    rng, m = random.Random(9), bpe.vocabulary(path).merges
+    core = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=m.ids, special_tokens={})
+    tokens = [w.decode() for w in m.ids if w.isascii()]
+    texts = ["".join(rng.choices(tokens, k=rng.randrange(1, 6))) for _ in range(1500)] + ["é" * n for n in range(1, 30)]
+    texts += [c * rng.randrange(1, 60) for c in ("a", "ab", "aab", "=-", " ") for _ in range(20)] + ["".join(rng.choices("ABCDabcd01/+", k=600)) for _ in range(20)]
+    ids, bounds = m.encode([t.encode() for t in texts])
+    machine = bpe.vocabulary(path).transducer
+    for t, a, b in zip(texts, bounds[:-1], bounds[1:]):
+        want = core.encode_ordinary(t)
+        assert ids[a:b].tolist() == want == machine.tokens(t.encode()) and machine.count(t.encode()) == len(want)
+
+
+def test_pieces_that_share_a_hash():
+    v = bpe.Vocabulary(RANKS)
+    cache = v.encoded
+    one, two = b"SHAoqcdaAAAAAAAD", b"rYDDbSSsDYDHTFuY"
+    buf = np.frombuffer(one + two, np.uint8)
+    cache.key = type("Weak", (HashKey,), {})()
+    cache.key.halves[:], cache.key.ends[:] = 0, 0  # all spans of a kind collide
+    starts = np.array([0, len(one)])
+    slots = cache.slots_of(buf, starts)
+    got = [v.decode(cache.ids[cache.at[s] : cache.at[s] + cache.n[s]]) for s in slots]
+    assert got == [one, two]
+
+
+def test_long_texts_in_chunks(spark, documents):
+    odd = [(1, "it's don't 'll " * 300 + "x" * 500 + "<|endoftext|>" * 3 + " 　 é🙂" * 80 + "<|endoftext|>"), (2, "a" * 900), (3, " " * 700), (4, "'s'll've" * 99), (None, "one " * 300)]
+    docs = spark.createDataFrame(odd, "doc_id long, text string").union(documents.select("doc_id", "text"))
+    for a, b in ((bpe.encode_decode(docs, RANKS, chars=97), bpe.encode_decode(docs, RANKS)), (tokencount.count_tokens(docs, JSON, chars=101), tokencount.count_tokens(docs, JSON))):
+        assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+
+
+def test_keyed_hashes():
+    one, two = "#3ymobda!!_%_!!! one two", "n5sbgzbjfxz:co3x one two"
+    key = HashKey()
+    x, y = (next(minhash.text_sets(pa.array([t]), 3, key)) for t in (one, two))
+    assert x.tolist() != y.tolist()
+    t = np.frombuffer(b"ab  cd e " * 30, np.uint8)
+    import quarry.llm.common as common
+
+    old, common.STRETCH = common.STRETCH, 20
+    try:
+        assert (word_hashes(t, np.array([0, len(t)]), key)[0] == words(t, np.array([0, len(t)]), key)[0]).all()
+    finally:
+        common.STRETCH = old
 
 
 def test_token_counts(documents, empty):
