@@ -133,11 +133,8 @@ _WORD_BYTE[[0x20, *range(9, 14)]] = False
 STRETCH = 1 << 22
 
 
-def words(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words (runs of bytes other than space and 09-0D) of texts in one buffer.
-
-    Returns their hashes with A-Z folded, first bytes, byte lengths, and the number of words up to each text's start.
-    """
+def word_places(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and last bytes + 1 of the words (runs of bytes other than space and 09-0D) of texts in one buffer."""
     w = _WORD_BYTE[buf]
     start, end = w.copy(), w.copy()
     start[1:] &= ~w[:-1]
@@ -145,17 +142,25 @@ def words(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndarray, n
     heads = off[(off > 0) & (off < len(buf))]
     start[heads] = w[heads]
     end[heads - 1] = w[heads - 1]
-    first, last = np.flatnonzero(start), np.flatnonzero(end)
-    lengths = last + 1 - first
-    return span_hashes(_FOLD[buf], first, lengths, key), first, lengths, np.searchsorted(first, off)
+    return np.flatnonzero(start), np.flatnonzero(end) + 1
+
+
+def words(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts' words: hashes with A-Z folded, first bytes, byte lengths, and the number of words up to each text's start."""
+    first, end = word_places(buf, off)
+    return span_hashes(_FOLD[buf], first, end - first, key), first, end - first, np.searchsorted(first, off)
 
 
-def word_hashes(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndarray, np.ndarray]:
-    """The first and the last of words(), reading one very long text in stretches that end at a space."""
+def word_hashes(buf: np.ndarray, off: np.ndarray, key: HashKey, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of words(), and the number of words before each of `breaks` (the texts' bounds, if none are given).
+
+    One very long text is read in stretches that end at a space, so that only hashes are held for all of its words.
+    """
+    breaks = off if breaks is None else breaks
     if len(buf) <= STRETCH or len(off) > 2:
-        h, _, _, bounds = words(buf, off, key)
-        return h, bounds
-    parts, at = [], 0
+        h, first, _, _ = words(buf, off, key)
+        return h, np.searchsorted(first, breaks)
+    parts, counts, at, n = [], [], 0, 0
     while at < len(buf):
         stop = min(at + STRETCH, len(buf))
         while stop < len(buf):
@@ -164,10 +169,13 @@ def word_hashes(buf: np.ndarray, off: np.ndarray, key: HashKey) -> tuple[np.ndar
                 stop = at + int(gap[-1]) + 1
                 break
             stop = min(stop + STRETCH, len(buf))
-        parts.append(words(buf[at:stop], np.array([0, stop - at]), key)[0])
-        at = stop
-    h = np.concatenate(parts)
-    return h, np.array([0, len(h)])
+        h, first, _, _ = words(buf[at:stop], np.array([0, stop - at]), key)
+        inside = breaks[(breaks >= at) & (breaks < stop)]
+        counts.append(n + np.searchsorted(first, inside - at))
+        parts.append(h)
+        at, n = stop, n + len(h)
+    counts.append(np.full(int((breaks >= len(buf)).sum()), n))
+    return np.concatenate(parts), np.concatenate(counts)
 
 
 def run_hashes(h: np.ndarray, k: int, key: HashKey) -> np.ndarray:

@@ -209,18 +209,20 @@ def _cell_links(percent: int):
     return run
 
 
-def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS) -> DataFrame:
-    """(digest, component_id) of every class of items (id, n, digest, sketch) with equal, non-empty sets.
-
-    component_id is the smallest id reachable by links with 100 * intersection >= percent * union. Every pair that
-    shares a band is either in one component already or compared on full sets; a pair at 0.85 shares none with a
-    probability of 8e-6, one at 0.8 with 3e-4. Items that repeat an id with another set share its group; items with
-    null ids or empty sets take no part. rows: registers of a band.
-    """
+def classes_of(items: DataFrame) -> DataFrame:
+    """(digest, id, n, sketch) of each class of items with equal, non-empty sets; id is the least."""
     live = items.filter("id IS NOT NULL AND n > 0")
     # equal sets have equal sizes and sketches, so any of a class will do
-    classes = cut(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    reps, items = classes.select("digest", "id"), classes.select("id", "n", "sketch")
+    return cut(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+
+
+def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS) -> DataFrame:
+    """(id, component_id) of those of items (id, n, sketch), one for each class, that have links.
+
+    Links: 100 * intersection >= percent * union; component_id is the smallest id reachable. Every pair that
+    shares a band is either in one component already or compared on full sets; a pair at 0.85 shares none of 16 bands of
+    4 with a probability of 8e-6, one at 0.8 with 3e-4. rows: registers of a band.
+    """
     bands = _bands(items, rows)
     # the pivot is the least id under a scrambling of its own in every bucket
     low = F.min(F.col("id").bitwiseXOR(F.col("key")))
@@ -232,14 +234,13 @@ def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame
     # full sets only of those that a sketch leaves in question, or that share a bucket of three or more
     asked = stars.select(F.explode(F.array("a", "b")).alias("id")).union(members.filter("size > 2").select("id"))
     sets = cut(load_sets(asked.distinct()))
-    links = cut(_confirmed(stars, sets, percent))
-    first = components(links)
+    first = components(cut(_confirmed(stars, sets, percent)))
 
-    named = members.join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
+    named = members.filter("size > 2").join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
     main = F.max(F.when(F.col("id") == F.col("pivot"), F.col("comp"))).alias("main")
     mixed = named.groupBy("key").agg(main, F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = mixed.filter("lo <> hi").select("key", "main")
-    left = cut(named.filter("size > 2").join(mixed, "key").select("key", "id", "comp", "size", "pivot", "main"))
+    left = cut(named.join(mixed, "key").select("key", "id", "comp", "size", "pivot", "main"))
     small = left.filter((F.col("size") <= SMALL_BUCKET) & (F.col("id") != F.col("pivot")))
     x, y = (small.select("key", F.col("id").alias(i), F.col("comp").alias(c)) for i, c in (("x", "cx"), ("y", "cy")))
     near = x.join(y, "key").filter("x < y AND cx <> cy").select(*pair).distinct()
@@ -256,8 +257,27 @@ def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame
     near_side = large.join(there, "key").select("key", "id", "comp", "i", F.lit(1).alias("side"), F.col("block").alias("j"))
     cells = far.select("key", "id", "comp", "i", "side", "j").union(near_side).join(sets, "id")
     dense = cells.groupBy("key", "i", "j").applyInPandas(_cell_links(percent), "a long, b long")
-    groups = components(links.union(found).union(dense))
-    out = reps.join(groups, "id", "left")
+    more = cut(found.union(dense))
+    if more.isEmpty():
+        return first
+    # the further links join components, which are fewer than their members
+    comp = lambda c: first.select(F.col("id").alias(c), F.col("component_id").alias(f"of_{c}"))
+    joins = more.join(comp("a"), "a", "left").join(comp("b"), "b", "left")
+    joins = joins.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    second = components(joins)
+    over = second.select(F.col("id").alias("component_id"), F.col("component_id").alias("over"))
+    inner = first.join(over, "component_id", "left").select("id", F.coalesce("over", "component_id").alias("component_id"))
+    return inner.union(second.join(first, "id", "left_anti").select("id", "component_id"))
+
+
+def similar_classes(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS) -> DataFrame:
+    """(digest, component_id) of every class of items (id, n, digest, sketch) with equal, non-empty sets.
+
+    Items that repeat an id with another set share its group; items with null ids or empty sets take no part.
+    """
+    classes = classes_of(items)
+    groups = linked(classes.select("id", "n", "sketch"), load_sets, percent, rows)
+    out = classes.select("digest", "id").join(groups, "id", "left")
     return out.select("digest", F.coalesce("component_id", "id").alias("component_id"))
 
 

@@ -31,7 +31,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring.repeated_passages(_table(spark, sf_dir, "documents")).drop("first_byte", "last_byte", "digest")
+    return substring.repeated_passages(_table(spark, sf_dir, "documents"))
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

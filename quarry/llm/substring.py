@@ -1,96 +1,51 @@
-"""Repeated passages: paragraphs of different documents with equal or nearly equal words.
+"""Repeated passages: stretches of words of different documents that are equal or nearly so.
 
-A paragraph is a line with at least MIN_WORDS words. Bands of SetSketch registers over its 5-word shingles, tuned for
-recall, bring paragraphs together; exact Jaccard similarities confirm them; components are clusters, and all but the
-first paragraph of a cluster (by doc_id and place) are removed.
+A paragraph is a line, with the lines after it as long as it has fewer than MIN_WORDS words. Bands of SetSketch registers
+over its 5-word shingles, tuned for recall, bring paragraphs together; exact Jaccard similarities confirm them;
+components are clusters, and all but the first paragraph of a cluster (by doc_id and place) are removed.
 
-Passages inside or across lines: runs of MIN_WORDS words are anchors where their hash is the least of any WINDOW runs in
-a row, so equal stretches of MIN_WORDS + WINDOW - 1 = 49 words share an anchor wherever they begin. All but the first
-place of an anchor are copies; copies that touch are one passage, drawn out at its ends as far as the words go on equal.
+Passages inside or across paragraphs: a run of RUN words is an anchor where its hash is the least of WINDOW runs in a
+row, so equal stretches of RUN + WINDOW - 1 = 49 words share an anchor wherever they begin. All but the first place of an
+anchor are copies; copies that touch are one passage, confirmed word by word and drawn out at its ends as far as the words
+go on equal, which gives the longest common stretch.
+
+Places are counted in words of the text: passages don't depend on white space or on the case of A-Z.
 """
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HashKey, blocks, cut, run_hashes, shingle_sets, string_buffer, words
-from quarry.llm.minhash import items_of, similar_classes
+from quarry.llm.common import HashKey, blocks, cut, run_hashes, shingle_sets, string_buffer, word_hashes, word_places
+from quarry.llm.minhash import linked, sketch
 
+#: The least words of a passage.
 MIN_WORDS = 25
-#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of eleven with a probability of 0.9996.
-BANDS, ROWS = 11, 3
-#: Runs of words of which the one with the least hash is an anchor.
-WINDOW = 25
-
-
-def _lines(buf: np.ndarray, off: np.ndarray, min_words: int, k: int, key: HashKey):
-    """Of texts back to back: for each paragraph its text's number, first and last byte + 1 in buf, words and shingle set."""
-    cut_at = np.unique(np.concatenate([np.flatnonzero(buf == 10) + 1, off]))
-    h, _, _, bounds = words(buf, cut_at, key)
-    n = np.diff(bounds)
-    which = np.flatnonzero(n >= min_words)
-    if not len(which):
-        return
-    sets = shingle_sets(h, bounds, k, key)
-    text = np.searchsorted(off, cut_at[:-1], side="right") - 1
-    for i, s in enumerate(sets):
-        if n[i] >= min_words:
-            yield int(text[i]), int(cut_at[i]), int(cut_at[i + 1]), int(n[i]), s
+#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of seven with a probability of 0.9992.
+BANDS, ROWS = 7, 2
+#: Words of an anchor, and runs of which the one with the least hash is one.
+RUN, WINDOW = 16, 34
 
+_PARAGRAPH = np.dtype([("at", "<i4"), ("n", "<i4"), ("size", "<i4"), ("digest", "V16"), ("sketch", f"V{2 * BANDS * ROWS}")])
+_ANCHOR = np.dtype([("h", "<i8"), ("at", "<i4")])
 
-PARAGRAPHS = "doc_id long, first_byte long, last_byte long, start long, end long, n_words long, n long, digest binary, sketch binary"
 
+def _digest(members: np.ndarray) -> bytes:
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
-def paragraphs(docs: DataFrame, key: HashKey, min_words: int = MIN_WORDS, k: int = 5) -> DataFrame:
-    """The paragraphs of docs (doc_id, text): bytes [first_byte, last_byte) with the line's end, code points [start, end)."""
-
-    def run(batches):
-        for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            buf, off = string_buffer(b.column("text"))
-            for s, e in blocks(off):
-                part, at = buf[off[s] : off[e]], off[s : e + 1] - off[s]
-                found = list(_lines(part, at, min_words, k, key))
-                if not found:
-                    continue
-                text, first, last, n, sets = zip(*found)
-                text, first, last = np.array(text), np.array(first), np.array(last)
-                chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
-                items = items_of(iter(sets), pa.array(np.zeros(len(n), np.int64)), BANDS * ROWS)
-                columns = [ids[s + text], first - at[text], last - at[text], chars[first] - chars[at[text]], chars[last] - chars[at[text]], n]
-                arrays = [pa.array(x, pa.int64()) for x in columns] + items.columns[1:]
-                yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in PARAGRAPHS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, PARAGRAPHS)
-
-
-def _load_sets(docs: DataFrame, found: DataFrame, k: int, key: HashKey):
-    def run(batches):
-        for b in batches:
-            ids, sets = [], []
-            buf, off = string_buffer(b.column("text"))
-            for i, wanted in enumerate(b.column("wanted").to_pylist()):
-                for w in wanted:
-                    part = buf[off[i] + w["first_byte"] : off[i] + w["last_byte"]]
-                    h, _, _, bounds = words(part, np.array([0, len(part)]), key)
-                    s = next(shingle_sets(h, bounds, k, key)).tobytes()
-                    if hashlib.blake2b(s, digest_size=16).digest() == w["digest"]:  # not the row of another text with this doc_id
-                        ids.append(w["id"])
-                        sets.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "members"])
-
-    def load(ids: DataFrame) -> DataFrame:
-        # a repeated row gives a paragraph's set again, which no later step minds
-        wanted = found.join(ids, "id", "left_semi").groupBy("doc_id").agg(
-            F.collect_list(F.struct("id", "first_byte", "last_byte", "digest")).alias("wanted")
-        )
-        return docs.join(wanted, "doc_id").select("text", "wanted").mapInArrow(run, "id long, members binary")
-
-    return load
+def _joined(line_at: np.ndarray, least: int) -> np.ndarray:
+    """Word numbers at which a text's paragraphs begin, and the last one's end, given those of its lines."""
+    out, end = [int(line_at[0])], int(line_at[-1])
+    for a in np.unique(line_at).tolist():
+        if a - out[-1] >= least:
+            out.append(a)
+    if end > out[-1]:  # the rest is too short to stand alone
+        out[max(len(out) - 1, 1) :] = [end]
+    return np.array(out)
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -102,7 +57,7 @@ def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
     return x
 
 
-def _chosen(g: np.ndarray, k: int) -> np.ndarray:
+def _chosen(g: np.ndarray) -> np.ndarray:
     """Places of the anchors among a text's run hashes; of equal runs that overlap each other, the first."""
     width = min(WINDOW, len(g))
     low = _slide(g, width, True)
@@ -111,197 +66,268 @@ def _chosen(g: np.ndarray, k: int) -> np.ndarray:
     if len(np.unique(g[at])) < len(at):
         last, keep = {}, []
         for p, x in zip(at.tolist(), g[at].tolist()):
-            if p - last.get(x, -k) >= k:
+            if p - last.get(x, -RUN) >= RUN:
                 last[x] = p
                 keep.append(p)
         at = np.array(keep, np.int64)
     return at
 
 
-def _anchors(texts: DataFrame, k: int, key: HashKey) -> DataFrame:
-    """(h, doc_id, at): hash and first word of each anchor of k words."""
+def _units(texts: DataFrame, key: HashKey, min_words: int, k: int) -> DataFrame:
+    """(doc_id, anchors, paragraphs) of every text, both packed: one reading of the texts serves both."""
 
     def run(batches):
         for b in batches:
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+            anchors, paragraphs = [], []
             buf, off = string_buffer(b.column("text"))
             for s, e in blocks(off):
-                h, _, _, bounds = words(buf[off[s] : off[e]], off[s : e + 1] - off[s], key)
-                if len(h) < k:
-                    continue
-                g, out = run_hashes(h, k, key), []
-                for i, (x, y) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-                    if y - x >= k:
-                        part = g[x : y - k + 1]
-                        at = _chosen(part, k)
-                        out.append((part[at].view(np.int64), np.full(len(at), ids[s + i]), at.astype(np.int32)))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out)], ["h", "doc_id", "at"])
+                part, at = buf[off[s] : off[e]], off[s : e + 1] - off[s]
+                breaks = np.unique(np.concatenate([np.flatnonzero(part == 10) + 1, at]))
+                h, counts = word_hashes(part, at, key, breaks)
+                g = run_hashes(h, RUN, key) if len(h) >= RUN else h[:0]
+                bound = np.searchsorted(breaks, at)
+                for i in range(e - s):
+                    x, y = int(counts[bound[i]]), int(counts[bound[i + 1]])
+                    found = np.zeros(0, _ANCHOR)
+                    if y - x >= RUN:
+                        runs = g[x : y - RUN + 1]
+                        chosen = _chosen(runs)
+                        found = np.zeros(len(chosen), _ANCHOR)
+                        found["h"], found["at"] = runs[chosen].view(np.int64), chosen
+                    anchors.append(found.tobytes())
+                    if y - x < min_words:
+                        paragraphs.append(b"")
+                        continue
+                    cuts = _joined(counts[bound[i] : bound[i + 1] + 1], min_words)
+                    found = np.zeros(len(cuts) - 1, _PARAGRAPH)
+                    found["at"], found["n"] = cuts[:-1] - x, np.diff(cuts)
+                    for j, members in enumerate(shingle_sets(h, cuts, k, key)):
+                        row = found[j : j + 1]
+                        row["size"], row["digest"], row["sketch"] = len(members), _digest(members), sketch(members, BANDS * ROWS).tobytes()
+                    paragraphs.append(found.tobytes())
+            columns = [b.column("doc_id"), pa.array(anchors, pa.binary()), pa.array(paragraphs, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "anchors", "paragraphs"])
+
+    return texts.mapInArrow(run, "doc_id long, anchors binary, paragraphs binary")
+
+
+def _unpacked(units: DataFrame, column: str, kind: np.dtype, schema: str) -> DataFrame:
+    """doc_id and the fields of the packed records of a column."""
+
+    def run(batches):
+        for b in batches:
+            packed = b.column(column).to_pylist()
+            rows = np.frombuffer(b"".join(packed), kind)
+            ids = np.repeat(b.column("doc_id").to_numpy(), [len(p) // kind.itemsize for p in packed])
+            fields = [pa.array(np.ascontiguousarray(rows[f])) if kind[f].kind == "i" else pa.array([x.tobytes() for x in rows[f]], pa.binary()) for f in kind.names]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *fields], ["doc_id", *kind.names])
+
+    return units.select("doc_id", column).mapInArrow(run, schema)
+
+
+EDGES = "h long, doc_id long, at int, left boolean, right boolean, n_copies long, head_id long, head_at int"
+
 
-    return texts.mapInArrow(run, "h long, doc_id long, at int")
+def _edges(anchors: DataFrame) -> DataFrame:
+    """EDGES of the copies at which a stretch of copies begins (left) or ends (right)."""
+    often = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    places = anchors.join(often, "h", "left_semi")
+    heads = places.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "at")).alias("head"), F.max(F.struct("doc_id", "at")).alias("tail"))
+    copies = places.join(heads.filter("head <> tail"), "h").filter("doc_id <> head.doc_id OR at <> head.at")
+    copies = copies.select("h", "doc_id", "at", "n_copies", F.col("head.doc_id").alias("head_id"), F.col("head.at").alias("head_at"))
+    w = Window.partitionBy("doc_id").orderBy("at")  # one document's
 
+    def parted(other):
+        """From the copy before or after: neither overlaps it nor, among WINDOW words, goes on at the same first place."""
+        gap = F.abs(other("at") - F.col("at"))
+        same = (other("head_id") == F.col("head_id")) & (other("head_at") - F.col("head_at") == other("at") - F.col("at"))
+        return F.coalesce(~((gap <= RUN) | ((gap <= WINDOW) & same)), F.lit(True))
 
-EDGES = "h long, doc_id long, at int, left boolean, right boolean, n_copies long, head_id long"
-ENDS = "first_byte long, last_byte long, start long, end long, word long, end_word long"
+    copies = copies.withColumn("left", parted(lambda c: F.lag(c).over(w))).withColumn("right", parted(lambda c: F.lead(c).over(w)))
+    copies = copies.select(*[c.split()[0] for c in EDGES.split(", ")])
+    return cut(copies.filter("left OR right"))
 
 
-def _surroundings(held: DataFrame, k: int, key: HashKey) -> DataFrame:
-    """EDGES, low, around of held (text, wanted): hashes, places in bytes and in code points of the WINDOW - 1 words on each side, from word `low`.
+def _looked_up(texts: DataFrame, wanted: DataFrame, k: int, key: HashKey) -> DataFrame:
+    """What wanted asks of the texts: EDGES with low and around, the hashes of the words near an anchor, and id with the
+    members of a paragraph's set. One shuffle of the texts serves both.
 
-    around is packed: 32 bits of each hash, then firsts and last + 1 of these words and of the anchor's two outer ones.
+    wanted: doc_id, at, n (words of a paragraph, null for an anchor), digest (16 bytes that it must have), id and EDGES.
     """
     names = [c.split()[0] for c in EDGES.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
+    types = [kinds[c.split()[1]] for c in EDGES.split(", ")] + [pa.int32(), pa.binary(), pa.int64()]
 
     def run(batches):
         for b in batches:
-            rows = []
             buf, off = string_buffer(b.column("text"))
             for i, wanted in enumerate(b.column("wanted").to_pylist()):
+                rows = []
                 part = buf[off[i] : off[i + 1]]
-                h, first, size, _ = words(part, np.array([0, len(part)]), key)
-                chars = np.append(0, np.cumsum((part & 0xC0) != 0x80))
-                table = np.array([first, chars[first], first + size, chars[first + size]])
+                h, _ = word_hashes(part, np.array([0, len(part)]), key)
                 for w in wanted:
-                    at = w["at"]
-                    if at + k <= len(h) and int(run_hashes(h[at : at + k], k, key).view(np.int64)[0]) == w["h"]:  # else the row of another text with this doc_id
-                        low, high = max(0, at - WINDOW + 1), at + k + WINDOW - 1
-                        near = np.append(h[low:at], h[at + k : high]).astype("<u4")
-                        place = np.append(table[:, low : at + 1], table[:, at + k - 1 : high], axis=1)
-                        packed = zlib.compress(near.tobytes() + np.diff(place, axis=1, prepend=0).astype("<i8").tobytes(), 1)
-                        rows.append([w[n] for n in names] + [low, packed])
-            types = [{"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]] for c in EDGES.split(", ")] + [pa.int32(), pa.binary()]
-            columns = zip(*rows) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*names, "low", "around"])
-
-    return held.mapInArrow(run, f"{EDGES}, low int, around binary")
-
-
-def _unpack(around: bytes, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes of the words on the left and on the right, and the places."""
-    raw = zlib.decompress(around)
-    n = (len(raw) - 64) // 36  # 4 bytes of hash and 32 of places a word, and places of two words more
-    near = np.frombuffer(raw, "<u4", n)
-    return near[:left], near[left:], np.cumsum(np.frombuffer(raw, "<i8", offset=4 * n).reshape(4, -1), axis=1)
-
-
-def _drawn_out(edges: DataFrame, k: int) -> DataFrame:
-    """EDGES with ENDS of the copy and, prefixed head_, of its first place: as far as the words on both sides go on equal."""
-    kept, names = [c.split()[0] for c in EDGES.split(", ")], [c.split()[0] for c in ENDS.split(", ")]
+                    # what doesn't fit is the row of another text with this doc_id
+                    at, n = w["at"], w["n"]
+                    if n is not None:
+                        if at + n <= len(h):
+                            members = next(shingle_sets(h[at : at + n], np.array([0, n]), k, key))
+                            if _digest(members) == w["digest"]:
+                                rows.append([None] * len(names) + [None, members.tobytes(), w["id"]])
+                    elif at + RUN <= len(h) and int(run_hashes(h[at : at + RUN], RUN, key).view(np.int64)[0]) == w["h"]:
+                        low = max(0, at - WINDOW - RUN)
+                        rows.append([w[c] for c in names] + [low, h[low : at + 2 * RUN + WINDOW].astype("<u4").tobytes(), None])
+                columns = zip(*rows) if rows else [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*names, "low", "blob", "id"])
+
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("n", "digest", "id", *names)).alias("wanted"))
+    held = texts.join(asked, "doc_id").select("text", "wanted")
+    return cut(held.mapInArrow(run, f"{EDGES}, low int, blob binary, id long"))
+
+
+def _drawn_out(pairs: DataFrame) -> DataFrame:
+    """EDGES with word and end_word of the copy, and head_word and head_end_word at its first place: as far as the words on
+    both sides go on equal. Pairs whose anchors' words differ are dropped."""
+    kept = [c.split()[0] for c in EDGES.split(", ")]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for r in b.select(["at", "low", "around", "head_at", "head_low", "head_around"]).to_pylist():
+            rows, stay = [], []
+            for r in b.select(["at", "low", "blob", "head_at", "head_low", "head_blob"]).to_pylist():
+                x, y = np.frombuffer(r["blob"], "<u4"), np.frombuffer(r["head_blob"], "<u4")
                 i, j = r["at"] - r["low"], r["head_at"] - r["head_low"]
-                (before, after, x), (head_before, head_after, y) = _unpack(r["around"], i), _unpack(r["head_around"], j)
+                ok = bool((x[i : i + RUN] == y[j : j + RUN]).all())
+                stay.append(ok)
+                if not ok:
+                    continue
                 n = min(i, j)
-                differ = np.flatnonzero(before[i - n :] != head_before[j - n :])
+                differ = np.flatnonzero(x[i - n : i] != y[j - n : j])
                 left = n - 1 - int(differ[-1]) if len(differ) else n
-                n = min(len(after), len(head_after))
-                differ = np.flatnonzero(after[:n] != head_after[:n])
-                right = int(differ[0]) if len(differ) else n
-                row = []
-                for t, m, at in ((x, i, r["at"]), (y, j, r["head_at"])):
-                    a, z = m - left, m + 1 + right
-                    row += [t[0, a], t[2, z], t[1, a], t[3, z], at - left, at + k + right]
-                rows.append(row)
-            columns = zip(*rows) if rows else [[]] * 12
-            arrays = b.select(kept).columns + [pa.array(np.array(c, np.int64)) for c in columns]
-            yield pa.RecordBatch.from_arrays(arrays, [*kept, *names, *("head_" + n for n in names)])
+                x, y = x[i + RUN :], y[j + RUN :]
+                n = min(len(x), len(y))
+                differ = np.flatnonzero(x[:n] != y[:n])
+                right = RUN + (int(differ[0]) if len(differ) else n)
+                rows.append([r["at"] - left, r["at"] + right, r["head_at"] - left, r["head_at"] + right])
+            arrays = b.select(kept).filter(pa.array(stay, pa.bool_())).columns
+            arrays = [*arrays, *(pa.array(np.array(c, np.int32)) for c in (zip(*rows) if rows else [[]] * 4))]
+            yield pa.RecordBatch.from_arrays(arrays, [*kept, "word", "end_word", "head_word", "head_end_word"])
 
-    return edges.mapInArrow(run, f"{EDGES}, {ENDS}, {', '.join('head_' + c for c in ENDS.split(', '))}")
+    return pairs.mapInArrow(run, f"{EDGES}, word int, end_word int, head_word int, head_end_word int")
 
 
-def inner_passages(texts: DataFrame, k: int, key: HashKey) -> DataFrame:
-    """The columns of repeated_passages of stretches of words that other places repeat, wherever lines begin or end; no digest.
+PASSAGE = ["doc_id", "first_word", "end_word", "first_doc_id", "first_place", "n_copies", "kept"]
 
-    A first place has one row; where a passage goes on from another first place, that row ends before it.
-    """
-    often = _anchors(texts, k, key).groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = cut(_anchors(texts, k, key).join(often, "h", "left_semi").dropDuplicates(["h", "doc_id", "at"]))
-    heads = places.groupBy("h").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "at")).alias("head")).filter("n_copies > 1")
-    copies = places.join(heads, "h").filter("doc_id <> head.doc_id OR at <> head.at")
-    w = Window.partitionBy("doc_id").orderBy("at")
-    copies = copies.withColumn("left", F.coalesce(F.col("at") - F.lag("at").over(w) > k, F.lit(True)))
-    copies = copies.withColumn("right", F.coalesce(F.lead("at").over(w) - F.col("at") > k, F.lit(True)))
-    copies = copies.select("h", "doc_id", "at", "left", "right", "n_copies", F.col("head.doc_id").alias("head_id"), F.col("head.at").alias("head_at"))
-    edges = cut(copies.filter("left OR right"))
-    none = [F.lit(None).cast("boolean").alias("left"), F.lit(None).cast("boolean").alias("right"), F.lit(None).cast("long").alias("n_copies")]
-    heads = edges.select("h", F.col("head_id").alias("doc_id"), F.col("head_at").alias("at"), *none, F.col("head_id")).distinct()
-    names = [c.split()[0] for c in EDGES.split(", ")]
-    wanted = edges.select(names).union(heads).groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("wanted"))
-    around = _surroundings(texts.join(wanted, "doc_id").select("text", "wanted"), k, key)
-    other = around.filter("left IS NULL").select("h", F.col("at").alias("head_at"), F.col("low").alias("head_low"), F.col("around").alias("head_around"))
-    ends = _drawn_out(around.filter("left IS NOT NULL").join(other.dropDuplicates(["h"]), "h"), k).dropDuplicates(["doc_id", "at"])
+
+def _stretches(around: DataFrame, min_words: int) -> DataFrame:
+    """PASSAGE of stretches that other places repeat, wherever lines begin or end. A first place has one row; where a
+    passage goes on from another first place, that row ends before it."""
+    heads = around.filter("left IS NULL").select("h", F.col("low").alias("head_low"), F.col("blob").alias("head_blob")).dropDuplicates(["h"])
+    ends = _drawn_out(around.filter("left IS NOT NULL").drop("id").join(heads, "h")).dropDuplicates(["doc_id", "at"])
     # a passage is a left edge and the next right edge
+    w = Window.partitionBy("doc_id").orderBy("at")
     z = F.first(F.when(F.col("right"), F.struct(*ends.columns)), ignorenulls=True).over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    spans = cut(ends.withColumn("z", z).filter("left AND z IS NOT NULL"))
-    out = spans.select(
-        "doc_id", "start", "z.end", (F.col("z.end_word") - F.col("word")).alias("n_words"), F.col("head_id").alias("first_doc_id"),
-        F.col("head_start").alias("first_start"), "n_copies", F.lit(False).alias("kept"), "first_byte", "z.last_byte",
-    )
+    spans = ends.withColumn("z", z).filter("left AND z IS NOT NULL").filter(F.col("z.end_word") - F.col("word") >= min_words)
     same = (F.col("z.head_id") == F.col("head_id")) & (F.col("z.head_word") - F.col("head_word") == F.col("z.word") - F.col("word"))
-    last = F.when(same | (F.col("z.at") == F.col("at")), F.struct("z.head_end", "z.head_end_word", "z.head_last_byte"))
-    last = F.coalesce(last, F.struct("head_end", "head_end_word", "head_last_byte"))
-    firsts = spans.withColumn("last", last).groupBy("head_id", "head_start", "head_word", "head_first_byte")
-    firsts = firsts.agg(F.max("last").alias("last"), F.max("n_copies").alias("n_copies")).select(
-        F.col("head_id").alias("doc_id"), F.col("head_start").alias("start"), F.col("last.head_end").alias("end"),
-        (F.col("last.head_end_word") - F.col("head_word")).alias("n_words"), F.col("head_id").alias("first_doc_id"), F.col("head_start").alias("first_start"),
-        "n_copies", F.lit(True).alias("kept"), F.col("head_first_byte").alias("first_byte"), F.col("last.head_last_byte").alias("last_byte"),
-    )
+    last = F.when(same | (F.col("z.at") == F.col("at")), F.col("z.head_end_word")).otherwise(F.col("head_end_word"))
+    spans = cut(spans.withColumn("head_last", last))
+    out = spans.select("doc_id", F.col("word").alias("first_word"), "z.end_word", F.col("head_id").alias("first_doc_id"), F.col("head_word").alias("first_place"), "n_copies", F.lit(False).alias("kept"))
+    firsts = spans.groupBy("head_id", "head_word").agg(F.max("head_last").alias("end_word"), F.max("n_copies").alias("n_copies"))
+    firsts = firsts.select(F.col("head_id").alias("doc_id"), F.col("head_word").alias("first_word"), "end_word", F.col("head_id").alias("first_doc_id"), F.col("head_word").alias("first_place"), "n_copies", F.lit(True).alias("kept"))
     return out.unionByName(firsts)
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id, first_start, n_copies, kept, first_byte, last_byte) of passages with copies.
+    """(doc_id, first_word, end_word, first_doc_id, first_place, n_copies, kept) of passages with copies.
 
-    start and end are code points of the text, a paragraph's with the line's end; kept marks the first place of a cluster.
-    Passages that paragraphs tell of already have no row of their own. What has no copies, and so most documents, has no row. Null and empty texts have no paragraphs; rows without a
-    doc_id take no part; a repeated row's paragraphs count once.
+    Words are numbered from 0 in each text, [first_word, end_word). first_doc_id and first_place tell where the passage
+    comes first, by doc_id and place; kept marks that place. n_copies: places, those of repeated rows too. Passages inside
+    a paragraph that has a row need none of their own. What has no copies, and so most documents, has no row.
+    Null and empty texts, and texts with fewer words than min_words, have no passages; rows without a doc_id take no part.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     texts = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     key = HashKey()
-    found = cut(paragraphs(texts, key, min_words, k).withColumn("id", F.monotonically_increasing_id()))
-    groups = cut(similar_classes(found.select("id", "n", "digest", "sketch"), _load_sets(texts, found, k, key), percent, ROWS))
-    # most clusters are one paragraph: sizes come from counts by digest, and only the others' paragraphs go on
-    sizes = found.groupBy("digest").agg(F.count("*").alias("copies")).join(groups, "digest")
-    many = sizes.groupBy("component_id").agg(F.sum("copies").alias("all")).filter("all > 1").select("component_id")
-    wanted = cut(groups.join(many, "component_id", "left_semi"))
-    named = found.drop("sketch", "n").join(wanted, "digest").dropDuplicates(["doc_id", "first_byte", "digest"])
-    named = cut(named)
-    sums = named.groupBy("component_id").agg(F.count("*").alias("n_copies"), F.min(F.struct("doc_id", "start")).alias("head")).filter("n_copies > 1")
-    out = named.join(sums, "component_id")
-    kept = (F.col("doc_id") == F.col("head.doc_id")) & (F.col("start") == F.col("head.start"))
+    units = cut(_units(texts, key, min_words, k))
+    edges = _edges(_unpacked(units, "anchors", _ANCHOR, "doc_id long, h long, at int"))
+    none = lambda kind: F.lit(None).cast(kind)
+    places = edges.select(
+        "h", F.col("head_id").alias("doc_id"), F.col("head_at").alias("at"), none("boolean").alias("left"), none("boolean").alias("right"), none("long").alias("n_copies"),
+        "head_id", "head_at",
+    ).distinct().unionByName(edges)
+    places = places.select("*", none("int").alias("n"), none("binary").alias("digest"), none("long").alias("id"))
+
+    found = _unpacked(units, "paragraphs", _PARAGRAPH, "doc_id long, at int, n int, size int, digest binary, sketch binary")
+    head = F.min(F.struct("doc_id", "at", "n"))
+    classes = found.groupBy("digest").agg(F.count("*").alias("copies"), head.alias("head"), F.first("size").cast("long").alias("n"), F.first("sketch").alias("sketch"))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    loaded = []
+
+    def load(ids: DataFrame) -> DataFrame:
+        sets = classes.join(ids, "id", "left_semi").select("id", "digest", "head.doc_id", "head.at", "head.n")
+        loaded.append(_looked_up(texts, places.unionByName(sets, allowMissingColumns=True), k, key))
+        return loaded[0].filter("id IS NOT NULL").select("id", F.col("blob").alias("members")).dropDuplicates(["id"])
+
+    groups = linked(classes.select("id", "n", "sketch"), load, percent, ROWS)
+    # a cluster is several classes, or one with copies
+    of = classes.select("id", "digest", "copies", "head").join(groups, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
+    sums = of.groupBy("component_id").agg(F.sum("copies").alias("n_copies"), F.min("head").alias("first"))
+    named = cut(of.filter("copies > 1 OR id <> component_id").select("component_id").distinct().join(sums, "component_id").join(of.select("component_id", "digest"), "component_id"))
+    out = found.select("doc_id", "at", "n", "digest").join(named, "digest").dropDuplicates(["doc_id", "at", "digest"])
+    kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
     out = out.select(
-        "doc_id", "start", "end", "n_words", F.col("head.doc_id").alias("first_doc_id"), F.col("head.start").alias("first_start"),
-        "n_copies", kept.alias("kept"), "first_byte", "last_byte", "digest",
+        "doc_id", F.col("at").alias("first_word"), (F.col("at") + F.col("n")).alias("end_word"), F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_place"),
+        "n_copies", kept.alias("kept"),
     )
-    out = cut(out)
-    over = out.select(F.col("doc_id").alias("of"), F.col("first_byte").alias("from"), F.col("last_byte").alias("to"), F.col("kept").alias("stays"))
-    inner, within = inner_passages(texts, min_words, key), F.expr("doc_id = of AND first_byte >= from AND last_byte <= to AND (kept OR NOT stays)")
-    return out.unionByName(inner.join(over, within, "left_anti"), allowMissingColumns=True)
+    # a repeated row alone is no copy
+    single = out.groupBy("first_doc_id", "first_place").agg(F.max(~F.col("kept")).alias("more")).filter("more").drop("more")
+    out = cut(out.join(single, ["first_doc_id", "first_place"], "left_semi").select(*PASSAGE))
+    over = out.select(F.col("doc_id").alias("of"), F.col("first_word").alias("from"), F.col("end_word").alias("to"), F.col("kept").alias("stays"))
+    within = F.expr("doc_id = of AND first_word >= from AND end_word <= to AND (kept OR NOT stays)")
+    inner = _stretches(loaded[0].filter("id IS NULL"), min_words)
+    return out.unionByName(inner.join(over, within, "left_anti"))
 
 
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the removed paragraphs of their texts; every row stays, if need be with an empty text."""
+    """docs without the removed passages of their texts; every row stays, if need be with an empty text.
+
+    A passage goes from its first word to the end of its last; a line that it fills goes with its end.
+    """
     gone = repeated_passages(docs, min_words, k, percent).filter("NOT kept")
-    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("first_byte", "last_byte", "n_words")).alias("__gone"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list(F.struct("first_word", "end_word")).alias("gone"))
     names = docs.schema.names
-    joined = docs.withColumn("__id", F.col("doc_id").cast("long")).join(gone.withColumnRenamed("doc_id", "__id"), "__id", "left")
+    # the other columns stay together under one name, whatever theirs are
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
+    held = docs.select(rest, F.col("doc_id").cast("long").alias("of"), F.col("text").cast("string").alias("text"))
+    joined = held.join(gone.withColumnRenamed("doc_id", "of"), "of", "left")
 
     def run(batches):
         for b in batches:
             text = b.column("text").to_pylist()
-            for i, spans in enumerate(b.column("__gone").to_pylist()):
+            for i, spans in enumerate(b.column("gone").to_pylist()):
                 if spans and text[i] is not None:
-                    raw, out, at = text[i].encode(), [], 0
-                    for s in sorted(spans, key=lambda s: s["first_byte"]):
-                        out.append(raw[at : s["first_byte"]])
-                        at = max(at, s["last_byte"])
-                    text[i] = b"".join([*out, raw[at:]]).decode("utf-8", "replace")
-            k = b.schema.get_field_index("text")
-            yield b.set_column(k, "text", pa.array(text, pa.string())).drop_columns(["__gone"])
-
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.select(*[F.col(f"`{c}`") for c in names], "__gone").mapInArrow(run, kept)
+                    text[i] = _without(text[i].encode(), [(s["first_word"], s["end_word"]) for s in spans]).decode("utf-8", "replace")
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(text, pa.string())], ["row", "text"])
+
+    kind = held.schema["row"].dataType.simpleString()
+    out = joined.select("row", "text", "gone").mapInArrow(run, f"row {kind}, text string")
+    return out.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names])
+
+
+def _without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """A text without spans of its words."""
+    buf = np.frombuffer(raw, np.uint8)
+    first, end = word_places(buf, np.array([0, len(buf)]))
+    out, at = [], 0
+    for a, z in sorted(spans):
+        if z > len(first):
+            continue  # another text's
+        start, stop = int(first[a]), int(end[z - 1])
+        after = stop
+        while after < len(raw) and raw[after] in b" \t\r":
+            after += 1
+        line = raw.rfind(b"\n", 0, start) + 1
+        if not raw[line:start].strip() and (after == len(raw) or raw[after] == 10):
+            stop = min(after + 1, len(raw))
+        if start > at:
+            out.append(raw[at:start])
+        at = max(at, stop)
+    return b"".join([*out, raw[at:]])

@@ -312,22 +312,34 @@ def test_near_duplicate_vectors(vectors):
     assert graphdedup.near_duplicate_vectors(vectors.limit(0)).count() == 0
 
 
+def _span(text, r):
+    return text.split()[r.first_word : r.end_word]
+
+
 def test_repeated_passages(spark, empty):
     rng = random.Random(8)
     line = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
     shared = line(60)
-    near = shared.replace(shared.split()[30], "other")
+    near = shared.replace(shared.split()[50], "other")
     rows = [(i, f"{line(40)}\n{shared if i % 2 else near}\n{line(30)} é") for i in range(10)]
     rows += [(20, f"{line(50)}\n{line(50)}"), (21, None), (22, ""), (None, shared), (1, rows[1][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = substring.repeated_passages(docs).collect()
-    assert {r.doc_id for r in got} == set(range(10)) and [r.doc_id for r in got if r.kept] == [0]
-    text = dict(rows)
-    assert all(text[r.doc_id][r.start : r.end].rstrip("\n") in (shared, near) for r in got)
+    got, text = substring.repeated_passages(docs).collect(), dict(rows)
+    assert {r.doc_id for r in got} == set(range(10)) and {r.doc_id for r in got if r.kept} == {0}
+    whole = [r for r in got if _span(text[r.doc_id], r) in (shared.split(), near.split())]
+    assert sorted(r.doc_id for r in whole if not r.kept) == list(range(1, 10)) and {(r.first_doc_id, r.first_place) for r in whole} == {(0, 40)}
     after = {r.doc_id: r.text for r in substring.remove_repeats(docs).collect()}
     assert near in after[0] and all(shared not in after[i] and near not in after[i] and "é" in after[i] for i in range(1, 10))
-    assert after[20] == text[20] and after[21] is None and after[22] == ""
-    assert substring.repeated_passages(empty).count() == 0
+    assert after[3].count("\n") == 1 and after[20] == text[20] and after[21] is None and after[22] == ""
+    assert substring.repeated_passages(empty).count() == 0 and substring.remove_repeats(empty).count() == 0
+
+
+def test_removal_keeps_clashing_columns(spark):
+    t = " ".join(f"w{i}" for i in range(60))
+    own = " ".join(f"x{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, t, "a", 1, "x"), (2, f"{own} {t} {own}", "b", 2, "y")], "doc_id long, text string, row string, gone int, of string")
+    got = [tuple(r) for r in substring.remove_repeats(docs).orderBy("doc_id").collect()]
+    assert got == [(1, t, "a", 1, "x"), (2, f"{own}  {own}", "b", 2, "y")]
 
 
 def test_passages_inside_and_across_lines(spark):
@@ -340,11 +352,47 @@ def test_passages_inside_and_across_lines(spark):
     rows += [(4, f"{line(15000)} {shared} {line(15000)}"), (5, line(400)), (6, f"{line(9)} {' '.join(w[:24])} {line(9)}")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got, text = substring.repeated_passages(docs).collect(), dict(rows)
-    assert sorted((r.doc_id, r.kept, r.first_doc_id, r.n_words) for r in got) == [(1, True, 1, 49)] + [(i, False, 1, 49) for i in (2, 3, 4)]
-    assert all(text[r.doc_id][r.start : r.end].split() == w for r in got)
+    assert sorted((r.doc_id, r.kept, r.first_doc_id, r.end_word - r.first_word) for r in got) == [(1, True, 1, 49)] + [(i, False, 1, 49) for i in (2, 3, 4)]
+    assert all(_span(text[r.doc_id], r) == w for r in got)
     after = {r.doc_id: r.text for r in substring.remove_repeats(docs).collect()}
     assert all(after[i] == text[i] for i in (1, 5, 6))
-    assert all(after[r.doc_id] == text[r.doc_id][: r.start] + text[r.doc_id][r.end :] for r in got if not r.kept)
+    assert all(after[i].split() == text[i].split()[: r.first_word] + text[i].split()[r.end_word :] for i, r in ((r.doc_id, r) for r in got if not r.kept))
+
+
+def test_passages_against_brute_force(spark):
+    """Every run of 50 words that an earlier text has is covered, and no word outside runs of 25 is."""
+    rng = random.Random(13)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    pool = [" ".join(f"p{rng.randrange(10**6)}" for _ in range(rng.randrange(50, 90))) for _ in range(12)]
+    for i in range(300):
+        words_ = [f"u{rng.randrange(10**6)}" for _ in range(rng.randrange(120, 300))]
+        at = rng.randrange(len(words_))
+        passage = rng.choice(pool)
+        passage = passage if i % 3 else passage.replace(" ", "\n", 3)
+        rows.append((10_000 + i, " ".join([*words_[:at], passage, *words_[at:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    text = {i: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    first, again25 = {}, defaultdict(list)
+    for i in sorted(text):
+        for j in range(len(text[i]) - 49):
+            first.setdefault(tuple(text[i][j : j + 50]), (i, j))
+        for j in range(len(text[i]) - 24):
+            again25[tuple(text[i][j : j + 25])].append((i, j))
+    covered = defaultdict(set)
+    for r in substring.repeated_passages(docs).collect():
+        if not r.kept:
+            covered[r.doc_id] |= set(range(r.first_word, r.end_word))
+    for i in text:
+        for j in range(len(text[i]) - 49):
+            run = tuple(text[i][j : j + 50])
+            if first[run][0] < i and len(set(run)) > 25:
+                assert set(range(j, j + 50)) <= covered[i], (i, j)
+    fair = defaultdict(set)
+    for places in again25.values():
+        for i, j in places[1:] if len(places) > 1 else ():
+            fair[i] |= set(range(j, j + 25))
+    clean = [i for i in covered if i >= 10_000 and covered[i] - fair[i]]
+    assert not clean
 
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
