@@ -53,9 +53,20 @@ def plan_query(q: str) -> dict:
 
 
 def follow_up(q: str, before: str) -> str:
-    """A query with fewer than two terms, stopwords aside, borrows the turn before, if there is one."""
+    """A query with fewer than two terms, stopwords aside, borrows the turn before, if there is one; its own words stay first."""
     content = [t for t in plan_query(q)["terms"] if t not in STOPWORDS]
-    return q if len(content) >= 2 or not (before or "").strip() else f"{before} {q}"
+    return q if len(content) >= 2 or not (before or "").strip() else f"{q} {before}"
+
+
+def role_of(body: Column) -> Column:
+    """Prompts that begin like machine-made ones are the system's, all others the user's."""
+    opening = F.ltrim(body)
+    return F.when(opening.startswith("<task-notification>") | opening.startswith("<system-reminder>"), "system").otherwise("user")
+
+
+def n_found(text: Column, words: list[str]) -> Column:
+    """How many of the words a text holds, in any case."""
+    return sum(F.lower(text).contains(w).cast("int") for w in words)
 
 
 def looks_literal(q: str) -> bool:

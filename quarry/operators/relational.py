@@ -9,22 +9,39 @@ def clip(text: Column, n: int) -> Column:
     return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
 
 
-def timeline(ledger: DataFrame, kinds=None, authors=None, after=None, until=None, before_seq=None, text=None, limit: int = 100) -> DataFrame:
-    """Newest events first: optional kinds, authors (a principal closure), inclusive time range, cursor and substring."""
-    for given, test in (
-        (kinds, lambda x: F.col("kind").isin(x)), (authors, lambda x: F.col("author").isin(x)), (after, lambda x: F.col("ts") >= x),
-        (until, lambda x: F.col("ts") <= x), (before_seq, lambda x: F.col("seq") < x), (text, lambda x: F.lower("payload").contains(x.lower())),
-    ):
-        if given is not None:
-            ledger = ledger.filter(test(given))
+def timeline(ledger: DataFrame, limit: int = 100, **given) -> DataFrame:
+    """Newest events first. Filters, all optional: kinds, authors (a principal closure), session, surface, project, role (only
+    prompts have one, so other rows pass), starred, noted, seqs, node (a frame of seq), thread, tab, after and until
+    (inclusive), before_seq (the cursor) and text (in any case).
+    """
+    tests = {
+        "kinds": lambda x: F.col("kind").isin(x), "authors": lambda x: F.col("author").isin(x), "session": lambda x: F.col("session") == x,
+        "surface": lambda x: F.col("surface") == x, "project": lambda x: F.col("project") == x, "role": lambda x: F.col("role").isNull() | (F.col("role") == x),
+        "starred": lambda x: F.coalesce("starred", F.lit(False)) == x, "noted": lambda x: F.col("note").isNotNull() == x, "seqs": lambda x: F.col("seq").isin(x),
+        "thread": lambda x: F.col("thread") == x, "tab": lambda x: F.col("tab") == x, "after": lambda x: F.col("ts") >= x, "until": lambda x: F.col("ts") <= x,
+        "before_seq": lambda x: F.col("seq") < x, "text": lambda x: F.lower("payload").contains(x.lower()),
+    }
+    node = given.pop("node", None)
+    for name, value in given.items():
+        if value is not None:
+            ledger = ledger.filter(tests[name](value))
+    if node is not None:
+        ledger = ledger.join(node.select("seq"), "seq", "left_semi")
     return ledger.orderBy(F.desc("seq")).limit(min(max(limit, 1), 500))
 
 
-def facet_filter(turns: DataFrame, roles=None, session=None, since_seq=None, text=None, limit: int = 200) -> DataFrame:
-    """Prompts in order; by default all but the assistant's."""
+#: Columns that a facet compares as they are.
+FACETS = ("session", "mission", "surface", "thread_kind", "thread", "parent", "project", "model")
+
+
+def facet_filter(turns: DataFrame, roles=None, since_seq=None, text=None, limit: int = 200, **facets) -> DataFrame:
+    """Prompts in order by any of FACETS; by default all roles but the assistant's."""
     turns = turns.filter(F.col("role").isin(roles) if roles else F.col("role") != "assistant")
-    if session is not None:
-        turns = turns.filter(F.col("session") == session)
+    for name, value in facets.items():
+        if name not in FACETS:
+            raise ValueError(f"no facet {name}")
+        if value is not None:
+            turns = turns.filter(F.col(name) == value)
     if since_seq is not None:
         turns = turns.filter(F.col("seq") > since_seq)
     if text:
@@ -32,6 +49,43 @@ def facet_filter(turns: DataFrame, roles=None, session=None, since_seq=None, tex
     return turns.orderBy("seq").limit(limit)
 
 
+def or_left_join(left: DataFrame, right: DataFrame, key: str, first: str, second: str) -> DataFrame:
+    """left with the rows of right whose `first` or `second` equals left's `key`, as two equi-joins; each pair once, rows without a match stay.
+
+    right has a unique column id.
+    """
+    a = left.join(right, left[key] == right[first])
+    b = left.join(right.filter(~F.col(first).eqNullSafe(F.col(second)) | F.col(first).isNull()), left[key] == right[second])
+    keys = right.select(F.col(first).alias("_k")).union(right.select(F.col(second))).filter("_k IS NOT NULL").distinct()
+    none = left.join(keys, left[key] == keys["_k"], "left_anti")
+    return a.unionByName(b).unionByName(none, allowMissingColumns=True)
+
+
+def scoped(rows: DataFrame, principals: DataFrame | None = None, nodes_of: DataFrame | None = None, roles=None, after=None, before=None, **equal) -> DataFrame:
+    """Rows in a scope: any of their principal, device and agent in the closure `principals` (id), the columns given as equal,
+    projects among nodes_of (project; with all their descendants), roles, and after <= ts < before.
+    """
+    if principals is not None:
+        seen = [rows.join(principals.select(F.col("id").alias(c)), c, "left_semi").select("seq") for c in ("principal", "device", "agent")]
+        rows = rows.join(seen[0].union(seen[1]).union(seen[2]).distinct(), "seq", "left_semi")
+    if nodes_of is not None:
+        rows = rows.join(nodes_of, "project", "left_semi")
+    for name, value in equal.items():
+        rows = rows.filter(F.col(name) == value)
+    for given, test in ((roles, lambda x: F.col("role").isin(x)), (after, lambda x: F.col("ts") >= x), (before, lambda x: F.col("ts") < x)):
+        if given is not None:
+            rows = rows.filter(test(given))
+    return rows
+
+
+def visible_events(events: DataFrame, *keys: DataFrame) -> DataFrame:
+    """Events of whose sequence numbers any of the key frames (seq) knows: prompts, pages, notes, sources of decisions in scope."""
+    seen = keys[0].select("seq")
+    for k in keys[1:]:
+        seen = seen.union(k.select("seq"))
+    return events.join(seen.distinct(), "seq", "left_semi")
+
+
 def principal_closure(people: DataFrame, root) -> DataFrame:
     """(id) of a principal, its children and grandchildren in (id, parent)."""
     me = people.filter(F.col("id") == root).select("id")
@@ -76,8 +130,20 @@ def pick_quantiles(rows: DataFrame, by: str, value: str, fractions: dict[str, fl
     return ranked.groupBy(by).agg(F.max("n").alias("n"), *pick)
 
 
-def co_occurrence(filed: DataFrame, min_weight: int = 1) -> DataFrame:
-    """(a, b, weight), a < b: in how many sessions both nodes of (session, node) occur."""
+def co_occurrence(filed: DataFrame, min_weight: int = 1, parents: DataFrame | None = None, block: int = 256) -> DataFrame:
+    """(a, b, weight), a < b: in how many sessions both nodes of (session, node) occur; pairs of parent and child (child, parent) left out.
+
+    A session's nodes are dealt into blocks, and pairs are made for two blocks at a time, so that no task holds a hot
+    session. The pairs themselves are the result.
+    """
     one = filed.select("session", "node").distinct()
-    pairs = one.alias("x").join(one.alias("y"), "session").filter("x.node < y.node")
-    return pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b")).agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    size = one.groupBy("session").agg(F.ceil(F.count("*") / block).cast("int").alias("of"))
+    dealt = one.join(size, "session").withColumn("i", F.pmod(F.xxhash64("node"), F.col("of")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("of") - 1))
+    x = dealt.select("session", F.col("node").alias("a"), F.col("i").alias("p"), every.alias("q"))
+    y = dealt.select("session", F.col("node").alias("b"), every.alias("p"), F.col("i").alias("q"))
+    pairs = x.join(y, ["session", "p", "q"]).filter("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).filter(F.col("weight") >= min_weight)
+    if parents is not None:
+        family = parents.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b"))
+        pairs = pairs.join(family, ["a", "b"], "left_anti")
+    return pairs

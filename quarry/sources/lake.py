@@ -83,6 +83,36 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("id"), F.col("label").alias("node"), F.col("embedding").cast("array<double>").alias("v"))
 
 
+def notes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, target, text, starred, updated): parts stand in for annotations of events."""
+    p = table(spark, d, "part")
+    return p.select(
+        F.col("p_partkey").alias("id"), F.when(F.col("p_size") % 4 != 0, F.col("p_partkey") * 3).alias("target"), F.concat_ws(" ", "p_name", "p_type").alias("text"),
+        (F.col("p_size") > 40).alias("starred"), (F.col("p_size") * 1000 + F.col("p_partkey") % 7).alias("updated"),
+    )
+
+
+def asked(spark: SparkSession, d: str) -> DataFrame:
+    """The turns as prompts with the columns that facets and scopes read; what the table lacks is derived from the conversation's number."""
+    c, t = F.col("session"), turns(spark, d)
+    name = lambda prefix, m: F.concat(F.lit(prefix), (c % m).cast("string"))
+    return t.select(
+        "seq", "session", "turn", "role", "body", (F.col("seq") * 1000 + 1704067200000).alias("ts"), name("m", 5).alias("mission"),
+        F.element_at(F.array(*map(F.lit, ("cli", "web", "api"))), (c % 3 + 1).cast("int")).alias("surface"), F.when(c % 2 == 0, "chat").otherwise("review").alias("thread_kind"),
+        name("t", 11).alias("thread"), F.when(c % 4 != 0, c - c % 4).alias("parent"), name("p", 6).alias("project"),
+        F.when(F.col("role") == "assistant", F.concat(F.lit("model-"), (F.col("turn") % 2).cast("string"))).alias("model"), name("c:", 50).alias("principal"),
+        name("d", 9).alias("device"), F.when(F.col("role") == "assistant", name("a", 3)).alias("agent"), F.when(c % 3 != 0, name("r", 8)).alias("run"), name("o", 2).alias("org"),
+    )
+
+
+def indexed(spark: SparkSession, d: str) -> DataFrame:
+    """(kind, target, chunk, model, v): the vector index; one of five vectors is of an older model, and five are one target's chunks."""
+    e = table(spark, d, "embeddings")
+    kind = F.when(F.col("label") % 2 == 0, "prompt").otherwise("browse_event").alias("kind")
+    model = F.when(F.col("vec_id") % 5 == 0, "old").otherwise("new").alias("model")
+    return e.select(kind, F.floor(F.col("vec_id") / 5).cast("long").alias("target"), (F.col("vec_id") % 5).cast("int").alias("chunk"), model, F.col("embedding").cast("array<double>").alias("v"))
+
+
 #: The same frames as DuckDB common table expressions.
 CTE = {
     "ledger": "ledger AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts, event_type AS kind, CAST(user_id AS VARCHAR) AS author, user_id AS session, props AS payload, value FROM events)",
@@ -93,6 +123,9 @@ CTE = {
     "links": "links AS (SELECT o_orderkey AS id, 'c:' || o_custkey AS node, (epoch_us(o_orderdate) // 1000) AS ts FROM orders)",
     "sup": "sup AS (SELECT * FROM (SELECT o_orderkey AS old_seq, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS new_seq FROM orders) WHERE new_seq IS NOT NULL)",
     "claims": "claims AS (SELECT o_orderkey AS id, o_custkey AS subject, o_orderstatus AS value, (epoch_us(o_orderdate) // 1000) AS valid_from, lead((epoch_us(o_orderdate) // 1000)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS valid_until, (epoch_us(o_orderdate) // 1000) + (o_orderkey % 30) * 86400000 AS recorded_at FROM orders)",
+    "notes": "notes AS (SELECT p_partkey AS id, CASE WHEN p_size % 4 <> 0 THEN p_partkey * 3 END AS target, p_name || ' ' || p_type AS text, p_size > 40 AS starred, p_size * 1000 + p_partkey % 7 AS updated FROM part)",
+    "asked": "asked AS (SELECT conv_id * 100000 + turn AS seq, conv_id AS session, turn, role, text AS body, (conv_id * 100000 + turn) * 1000 + 1704067200000 AS ts, 'm' || conv_id % 5 AS mission, ['cli', 'web', 'api'][conv_id % 3 + 1] AS surface, CASE WHEN conv_id % 2 = 0 THEN 'chat' ELSE 'review' END AS thread_kind, 't' || conv_id % 11 AS thread, CASE WHEN conv_id % 4 <> 0 THEN conv_id - conv_id % 4 END AS parent, 'p' || conv_id % 6 AS project, CASE WHEN role = 'assistant' THEN 'model-' || turn % 2 END AS model, 'c:' || conv_id % 50 AS principal, 'd' || conv_id % 9 AS device, CASE WHEN role = 'assistant' THEN 'a' || conv_id % 3 END AS agent, CASE WHEN conv_id % 3 <> 0 THEN 'r' || conv_id % 8 END AS run, 'o' || conv_id % 2 AS org FROM conversations)",
+    "indexed": "indexed AS (SELECT CASE WHEN label % 2 = 0 THEN 'prompt' ELSE 'browse_event' END AS kind, vec_id // 5 AS target, vec_id % 5 AS chunk, CASE WHEN vec_id % 5 = 0 THEN 'old' ELSE 'new' END AS model, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
     "vecs": "vecs AS (SELECT vec_id AS id, label AS node, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
 }
 
