@@ -2,6 +2,8 @@
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -28,14 +30,22 @@ SECRETS = [
     ("bearer", r"(?i)(\bbearer\s+)(?!\[redacted:)[A-Za-z0-9._~+/=\-]{16,}", True),
     ("assigned_secret", r"""(?i)(\b[A-Z0-9_\-]*(?:API_?KEY|SECRET|TOKEN|PASSWORD|PASSWD)[A-Z0-9_\-]*["']?\s*[:=]\s*["']?)(?!\[redacted:)[^\s"'`,;]{16,}""", True),
 ]
-_KEPT = r"[\p{L}\p{N}_./@-]+"
+
+
+#: A term's body runs from its first letter or digit to its last; a flag's dashes come with what may stand between.
+_TERM = r"(?:(?<![\p{L}\p{N}_./@-])--[_./@-]*)?[\p{L}\p{N}](?:[\p{L}\p{N}_./@-]*[\p{L}\p{N}])?"
 
 
 def terms(text: Column) -> Column:
-    """Lower-case terms: runs of letters, digits and _ - . / @, those marks trimmed at the ends unless a flag's --."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(_KEPT), F.lit(0))
-    trim = lambda t: F.when(t.startswith("--"), F.concat(F.lit("--"), F.regexp_replace(t, "^[_./@-]+|[_./@-]+$", ""))).otherwise(F.regexp_replace(t, "^[_./@-]+|[_./@-]+$", ""))
-    return F.filter(F.transform(found, trim), lambda t: t.rlike(r"[\p{L}\p{N}]"))
+    """Lower-case terms: runs of letters, digits and _ - . / @, those marks trimmed at the ends unless a flag's --.
+
+    Lone letters are dropped unless they are stopwords, or nothing else is there.
+    """
+    found = F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
+    flags = F.transform(found, lambda t: F.when(t.startswith("--"), F.regexp_replace(t, "^--[_./@-]+", "--")).otherwise(t))
+    found = F.when(F.contains(text, F.lit("--")), flags).otherwise(found)
+    kept = F.filter(found, lambda t: (F.length(t) > 1) | ~t.between("a", "z") | t.isin("a", "i"))
+    return F.when(F.size(kept) > 0, kept).otherwise(found)
 
 
 def plan_query(q: str) -> dict:
@@ -86,6 +96,15 @@ def excerpt(text: Column, words: list[str], budget: int) -> Column:
     return F.when(F.length(text) <= budget, text).when(hit.isNull(), head).otherwise(around)
 
 
+def snippet(text: Column, words: list[str], width: int) -> Column:
+    """`width` words around the first that holds a term, from three before it; such words are marked."""
+    has = lambda x: reduce(or_, [F.lower(x).contains(w) for w in words])
+    w = F.split(F.trim(text), r"\s+")
+    at = F.greatest(F.greatest(F.array_position(F.transform(w, has), True), F.lit(1)) - 4, F.lit(1)).cast("int")
+    marked = F.transform(F.slice(w, at, width), lambda x: F.when(has(x), F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
+    return F.concat(F.when(at > 1, "…").otherwise(""), F.array_join(marked, " "), F.when(F.size(w) > at + width - 1, "…").otherwise(""))
+
+
 def gist(text: Column) -> Column:
     """White space collapsed; both ends of long texts; and the bytes that were released."""
     flat = F.trim(F.regexp_replace(text, r"\s+", " "))

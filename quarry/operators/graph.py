@@ -4,34 +4,44 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import cut
+
 MAX_DEPTH = 64
 GENESIS = "0" * 64
 
 
 def closure(spark, nodes: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, ancestor, up) of every node and each of its ancestors, itself at 0; walks at most `depth` steps, so cycles end."""
-    nodes.select("id", "parent").createOrReplaceTempView("quarry_tree")
-    return spark.sql(
-        "WITH RECURSIVE up(id, ancestor, parent, up) AS (SELECT id, id, parent, 0 FROM quarry_tree UNION ALL"
-        f" SELECT u.id, t.id, t.parent, u.up + 1 FROM up u JOIN quarry_tree t ON t.id = u.parent WHERE u.up < {depth})"
-        " SELECT id, ancestor, up FROM up"
-    )
+    """(id, ancestor, up) of every node and each of its ancestors, itself at 0; at most `depth` steps up, so cycles end.
+
+    Rounds of joins: after each, ancestors up to twice as far are known.
+    """
+    links = nodes.filter("parent IS NOT NULL").select("id", F.col("parent").alias("ancestor"), F.lit(1).alias("up"))
+    every = nodes.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("up"))
+    far = cut(links.join(nodes.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", "up"))
+    done, reach = far, 1
+    while reach < depth:
+        # paths of exactly `reach` steps go on by any path known
+        last = far.filter(F.col("up") == reach)
+        if last.isEmpty():
+            break
+        more = last.select("id", F.col("ancestor").alias("mid"), "up").join(done.select(F.col("id").alias("mid"), "ancestor", F.col("up").alias("further")), "mid")
+        far = cut(more.select("id", "ancestor", (F.col("up") + F.col("further")).alias("up")).filter(F.col("up") <= depth))
+        done, reach = done.union(far), 2 * reach
+    return every.union(done)
 
 
 def chain_heads(edges: DataFrame, rounds: int = MAX_DEPTH) -> DataFrame:
     """(old_seq, head, hops): where each chain of (old_seq, new_seq) ends, by pointer doubling; loops and backward edges are refused."""
-    from quarry.operators.lineage import cut
-
-    e = edges.filter("new_seq > old_seq").groupBy("old_seq").agg(F.max("new_seq").alias("head")).withColumn("hops", F.lit(1).cast("long"))
+    e = cut(edges.filter("new_seq > old_seq").groupBy("old_seq").agg(F.max("new_seq").alias("head")).withColumn("hops", F.lit(1).cast("long")))
     done = 1
     while done < rounds:
-        e = cut(e)
         nxt = e.select(F.col("old_seq").alias("head"), F.col("head").alias("further"), F.col("hops").alias("more"))
-        joined = e.join(nxt, "head", "left")
-        moved = joined.filter("further IS NOT NULL").limit(1).count()
-        e = joined.select("old_seq", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"))
+        joined = e.join(nxt, "head", "left").withColumn("moved", F.col("further").isNotNull())
+        e = cut(joined.select("old_seq", F.coalesce("further", "head").alias("head"), (F.col("hops") + F.coalesce("more", F.lit(0))).alias("hops"), "moved"))
         done *= 2
-        if not moved:
+        moved = e.filter("moved").isEmpty()
+        e = e.drop("moved")
+        if moved:
             break
     return e
 

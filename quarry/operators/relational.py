@@ -147,3 +147,24 @@ def co_occurrence(filed: DataFrame, min_weight: int = 1, parents: DataFrame | No
         family = parents.select(F.least("child", "parent").alias("a"), F.greatest("child", "parent").alias("b"))
         pairs = pairs.join(family, ["a", "b"], "left_anti")
     return pairs
+
+
+def similar_titles(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, jaccard), a < b, of siblings in (id, parent, s: distinct words) whose word sets are at least so alike; two empty sets are.
+
+    Sizes say how many shared words are needed, so only a set's rarest words, one more than may be missed, are joined.
+    """
+    words = rows.select("parent", "id", F.explode("s").alias("word"))
+    rare = words.groupBy("parent", "word").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("parent", "id").orderBy("n", "word")
+    size = F.count("*").over(Window.partitionBy("parent", "id"))
+    keys = words.join(rare, ["parent", "word"]).withColumn("place", F.row_number().over(w)).withColumn("size", size)
+    keys = keys.filter(F.col("place") <= F.col("size") - F.ceil(least * F.col("size")) + 1).select("parent", "word", "id")
+    x, y = keys.select("parent", "word", F.col("id").alias("a")), keys.select("parent", "word", F.col("id").alias("b"))
+    pairs = x.join(y, ["parent", "word"]).filter("a < b").select("a", "b").distinct()
+    sets = lambda c: rows.select(F.col("id").alias(c), F.col("s").alias(f"s{c}"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    scored = pairs.join(sets("a"), "a").join(sets("b"), "b").select("a", "b", (both / F.size(F.array_union("sa", "sb"))).alias("jaccard"))
+    bare = rows.filter(F.size("s") == 0)
+    alike = bare.select("parent", F.col("id").alias("a")).join(bare.select("parent", F.col("id").alias("b")), "parent").filter("a < b")
+    return scored.filter(F.col("jaccard") >= least).union(alike.select("a", "b", F.lit(1.0)))

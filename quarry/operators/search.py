@@ -1,5 +1,7 @@
 """Ranked text search: a token table, BM25, staged widening, literal search, fusion."""
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -8,49 +10,65 @@ from quarry.functions import text as tx
 K1, B, RRF_K = 1.2, 0.75, 60
 
 
-def _is(w: str):
-    return lambda x: x == w
-
-
-def _begins(w: str):
-    return lambda x: x.startswith(w)
+class TextIndex:
+    """An inverted index in Parquet: tokens (term, key, len, tf of each column), sorted by term, and the corpus's size."""
+
+    def __init__(self, tokens: DataFrame, columns: list[str], n: int, average: float):
+        self.tokens, self.columns, self.n, self.average = tokens, columns, n, average
+
+    def hits(self, words: list[str], prefixes: bool = False) -> DataFrame:
+        """The tokens that equal a word or, for words of PREFIX_FROM characters and more, begin with it: filters that reach the scan."""
+        test = F.col("term").isin(words)
+        for w in words if prefixes else ():
+            if len(w) >= tx.PREFIX_FROM:
+                test = test | F.col("term").startswith(w)
+        return self.tokens.filter(test)
+
+
+def write_index(rows: DataFrame, key: str, columns: dict[str, Column], folder: str) -> TextIndex:
+    """Tokenises the columns once and writes the index; queries read the terms they ask for."""
+    each = [F.struct(F.lit(name).alias("c"), tx.terms(F.coalesce(column, F.lit(""))).alias("t")) for name, column in columns.items()]
+    found = rows.select(F.col(key).alias("key"), F.array(*each).alias("c"))
+    size = F.aggregate("c", F.lit(0), lambda n, c: n + F.size(c["t"]))
+    one = found.select("key", size.alias("len"), F.explode("c").alias("c")).select("key", "len", F.col("c.c").alias("c"), F.explode("c.t").alias("term"))
+    counted = one.groupBy("key", "term").agg(F.first("len").alias("len"), *[F.count_if(F.col("c") == name).alias(f"tf_{name}") for name in columns])
+    counted.repartitionByRange("term").sortWithinPartitions("term", "key").write.parquet(f"{folder}/tokens")
+    n, total = found.agg(F.count("*"), F.sum(size)).first()
+    return TextIndex(rows.sparkSession.read.parquet(f"{folder}/tokens"), list(columns), n, (total or 0) / max(n, 1))
+
+
+def bm25(index: TextIndex, words: list[str], weights: list[float] | None = None) -> DataFrame:
+    """(key, score, n_terms): BM25 of rows with any of the words; a column's weight multiplies its term frequencies."""
+    hits = index.hits(words)
+    tf = sum(w * F.col(f"tf_{c}") for w, c in zip(weights or [1.0] * len(index.columns), index.columns))
+    df = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each word asked
+    idf = F.log(1 + (index.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / index.average))
+    return hits.join(df, "term").groupBy("key").agg(F.sum(one).alias("score"), F.count("*").alias("n_terms"))
+
+
+def cascade(index: TextIndex, rows: DataFrame, key: str, body: str, words: list[str]) -> DataFrame:
+    """(key, stage) of the first stage with any hit: 1 all terms, 2 any term or prefix, 3 any substring. Texts are read for the last only."""
+    hits = index.hits(words, prefixes=True)
+    exact = F.count_if(F.col("term").isin(words))
+    staged = hits.groupBy("key").agg(F.when(exact == len(set(words)), 1).otherwise(2).alias("stage"))
+    for stage in (1, 2):
+        found = staged.filter(F.col("stage") == stage)
+        if not found.isEmpty():
+            return found
+    inside = F.lit(False)
+    for w in words:
+        inside = inside | F.lower(body).contains(w)
+    return rows.filter(inside).select(F.col(key).alias("key"), F.lit(3).alias("stage"))
 
 
 def token_table(rows: DataFrame, key: str, body: str) -> DataFrame:
-    """(key, term, tf, len): an inverted index as a table; write it once, partitioned by term range, to serve many queries."""
+    """(key, term, tf, len): the index's rows as a frame."""
     t = rows.select(key, tx.terms(F.col(body)).alias("_t"))
     counted = t.select(key, F.size("_t").alias("len"), F.explode("_t").alias("term"))
     return counted.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def bm25(rows: DataFrame, key: str, body: str, query: list[str]) -> DataFrame:
-    """(key, score, n_terms): BM25 of rows with any of the terms. Term frequencies are counted in the scan; only one row of statistics is broadcast."""
-    t = rows.select(key, tx.terms(F.col(body)).alias("_t")).withColumn("_len", F.size("_t"))
-    t = t.select(key, "_len", *[F.size(F.filter("_t", _is(w))).alias(f"_{i}") for i, w in enumerate(query)])
-    stats = t.agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_{i}") > 0).alias(f"_df{i}") for i in range(len(query))])
-    score: Column = F.lit(0.0)
-    for i in range(len(query)):
-        idf = F.log(1 + (F.col("_n") - F.col(f"_df{i}") + 0.5) / (F.col(f"_df{i}") + 0.5))
-        tf = F.col(f"_{i}")
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    hit = sum((F.col(f"_{i}") > 0).cast("int") for i in range(len(query)))
-    return t.crossJoin(F.broadcast(stats)).select(key, score.alias("score"), hit.alias("n_terms")).filter("n_terms > 0")
-
-
-def cascade(rows: DataFrame, key: str, body: str, query: list[str]) -> DataFrame:
-    """(key, stage) of the first stage with any hit: 1 all terms, 2 any term or prefix, 3 any substring. One scan decides."""
-    t = rows.select(key, F.lower(body).alias("_b"), tx.terms(F.col(body)).alias("_t"))
-    every = F.lit(True)
-    some, inside = F.lit(False), F.lit(False)
-    for w in query:
-        every = every & F.array_contains("_t", w)
-        some = some | (F.exists("_t", _begins(w)) if len(w) >= tx.PREFIX_FROM else F.array_contains("_t", w))
-        inside = inside | F.col("_b").contains(w)
-    staged = t.select(key, F.when(every, 1).when(some, 2).when(inside, 3).alias("stage")).filter("stage IS NOT NULL")
-    best = staged.agg(F.min("stage").alias("_best"))
-    return staged.crossJoin(F.broadcast(best)).filter("stage = _best").select(key, "stage")
-
-
 def grep(rows: DataFrame, key: str, body: str, needle: str, pattern: str | None = None, limit: int = 200) -> DataFrame:
     """Newest rows whose text holds the needle in any case, and the pattern; excerpts of 240 characters."""
     if len(needle) < 3:
@@ -73,18 +91,21 @@ def fuse(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("key").agg(F.sum(1.0 / (RRF_K + F.col("rank"))).alias("score"), F.array_join(F.array_sort(F.collect_set("arm")), ",").alias("arms"))
 
 
-def relevance(rows: DataFrame, key: str, body: str, query: list[str]) -> DataFrame:
-    """(key, score, corroborated): rarity-weighted coverage times the rarest matched term's share of the largest rarity."""
-    t = rows.select(key, tx.terms(F.col(body)).alias("_t"))
-    t = t.select(key, *[F.array_contains("_t", w).alias(f"_{i}") for i, w in enumerate(query)])
-    stats = t.agg(F.greatest(F.count("*"), F.lit(1)).alias("_n"), *[F.count_if(F.col(f"_{i}")).alias(f"_df{i}") for i in range(len(query))])
-    idf = [F.log(1 + F.col("_n") / (1 + F.col(f"_df{i}"))) for i in range(len(query))]
-    got = [F.when(F.col(f"_{i}"), w).otherwise(0.0) for i, w in enumerate(idf)]
-    rarest = F.greatest(*got) if len(got) > 1 else got[0]
-    n_hit = sum(F.col(f"_{i}").cast("int") for i in range(len(query)))
-    named = F.lit(False)
-    for i, w in enumerate(query):
-        if any(c.isdigit() or c in "_-./@" for c in w):
-            named = named | F.col(f"_{i}")
-    score = sum(got) / sum(idf) * F.least(rarest / F.log(1 + F.col("_n")), F.lit(1.0))
-    return t.crossJoin(F.broadcast(stats)).filter(n_hit > 0).select(key, score.alias("score"), ((n_hit >= 2) | named).alias("corroborated"))
+def identifier_like(word: str) -> bool:
+    return any(c.isdigit() or c in "_-./@" for c in word)
+
+
+def relevance(index: TextIndex, words: list[str], keys: DataFrame | None = None) -> DataFrame:
+    """(key, score, corroborated): rarity-weighted coverage times the rarest matched term's share of the largest rarity, for
+    rows with any of the words (among keys, if given). Corroborated: two words, or one that names something."""
+    hits = index.hits(words).select("term", "key")
+    df = {r["term"]: r["n"] for r in hits.groupBy("term").agg(F.count("*").alias("n")).collect()}  # a row for each word asked
+    n = max(index.n, 1)
+    idf = {w: math.log(1 + n / (1 + df.get(w, 0))) for w in words}
+    weight = F.element_at(F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)]), F.col("term"))
+    named = F.col("term").isin([w for w in words if identifier_like(w)] or [""])
+    if keys is not None:
+        hits = hits.join(keys, "key", "left_semi")
+    by = hits.groupBy("key").agg(F.sum(weight).alias("got"), F.max(weight).alias("rarest"), F.count("*").alias("n"), F.bool_or(named).alias("named"))
+    score = F.col("got") / sum(idf[w] for w in words) * F.least(F.col("rarest") / math.log(1 + n), F.lit(1.0))
+    return by.select("key", score.alias("score"), ((F.col("n") >= 2) | F.col("named")).alias("corroborated"))

@@ -1,6 +1,8 @@
 """The answer pack: ranked arms, fused, deduplicated and cut to a budget."""
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import functions as F
 
@@ -29,19 +31,23 @@ def trim_pack(pack: dict, budget: int = BYTES) -> dict:
 
 
 def fused_hits(spark, d, question: str, limit: int = LIMIT):
-    """(key, score, arms, excerpt) of the best prompts for a question: BM25 and the literal arm, copies dropped."""
+    """(key, score, arms, absorbed, excerpt) of the best prompts for a question: BM25 and the literal arm, near copies absorbed."""
     plan = tx.plan_query(question)
     rows = lake.prompts(spark, d)
-    lexical = search.rank(search.bm25(rows, "id", "body", plan["terms"]), "lexical", "id", [F.desc("score"), F.asc("id")], 3 * limit)
-    literal = rows.filter(F.lower("body").contains(plan["terms"][0])).select("id")
-    both = lexical.union(search.rank(literal, "grep", "id", [F.desc("id")], 3 * limit))
+    lexical = search.bm25(lake.prompt_index(spark, d), plan["terms"], [3.0, 1.0]).withColumn("score", F.round("score", 9))
+    lexical = search.rank(lexical, "lexical", "key", [F.desc("score"), F.asc("key")], 3 * limit)
+    inside = reduce(or_, [F.lower("body").contains(w) for w in plan["terms"] + [p.lower() for p in plan["phrases"]]])
+    both = lexical.union(search.rank(rows.filter(inside).select("id"), "grep", "id", [F.desc("id")], 3 * limit))
     fused = search.fuse(both).orderBy(F.desc("score"), "key").limit(3 * limit)
-    hits = fused.join(rows, fused.key == rows.id).withColumn("simhash", F.lit(None).cast("long"))
-    hits = simhash.with_fingerprint(hits.drop("simhash"), "body")
-    # at most 3 * limit rows: of equal fingerprints the best stays
-    best = hits.groupBy("simhash").agg(F.max_by(F.struct("key", "score", "arms", "body"), F.struct("score", -F.col("key"))).alias("h")).select("h.*")
-    top = best.orderBy(F.desc("score"), "key").limit(limit)
-    return top.select("key", F.round("score", 9).alias("score"), "arms", tx.excerpt(F.col("body"), plan["terms"], 600).alias("excerpt"))
+    hits = simhash.with_fingerprint(fused.join(rows, fused.key == rows.id), "body")
+    kept = simhash.greedy(hits.withColumn("kind", F.lit("prompt")), ["kind", "surface"], "key", [F.desc("score"), F.asc("key")])
+    top = kept.orderBy(F.desc("score"), "key").limit(limit)
+    return top.select("key", F.round("score", 9).alias("score"), "arms", "absorbed", tx.excerpt(F.col("body"), plan["terms"], per_hit(BYTES, limit)).alias("excerpt"))
+
+
+def per_hit(budget: int, n: int) -> int:
+    """Characters of one hit: half the budget's bytes among all, within bounds."""
+    return min(max(budget // 2 // max(n, 1), 600), 4000)
 
 
 def answer_pack(spark, d, question: str, budget: int = BYTES) -> dict:

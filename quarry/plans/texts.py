@@ -3,20 +3,28 @@
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators import relational as op
 from quarry.operators import search
 from quarry.registry import query
 from quarry.sources import lake
 from quarry.sources.lake import sql
 
-QUESTION = "what is the attion of thereble tionhe"
-TERMS = tx.plan_query(QUESTION)["terms"]
 SOME = ["tionhe", "ererth", "the"]
 
 _TRIMMED = "regexp_replace({}, '^[_./@-]+|[_./@-]+$', '', 'g')"
-_T = (
-    "toks AS (SELECT id, body, list_filter(list_transform(regexp_extract_all(lower(body), '[\\p{L}\\p{N}_./@-]+'), lambda x: CASE WHEN starts_with(x, '--') THEN '--' || "
-    + _TRIMMED.format("x") + " ELSE " + _TRIMMED.format("x") + " END), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]')) AS t FROM prompts) "
-)
+
+
+def _terms_sql(text):
+    """The terms of a text in DuckDB: cut, trimmed and without lone letters, step by step."""
+    found = (
+        f"list_filter(list_transform(regexp_extract_all(lower({text}), '[\\p{{L}}\\p{{N}}_./@-]+'), lambda x: CASE WHEN starts_with(x, '--') THEN '--' || "
+        + _TRIMMED.format("x") + " ELSE " + _TRIMMED.format("x") + " END), lambda x: regexp_matches(x, '[\\p{L}\\p{N}]'))"
+    )
+    return f"list_transform([{found}], lambda l: CASE WHEN len(list_filter(l, lambda x: NOT regexp_matches(x, '^[b-hj-z]$'))) > 0 THEN list_filter(l, lambda x: NOT regexp_matches(x, '^[b-hj-z]$')) ELSE l END)[1]"
+
+
+_T = f"toks AS (SELECT id, body, {_terms_sql('body')} AS t FROM prompts) "
+_HT = f"parts AS (SELECT id, body, {_terms_sql('substr(body, 1, 400)')} AS th, {_terms_sql('substr(body, 401)')} AS tt FROM prompts), toks AS (SELECT *, list_concat(th, tt) AS t FROM parts) "
 
 
 @query(sql("prompts", f"+{_T} SELECT id, len(t) AS n, array_to_string(t[1:5], ' ') AS opening FROM toks"))
@@ -31,23 +39,52 @@ def term_stats(spark, d):
     return t.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).filter("df >= 20")
 
 
-def _bm25_sql(words):
-    tf = ", ".join(f"len(list_filter(t, lambda x: x = '{w}')) AS f{i}" for i, w in enumerate(words))
+def _bm25_sql(words, columns):
+    """columns: (list column, weight)."""
+    tf = ", ".join(" + ".join(f"{w} * len(list_filter({c}, lambda x: x = '{x}'))" for c, w in columns) + f" AS f{i}" for i, x in enumerate(words))
     st = ", ".join(f"count(*) FILTER (WHERE f{i} > 0) AS d{i}" for i in range(len(words)))
     sc = " + ".join(f"ln(1 + (n - d{i} + 0.5) / (d{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * k / a))" for i in range(len(words)))
     hit = " + ".join(f"CAST(f{i} > 0 AS INT)" for i in range(len(words)))
-    return f"+{_T}, c AS (SELECT id, len(t) AS k, {tf} FROM toks), s AS (SELECT count(*) AS n, avg(k) AS a, {st} FROM c), r AS (SELECT id, round({sc}, 6) AS score, {hit} AS n_terms FROM c, s) "
+    return f", c AS (SELECT *, len(t) AS k, {tf} FROM toks), s AS (SELECT count(*) AS n, avg(k) AS a, {st} FROM c), r AS (SELECT c.*, round({sc}, 6) AS score, {hit} AS n_terms FROM c, s) "
 
 
-@query(sql("prompts", _bm25_sql(SOME) + "SELECT * FROM r WHERE n_terms > 0 ORDER BY score DESC, id LIMIT 50"))
+@query(sql("prompts", "+" + _HT + _bm25_sql(SOME, [("th", 3.0), ("tt", 1.0)]) + "SELECT id, score, n_terms FROM r WHERE n_terms > 0 ORDER BY score DESC, id LIMIT 50"))
 def bm25_search(spark, d):
-    r = search.bm25(lake.prompts(spark, d), "id", "body", SOME)
-    return r.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "id").limit(50)
+    r = search.bm25(lake.prompt_index(spark, d), SOME, [3.0, 1.0])
+    return r.select(F.col("key").alias("id"), F.round("score", 6).alias("score"), "n_terms").orderBy(F.desc("score"), "id").limit(50)
 
 
-@query(sql("prompts", f"+{_T}, s AS (SELECT id, CASE WHEN list_contains(t, 'tionhe') AND list_contains(t, 'ererth') THEN 1 WHEN len(list_filter(t, lambda x: starts_with(x, 'tionhe') OR starts_with(x, 'ererth'))) > 0 THEN 2 WHEN contains(lower(body), 'tionhe') OR contains(lower(body), 'ererth') THEN 3 END AS stage FROM toks) SELECT id, stage FROM s WHERE stage = (SELECT min(stage) FROM s)"))
+@query(sql("prompts", f"+{_HT}, s AS (SELECT id, CASE WHEN list_contains(t, 'tionhe') AND list_contains(t, 'ererth') THEN 1 WHEN len(list_filter(t, lambda x: starts_with(x, 'tionhe') OR starts_with(x, 'ererth'))) > 0 THEN 2 WHEN contains(lower(body), 'tionhe') OR contains(lower(body), 'ererth') THEN 3 END AS stage FROM toks) SELECT id, stage FROM s WHERE stage = (SELECT min(stage) FROM s)"))
 def cascade_search(spark, d):
-    return search.cascade(lake.prompts(spark, d), "id", "body", SOME[:2])
+    found = search.cascade(lake.prompt_index(spark, d), lake.prompts(spark, d), "id", "body", SOME[:2])
+    return found.select(F.col("key").alias("id"), "stage")
+
+
+@query(sql("prompts", "SELECT id, 3 AS stage FROM prompts WHERE contains(lower(body), 'ionher') OR contains(lower(body), 'zqxw')"))
+def cascade_substring(spark, d):
+    found = search.cascade(lake.prompt_index(spark, d), lake.prompts(spark, d), "id", "body", ["ionher", "zqxw"])
+    return found.select(F.col("key").alias("id"), "stage")
+
+
+_PT = f"parts AS (SELECT id, url, title, text, {_terms_sql('title')} AS ti, {_terms_sql('url')} AS tu, {_terms_sql('text')} AS tx FROM pagev), toks AS (SELECT *, list_concat(list_concat(ti, tu), tx) AS t FROM parts) "
+PAGE_WORDS = ["theha", "ition", "the"]
+
+
+def _snippet_sql(words):
+    """Twelve words of the page's text around the first that has a term, which is marked."""
+    has = " OR ".join(f"contains(lower(x), '{w}')" for w in words)
+    at = f"greatest(coalesce(list_position(list_transform(w, lambda x: {has}), true), 1) - 4, 1)"
+    marked = f"list_transform(w[{at} : {at} + 11], lambda x: CASE WHEN {has} THEN '[' || x || ']' ELSE x END)"
+    return f"(CASE WHEN {at} > 1 THEN '…' ELSE '' END) || array_to_string({marked}, ' ') || (CASE WHEN len(w) > {at} + 11 THEN '…' ELSE '' END)"
+
+
+@query(sql("pagev ledger", "+" + _PT + _bm25_sql(PAGE_WORDS, [("ti", 5.0), ("tu", 2.0), ("tx", 1.0)]) + f", best AS (SELECT *, string_split_regex(trim(text), '\\s+') AS w FROM r WHERE n_terms > 0 ORDER BY score DESC, id LIMIT 60) SELECT b.id, l.seq, b.url, b.score, {_snippet_sql(PAGE_WORDS)} AS snippet FROM best b LEFT JOIN ledger l ON CAST(l.seq AS VARCHAR) = CAST(b.id AS VARCHAR) AND l.kind <> 'error'"))
+def page_bm25(spark, d):
+    best = search.bm25(lake.page_index(spark, d), PAGE_WORDS, [5.0, 2.0, 1.0]).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "key").limit(60)
+    hits = best.join(lake.pages(spark, d), F.col("key") == F.col("id"))
+    events = lake.ledger(spark, d).filter("kind <> 'error'").select(F.col("seq").cast("string").alias("ref_id"), "seq")
+    cited = hits.join(events, F.col("id").cast("string") == F.col("ref_id"), "left")
+    return cited.select("id", "seq", "url", "score", tx.snippet(F.col("text"), PAGE_WORDS, 12).alias("snippet"))
 
 
 @query(sql("pagev", "SELECT id, url, title, substr(text, 1, 120) AS snippet FROM pagev WHERE contains(lower(text), 'the') ORDER BY id DESC LIMIT 60"))
@@ -74,18 +111,18 @@ def excerpts(spark, d):
     return lake.prompts(spark, d).select("id", tx.excerpt(F.col("body"), ["ererth"], 100).alias("excerpt"))
 
 
-def _relevance_sql(words):
+def _relevance_sql(words, toks=None):
     p = ", ".join(f"list_contains(t, '{w}') AS p{i}" for i, w in enumerate(words))
     st = ", ".join(f"count(*) FILTER (WHERE p{i}) AS d{i}" for i in range(len(words)))
     idf = [f"ln(1 + n / (1.0 + d{i}))" for i in range(len(words))]
     got = [f"CASE WHEN p{i} THEN {x} ELSE 0 END" for i, x in enumerate(idf)]
     hit = " + ".join(f"CAST(p{i} AS INT)" for i in range(len(words)))
-    return f"+{_T}, c AS (SELECT id, {p} FROM toks), s AS (SELECT count(*) AS n, {st} FROM c) SELECT id, round(({' + '.join(got)}) / ({' + '.join(idf)}) * least(greatest({', '.join(got)}) / ln(1 + n), 1), 6) AS score, {hit} >= 2 AS corroborated FROM c, s WHERE {hit} > 0"
+    return f"+{toks or _HT}, c AS (SELECT id, {p} FROM toks), s AS (SELECT count(*) AS n, {st} FROM c) SELECT id, round(({' + '.join(got)}) / ({' + '.join(idf)}) * least(greatest({', '.join(got)}) / ln(1 + n), 1), 6) AS score, {hit} >= 2 AS corroborated FROM c, s WHERE {hit} > 0"
 
 
 @query(sql("prompts", _relevance_sql(SOME)))
 def injection_relevance(spark, d):
-    return search.relevance(lake.prompts(spark, d), "id", "body", SOME).withColumn("score", F.round("score", 6))
+    return search.relevance(lake.prompt_index(spark, d), SOME).select(F.col("key").alias("id"), F.round("score", 6).alias("score"), "corroborated")
 
 
 @query(sql("prompts", "+f AS (SELECT id, body, trim(regexp_replace(body, '\\s+', ' ', 'g')) AS w FROM prompts) SELECT id, (CASE WHEN length(w) <= 320 THEN w ELSE substr(w, 1, 200) || ' … ' || right(w, 120) END) || '… [compacted ' || strlen(body) || ' bytes]' AS gist FROM f"))
@@ -106,13 +143,15 @@ def payload_hash(spark, d):
     return lake.prompts(spark, d).select("id", F.sha2(lines, 256).alias("payload_hash"), root.alias("root"))
 
 
-@query("WITH w AS (SELECT p_partkey AS id, p_brand, list_distinct(list_filter(string_split_regex(lower(p_name), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM part) SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM w a JOIN w b ON a.p_brand = b.p_brand AND a.id < b.id AND a.id % 10 = 0 AND b.id % 10 = 0 AND len(list_intersect(a.s, b.s)) > 0")
+@query("WITH w AS (SELECT s_suppkey AS id, s_nationkey AS parent, list_distinct(list_filter(string_split_regex(lower(s_name || ' of nation ' || s_nationkey % 3), '[^a-z0-9]+'), lambda x: x <> '')) AS s FROM supplier UNION ALL SELECT 100000 + n_nationkey, n_regionkey, [] FROM nation) SELECT a.id AS a, b.id AS b, round(CASE WHEN len(a.s) + len(b.s) = 0 THEN 1 ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) END, 6) AS jaccard FROM w a JOIN w b ON a.parent = b.parent AND a.id < b.id WHERE len(a.s) + len(b.s) = 0 OR len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.5")
 def title_jaccard(spark, d):
-    words = F.array_distinct(F.filter(F.split(F.lower("p_name"), "[^a-z0-9]+"), lambda x: x != ""))
-    w = lake.table(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), "p_brand", words.alias("s"))
-    a, b = (w.select(F.col("id").alias(k), "p_brand", F.col("s").alias(f"s{k}")) for k in "ab")
-    both = F.size(F.array_intersect("sa", "sb"))
-    return a.join(b, "p_brand").filter("a < b").filter(both > 0).select("a", "b", F.round(both / F.size(F.array_union("sa", "sb")), 6).alias("jaccard"))
+    """Siblings whose titles share at least half of their words; two without a word are alike."""
+    s = lake.table(spark, d, "supplier")
+    title = F.concat("s_name", F.lit(" of nation "), (F.col("s_nationkey") % 3).cast("string"))
+    words = F.array_distinct(F.filter(F.split(F.lower(title), "[^a-z0-9]+"), lambda x: x != ""))
+    rows = s.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("parent"), words.alias("s"))
+    n = lake.table(spark, d, "nation").select((F.col("n_nationkey") + 100_000).cast("long"), "n_regionkey", F.array().cast("array<string>"))
+    return op.similar_titles(rows.union(n), 0.5).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()

@@ -1,11 +1,18 @@
 """Logical frames of the lake over the stored tables."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.lineage import shared_folder
+from quarry.operators.search import TextIndex, write_index
+
 #: Room for a conversation's turns in a sequence number.
 TURNS = 100_000
 DAY_MS = 86_400_000
+#: Characters of a prompt's opening, whose terms weigh more.
+HEAD = 400
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -113,6 +120,26 @@ def indexed(spark: SparkSession, d: str) -> DataFrame:
     return e.select(kind, F.floor(F.col("vec_id") / 5).cast("long").alias("target"), (F.col("vec_id") % 5).cast("int").alias("chunk"), model, F.col("embedding").cast("array<double>").alias("v"))
 
 
+def _index(spark: SparkSession, d: str, name: str, build) -> TextIndex:
+    """An index of one snapshot of a table, written once a session into the shared folder."""
+    files = tuple(sorted(table(spark, d, name).inputFiles()))
+    known = spark.sparkContext.__dict__.setdefault("_quarry_indexes", {})
+    if (name, files) not in known:
+        known[name, files] = build(f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}")
+    return known[name, files]
+
+
+def prompt_index(spark: SparkSession, d: str) -> TextIndex:
+    """Prompts' terms, in the opening lines (head) and after them (tail)."""
+    opening = {"head": F.substring("body", 1, HEAD), "tail": F.substring("body", HEAD + 1, 1 << 30)}
+    return _index(spark, d, "documents", lambda folder: write_index(prompts(spark, d), "id", opening, folder))
+
+
+def page_index(spark: SparkSession, d: str) -> TextIndex:
+    parts = {c: F.col(c) for c in ("title", "url", "text")}
+    return _index(spark, d, "pages", lambda folder: write_index(pages(spark, d), "id", parts, folder))
+
+
 #: The same frames as DuckDB common table expressions.
 CTE = {
     "ledger": "ledger AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts, event_type AS kind, CAST(user_id AS VARCHAR) AS author, user_id AS session, props AS payload, value FROM events)",
