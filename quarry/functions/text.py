@@ -159,3 +159,43 @@ def chunks(text: Column) -> Column:
             yield batch.map(lambda t: [{"ix": i, "start": s, "length": n} for i, (s, n) in enumerate(chunk_spans(t or ""))])
 
     return F.pandas_udf(run, "array<struct<ix:int,start:int,length:int>>")(text)
+
+
+def one_line(text: Column, n: int) -> Column:
+    """Line ends as spaces, the first n characters, and an ellipsis where something was left out."""
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(F.length(flat) > n, F.concat(F.substring(flat, 1, n), F.lit("…"))).otherwise(flat)
+
+
+def both_ends(text: Column, head: int, tail: int) -> Column:
+    """Line ends as spaces; of long texts the first and the last characters."""
+    flat = F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(F.length(flat) > head + tail, F.concat(F.substring(flat, 1, head), F.lit(" … "), F.right(flat, F.lit(tail)))).otherwise(flat)
+
+
+def safe_segment(text: Column) -> Column:
+    """A name as one path segment: other characters than letters, digits, - and _ of ASCII become _; never empty."""
+    out = F.regexp_replace(text, "[^A-Za-z0-9_-]", "_")
+    return F.when(out == "", "_").otherwise(out)
+
+
+def basename(path: Column) -> Column:
+    name = F.substring_index(F.regexp_replace(path, "/+$", ""), "/", -1)
+    return F.when(name == "", path).otherwise(name)
+
+
+def identities(key: Column, name: Column) -> list[Column]:
+    """principal, its fingerprint, and the device and agent of a name, from a public key's bytes."""
+    raw = lambda label: F.concat(key.cast("binary"), F.unhex(F.lit("00")), F.concat(F.lit(label), name).cast("binary"))
+    principal = F.sha2(key, 256)
+    return [principal.alias("principal"), F.substring(principal, 1, 16).alias("fingerprint"), F.sha2(raw("device:"), 256).alias("device"), F.sha2(raw("agent:"), 256).alias("agent")]
+
+
+def fence(text: Column, label: Column, nonce: str) -> Column:
+    """A text between lines that only this nonce can close."""
+    return F.concat(F.lit(f"<<<ITEM nonce={nonce} "), label, F.lit(">>>\n"), F.regexp_replace(text, "\n+$", ""), F.lit(f"\n<<<END nonce={nonce}>>>\n"))
+
+
+def unfence(text: Column, nonce: str) -> Column:
+    """The text of the first fenced item with this nonce."""
+    return F.regexp_extract(text, f"(?s)<<<ITEM nonce={nonce} [^\n]*?>>>\n(.*?)\n<<<END nonce={nonce}>>>", 1)

@@ -1,6 +1,9 @@
 """Trees, chains and time-bounded claims."""
 
-import pandas as pd
+import hashlib
+import json
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,29 +66,46 @@ def event_body():
     return F.to_json(F.struct("seq", "ts", "kind", "author", "payload_hash", "prev_hash"), {"ignoreNullFields": "false"})
 
 
+CHAIN = "chain string, seq long, ts long, kind string, author string, payload_hash string, prev_hash string, entry_hash string"
+
+
 def build_chain(events: DataFrame, chain: str) -> DataFrame:
-    """Hash-chained rows (chain, seq, ts, kind, author, payload_hash, prev_hash, entry_hash); sequential within a chain by nature."""
-    import hashlib
-    import json
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        prev, rows = GENESIS, []
-        for r in part.sort_values("seq").itertuples(index=False):
-            body = {"seq": int(r.seq), "ts": int(r.ts), "kind": r.kind, "author": r.author, "payload_hash": r.payload_hash, "prev_hash": prev}
-            entry = hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-            rows.append((r.chain, r.seq, r.ts, r.kind, r.author, r.payload_hash, prev, entry))
-            prev = entry
-        return pd.DataFrame(rows, columns=["chain", "seq", "ts", "kind", "author", "payload_hash", "prev_hash", "entry_hash"])
+    """CHAIN rows, each with the hash of the one before.
+
+    A chain is sequential by nature, so one task goes through it, in order and batch by batch: it holds the last hash, not the rows.
+    """
+    names = [c.split()[0] for c in CHAIN.split(", ")]
+
+    def run(batches):
+        of, prev = None, GENESIS
+        for b in batches:
+            hashes = []
+            for r in b.to_pylist():
+                if r["chain"] != of:
+                    of, prev = r["chain"], GENESIS
+                body = {k: r[k] for k in ("seq", "ts", "kind", "author", "payload_hash")} | {"prev_hash": prev}
+                entry = hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+                hashes.append((prev, entry))
+                prev = entry
+            more = [pa.array([h[k] for h in hashes], pa.string()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
 
     src = events.select(F.col(chain).cast("string").alias("chain"), "seq", "ts", "kind", "author", F.sha2("payload", 256).alias("payload_hash"))
-    schema = "chain string, seq long, ts long, kind string, author string, payload_hash string, prev_hash string, entry_hash string"
-    return src.groupBy("chain").applyInPandas(run, schema)
+    return src.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(run, CHAIN)
 
 
 def verify_chain(rows: DataFrame) -> DataFrame:
-    """(chain, checked, ok, first_bad_seq, head): every row is checked by itself against the stored hash before it."""
+    """(chain, checked, ok, n_bad, first_bad_seq, head): every row is checked by itself against the stored hash before it."""
+    return verify_after(rows, None)
+
+
+def verify_after(rows: DataFrame, anchors: DataFrame | None) -> DataFrame:
+    """As verify_chain for the rows after each chain's anchor (chain, anchor: the hash they begin at; else the beginning of all)."""
     w = Window.partitionBy("chain").orderBy("seq")
-    bad = (F.lag("entry_hash", 1, GENESIS).over(w) != F.col("prev_hash")) | (F.sha2(event_body(), 256) != F.col("entry_hash"))
+    if anchors is not None:
+        rows = rows.join(anchors, "chain", "left")
+    begin = F.lit(GENESIS) if anchors is None else F.coalesce("anchor", F.lit(GENESIS))
+    bad = (F.coalesce(F.lag("entry_hash").over(w), begin) != F.col("prev_hash")) | (F.sha2(event_body(), 256) != F.col("entry_hash"))
     return rows.withColumn("bad", bad).groupBy("chain").agg(
         F.count("*").alias("checked"), F.count_if("bad").alias("n_bad"), F.min(F.when(F.col("bad"), F.col("seq"))).alias("first_bad_seq"),
         F.max_by("entry_hash", "seq").alias("head"),

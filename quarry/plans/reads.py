@@ -25,14 +25,6 @@ def lake_cursor_page(spark, d):
     return lake.ledger(spark, d).filter("seq > 1000").orderBy("seq").limit(51).select("seq", "kind")
 
 
-@query(sql("ledger turns", "SELECT l.seq, l.kind, t.role, CASE WHEN length(t.body) > 4000 THEN substr(t.body, 1, 4000) || '…' ELSE t.body END AS body FROM ledger l LEFT JOIN turns t ON t.session = l.session AND t.turn = 0 WHERE l.seq > 200 AND l.kind <> 'view' AND coalesce(t.role, '') <> 'assistant' ORDER BY l.seq LIMIT 300"))
-def lake_delta(spark, d):
-    first = lake.turns(spark, d).filter("turn = 0").select("session", "role", "body")
-    rows = lake.ledger(spark, d).filter("seq > 200 AND kind <> 'view'").join(first, "session", "left")
-    rows = rows.filter(F.coalesce("role", F.lit("")) != "assistant").orderBy("seq").limit(300)
-    return rows.select("seq", "kind", "role", op.clip(F.col("body"), 4000).alias("body"))
-
-
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY 1")
 def counts_by_day(spark, d):
     return lake.table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))

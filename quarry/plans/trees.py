@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.operators import graph
+from quarry.plans.records import _CHAINED
 from quarry.registry import query
 from quarry.sources import lake
 from quarry.sources.lake import sql
@@ -90,9 +91,9 @@ def canonical_event_hash(spark, d):
     return rows.select("seq", F.sha2(graph.event_body(), 256).alias("entry_hash"))
 
 
-@query("SELECT CAST(user_id AS VARCHAR) AS chain, count(*) AS checked, 0 AS n_bad, true AS ok FROM events GROUP BY 1")
+@query(sql("ledger", _CHAINED + ", h AS (SELECT *, lag(entry, 1, repeat('0', 64)) OVER (PARTITION BY session ORDER BY i) <> prev AS unlinked FROM c) SELECT CAST(session AS VARCHAR) AS chain, count(*) AS checked, count(*) FILTER (WHERE unlinked) AS n_bad, max_by(entry, i) AS head, count(*) FILTER (WHERE unlinked) = 0 AS ok FROM h GROUP BY session", True))
 def chain_verify(spark, d):
-    return graph.verify_chain(graph.build_chain(lake.ledger(spark, d), "session")).select("chain", "checked", "n_bad", "ok")
+    return graph.verify_chain(graph.build_chain(lake.ledger(spark, d), "session")).select("chain", "checked", "n_bad", "head", "ok")
 
 
 @query("SELECT CAST(user_id AS VARCHAR) AS chain, min(event_id) AS first_bad_seq FROM events WHERE event_id % 1000 = 7 GROUP BY 1")
