@@ -2,13 +2,16 @@
 
 Balls first: vectors of one label within BALL of a leader are all linked to each other by the triangle inequality, so
 a ball of copies is one node with a weight, found in chunks before anything is shuffled and merged in rounds. Leaders
-go to overlapping cluster shards, split again while a shard is too large; each shard builds its robust-pruned
-adjacency, a leader's lists are united over its shards, and every leader is searched for in its home shard: greedily from
-the medoid and its own list, then expanding through all nodes within range. Balls that are certainly linked or
-certainly not are decided by leaders and radii; the members of all others are compared exactly.
+are clustered several times over around pivots drawn anew, so that shards overlap; a shard that is too large is split
+again. Each shard builds its robust-pruned adjacency, and a leader's lists are united over its shards. In every shard all
+leaders are searched for: from the medoid and their own lists greedily, then expanding through all nodes within range. A
+pair is counted, for both its ends, in the first shard that both share. Balls that are certainly linked or certainly not
+are decided by leaders and radii; the members of all others are compared exactly.
+
+The audit counts the links of a few vectors by brute force; while the share found is below RECALL, further clusterings are
+added. What a clustering separates depends on how many shards there are, so larger labels get more of them.
 """
 
-import heapq
 import math
 
 import numpy as np
@@ -21,7 +24,13 @@ from quarry.llm.common import cut
 from quarry.llm.components import components
 from quarry.llm.vectors import finite_vectors, matrix
 
-CHUNK, SHARD, PIVOTS, OVERLAP, DEGREE, ALPHA, BEAM = 2048, 1200, 48, 3, 24, 1.2, 48
+CHUNK, SHARD, PIVOTS, DEGREE, ALPHA = 2048, 1200, 48, 24, 1.2
+#: Nearest nodes that a search opens besides those in range, in rounds of so many.
+GREEDY = (6, 4)
+#: Clusterings added at a time and at most; vectors audited; the share of their links to be found.
+CLUSTERINGS, MOST, AUDITED, RECALL = 4, 32, 64, 0.95
+#: The least members of a ball; members of two balls compared at once.
+LEAST, BLOCK = 16, 256
 BALLS = "id long, label int, dim int, v array<double>, leader long, n long, radius double"
 
 
@@ -93,150 +102,228 @@ def _balls(unit: DataFrame, ball: float) -> tuple[DataFrame, DataFrame]:
         top = top.repartitionByRange("label", "code", "id").sortWithinPartitions("label", "code", "id").drop("code")
 
 
-def _shards(leaders: DataFrame) -> DataFrame:
-    """Leaders with their shards (shard long, home boolean); a shard above SHARD is split by pivots of its own."""
-    at = leaders.withColumn("shard", F.xxhash64("label", "dim")).withColumn("home", F.lit(True))
+def _kept_balls(unit: DataFrame, of: DataFrame, leaders: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As _balls, with balls of fewer than LEAST members dissolved: their vectors are nodes themselves, and pairs of such are
+    decided where they are found."""
+    small = leaders.filter(F.col("n") < LEAST).select(F.col("id").alias("leader"), F.lit(True).alias("small"))
+    of = cut(of.join(small, "leader", "left").select("id", F.when(F.col("small"), F.col("id")).otherwise(F.col("leader")).alias("leader"), F.coalesce("small", F.lit(False)).alias("alone")))
+    alone = unit.join(of.filter("alone").select("id"), "id", "left_semi").select("id", "label", "dim", "v", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("radius"))
+    kept = leaders.filter(F.col("n") >= LEAST).select("id", "label", "dim", "v", "n", "radius")
+    return of.select("id", "leader"), cut(kept.union(alone))
+
+
+def _clustered(leaders: DataFrame, seed: int) -> DataFrame:
+    """(id, shard): every leader with the shard of one clustering; a shard above SHARD is split by pivots of its own."""
+    at = leaders.select("id", "label", "dim", "v").withColumn("shard", F.xxhash64("label", "dim"))
     done, depth = None, 0
     while True:
         at = cut(at)
         sizes = at.groupBy("shard").agg(F.count("*").alias("size"))
-        small = at.join(sizes.filter(F.col("size") <= SHARD), "shard", "left_semi")
-        done = small if done is None else done.unionByName(small)
+        small = at.join(sizes.filter(F.col("size") <= SHARD), "shard", "left_semi").select("id", "shard")
+        done = small if done is None else done.union(small)
         large = sizes.filter(F.col("size") > SHARD)
-        if depth == 12 or large.isEmpty():
-            # copies beyond any pivots' reach: the last shards are dealt out as they are
-            return done if depth < 12 else done.unionByName(at.join(large, "shard", "left_semi"))
+        if depth == 24 or large.isEmpty():
+            return done if depth < 24 else done.union(at.join(large, "shard", "left_semi").select("id", "shard"))
         want = F.least(F.lit(PIVOTS), F.ceil(F.col("size") / (SHARD / 2))) / F.col("size")
-        order = F.pmod(F.xxhash64("id", F.lit(depth)), F.lit(1 << 30)) / (1 << 30)
-        chosen = at.join(large, "shard").filter(order < 1.5 * want)
-        pivots = chosen.groupBy("shard").agg(F.slice(F.sort_array(F.collect_list(F.struct(order.alias("o"), "id", "v"))), 1, PIVOTS).alias("p"))
-        pivots = pivots.select("shard", F.col("p.id").alias("pid"), F.col("p.v").alias("pv"))
+        order = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(depth)), F.lit(1 << 30)) / (1 << 30)
+        drawn = at.join(large, "shard").select("shard", (order < 1.5 * want).alias("in"), F.struct(order.alias("o"), "id", "v").alias("p"))
+        # the least is there where chance draws none; a shard that one pivot leaves whole is drawn for again
+        pivots = drawn.groupBy("shard").agg(F.slice(F.sort_array(F.collect_list(F.when(F.col("in"), F.col("p")))), 1, PIVOTS).alias("some"), F.min("p").alias("least"))
+        pivots = pivots.withColumn("p", F.when(F.size("some") > 0, F.col("some")).otherwise(F.array("least"))).select("shard", F.col("p.id").alias("pid"), F.col("p.v").alias("pv"))
 
         def deal(batches):
             for b in batches:
                 if not b.num_rows:
                     continue
                 p = b.to_pandas()
-                row, to, home = [], [], []
+                to = np.zeros(len(p), np.int64)
                 for _, i in p.groupby("shard").indices.items():
                     pid = np.asarray(p.pid.iloc[i[0]], np.int64)
-                    d = np.sqrt(np.maximum(0, 2 - 2 * matrix(p.v.iloc[i]) @ matrix(pd.Series(list(p.pv.iloc[i[0]]))).T))
-                    near = np.argsort(d, axis=1, kind="stable")[:, :OVERLAP]
-                    gap = np.take_along_axis(d, near, 1)
-                    ok = gap <= gap[:, :1] + 0.25
-                    ok[~p.home.to_numpy()[i], 1:] = False  # guests don't multiply
-                    x, y = np.nonzero(ok)
-                    row.extend(i[x])
-                    to.extend(pid[near[x, y]])
-                    home.extend(p.home.to_numpy()[i[x]] & (y == 0))
-                t = b.drop_columns(["pid", "pv", "shard", "home"]).take(pa.array(row, pa.int64()))
-                yield t.append_column("pivot", pa.array(to, pa.int64())).append_column("old", b.column("shard").take(pa.array(row, pa.int64()))).append_column("home", pa.array(home, pa.bool_()))
-
-        kept = "id long, label int, dim int, v array<double>, n long, radius double"
-        moved = at.join(pivots, "shard").select("id", "label", "dim", "v", "n", "radius", "shard", "home", "pid", "pv")
-        moved = moved.mapInArrow(deal, kept + ", pivot long, old long, home boolean")
-        at = moved.withColumn("shard", F.xxhash64("old", "pivot", F.lit(depth))).drop("pivot", "old")
+                    near = matrix(p.v.iloc[i]) @ matrix(pd.Series(list(p.pv.iloc[i[0]]))).T
+                    to[i] = pid[near.argmax(axis=1)]
+                yield b.drop_columns(["pid", "pv"]).append_column("pivot", pa.array(to))
+
+        moved = at.join(pivots, "shard").select("id", "label", "dim", "v", "shard", "pid", "pv")
+        moved = moved.mapInArrow(deal, "id long, label int, dim int, v array<double>, shard long, pivot long")
+        at = moved.withColumn("shard", F.xxhash64("shard", "pivot", F.lit(seed), F.lit(depth))).drop("pivot")
         depth += 1
 
 
-def robust_prune(i: int, candidates: np.ndarray, d: np.ndarray, between: np.ndarray) -> list[int]:
-    """Neighbours of i among candidates (nearest first by d): one is dropped when a kept one is ALPHA times closer to it than i is."""
-    kept: list[int] = []
-    alive = candidates != i
-    for k in range(len(candidates)):
-        if alive[k]:
-            kept.append(int(candidates[k]))
-            if len(kept) == DEGREE:
-                break
-            alive &= ALPHA * between[candidates[k], candidates] > d
-            alive[: k + 1] = False
+def _distances(v: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0, 2 - 2 * v @ v.T))
+
+
+def robust_prune(d: np.ndarray) -> np.ndarray:
+    """(n, DEGREE) neighbours of all nodes, -1 where there are fewer, given the distances between them.
+
+    Candidates are the nearest and some drawn at random, nearest first; one is dropped when a kept one is ALPHA times
+    closer to it than the node is.
+    """
+    n = len(d)
+    wide = min(n, 3 * DEGREE)
+    rows = np.arange(n)[:, None]
+    c = np.concatenate([np.argpartition(d, wide - 1, axis=1)[:, :wide], np.random.default_rng(5).integers(0, n, (n, 8))], axis=1)
+    dc = d[rows, c]
+    order = np.argsort(dc, axis=1, kind="stable")
+    c, dc = c[rows, order], dc[rows, order]
+    alive, kept = c != rows, np.full((n, DEGREE), -1)
+    for k in range(DEGREE):
+        at = alive.argmax(axis=1)
+        some = alive[rows[:, 0], at]
+        if not some.any():
+            break
+        to = c[rows[:, 0], at]
+        kept[some, k] = to[some]
+        alive &= (ALPHA * d[to[:, None], c] > dc) & some[:, None]
+        alive[rows[:, 0], at] = False
     return kept
 
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
-    v, ids = matrix(part.v), part.id.to_numpy()
-    d = np.sqrt(np.maximum(0, 2 - 2 * v @ v.T))
-    wide = min(len(v), 3 * DEGREE)
-    near = np.argpartition(d, wide - 1, axis=1)[:, :wide]
-    rng = np.random.default_rng(5)
-    lists = []
-    for i in range(len(v)):
-        c = np.unique(np.append(near[i], rng.integers(0, len(v), 8)))
-        c = c[np.argsort(d[i, c], kind="stable")]
-        lists.append(ids[robust_prune(i, c, d[i, c], d)])
-    return pd.DataFrame({"id": ids, "out": lists})
-
-
-def range_search(i: int, v: np.ndarray, out: list[np.ndarray], start: list[int], limit: np.ndarray) -> np.ndarray:
-    """Nodes j with a distance to i of at most limit[j], met on a greedy walk and by expanding all met within range."""
-    seen, q = np.zeros(len(v), bool), v[i]
-    begin = np.unique(start)
-    seen[begin] = True
-    d0 = np.sqrt(np.maximum(0, 2 - 2 * v[begin] @ q))
-    heap = list(zip(d0.tolist(), begin.tolist()))
-    heapq.heapify(heap)
-    inside, best = [x for d, x in heap if d <= limit[x]], sorted(d for d, _ in heap)[:BEAM]
-    while heap:
-        d, x = heapq.heappop(heap)
-        if d > limit[x] and len(best) >= BEAM and d > best[-1]:
+    ids = part.id.to_numpy()
+    kept = robust_prune(_distances(matrix(part.v)))
+    return pd.DataFrame({"id": ids, "out": [ids[x[x >= 0]].tolist() for x in kept]})
+
+
+def range_search(d: np.ndarray, limit: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """(n, n): for every node, those within its limits that a search meets which starts from the medoid and the node itself,
+    opens the nearest nodes met so far, and then expands through all nodes in range. out: neighbours, -1 for none."""
+    n = len(d)
+    seen, opened = np.eye(n, dtype=bool), np.zeros((n, n), bool)
+    seen[:, int(d.sum(axis=1).argmin())] = True
+
+    def expand(open_: np.ndarray) -> None:
+        q, x = np.nonzero(open_)
+        opened[q, x] = True
+        for s in range(0, len(q), 1 << 16):
+            to = out[x[s : s + (1 << 16)]]
+            i, j = np.nonzero(to >= 0)
+            seen[q[s + i], to[i, j]] = True
+
+    expand(seen.copy())
+    width, rounds = min(GREEDY[0], n - 1), GREEDY[1]
+    for _ in range(rounds if n > 1 else 0):
+        far = np.where(seen & ~opened, d, np.inf)
+        near = np.argpartition(far, width - 1, axis=1)[:, :width]
+        open_ = np.zeros((n, n), bool)
+        open_[np.arange(n)[:, None], near] = True
+        open_ &= np.isfinite(far)
+        if not open_.any():
             break
-        nxt = out[x][~seen[out[x]]]
-        if len(nxt):
-            seen[nxt] = True
-            dn = np.sqrt(np.maximum(0, 2 - 2 * v[nxt] @ q))
-            inside.extend(nxt[dn <= limit[nxt]].tolist())
-            for pair in zip(dn.tolist(), nxt.tolist()):
-                heapq.heappush(heap, pair)
-            best = sorted(best + dn.tolist())[:BEAM]
-    return np.array([x for x in inside if x != i], np.int64)
+        expand(open_)
+    inside = d <= limit
+    while (open_ := seen & inside & ~opened).any():
+        expand(open_)
+    found = seen & inside
+    np.fill_diagonal(found, False)
+    return found | found.T
 
 
 def _search(reach: float, threshold: float):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("id").reset_index(drop=True)
         v, ids, n, r = matrix(part.v), part.id.to_numpy(), part.n.to_numpy(), part.radius.to_numpy()
-        place = {x: k for k, x in enumerate(ids.tolist())}
-        out = [np.unique(np.array([place[y] for y in x if y in place], np.int64)) for x in part.out]
-        back: list[list[int]] = [[] for _ in ids]
-        for k, x in enumerate(out):
-            for y in x.tolist():
-                back[y].append(k)
-        out = [np.union1d(x, np.array(y, np.int64)) for x, y in zip(out, back)]
-        medoid = int(np.argmax(v @ v.mean(axis=0)))
-        rows = []
-        for i in np.flatnonzero(part.home.to_numpy()).tolist():
-            found = range_search(i, v, out, [medoid, i], reach + r[i] + r)
-            if not len(found):
-                continue
-            d = np.sqrt(np.maximum(0, 2 - 2 * v[found] @ v[i]))
-            point = (r[found] == 0) & (r[i] == 0)
-            sure = np.where(point, v[found] @ v[i] >= threshold, d + r[i] + r[found] <= reach - 1e-6)
-            open_ = found[~sure & ~point]
-            if sure.any() or len(open_):
-                # one certain link is enough for the component; the least is nearest to the representative
-                rows.append((ids[i], int(n[found[sure]].sum()), ids[found[sure]], ids[open_]))
-        # a spanning forest of the certain links
-        parent = np.arange(len(ids))
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = x = parent[parent[x]]
-            return x
-
-        slim = []
-        for a, extra, sure, open_ in rows:
-            kept = []
-            for b in sure.tolist():
-                x, y = root(place[int(a)]), root(place[b])
-                if x != y:
-                    parent[x] = y
-                    kept.append(b)
-            slim.append((a, extra, kept, open_.tolist()))
-        return pd.DataFrame(slim, columns=["id", "extra", "links", "open"]).astype({"id": "int64", "extra": "int64"})
+        shards, t = np.array(part.shards.tolist(), np.int64).reshape(len(part), -1), int(part.t.iloc[0])
+        near, place = v @ v.T, {x: k for k, x in enumerate(ids.tolist())}
+        d = np.sqrt(np.maximum(0, 2 - 2 * near))
+        lists = [[place[y] for y in x if y in place] for x in part.out]
+        for k, x in enumerate(list(map(list, lists))):
+            for y in x:
+                lists[y].append(k)
+        out = np.full((len(ids), max(1, max(map(len, lists)))), -1)
+        for k, x in enumerate(lists):
+            out[k, : len(x)] = x
+        found = np.triu(range_search(d, reach + r[:, None] + r[None], out))
+        x, y = np.nonzero(found)
+        fresh = ~(shards[x, :t] == shards[y, :t]).any(axis=1)  # else an earlier shard has the pair
+        x, y = x[fresh], y[fresh]
+        point = (r[x] == 0) & (r[y] == 0)
+        sure = np.where(point, near[x, y] >= threshold, d[x, y] + r[x] + r[y] <= reach - 1e-6)
+        extra = np.bincount(x[sure], n[y[sure]], len(ids)) + np.bincount(y[sure], n[x[sure]], len(ids))
+        parent = np.arange(len(ids))  # a spanning forest of the certain links
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = i = parent[parent[i]]
+            return i
+
+        links: list[list[int]] = [[] for _ in ids]
+        for i, j in zip(x[sure].tolist(), y[sure].tolist()):
+            a, b = root(i), root(j)
+            if a != b:
+                parent[b] = a
+                links[i].append(int(ids[j]))
+        open_: list[list[int]] = [[] for _ in ids]
+        for i, j in zip(x[~sure & ~point].tolist(), y[~sure & ~point].tolist()):
+            open_[i].append(int(ids[j]))
+        some = np.array([k for k in range(len(ids)) if extra[k] or links[k] or open_[k]], np.int64)
+        rows = {"id": ids[some].astype("int64"), "extra": extra[some].astype("int64"), "links": pd.Series([links[k] for k in some], dtype=object), "open": pd.Series([open_[k] for k in some], dtype=object)}
+        return pd.DataFrame(rows)
 
     return run
 
 
+def _found(leaders: DataFrame, shards: list[DataFrame], done: int, reach: float, threshold: float) -> DataFrame:
+    """(id, extra, links, open) from the clusterings from number `done` on."""
+    of = None
+    for t, s in enumerate(shards):
+        s = s.select("id", F.col("shard").alias(f"s{t}"))
+        of = s if of is None else of.join(s, "id")
+    of = of.select("id", F.array(*[f"s{t}" for t in range(len(shards))]).alias("shards"))
+    each = F.explode(F.sequence(F.lit(done), F.lit(len(shards) - 1))).alias("t")
+    held = leaders.join(of, "id").select("id", "v", "n", "radius", "shards", each).withColumn("shard", F.element_at("shards", F.col("t") + 1))
+    lists = held.select("shard", "t", "id", "v").groupBy("shard", "t").applyInPandas(_build, "id long, out array<long>")
+    lists = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out"))
+    return cut(held.join(lists, "id").groupBy("shard", "t").applyInPandas(_search(reach, threshold), "id long, extra long, links array<long>, open array<long>"))
+
+
+def _compared(members: DataFrame, leaders: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
+    """(id, other, n): for the members of open pairs of balls, the links to the other ball. Blocks of both meet once."""
+    pairs = found.select(F.col("id").alias("a"), F.explode("open").alias("b"))
+    sizes = lambda c, m: leaders.select(F.col("id").alias(c), F.sequence(F.lit(0), F.ceil(F.col("n") / BLOCK).cast("int") - 1).alias(m))
+    pairs = pairs.join(sizes("a", "i"), "a").join(sizes("b", "j"), "b").select("a", "b", F.explode("i").alias("i"), "j").select("a", "b", "i", F.explode("j").alias("j"))
+    wanted = pairs.select(F.col("a").alias("leader")).union(pairs.select("b")).distinct()
+    dealt = members.join(wanted, "leader", "left_semi").join(leaders.select(F.col("id").alias("leader"), F.ceil(F.col("n") / BLOCK).alias("of")), "leader")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("id"), F.col("of")).cast("int"))
+    blocks = cut(dealt.groupBy("leader", "block").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
+
+    def compare(batches):
+        for b in batches:
+            for a, c, x, y in zip(*(b.column(k).to_pylist() for k in ("a", "b", "x", "y"))):
+                hit = np.array([r["v"] for r in x]) @ np.array([r["v"] for r in y]).T >= threshold
+                n = np.concatenate([hit.sum(1), hit.sum(0)])
+                ids, other = [r["id"] for r in [*x, *y]], [c] * len(x) + [a] * len(y)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(other, pa.int64()), pa.array(n, pa.int64())], ["id", "other", "n"])
+
+    side = lambda c, k, v: blocks.select(F.col("leader").alias(c), F.col("block").alias(k), F.col("rows").alias(v))
+    tried = pairs.join(side("a", "i", "x"), ["a", "i"]).join(side("b", "j", "y"), ["b", "j"]).select("a", "b", "x", "y")
+    return cut(tried.mapInArrow(compare, "id long, other long, n long").filter("n > 0"))
+
+
+def _true_links(unit: DataFrame, threshold: float, audited: int) -> dict[int, int]:
+    """The links of about `audited` vectors, by brute force: they are sent along, and every vector is compared with them."""
+    n = unit.count()
+    chance = F.pmod(F.xxhash64("id", F.lit("audit")), F.lit(1 << 30)) / (1 << 30)
+    asked = unit.filter(chance < (audited / n if n else 0)).select("id", "label", "dim", "v").limit(4 * audited).collect()
+    if not asked:
+        return {}
+    ids, kinds = np.array([r["id"] for r in asked]), [(r["label"], r["dim"]) for r in asked]
+    by = {k: np.array([i for i, x in enumerate(kinds) if x == k]) for k in set(kinds)}
+    q = {k: np.array([asked[i]["v"] for i in i_]) for k, i_ in by.items()}
+
+    def run(batches):
+        for b in batches:
+            total = np.zeros(len(ids), np.int64)
+            p = b.to_pandas()
+            for k, i in p.groupby(["label", "dim"]).indices.items():
+                if k in by:
+                    total[by[k]] += (matrix(p.v.iloc[i]) @ q[k].T >= threshold).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["id", "n"])
+
+    sums = unit.select("label", "dim", "v").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return {r["id"]: max(r["n"] - 1, 0) for r in sums.collect()}  # a vector is near itself
+
+
 def near_duplicate_vectors(table: DataFrame, threshold: float = 0.93) -> DataFrame:
     """(vec_id, n_links, component_id, kept): links by cosine >= threshold between vectors of one non-null label.
 
@@ -245,57 +332,51 @@ def near_duplicate_vectors(table: DataFrame, threshold: float = 0.93) -> DataFra
     """
     reach = math.sqrt(2 - 2 * threshold)
     rows = cut(finite_vectors(table, "label"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    live = rows.filter("valid AND label IS NOT NULL").withColumn("norm", norm)
-    unit = cut(live.select("id", F.col("label").cast("int").alias("label"), F.size("v").alias("dim"), F.transform("v", lambda x: x / F.col("norm")).alias("v")))
-    of, leaders = _balls(unit, 0.49 * reach)
-    shards = cut(_shards(leaders))
-    lists = shards.groupBy("shard").applyInPandas(_build, "id long, out array<long>")
-    lists = lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("out"))).alias("out"))
-    found = shards.join(lists, "id").groupBy("shard").applyInPandas(
-        _search(reach, threshold), "id long, extra long, links array<long>, open array<long>"
-    )
-    found = cut(found)
-    members = cut(of.join(unit.select("id", "v"), "id"))
-
-    # open pairs of balls: each member against blocks of the other ball's members
-    open_ = found.select(F.col("id").alias("leader"), F.explode("open").alias("other"))
-    size = leaders.select(F.col("id").alias("other"), F.ceil(F.col("n") / 256).cast("int").alias("of"))
-    there = members.withColumnRenamed("leader", "other").join(open_.select("other").distinct(), "other", "left_semi").join(size, "other")
-    block = F.pmod(F.xxhash64("id"), F.col("of")).alias("block")
-    there = there.groupBy("other", block).agg(F.collect_list("v").alias("vs"))
-
-    def compare(batches):
-        for b in batches:
-            n = []
-            for v, vs in zip(b.column("v").to_pylist(), b.column("vs").to_pylist()):
-                n.append(int((np.asarray(vs) @ np.asarray(v) >= threshold).sum()))
-            yield b.select(["id", "leader", "other"]).append_column("n", pa.array(n, pa.int64()))
-
-    tried = members.join(open_, "leader").join(there, "other").select("id", "leader", "other", "v", "vs")
-    checked = cut(tried.mapInArrow(compare, "id long, leader long, other long, n long").filter("n > 0"))
+    unit = cut(_units_of(rows))
+    of, leaders = _kept_balls(unit, *_balls(unit, 0.49 * reach))
+    members = of.join(unit.select("id", "v"), "id")
+    true = _true_links(unit, threshold, AUDITED)
+    shards: list[DataFrame] = []
+    found = checked = None
+    while True:
+        done = len(shards)
+        shards += [cut(_clustered(leaders, seed)) for seed in range(done, done + CLUSTERINGS)]
+        more = _found(leaders, shards, done, reach, threshold)
+        more_checked = _compared(members, leaders, more, threshold)
+        found, checked = (more, more_checked) if found is None else (found.union(more), checked.union(more_checked))
+        extra = found.groupBy(F.col("id").alias("leader")).agg(F.sum("extra").alias("extra"))
+        own = checked.groupBy("id").agg(F.sum("n").alias("own"))
+        balls = leaders.select(F.col("id").alias("leader"), "n").join(extra, "leader", "left")
+        n_links = (F.col("n") - 1 + F.coalesce("extra", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n_links")
+        counted = cut(of.join(balls, "leader").join(own, "id", "left").select("id", "leader", n_links))
+        got = {r["id"]: r["n_links"] for r in counted.filter(F.col("id").isin([*true])).collect()} if true else {}
+        all_ = sum(true.values())
+        if not all_ or sum(min(got.get(i, 0), n) for i, n in true.items()) >= RECALL * all_ or len(shards) >= MOST:
+            break
     edges = found.select(F.col("id").alias("a"), F.explode("links").alias("b"))
-    groups = components(edges.union(checked.select("leader", "other").distinct()))
-    extra = found.groupBy(F.col("id").alias("leader")).agg(F.sum("extra").alias("extra"))
-    own = checked.groupBy("id").agg(F.sum("n").alias("own"))
-    balls = leaders.select(F.col("id").alias("leader"), "n").join(extra, "leader", "left")
-    balls = balls.join(groups.withColumnRenamed("id", "leader"), "leader", "left").withColumn("node", F.coalesce("component_id", "leader"))
-    named = of.join(balls.drop("component_id"), "leader").join(own, "id", "left")
-    least = named.groupBy("node").agg(F.min("id").alias("component_id"))
-    links = (F.col("n") - 1 + F.coalesce("extra", F.lit(0)) + F.coalesce("own", F.lit(0))).alias("n_links")
-    out = named.join(least, "node").select("id", links, "component_id")
+    named = checked.join(of, "id").select(F.col("leader").alias("a"), F.col("other").alias("b")).distinct()
+    groups = components(edges.union(named))
+    nodes = counted.join(groups.withColumnRenamed("id", "leader"), "leader", "left").withColumn("node", F.coalesce("component_id", "leader")).drop("component_id")
+    least = nodes.groupBy("node").agg(F.min("id").alias("component_id"))
+    out = nodes.join(least, "node").select("id", "n_links", "component_id")
     rest = rows.filter("NOT valid OR label IS NULL").select("id", F.lit(0).cast("long"), F.col("id"))
     out = out.union(rest)
     return out.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
 
 
-def audit_recall(table: DataFrame, result: DataFrame, threshold: float = 0.93, every: int = 50) -> float:
-    """Share of the links of each `every`-th vector, counted by brute force, that the result counts too."""
-    rows = finite_vectors(table, "label").filter("valid AND label IS NOT NULL")
-    some = rows.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select(F.col("id").alias("q"), "label", F.col("v").alias("w"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    cosine = dot("v", "w") / F.sqrt(dot("v", "v") * dot("w", "w"))
-    true = rows.join(some, "label").filter("id <> q").filter(cosine >= threshold).groupBy("q").agg(F.count("*").alias("true"))
-    both = true.join(result.select(F.col("vec_id").alias("q"), "n_links"), "q")
-    found, all_ = both.agg(F.sum(F.least("true", "n_links")), F.sum("true")).first()
-    return 1.0 if not all_ else found / all_
+def unit_vectors(table: DataFrame) -> DataFrame:
+    """(id, label, dim, v) of the vectors that take part, at length 1."""
+    return _units_of(finite_vectors(table, "label"))
+
+
+def _units_of(rows: DataFrame) -> DataFrame:
+    live = rows.filter("valid AND label IS NOT NULL").withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
+    unit = F.transform("v", lambda x: x / F.col("norm")).alias("v")
+    return live.select("id", F.col("label").cast("int").alias("label"), F.size("v").alias("dim"), unit)
+
+
+def audit_recall(table: DataFrame, result: DataFrame, threshold: float = 0.93, audited: int = 500) -> float:
+    """Share of the links of about `audited` vectors, counted by brute force, that the result counts too."""
+    true = _true_links(unit_vectors(table), threshold, audited)
+    got = {r["vec_id"]: r["n_links"] for r in result.filter(F.col("vec_id").isin([*true])).collect()}
+    return sum(min(got[i], n) for i, n in true.items()) / max(1, sum(true.values())) if any(true.values()) else 1.0
