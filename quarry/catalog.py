@@ -1,6 +1,6 @@
 """All queries of the library by name."""
 
-from quarry.plans import maintenance, reads, records, retrieval, scopes, streams, texts, trees, vectors  # noqa: F401  they register
+from quarry.plans import curation, maintenance, reads, records, retrieval, scopes, streams, texts, trees, vectors  # noqa: F401  they register
 from quarry.registry import QUERIES, SQL
 
 

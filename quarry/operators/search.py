@@ -109,3 +109,19 @@ def relevance(index: TextIndex, words: list[str], keys: DataFrame | None = None)
     by = hits.groupBy("key").agg(F.sum(weight).alias("got"), F.max(weight).alias("rarest"), F.count("*").alias("n"), F.bool_or(named).alias("named"))
     score = F.col("got") / sum(idf[w] for w in words) * F.least(F.col("rarest") / math.log(1 + n), F.lit(1.0))
     return by.select("key", score.alias("score"), ((F.col("n") >= 2) | F.col("named")).alias("corroborated"))
+
+
+def resolve(nodes: DataFrame, words: list[str], order: list) -> DataFrame:
+    """The one node that words name, or none: nodes (with t, their tokens) need a word whole; the widest cover by whole words and
+    beginnings wins, by `order` among equals; a cover of one word that several nodes have names none."""
+    whole = [F.array_contains("t", w) for w in words]
+    begun = [~a & F.exists("t", _begins(w)) if len(w) >= tx.PREFIX_FROM else F.lit(False) for a, w in zip(whole, words)]
+    total = lambda tests: sum((c.cast("int") for c in tests), F.lit(0))
+    strong = nodes.withColumn("exact", total(whole)).withColumn("prefix", total(begun)).filter("exact >= 1")
+    cover = F.col("exact") + F.col("prefix")
+    widest = strong.agg(F.max(cover).alias("widest"), F.count("*").alias("n"))  # one row
+    return strong.crossJoin(F.broadcast(widest)).filter((cover == F.col("widest")) & ~((F.col("widest") == 1) & (F.col("n") > 1))).orderBy(*order).limit(1)
+
+
+def _begins(w: str):
+    return lambda x: x.startswith(w)

@@ -8,20 +8,6 @@ from quarry.sources import lake
 from quarry.sources.lake import sql
 
 
-@query(sql("prompts links", "+cold AS (SELECT node FROM links GROUP BY node HAVING max(ts) < 1600000000000) SELECT id, strlen(body) AS bytes FROM prompts WHERE strlen(body) >= 2048 AND ('c:' || id IN (SELECT node FROM cold) OR 'c:' || id NOT IN (SELECT node FROM links)) ORDER BY bytes DESC, id LIMIT 40"))
-def compaction_candidates(spark, d):
-    last = lake.links(spark, d).groupBy("node").agg(F.max("ts").alias("last_ts"))
-    p = lake.prompts(spark, d).select("id", F.octet_length("body").alias("bytes"), F.concat(F.lit("c:"), F.col("id").cast("string")).alias("node"))
-    due = p.filter("bytes >= 2048").join(last, "node", "left").filter("last_ts IS NULL OR last_ts < 1600000000000")
-    return due.orderBy(F.desc("bytes"), "id").limit(40).select("id", "bytes")
-
-
-@query(sql("links", "SELECT node, count(*) AS n, max(ts) AS last_ts FROM links GROUP BY node HAVING count(*) >= 5 ORDER BY last_ts DESC, node LIMIT 3"))
-def observation_nodes(spark, d):
-    n = lake.links(spark, d).groupBy("node").agg(F.count("*").alias("n"), F.max("ts").alias("last_ts"))
-    return n.filter("n >= 5").orderBy(F.desc("last_ts"), "node").limit(3)
-
-
 @query("SELECT item_id, count(doc_id) AS hits, min(doc_id) AS first FROM benchmark b LEFT JOIN documents d ON contains(d.text, substr(b.text, 1, 40)) GROUP BY item_id")
 def gold_hits(spark, d):
     # the probes are a small fixed set: each text is scanned once for all of them

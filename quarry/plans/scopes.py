@@ -65,10 +65,10 @@ def preview_notes(spark, d):
 _CLOSE = "+kin AS (SELECT id FROM nodes WHERE id = 'r:1' OR parent = 'r:1' OR parent IN (SELECT id FROM nodes WHERE parent = 'r:1')) "
 
 
-@query(sql("nodes asked", _CLOSE + "SELECT seq, principal, role FROM asked WHERE (principal IN (SELECT id FROM kin) OR device IN (SELECT id FROM kin) OR agent IN (SELECT id FROM kin)) AND org = 'o1' AND run = 'r1' AND role IN ('user', 'assistant') AND ts >= 1704067200000 AND ts < 1714067200000"))
+@query(sql("nodes asked", _CLOSE + "SELECT seq, principal, role FROM asked WHERE (principal IN (SELECT id FROM kin) OR device IN (SELECT id FROM kin) OR agent IN (SELECT id FROM kin)) AND org = 'o1' AND role IN ('user', 'assistant') AND ts >= 1704067200000 AND ts < 1714067200000"))
 def scope_predicate(spark, d):
     kin = op.principal_closure(lake.nodes(spark, d).select("id", "parent"), "r:1")
-    rows = op.scoped(lake.asked(spark, d), principals=kin, org="o1", run="r1", roles=["user", "assistant"], after=DAY0, before=1_714_067_200_000)
+    rows = op.scoped(lake.asked(spark, d), principals=kin, org="o1", roles=["user", "assistant"], after=DAY0, before=1_714_067_200_000)
     return rows.select("seq", "principal", "role")
 
 

@@ -46,13 +46,6 @@ def subtree_coldness(spark, d):
     return rolled.crossJoin(F.broadcast(span)).select("node", "n", "last_ts", cold.alias("cold"))
 
 
-@query(sql("nodes links", "SELECT 'contains' AS kind, parent AS a, id AS b, 1 AS weight FROM nodes WHERE parent LIKE 'r:%' UNION ALL SELECT 'holds', node, 'o:' || min(id), count(*) FROM links GROUP BY node HAVING count(*) >= 15"))
-def memory_map(spark, d):
-    contains = lake.nodes(spark, d).filter("parent LIKE 'r:%'").select(F.lit("contains").alias("kind"), F.col("parent").alias("a"), F.col("id").alias("b"), F.lit(1).cast("long").alias("weight"))
-    held = lake.links(spark, d).groupBy("node").agg(F.min("id").alias("first"), F.count("*").alias("weight")).filter("weight >= 15")
-    return contains.union(held.select(F.lit("holds"), "node", F.concat(F.lit("o:"), F.col("first").cast("string")), "weight"))
-
-
 @query("SELECT o_orderkey AS old_seq, last_value(o_orderkey) OVER w AS head, count(*) OVER w - row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS hops FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) QUALIFY hops > 0")
 def supersession_heads(spark, d):
     # orders are renumbered by rank in time, so that each edge goes forward
@@ -78,13 +71,6 @@ def unresolved_alternatives(spark, d):
     return found.select("subject", "n", F.array_join("choices", ",").alias("choices"))
 
 
-@query(sql("claims", "+probes AS (SELECT DISTINCT subject, recorded_at AS at FROM claims WHERE id % 7 = 0) SELECT p.subject, p.at, c.id, c.value FROM probes p JOIN claims c ON c.subject = p.subject AND c.valid_from <= p.at AND (c.valid_until IS NULL OR c.valid_until > p.at)"))
-def bitemporal_asof(spark, d):
-    c = lake.claims(spark, d)
-    probes = c.filter("id % 7 = 0").select("subject", F.col("recorded_at").alias("at")).distinct()
-    return probes.join(c, "subject").filter("valid_from <= at AND (valid_until IS NULL OR valid_until > at)").select("subject", "at", "id", "value")
-
-
 @query("SELECT event_id AS seq, sha256('{\"seq\":' || event_id || ',\"ts\":' || (epoch_us(ts) // 1000) || ',\"kind\":\"' || event_type || '\",\"author\":\"' || user_id || '\",\"payload_hash\":\"' || sha256(props) || '\",\"prev_hash\":null}') AS entry_hash FROM events")
 def canonical_event_hash(spark, d):
     rows = lake.ledger(spark, d).withColumn("payload_hash", F.sha2("payload", 256)).withColumn("prev_hash", F.lit(None).cast("string"))
