@@ -32,3 +32,13 @@ def quantize(a) -> tuple[Column, Column]:
 
 def int_dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x * y).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
+
+
+def hashed_embedding(text, dim: int) -> Column:
+    """A test embedder: words hashed into dim places with a sign, at length 1; zeros for a text without words."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
+    zero = F.array_repeat(F.lit(0.0), 2 * dim)
+    counts = F.aggregate(place, zero, lambda acc, p: F.transform(acc, lambda x, i: F.when(i == p, x + 1).otherwise(x)))
+    signed = F.zip_with(F.slice(counts, 1, dim), F.slice(counts, dim + 1, dim), lambda a, b: a - b)
+    return unit(signed)

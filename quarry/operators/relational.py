@@ -118,16 +118,24 @@ def within_budget(rows: DataFrame, by: str, order: list, cost: Column, budget: i
     return rows.withColumn("spent", spent).withColumn("place", F.row_number().over(w)).filter((F.col("spent") <= budget) | (F.col("place") == 1))
 
 
-def pick_quantiles(rows: DataFrame, by: str, value: str, fractions: dict[str, float]) -> DataFrame:
-    """Per group n, and for each name the value at index round((n - 1) * fraction) of the ascending values."""
-    # counts of equal values first, so that no group is sorted as a whole
+def _ranked(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """(by, value, upto, n): values with how many are no larger; equal ones are counted first, so that no group is sorted as a whole."""
     counts = rows.groupBy(by, value).count()
     w = Window.partitionBy(by).orderBy(value)
     upto = F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("count").over(Window.partitionBy(by))
-    ranked = counts.withColumn("upto", upto).withColumn("n", total)
+    return counts.withColumn("upto", upto).withColumn("n", F.sum("count").over(Window.partitionBy(by)))
+
+
+def pick_quantiles(rows: DataFrame, by: str, value: str, fractions: dict[str, float]) -> DataFrame:
+    """Per group n, and for each name the value at index round((n - 1) * fraction) of the ascending values."""
     pick = [F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) * f + 0.5), F.col(value))).alias(k) for k, f in fractions.items()]
-    return ranked.groupBy(by).agg(F.max("n").alias("n"), *pick)
+    return _ranked(rows, by, value).groupBy(by).agg(F.max("n").alias("n"), *pick)
+
+
+def nearest_ranks(rows: DataFrame, by: str, value: str, fractions: dict[str, float]) -> DataFrame:
+    """Per group n, and for each name the smallest value that has at least that share of the values at or below it."""
+    pick = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") * f), F.col(value))).alias(k) for k, f in fractions.items()]
+    return _ranked(rows, by, value).groupBy(by).agg(F.max("n").alias("n"), *pick)
 
 
 def co_occurrence(filed: DataFrame, min_weight: int = 1, parents: DataFrame | None = None, block: int = 256) -> DataFrame:

@@ -58,10 +58,11 @@ def lake_envelope(spark, d):
 @query("SELECT CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(kind) = 0 THEN 'kind' WHEN grouping(author) = 0 THEN 'author' ELSE 'all' END AS facet, coalesce(day, kind, author, '') AS key, count(*) AS n FROM (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type AS kind, CAST(user_id AS VARCHAR) AS author FROM events WHERE event_id > 100) GROUP BY GROUPING SETS ((day), (kind), (author), ())")
 def stats_grouping_sets(spark, d):
     base = lake.table(spark, d, "events").filter("event_id > 100")
-    base.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("author")).createOrReplaceTempView("quarry_stats")
+    base = base.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_type").alias("kind"), F.col("user_id").cast("string").alias("author"))
     return spark.sql(
         "SELECT CASE WHEN grouping(day) = 0 THEN 'day' WHEN grouping(kind) = 0 THEN 'kind' WHEN grouping(author) = 0 THEN 'author' ELSE 'all' END AS facet,"
-        " coalesce(day, kind, author, '') AS key, count(*) AS n FROM quarry_stats GROUP BY GROUPING SETS ((day), (kind), (author), ())"
+        " coalesce(day, kind, author, '') AS key, count(*) AS n FROM {base} GROUP BY GROUPING SETS ((day), (kind), (author), ())",
+        base=base,
     )
 
 
@@ -82,10 +83,9 @@ def nearest_rank_latency(spark, d):
 
 @query("SELECT count(*) AS n, round(avg(value), 6) AS mean, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, max(value) AS max FROM events")
 def dist_summary(spark, d):
-    return lake.table(spark, d, "events").agg(
-        F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("p50"),
-        F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY value)").alias("p95"), F.max("value").alias("max"),
-    )
+    e = lake.table(spark, d, "events").select(F.lit(1).alias("all"), "value")
+    sums = e.groupBy("all").agg(F.round(F.avg("value"), 6).alias("mean"), F.max("value").alias("max"))
+    return op.nearest_ranks(e, "all", "value", {"p50": 0.5, "p95": 0.95}).join(sums, "all").select("n", "mean", "p50", "p95", "max")
 
 
 @query("SELECT role, count(*) AS n, CAST(sum(strlen(text)) AS BIGINT) AS bytes, count(*) FILTER (WHERE length(text) > 400) AS n_long FROM conversations GROUP BY role")
@@ -109,12 +109,13 @@ def consecutive_dedup(spark, d):
     return op.drop_repeats_in_a_row(lake.table(spark, d, "events"), "user_id", "event_id", "event_type").select("event_id", "user_id", "event_type")
 
 
-@query("SELECT doc_id FROM (SELECT *, row_number() OVER (PARTITION BY sha256(text), source ORDER BY doc_id) AS r FROM documents) WHERE r = 1 OR lang = 'en'")
+@query(sql("prompts", "+r AS (SELECT *, CASE WHEN surface <> 'en' THEN project END AS run FROM prompts), t AS (SELECT DISTINCT body_hash, project AS run FROM prompts WHERE id % 4 = 0 AND surface <> 'en') SELECT id FROM r WHERE run IS NULL UNION ALL SELECT min(id) FROM r WHERE run IS NOT NULL AND (body_hash, run) NOT IN (SELECT (body_hash, run) FROM t) GROUP BY body_hash, run"))
 def insert_dedup(spark, d):
+    """Rows of no run all go in; of a run, the first of equal ones, and none that the target has already."""
     rows = lake.prompts(spark, d).withColumn("run", F.when(F.col("surface") != "en", F.col("project")))
-    rest = rows.withColumn("run", F.col("project"))
-    whole = op.insert_new(rest, None, ["body_hash"], "run", "id").select("id")
-    return whole.union(rows.filter("run IS NULL").select("id")).distinct().select(F.col("id").alias("doc_id"))
+    rows = rows.select("id", "body_hash", "run").union(rows.filter("run IS NULL").limit(0).select("id", "body_hash", "run"))
+    target = lake.prompts(spark, d).filter("id % 4 = 0 AND surface <> 'en'").select("body_hash", F.col("project").alias("run"))
+    return op.insert_new(rows, target, ["body_hash"], "run", "id").select("id")
 
 
 @query("SELECT l_partkey AS target, arg_min(l_suppkey, l_orderkey * 10 + l_linenumber) AS node FROM lineitem GROUP BY 1")
@@ -180,7 +181,25 @@ def turn_groups(spark, d):
     return lake.turns(spark, d).withColumn("unit", unit).groupBy("session", "unit").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
 
-@query(sql("ledger", "SELECT seq, CASE WHEN kind LIKE 'p%' THEN 'fileable' ELSE 'other' END AS filing, TRY_CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM ledger WHERE regexp_matches(author, '^[0-9]')"))
+# The decision kinds that are filed.
+DECISIONS = ("decision", "resolution", "approval", "reopen", "review_verdict", "pin", "source_trust")
+_KINDS = "CASE kind WHEN 'click' THEN 'prompt' WHEN 'signup' THEN 'note' WHEN 'purchase' THEN 'approval' WHEN 'error' THEN 'revision' ELSE 'visit' END"
+
+
+@query(sql("ledger", f"+k AS (SELECT seq, author, payload, {_KINDS} AS kind, CASE WHEN kind = 'view' THEN 'browse_event' END AS ref FROM ledger) SELECT seq, kind IN ('prompt', 'note', 'approval') OR coalesce(ref = 'browse_event', false) AS fileable, CASE WHEN kind = 'prompt' THEN 'prompt' WHEN ref = 'browse_event' THEN 'browse_event' WHEN kind IN ('note', 'revision') THEN kind ELSE 'decision' END AS target_kind, TRY_CAST(json_extract_string(payload, '$.k') AS BIGINT) AS k FROM k WHERE regexp_matches(author, '^[0-9]')"))
 def case_mappings(spark, d):
-    filing = F.when(F.col("kind").startswith("p"), "fileable").otherwise("other")
-    return lake.ledger(spark, d).filter(F.col("author").rlike("^[0-9]")).select("seq", filing.alias("filing"), F.get_json_object("payload", "$.k").try_cast("long").alias("k"))
+    """What can be filed and as what; event types stand in for kinds."""
+    names = {"click": "prompt", "signup": "note", "purchase": "approval", "error": "revision", "view": "visit"}
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), F.col("kind"))
+    rows = lake.ledger(spark, d).filter(F.col("author").rlike("^[0-9]")).withColumn("ref", F.when(F.col("kind") == "view", "browse_event")).withColumn("kind", kind)
+    page = F.coalesce(F.col("ref") == "browse_event", F.lit(False))
+    fileable = F.col("kind").isin("prompt", "note", *DECISIONS) | page
+    target = F.when(F.col("kind") == "prompt", "prompt").when(page, "browse_event").when(F.col("kind").isin("note", "revision"), F.col("kind")).otherwise("decision")
+    return rows.select("seq", fileable.alias("fileable"), target.alias("target_kind"), F.get_json_object("payload", "$.k").try_cast("long").alias("k"))
+
+
+@query(sql("ledger", "SELECT seq, key, value FROM (SELECT seq, unnest(json_keys(payload)) AS key, payload FROM ledger WHERE json_valid(payload)), LATERAL (SELECT json_extract_string(payload, key) AS value)"))
+def json_entries(spark, d):
+    """The entries of stored JSON objects; what isn't JSON has none."""
+    entries = F.explode(F.map_entries(F.from_json("payload", "map<string,string>")))
+    return lake.ledger(spark, d).select("seq", entries.alias("e")).select("seq", "e.key", "e.value")

@@ -4,36 +4,62 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from quarry.functions import vector
+from quarry.operators.lineage import shared_folder
 from quarry.registry import query
 from quarry.streaming import streams
 
 
 def _folder(spark) -> str:
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
-def _stage(spark, d: str, base: str) -> str:
-    # a stream reads a folder; the table may be a single file
-    spark.read.parquet(f"{d}/events.parquet").write.parquet(f"{base}/in")
-    return f"{base}/in"
-
-
-@query("SELECT event_id, user_id, event_type FROM events")
+@query("SELECT event_id, user_id, count(*) AS n FROM (SELECT event_id, user_id FROM events UNION ALL SELECT event_id, user_id FROM events WHERE event_id % 5 = 0) GROUP BY event_id, user_id")
 def stream_dedup(spark, d):
+    """Every third event comes again within the time to live and is dropped; every fifth comes again long after, in a second
+    run over the same checkpoint, and counts anew."""
     base = _folder(spark)
-    stream = streams.dedup_events(streams.event_stream(spark, _stage(spark, d, base)))
-    streams.run_available(stream.select("event_id", "user_id", "event_type"), f"{base}/out", f"{base}/state")
-    return spark.read.parquet(f"{base}/out")
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id")
+    soon = e.filter("event_id % 3 = 0").withColumn("ts", F.expr("ts + INTERVAL 60 SECONDS"))
+    # an event far ahead moves the watermark past all others
+    ahead = e.agg(F.expr("max(ts) + INTERVAL 30 DAYS").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"))
+    late = e.filter("event_id % 5 = 0").withColumn("ts", F.expr("ts + INTERVAL 90 DAYS"))
+    for batch in (e.union(soon).union(ahead), late):
+        batch.write.mode("append").parquet(f"{base}/in")
+        stream = streams.dedup_events(streams.event_stream(spark, f"{base}/in"))
+        streams.run_available(stream.select("event_id", "user_id"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").filter("event_id >= 0").groupBy("event_id", "user_id").agg(F.count("*").alias("n"))
 
 
 @query("WITH o AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS new FROM events), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM g GROUP BY user_id, s")
 def stream_session_counts(spark, d):
+    """Session windows, written once the watermark has passed their end: state is kept for open ones only."""
     base = _folder(spark)
-    counted = streams.session_counts(streams.event_stream(spark, _stage(spark, d, base)))
+    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id")
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(f"{base}/in")
+    # an event far ahead moves the watermark past the last session
+    end = events.agg(F.expr("max(ts) + INTERVAL 30 DAYS").alias("ts")).select(F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(-1).cast("long").alias("user_id"))
+    end.write.mode("append").parquet(f"{base}/in")
+    counted = streams.session_counts(streams.event_stream(spark, f"{base}/in"))
     flat = counted.select("user_id", F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
-    flat.writeStream.outputMode("complete").foreachBatch(lambda b, i: b.write.mode("overwrite").parquet(f"{base}/out")).option(
-        "checkpointLocation", f"{base}/state"
-    ).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    streams.run_available(flat, f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").filter("user_id >= 0")
+
+
+@query("SELECT doc_id AS id, n_chars AS chars FROM documents WHERE text IS NOT NULL AND doc_id >= 0")
+def stream_index(spark, d):
+    """A continuous index: each batch of new texts is embedded and appended; two runs over one checkpoint do every text once."""
+    base = _folder(spark)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs.filter("doc_id % 2 = 0").write.parquet(f"{base}/in")
+
+    def tick(batch, number):
+        v = vector.hashed_embedding(F.col("text"), 64)
+        batch.filter("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.length("text").cast("long").alias("chars"), v.alias("v")).write.mode("append").parquet(f"{base}/index")
+
+    for _ in range(2):
+        stream = streams.event_stream(spark, f"{base}/in")
+        stream.writeStream.foreachBatch(tick).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        docs.filter("doc_id % 2 <> 0").write.mode("overwrite").parquet(f"{base}/more")
+        spark.read.parquet(f"{base}/more").filter(F.lit(_ == 0)).write.mode("append").parquet(f"{base}/in")
+    return spark.read.parquet(f"{base}/index").filter(F.size("v") == 64).select("id", "chars")

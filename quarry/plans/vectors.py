@@ -30,9 +30,9 @@ def quantized_cosine(spark, d):
     return rows.crossJoin(probe).select("id", F.round(vx.int_dot("c", "qc") * F.col("s") * F.col("qs"), 6).alias("score"))
 
 
-@query(sql("vecs", "SELECT a.id // 5 AS target, round(max(" + _COS.format("a.v", "q.v") + "), 6) AS score FROM vecs a, vecs q WHERE q.id = 0 AND a.node IN (1, 2, 3) GROUP BY 1 ORDER BY score DESC, target LIMIT 20"))
+@query(sql("vecs", "SELECT a.id // 5 AS target, round(max(" + _COS.format("a.v", "q.v") + "), 6) AS score FROM vecs a, vecs q WHERE q.id = 0 GROUP BY 1 ORDER BY score DESC, target LIMIT 20"))
 def max_chunk_topk(spark, d):
-    rows = lake.vectors(spark, d).filter(F.col("node").isin(1, 2, 3)).crossJoin(_probe(spark, d))
+    rows = lake.vectors(spark, d).crossJoin(_probe(spark, d))
     scored = rows.select(F.floor(F.col("id") / 5).cast("long").alias("target"), vx.cosine("v", "q").alias("s"))
     return scored.groupBy("target").agg(F.round(F.max("s"), 6).alias("score")).orderBy(F.desc("score"), "target").limit(20)
 
@@ -54,15 +54,34 @@ def centroids(vectors):
     return at.groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda r: r["s"]).alias("c"), F.max("n").alias("n"))
 
 
-def ranked_centroids(vectors):
-    """(id, node, top1, score, margin): each vector's nearest centroid of all classes; classes are few, so they are sent along."""
-    c = F.broadcast(centroids(vectors).select(F.col("node").alias("to"), "c"))
-    scored = vectors.crossJoin(c).select("id", "node", "to", F.round(vx.cosine("v", "c"), 9).alias("s"))
-    best = scored.groupBy("id", "node").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", (-F.col("to")).alias("neg"))))), 1, 2).alias("top"))
+#: Bytes of centroids that are sent to every task; beyond, vectors meet them in blocks.
+SENT = 64 << 20
+
+
+def _met(vectors, cents):
+    """Every vector with every centroid (to, c, n): sent along where they are proven small, else by blocks of classes."""
+    size = cents.agg(F.count("*"), F.max(F.size("c"))).first()
+    if size[0] * (size[1] or 0) * 8 <= SENT:
+        return vectors.crossJoin(F.broadcast(cents))
+    blocks = -(-size[0] * size[1] * 8 // SENT)
+    dealt = cents.withColumn("block", F.pmod(F.xxhash64("to"), F.lit(blocks)))
+    return vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").drop("block")
+
+
+def _best_two(scored):
+    """(id, node, top1, score, margin) by similarity, ties to the smaller class; a class alone has a margin of 1."""
+    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", (-F.col("to")).alias("neg"))))), 1, 2)
+    best = scored.groupBy("id", "node").agg(top.alias("top"))
     second = F.try_element_at("top", F.lit(2))["s"]
     return best.select("id", "node", (-F.col("top")[0]["neg"]).alias("top1"), F.col("top")[0]["s"].alias("score"), F.coalesce(F.col("top")[0]["s"] - second, F.lit(1.0)).alias("margin"))
 
 
+def ranked_centroids(vectors):
+    """(id, node, top1, score, margin): each vector's nearest centroid of all classes."""
+    cents = centroids(vectors).withColumnRenamed("node", "to")
+    return _best_two(_met(vectors, cents).select("id", "node", "to", F.round(vx.cosine("v", "c"), 9).alias("s")))
+
+
 _RANKED = "+" + _CENT + ", sc AS (SELECT v.id, v.node, c.node AS \"to\", round(list_cosine_similarity(v.v, c.c), 9) AS s FROM vecs v, cent c), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS r, s - lead(s) OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS margin FROM sc) "
 
 
@@ -77,23 +96,38 @@ def margin_decide(spark, d):
     return ranked_centroids(lake.vectors(spark, d)).select("id", F.when(ok, "file").otherwise("inbox").alias("verdict"))
 
 
-_GRID = "g AS (SELECT t.i / 100.0 AS t1, m.i / 100.0 AS margin FROM (SELECT 10 + 5 * i AS i FROM range(0, 10) q(i)) t, (SELECT 2 * i AS i FROM range(0, 11) q(i)) m)"
+_GRID = "g AS (SELECT t.i / 100.0 AS t1, m.i / 100.0 AS margin FROM (SELECT 40 + 5 * i AS i FROM range(0, 10) q(i)) t, (SELECT 2 * i AS i FROM range(0, 11) q(i)) m)"
+# The grid's first threshold, its steps, and the precision to be kept.
+T1, STEP, GAP, PRECISION = 0.40, 0.05, 0.02, 0.90
+_LOO = "+" + _CENT + ", sc AS (SELECT v.id, v.node, c.node AS \"to\", round(list_cosine_similarity(v.v, CASE WHEN c.node = v.node THEN list_transform(list_zip(c.c, v.v), lambda x: x[1] - x[2]) ELSE c.c END), 9) AS s FROM vecs v, cent c WHERE c.n > 1 OR c.node <> v.node), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS r, s - lead(s) OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS margin FROM sc), " + _GRID + ", cells AS (SELECT t1, margin, (SELECT count(*) FROM rk WHERE r = 1 AND s >= t1 AND round(rk.margin, 9) >= g.margin) AS filed, (SELECT count(*) FROM rk WHERE r = 1 AND s >= t1 AND round(rk.margin, 9) >= g.margin AND \"to\" = node) AS correct FROM g) "
 
 
-@query(sql("vecs", "+" + _CENT + ", sc AS (SELECT v.id, v.node, c.node AS \"to\", round(list_cosine_similarity(v.v, CASE WHEN c.node = v.node THEN list_transform(list_zip(c.c, v.v), lambda x: x[1] - x[2]) ELSE c.c END), 9) AS s FROM vecs v, cent c WHERE c.n > 1 OR c.node <> v.node), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS r, s - lead(s) OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS gap FROM sc), " + _GRID + " SELECT g.t1, g.margin, count(*) FILTER (WHERE s >= t1 AND gap >= g.margin) AS filed, count(*) FILTER (WHERE s >= t1 AND gap >= g.margin AND node = \"to\") AS correct FROM rk, g WHERE r = 1 GROUP BY 1, 2"))
-def leave_one_out_grid(spark, d):
-    v = lake.vectors(spark, d)
-    c = F.broadcast(centroids(v).select(F.col("node").alias("to"), "c", "n"))
+def filing_grid(spark, v):
+    """(t1, margin, filed, correct) of leave-one-out filing at every cell of the grid: each vector is counted once, in the last
+    cell that it passes, and cells then add up all beyond them."""
+    cents = centroids(v).withColumnRenamed("node", "to")
     own = F.when(F.col("to") == F.col("node"), F.zip_with("c", "v", lambda x, y: x - y)).otherwise(F.col("c"))
-    scored = v.crossJoin(c).filter("n > 1 OR to <> node").select("id", "node", "to", F.round(vx.cosine(own, "v"), 9).alias("s"))
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", (-F.col("to")).alias("neg"))))), 1, 2)
-    best = scored.groupBy("id", "node").agg(top.alias("t")).select(
-        (-F.col("t")[0]["neg"] == F.col("node")).alias("right"), F.col("t")[0]["s"].alias("s"), (F.col("t")[0]["s"] - F.col("t")[1]["s"]).alias("gap")
-    )
-    grid = spark.range(10).select((F.col("id") * 5 + 10).alias("a")).crossJoin(spark.range(11).select((F.col("id") * 2).alias("b")))
-    grid = F.broadcast(grid.select((F.col("a") / 100.0).alias("t1"), (F.col("b") / 100.0).alias("margin")))  # 110 rows
-    ok = (F.col("s") >= F.col("t1")) & (F.col("gap") >= F.col("margin"))
-    return best.crossJoin(grid).groupBy("t1", "margin").agg(F.count_if(ok).alias("filed"), F.count_if(ok & F.col("right")).alias("correct"))
+    scored = _met(v, cents).filter("n > 1 OR to <> node").select("id", "node", "to", F.round(vx.cosine(own, "v"), 9).alias("s"))
+    best = _best_two(scored).filter(F.col("score") >= T1)
+    i = F.least(F.floor((F.col("score") - T1) / STEP + 1e-6), F.lit(9))
+    j = F.least(F.floor(F.round("margin", 9) / GAP + 1e-6), F.lit(10))
+    cells = best.groupBy(i.alias("i"), j.alias("j")).agg(F.count("*").alias("n"), F.count_if(F.col("top1") == F.col("node")).alias("k"))  # at most 110
+    grid = spark.range(110).select(F.floor(F.col("id") / 11).alias("a"), (F.col("id") % 11).alias("b"))
+    beyond = grid.join(F.broadcast(cells), (F.col("i") >= F.col("a")) & (F.col("j") >= F.col("b")), "left")
+    sums = beyond.groupBy("a", "b").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("filed"), F.coalesce(F.sum("k"), F.lit(0)).alias("correct"))
+    return sums.select(F.round(T1 + F.col("a") * STEP, 2).alias("t1"), F.round(F.col("b") * GAP, 2).alias("margin"), "filed", "correct")
+
+
+@query(sql("vecs", _LOO + "SELECT t1, margin, filed, correct FROM cells"))
+def leave_one_out_grid(spark, d):
+    return filing_grid(spark, lake.vectors(spark, d))
+
+
+@query(sql("vecs", _LOO + "SELECT t1, margin, filed FROM cells WHERE filed > 0 AND correct >= 0.9 * filed ORDER BY filed DESC, t1 DESC, margin DESC LIMIT 1"))
+def filing_thresholds(spark, d):
+    """The cell with the most filed among those that are right often enough; of equals the stricter."""
+    ok = filing_grid(spark, lake.vectors(spark, d)).filter((F.col("filed") > 0) & (F.col("correct") >= PRECISION * F.col("filed")))
+    return ok.orderBy(F.desc("filed"), F.desc("t1"), F.desc("margin")).limit(1).select("t1", "margin", "filed")
 
 
 @query(sql("prompts", "SELECT id, first_value(id) OVER (PARTITION BY body_hash ORDER BY id) AS kept FROM prompts"))
