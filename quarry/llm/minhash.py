@@ -41,6 +41,18 @@ def sketch(members: np.ndarray, registers: int = BANDS * ROWS) -> np.ndarray:
         return np.zeros(len(low), np.uint16)
     for s in range(0, len(members), 4096):
         low = np.minimum(low, (members[s : s + 4096, None] * by).min(axis=0))
+    return _levels(low)
+
+
+def sketches(members: np.ndarray, begin: np.ndarray, n: np.ndarray, registers: int) -> np.ndarray:
+    """(len(begin), registers): the sketches of stretches of an array of hashes, none of them empty."""
+    place = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    x, first = members[place], np.cumsum(n) - n
+    low = np.stack([np.minimum.reduceat(x * by, first) for by in _MULTIPLIERS[:registers]], axis=1)
+    return _levels(low)
+
+
+def _levels(low: np.ndarray) -> np.ndarray:
     x = -np.log1p(-(low.astype(np.float64) + 0.5) / 2.0**64) / RATE
     k = np.floor(1.0 - np.log(np.maximum(x, 1e-300)) / np.log(BASE))
     return np.clip(k, 0, LEVELS + 1).astype(np.uint16)
@@ -216,13 +228,15 @@ def classes_of(items: DataFrame) -> DataFrame:
     return cut(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
 
 
-def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS) -> DataFrame:
+def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS, judged: bool = True) -> DataFrame:
     """(id, component_id) of those of items (id, n, sketch), one for each class, that have links.
 
     Links: 100 * intersection >= percent * union; component_id is the smallest id reachable. Every pair that
     shares a band is either in one component already or compared on full sets; a pair at 0.85 shares none of 16 bands of
-    4 with a probability of 8e-6, one at 0.8 with 3e-4. rows: registers of a band.
+    4 with a probability of 8e-6, one at 0.8 with 3e-4. rows: registers of a band. judged: pairs that their sketches make hopeless
+    are not compared on full sets; else n is not asked for.
     """
+    hopeful = lambda pairs: _hopeful_pairs(pairs, items, percent / 100) if judged else pairs
     bands = _bands(items, rows)
     # the pivot is the least id under a scrambling of its own in every bucket
     low = F.min(F.col("id").bitwiseXOR(F.col("key")))
@@ -230,7 +244,7 @@ def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percen
     members = cut(bands.join(pivots.filter("size > 1"), "key"))
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     stars = members.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).select(*pair)
-    stars = cut(_hopeful_pairs(stars.distinct(), items, percent / 100))
+    stars = cut(hopeful(stars.distinct()))
     # full sets only of those that a sketch leaves in question, or that share a bucket of three or more
     asked = stars.select(F.explode(F.array("a", "b")).alias("id")).union(members.filter("size > 2").select("id"))
     sets = cut(load_sets(asked.distinct()))
@@ -244,7 +258,7 @@ def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percen
     small = left.filter((F.col("size") <= SMALL_BUCKET) & (F.col("id") != F.col("pivot")))
     x, y = (small.select("key", F.col("id").alias(i), F.col("comp").alias(c)) for i, c in (("x", "cx"), ("y", "cy")))
     near = x.join(y, "key").filter("x < y AND cx <> cy").select(*pair).distinct()
-    found = _confirmed(_hopeful_pairs(near, items, percent / 100), sets, percent)
+    found = _confirmed(hopeful(near), sets, percent)
 
     large = left.filter(F.col("size") > SMALL_BUCKET)
     n_blocks = F.ceil(F.col("size") / BLOCK).cast("int")

@@ -1,6 +1,6 @@
 """Repeated passages: stretches of words of different documents that are equal or nearly so.
 
-A paragraph is a line, with the lines after it as long as it has fewer than MIN_WORDS words. Bands of SetSketch registers
+A paragraph is a line of MIN_WORDS words or more, or shorter lines in a row with JOINED words together. Bands of SetSketch registers
 over its 5-word shingles, tuned for recall, bring paragraphs together; exact Jaccard similarities confirm them;
 components are clusters, and all but the first paragraph of a cluster (by doc_id and place) are removed.
 
@@ -12,40 +12,58 @@ go on equal, which gives the longest common stretch.
 Places are counted in words of the text: passages don't depend on white space or on the case of A-Z.
 """
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import HashKey, blocks, cut, run_hashes, shingle_sets, string_buffer, word_hashes, word_places
-from quarry.llm.minhash import linked, sketch
+from quarry.llm.common import HashKey, blocks, cut, mix, run_hashes, shingle_sets, string_buffer, word_hashes, word_places
+from quarry.llm.minhash import linked, sketches
 
 #: The least words of a passage.
 MIN_WORDS = 25
-#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of seven with a probability of 0.9992.
-BANDS, ROWS = 7, 2
+#: Words at which lines too short to stand alone make up a paragraph.
+JOINED = 60
+#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of six with a probability of 0.998.
+BANDS, ROWS = 6, 2
 #: Words of an anchor, and runs of which the one with the least hash is one.
 RUN, WINDOW = 16, 34
 
-_PARAGRAPH = np.dtype([("at", "<i4"), ("n", "<i4"), ("size", "<i4"), ("digest", "V16"), ("sketch", f"V{2 * BANDS * ROWS}")])
+_PARAGRAPH = np.dtype([("at", "<i4"), ("n", "<i4"), ("digest", "V16"), ("sketch", f"V{2 * BANDS * ROWS}")])
 _ANCHOR = np.dtype([("h", "<i8"), ("at", "<i4")])
 
 
-def _digest(members: np.ndarray) -> bytes:
-    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+def _digests(h: np.ndarray, begin: np.ndarray, n: np.ndarray, key: HashKey) -> np.ndarray:
+    """(len(begin), 2): keyed 128-bit digests of stretches of word hashes: sums with a secret multiplier for each place."""
+    out = np.zeros((len(begin), 2), np.uint64)
+    place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    x, first = h[np.repeat(begin, n) + place], np.cumsum(n) - n
+    for lane in (0, 1):
+        by = mix(place.astype(np.uint64) * key.ends[lane] + key.shingle[lane]) | np.uint64(1)
+        out[:, lane] = mix(np.add.reduceat(x * by, first) + n.astype(np.uint64) * key.ends[2])
+    return out
+
 
+def _joined(line_at: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first word, words) of a text's paragraphs, given the word numbers at which its lines begin and the last ends.
 
-def _joined(line_at: np.ndarray, least: int) -> np.ndarray:
-    """Word numbers at which a text's paragraphs begin, and the last one's end, given those of its lines."""
-    out, end = [int(line_at[0])], int(line_at[-1])
-    for a in np.unique(line_at).tolist():
-        if a - out[-1] >= least:
-            out.append(a)
-    if end > out[-1]:  # the rest is too short to stand alone
-        out[max(len(out) - 1, 1) :] = [end]
-    return np.array(out)
+    What is left between them has fewer than `least` words.
+    """
+    out, at = [], np.unique(line_at).tolist()
+    begin = at[0]
+    for a, b in zip(at[:-1], at[1:]):
+        alone = b - a >= least
+        if alone:
+            if a - begin >= least:
+                out.append((begin, a - begin))
+            out.append((a, b - a))
+        elif b - begin >= JOINED:
+            out.append((begin, b - begin))
+        if alone or b - begin >= JOINED:
+            begin = b
+    if at[-1] - begin >= least:
+        out.append((begin, at[-1] - begin))
+    return out
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -86,6 +104,7 @@ def _units(texts: DataFrame, key: HashKey, min_words: int, k: int) -> DataFrame:
                 h, counts = word_hashes(part, at, key, breaks)
                 g = run_hashes(h, RUN, key) if len(h) >= RUN else h[:0]
                 bound = np.searchsorted(breaks, at)
+                begin, n, per = [], [], []
                 for i in range(e - s):
                     x, y = int(counts[bound[i]]), int(counts[bound[i + 1]])
                     found = np.zeros(0, _ANCHOR)
@@ -95,16 +114,20 @@ def _units(texts: DataFrame, key: HashKey, min_words: int, k: int) -> DataFrame:
                         found = np.zeros(len(chosen), _ANCHOR)
                         found["h"], found["at"] = runs[chosen].view(np.int64), chosen
                     anchors.append(found.tobytes())
-                    if y - x < min_words:
-                        paragraphs.append(b"")
-                        continue
-                    cuts = _joined(counts[bound[i] : bound[i + 1] + 1], min_words)
-                    found = np.zeros(len(cuts) - 1, _PARAGRAPH)
-                    found["at"], found["n"] = cuts[:-1] - x, np.diff(cuts)
-                    for j, members in enumerate(shingle_sets(h, cuts, k, key)):
-                        row = found[j : j + 1]
-                        row["size"], row["digest"], row["sketch"] = len(members), _digest(members), sketch(members, BANDS * ROWS).tobytes()
-                    paragraphs.append(found.tobytes())
+                    stretches = _joined(counts[bound[i] : bound[i + 1] + 1], min_words) if y - x >= min_words else []
+                    begin += [b for b, _ in stretches]
+                    n += [m for _, m in stretches]
+                    per.append((x, len(stretches)))
+                begin, n = np.array(begin, np.int64), np.array(n, np.int64)
+                rows = np.zeros(len(n), _PARAGRAPH)
+                if len(n):
+                    rows["at"] = begin - np.repeat([x for x, _ in per], [c for _, c in per])
+                    rows["n"], rows["digest"] = n, _digests(h, begin, n, key).view("V16")[:, 0]
+                    rows["sketch"] = sketches(run_hashes(h, k, key), begin, n - k + 1, BANDS * ROWS).view(f"V{2 * BANDS * ROWS}")[:, 0]
+                done = 0
+                for _, c in per:
+                    paragraphs.append(rows[done : done + c].tobytes())
+                    done += c
             columns = [b.column("doc_id"), pa.array(anchors, pa.binary()), pa.array(paragraphs, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "anchors", "paragraphs"])
 
@@ -148,11 +171,28 @@ def _edges(anchors: DataFrame) -> DataFrame:
     return cut(copies.filter("left OR right"))
 
 
+def _hashed(texts: DataFrame, key: HashKey) -> DataFrame:
+    """(doc_id, words): 32 bits of each word's hash. They take less room than the texts, and to compare words in a row they do."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            buf, off = string_buffer(b.column("text"))
+            for s, e in blocks(off):
+                h, counts = word_hashes(buf[off[s] : off[e]], off[s : e + 1] - off[s], key)
+                h = h.astype("<u4")
+                out += [h[x:y].tobytes() for x, y in zip(counts[:-1].tolist(), counts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "words"])
+
+    return texts.mapInArrow(run, "doc_id long, words binary")
+
+
 def _looked_up(texts: DataFrame, wanted: DataFrame, k: int, key: HashKey) -> DataFrame:
     """What wanted asks of the texts: EDGES with low and around, the hashes of the words near an anchor, and id with the
-    members of a paragraph's set. One shuffle of the texts serves both.
+    members of a paragraph's set. One shuffle of the texts' words serves both.
 
-    wanted: doc_id, at, n (words of a paragraph, null for an anchor), digest (16 bytes that it must have), id and EDGES.
+    wanted: doc_id, at, n (words of a paragraph, null for an anchor), id and EDGES. Of rows that share a doc_id with other
+    texts, what doesn't fit is told apart later, when words are compared.
     """
     names = [c.split()[0] for c in EDGES.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
@@ -160,27 +200,23 @@ def _looked_up(texts: DataFrame, wanted: DataFrame, k: int, key: HashKey) -> Dat
 
     def run(batches):
         for b in batches:
-            buf, off = string_buffer(b.column("text"))
-            for i, wanted in enumerate(b.column("wanted").to_pylist()):
-                rows = []
-                part = buf[off[i] : off[i + 1]]
-                h, _ = word_hashes(part, np.array([0, len(part)]), key)
+            rows = []
+            for words, wanted in zip(b.column("words").to_pylist(), b.column("wanted").to_pylist()):
+                h = np.frombuffer(words, "<u4")
                 for w in wanted:
-                    # what doesn't fit is the row of another text with this doc_id
                     at, n = w["at"], w["n"]
                     if n is not None:
                         if at + n <= len(h):
-                            members = next(shingle_sets(h[at : at + n], np.array([0, n]), k, key))
-                            if _digest(members) == w["digest"]:
-                                rows.append([None] * len(names) + [None, members.tobytes(), w["id"]])
-                    elif at + RUN <= len(h) and int(run_hashes(h[at : at + RUN], RUN, key).view(np.int64)[0]) == w["h"]:
+                            members = next(shingle_sets(h[at : at + n].astype(np.uint64), np.array([0, n]), k, key))
+                            rows.append([None] * len(names) + [None, members.tobytes(), w["id"]])
+                    elif at + RUN <= len(h):
                         low = max(0, at - WINDOW - RUN)
-                        rows.append([w[c] for c in names] + [low, h[low : at + 2 * RUN + WINDOW].astype("<u4").tobytes(), None])
-                columns = zip(*rows) if rows else [[]] * len(types)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*names, "low", "blob", "id"])
+                        rows.append([w[c] for c in names] + [low, words[4 * low : 4 * (at + 2 * RUN + WINDOW)], None])
+            columns = zip(*rows) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*names, "low", "blob", "id"])
 
-    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("n", "digest", "id", *names)).alias("wanted"))
-    held = texts.join(asked, "doc_id").select("text", "wanted")
+    asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("n", "id", *names)).alias("wanted"))
+    held = _hashed(texts, key).join(asked, "doc_id").select("words", "wanted")
     return cut(held.mapInArrow(run, f"{EDGES}, low int, blob binary, id long"))
 
 
@@ -220,7 +256,7 @@ PASSAGE = ["doc_id", "first_word", "end_word", "first_doc_id", "first_place", "n
 def _stretches(around: DataFrame, min_words: int) -> DataFrame:
     """PASSAGE of stretches that other places repeat, wherever lines begin or end. A first place has one row; where a
     passage goes on from another first place, that row ends before it."""
-    heads = around.filter("left IS NULL").select("h", F.col("low").alias("head_low"), F.col("blob").alias("head_blob")).dropDuplicates(["h"])
+    heads = around.filter("left IS NULL").select("h", F.col("low").alias("head_low"), F.col("blob").alias("head_blob")).distinct()
     ends = _drawn_out(around.filter("left IS NOT NULL").drop("id").join(heads, "h")).dropDuplicates(["doc_id", "at"])
     # a passage is a left edge and the next right edge
     w = Window.partitionBy("doc_id").orderBy("at")
@@ -253,20 +289,20 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
         "h", F.col("head_id").alias("doc_id"), F.col("head_at").alias("at"), none("boolean").alias("left"), none("boolean").alias("right"), none("long").alias("n_copies"),
         "head_id", "head_at",
     ).distinct().unionByName(edges)
-    places = places.select("*", none("int").alias("n"), none("binary").alias("digest"), none("long").alias("id"))
+    places = places.select("*", none("int").alias("n"), none("long").alias("id"))
 
-    found = _unpacked(units, "paragraphs", _PARAGRAPH, "doc_id long, at int, n int, size int, digest binary, sketch binary")
+    found = _unpacked(units, "paragraphs", _PARAGRAPH, "doc_id long, at int, n int, digest binary, sketch binary")
     head = F.min(F.struct("doc_id", "at", "n"))
-    classes = found.groupBy("digest").agg(F.count("*").alias("copies"), head.alias("head"), F.first("size").cast("long").alias("n"), F.first("sketch").alias("sketch"))
+    classes = found.groupBy("digest").agg(F.count("*").alias("copies"), head.alias("head"), F.first("sketch").alias("sketch"))
     classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
     loaded = []
 
     def load(ids: DataFrame) -> DataFrame:
-        sets = classes.join(ids, "id", "left_semi").select("id", "digest", "head.doc_id", "head.at", "head.n")
+        sets = classes.join(ids, "id", "left_semi").select("id", "head.doc_id", "head.at", "head.n")
         loaded.append(_looked_up(texts, places.unionByName(sets, allowMissingColumns=True), k, key))
         return loaded[0].filter("id IS NOT NULL").select("id", F.col("blob").alias("members")).dropDuplicates(["id"])
 
-    groups = linked(classes.select("id", "n", "sketch"), load, percent, ROWS)
+    groups = linked(classes.select("id", "sketch"), load, percent, ROWS, judged=False)
     # a cluster is several classes, or one with copies
     of = classes.select("id", "digest", "copies", "head").join(groups, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     sums = of.groupBy("component_id").agg(F.sum("copies").alias("n_copies"), F.min("head").alias("first"))
