@@ -85,38 +85,60 @@ def render(found: Column) -> Column:
 
 
 def row_key(doc_id: Column, text: Column) -> Column:
-    return F.xxhash64(doc_id, text)
+    return F.concat_ws(":", doc_id.cast("string"), F.sha2(text, 256))
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, key, base, weak) of every row of docs: span arrays, weak ones are candidates only. One scan of the texts.
 
-    Null and empty texts have no spans. The key tells rows apart by doc_id and text, so parts link within one text only.
+    Null and empty texts have no spans. The key, null without weak candidates, tells rows apart by doc_id and text, so
+    parts link within one text only.
     """
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    weak = F.concat(spans(text, OPAQUE, "opaque"), spans(text, ENDPOINT, "endpoint"))
-    return cut(docs.select(doc_id.alias("doc_id"), row_key(doc_id, text).alias("key"), base_spans(text).alias("base"), weak.alias("weak")))
+    weak = F.when(_hinted(text), F.concat(spans(text, OPAQUE, "opaque"), spans(text, ENDPOINT, "endpoint"))).otherwise(_no_spans())
+    key = F.when(_hinted(text), row_key(doc_id, text))
+    return cut(docs.select(doc_id.alias("doc_id"), key.alias("key"), base_spans(text).alias("base"), weak.alias("weak")))
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs with every span (base or linked) of its text replaced by [SECRET:kind]; overlapping spans become one."""
-    names = docs.schema.names
-    found = with_links(find_secrets(docs))
-    found = found.select("key", F.array_sort(F.concat("base", "more")).alias("__spans")).filter(F.size("__spans") > 0)
-    found = found.dropDuplicates(["key"]).withColumnRenamed("key", "__key")
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<start:long,end:long,kind:int>>")
+
+
+def _hinted(text: Column) -> Column:
+    """Whether a text has any weak candidate."""
+    return text.rlike(f"{OPAQUE}|{ENDPOINT}")
+
+
+def _redacted(text: Column, found: Column) -> Column:
     kinds = F.array(*map(F.lit, KINDS))
 
     def step(acc, s):
         at = F.greatest(acc["at"], s["start"])
-        gap = F.substr(F.col("text"), (acc["at"] + 1).cast("int"), (at - acc["at"]).cast("int"))
+        gap = F.substr(text, (acc["at"] + 1).cast("int"), (at - acc["at"]).cast("int"))
         mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("[SECRET:"), F.element_at(kinds, s["kind"] + 1), F.lit("]"))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substr(F.col("text"), (acc["at"] + 1).cast("int"), F.length("text")))
-    clean = F.when(F.col("__spans").isNotNull(), F.aggregate("__spans", start, step, tail)).otherwise(F.col("text"))
-    keyed = docs.withColumn("__key", row_key(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return keyed.join(found, "__key", "left").withColumn("text", clean).select(*[F.col(f"`{c}`") for c in names])
+    tail = lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text)))
+    return F.when(F.size(found) > 0, F.aggregate(F.array_sort(found), start, step, tail)).otherwise(text)
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """docs with every span (base or linked) of its text replaced by [SECRET:kind]; overlapping spans become one.
+
+    Texts without a weak candidate are redacted where they are read; only the others are joined with their links.
+    """
+    names = docs.schema.names
+    # the other columns stay together under one name, whatever theirs are
+    rest = F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("row")
+    held = docs.select(rest, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    hinted = F.coalesce(_hinted(F.col("text")), F.lit(False))
+    plain = held.filter(~hinted).select("row", _redacted(F.col("text"), base_spans(F.col("text"))).alias("text"))
+    some = held.filter(hinted)
+    found = with_links(find_secrets(some)).select("key", F.concat("base", "more").alias("found")).dropDuplicates(["key"])
+    keyed = some.withColumn("key", row_key(F.col("doc_id"), F.col("text"))).join(found, "key")
+    every = plain.union(keyed.select("row", _redacted(F.col("text"), F.col("found")).alias("text")))
+    return every.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in names])
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -136,7 +158,7 @@ def with_links(found: DataFrame) -> DataFrame:
     """
     some = F.size("weak") > 0
     linkable = some & (F.size("weak") + F.size(F.filter("base", lambda s: s["kind"] != KINDS.index("hex"))) > 1)
-    none = F.array().cast("array<struct<start:long,end:long,kind:int>>")
+    none = _no_spans()
     plain = found.filter(~linkable).withColumn("more", none)
     rest = found.filter(linkable)
     joined = rest.join(linked_parts(rest.select("key", "base", "weak")), "key", "left").withColumn("more", F.coalesce("more", none))
