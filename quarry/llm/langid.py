@@ -10,10 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import blocks, doc_bucket, string_buffer
+from quarry.llm.common import doc_bucket, string_buffer
 
 WINDOW, HIDDEN, BATCH = 64, 8, 4096
 SAMPLE_DOCS, SAMPLE_WINDOWS, EPOCHS, RATE = 1600, 5, 8, 0.02
+#: The languages learned at most, and the texts of each in the sample at least.
+MOST_LANGS, LEAST_DOCS = 1000, 8
+#: Windows read at once.
+READ = 16384
 #: A small sample is read more often, up to this many steps, and gives more windows of each text.
 STEPS = 250
 UNKNOWN = "und"
@@ -167,74 +171,96 @@ def windows(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return np.where(real, buf[np.minimum(at, max(len(buf) - 1, 0))], 0) if len(buf) else np.zeros((WINDOW, 0), np.uint8), real, first
 
 
-def training_windows(docs: DataFrame, labels: DataFrame, per_label: int) -> list:
-    """[(lang, windows as bytes)] of about per_label texts of each language, chosen by hash."""
-    counts = {r["lang"]: r["n"] for r in labels.collect()}
+def training_windows(docs: DataFrame, counts: dict[str, int], per_label: int) -> list:
+    """[(lang, windows as bytes, the last of a text perhaps shorter)] of about per_label texts of each language, chosen by hash."""
     share = {k: min(1.0, per_label / n) for k, n in counts.items()}
-    each = SAMPLE_DOCS * SAMPLE_WINDOWS // max(1, sum(min(per_label, n) for n in counts.values()))
+    each = max(1, SAMPLE_DOCS * SAMPLE_WINDOWS // max(1, sum(min(per_label, n) for n in counts.values())))
     chance = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)
     want = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
 
     def run(batches):
         for b in batches:
-            buf, off = string_buffer(b.column("text"))
-            x, _, first = windows(buf, off)
             out = []
-            for a, e in zip(first[:-1], first[1:]):
-                pick = np.unique(np.linspace(a, e - 1, min(each, e - a)).astype(int)) if e > a else []
-                out.append([x[:, k].tobytes() for k in pick])
+            for t in b.column("text").to_pylist():
+                raw = t.encode()
+                n = -(-len(raw) // WINDOW)
+                pick = np.unique(np.linspace(0, n - 1, min(each, n)).astype(int)) if n else []
+                out.append([raw[k * WINDOW : (k + 1) * WINDOW] for k in pick])
             yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(out, pa.list_(pa.binary()))], ["lang", "windows"])
 
     rows = docs.filter(chance < want).select("lang", "text").mapInArrow(run, "lang string, windows array<binary>")
-    return [(r["lang"], w) for r in rows.collect() for w in r["windows"]]
+    return [(r["lang"], bytes(w)) for r in rows.collect() for w in r["windows"]]
 
 
 def learn(docs: DataFrame) -> tuple[Network | None, list[str]]:
-    """Fit on rows with text and lang whose crc32(doc_id) mod 3 is not 1; without any, there is no network."""
+    """Fit on rows with text and lang whose crc32(doc_id) mod 3 is not 1; without any, there is no network.
+
+    Languages are the MOST_LANGS with the most such rows, each with at least LEAST_DOCS texts in the sample, if it has them.
+    """
     docs = docs.filter("text IS NOT NULL AND lang IS NOT NULL").filter(doc_bucket("doc_id", 3) != 1)
-    counts = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_DOCS // 8)
-    names = sorted(r["lang"] for r in counts.collect())
-    got = training_windows(docs, counts, SAMPLE_DOCS // len(names)) if names else []
+    ranked = docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGS)
+    counts = {r["lang"]: r["n"] for r in ranked.collect()}
+    names = sorted(counts)
+    got = training_windows(docs, counts, max(LEAST_DOCS, SAMPLE_DOCS // len(names))) if names else []
     got.sort()
     if not got:
         return None, []
-    x = np.stack([np.frombuffer(w, np.uint8) for _, w in got], axis=1)
+    x = np.stack([np.frombuffer(w.ljust(WINDOW, b"\0"), np.uint8) for _, w in got], axis=1)
+    real = (np.arange(WINDOW)[:, None] < np.array([len(w) for _, w in got])).astype(np.float32)
     label = np.array([names.index(k) for k, _ in got])
-    return Network(len(names)).fit(x, (x > 0).astype(np.float32), label), names
+    return Network(len(names)).fit(x, real, label), names
 
 
 def predict(docs: DataFrame, network: Network | None, names: list[str]) -> DataFrame:
-    """docs' columns with __lang_pred and __score.
+    """(row: all columns of docs but text, text, lang_pred, score).
 
-    __lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned.
+    lang_pred is `und` with score 0 where text is null or has no letter, or where nothing was learned. Texts are read in
+    pieces of READ windows, so a very long one needs no more memory than its bytes and one vector for each window.
     """
-    schema = docs.schema.names
-    has = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.schema.names if c != "text"]).alias("row")
+    text = F.col("text").cast("string")
+    held = docs.select(rest, text.alias("text"), F.coalesce(text.rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
+
+    def pooled(buf, off):
+        """Sums of the probabilities at letter bytes, by text and label."""
+        out = np.zeros((len(off) - 1, len(names)))
+        sizes = np.diff(off)
+        cuts = [(i, a) for i in range(len(sizes)) for a in range(0, int(sizes[i]), READ * WINDOW)]
+        at = 0
+        while at < len(cuts):  # pieces of texts, as many as make one reading
+            part, total = [], 0
+            while at < len(cuts) and (not part or total < READ * WINDOW):
+                i, a = cuts[at]
+                part.append((i, off[i] + a, min(off[i] + a + READ * WINDOW, off[i + 1])))
+                total += int(part[-1][2] - part[-1][1])
+                at += 1
+            bounds = np.append(0, np.cumsum([e - s for _, s, e in part]))
+            x, real, first = windows(np.concatenate([buf[s:e] for _, s, e in part]), bounds)
+            sums = np.zeros((x.shape[1], len(names)))
+            for k in range(0, x.shape[1], BATCH):
+                xs, rs = np.ascontiguousarray(x[:, k : k + BATCH]), real[:, k : k + BATCH]
+                p = network.read(xs, None if rs.all() else rs.astype(np.float32))
+                p *= (rs * _LETTER[xs])[:, :, None]
+                sums[k : k + xs.shape[1]] = p.sum(axis=0)
+            some = np.diff(first) > 0
+            of = np.array([i for i, _, _ in part])[some]
+            np.add.at(out, of, np.add.reduceat(sums, first[:-1][some], axis=0) if some.any() else sums[:0])
+        return out
 
     def run(batches):
         for b in batches:
             buf, off = string_buffer(b.column("text"))
-            lettered = np.array(b.column("__lettered").to_pylist(), bool)
+            lettered = np.array(b.column("lettered").to_pylist(), bool)
             best, score = np.zeros(b.num_rows, int), np.zeros(b.num_rows)
-            for s, e in blocks(off) if network else ():
-                x, real, first = windows(buf[off[s] : off[e]], off[s : e + 1] - off[s])
-                sums = np.zeros((len(names), x.shape[1] + 1))
-                for k in range(0, x.shape[1], BATCH):
-                    xs, rs = np.ascontiguousarray(x[:, k : k + BATCH]), real[:, k : k + BATCH]
-                    p = network.read(xs, None if rs.all() else rs.astype(np.float32))
-                    p *= (rs * _LETTER[xs])[:, :, None]
-                    sums[:, k : k + xs.shape[1]] = p.sum(axis=0).T
-                total = np.append(np.zeros((len(names), 1)), np.cumsum(sums, axis=1), axis=1)
-                pooled = total[:, first[1:]] - total[:, first[:-1]]
-                best[s:e] = pooled.argmax(0)
-                score[s:e] = pooled.max(0) / np.maximum(pooled.sum(0), 1e-9)
+            if network and len(buf):
+                sums = pooled(buf, off)
+                best, score = sums.argmax(axis=1), sums.max(axis=1) / np.maximum(sums.sum(axis=1), 1e-9)
             known = lettered & (score > 0)
             pred = [names[k] if ok else UNKNOWN for k, ok in zip(best, known)]
-            out = b.drop_columns(["__lettered"]).append_column("__lang_pred", pa.array(pred, pa.string()))
-            yield out.append_column("__score", pa.array(np.where(known, np.clip(score, 0, 1), 0.0)))
+            columns = [b.column("row"), b.column("text"), pa.array(pred, pa.string()), pa.array(np.where(known, np.clip(score, 0, 1), 0.0))]
+            yield pa.RecordBatch.from_arrays(columns, ["row", "text", "lang_pred", "score"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.select(*[F.col(f"`{c}`") for c in schema], has.alias("__lettered")).mapInArrow(run, kept + ", __lang_pred string, __score double")
+    return held.mapInArrow(run, f"row {held.schema['row'].dataType.simpleString()}, text string, lang_pred string, score double")
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -243,5 +269,5 @@ def identify(docs: DataFrame) -> DataFrame:
     held_out: crc32(doc_id) mod 3 is 1, false for a null doc_id (such rows are not learned from either).
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    out = predict(docs.select("doc_id", "text"), *learn(docs))
-    return out.select("doc_id", F.coalesce(doc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    out = predict(docs.select("doc_id", "text"), *learn(docs)).select("row.doc_id", "lang_pred", "score")
+    return out.select("doc_id", F.coalesce(doc_bucket("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

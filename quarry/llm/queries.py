@@ -58,5 +58,20 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
 
 
+_SETS = r"""w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM w)"""
+_REACH = "e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l), r(id, c) AS (SELECT id, id FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id)"
+_FINITE = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])) > 0"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Links by plain pairs, and components by following them."""
+    return {
+        "op1_minhash_near_dedup": f"""WITH RECURSIVE {_SETS}, n AS (SELECT doc_id AS id, len(s) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n u ON u.id = a JOIN n v ON v.id = b WHERE 100 * i >= 85 * (u.n + v.n - i)), {_REACH}
+SELECT n.id AS doc_id, n.n AS n_shingles, min(c) AS component_id, n.id = min(c) AS kept FROM n JOIN r USING (id) GROUP BY n.id, n.n""",
+        "op8_embedding_near_dedup": f"""WITH RECURSIVE n AS (SELECT vec_id AS id, CASE WHEN {_FINITE} THEN label END AS label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+l AS (SELECT a.id AS a, b.id AS b FROM n a JOIN n b ON a.label = b.label AND a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.93), {_REACH}
+SELECT n.id AS vec_id, (SELECT count(*) FROM e WHERE e.a = n.id) AS n_links, min(c) AS component_id, n.id = min(c) AS kept FROM n JOIN r USING (id) GROUP BY n.id""",
+    }
