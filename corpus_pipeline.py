@@ -16,8 +16,9 @@ WINDOW, END_ID = 1024, 0
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts in which no language can be told (null texts, texts without a letter); fills in a missing lang."""
     names = docs.schema.names
-    out = langid.predict(docs, *langid.learn(docs)).filter(F.col("__lang_pred") != langid.UNKNOWN)
-    return out.withColumn("lang", F.coalesce("lang", "__lang_pred")).select(*names)
+    out = langid.predict(docs, *langid.learn(docs)).filter(F.col("lang_pred") != langid.UNKNOWN)
+    columns = {"text": F.col("text"), "lang": F.coalesce("row.lang", "lang_pred").alias("lang")}
+    return out.select(*[columns.get(c, F.col(f"row.`{c}`")) for c in names])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
