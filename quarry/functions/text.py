@@ -199,3 +199,84 @@ def fence(text: Column, label: Column, nonce: str) -> Column:
 def unfence(text: Column, nonce: str) -> Column:
     """The text of the first fenced item with this nonce."""
     return F.regexp_extract(text, f"(?s)<<<ITEM nonce={nonce} [^\n]*?>>>\n(.*?)\n<<<END nonce={nonce}>>>", 1)
+
+
+def plain(term: Column) -> Column:
+    """A term without its diacritics."""
+    marked = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿāăąćčďēęěğīłńňōőřśšťūůűźżž"
+    bare = "aaaaaaceeeeiiiinoooooouuuuyyaaaccdeeegilnnoorsstuuuzzz"
+    return F.translate(term, marked, bare)
+
+
+def stem(term: Column) -> Column:
+    """The stem of an English term."""
+
+    def run(terms: pd.Series) -> pd.Series:
+        return terms.map(porter, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(term)
+
+
+def _measure(stem_: str) -> int:
+    """How often a vowel is followed by a consonant."""
+    kinds = "".join("v" if _vowel(stem_, i) else "c" for i in range(len(stem_)))
+    return len(re.findall("v+c+", kinds))
+
+
+def _vowel(w: str, i: int) -> bool:
+    return w[i] in "aeiou" or w[i] == "y" and i > 0 and not _vowel(w, i - 1)
+
+
+def _short_end(w: str) -> bool:
+    """Ends in consonant, vowel, consonant other than w, x and y."""
+    return len(w) > 2 and not _vowel(w, len(w) - 1) and _vowel(w, len(w) - 2) and not _vowel(w, len(w) - 3) and w[-1] not in "wxy"
+
+
+# The published suffix rules, longest first within a step where it matters.
+_STEP2 = (
+    "ational ate,tional tion,enci ence,anci ance,izer ize,abli able,alli al,entli ent,eli e,ousli ous,ization ize,ation ate,ator ate,alism al,iveness ive,"
+    "fulness ful,ousness ous,aliti al,iviti ive,biliti ble"
+)
+_STEP3 = "icate ic,ative ,alize al,iciti ic,ical ic,ful ,ness "
+_STEP4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize ion al er ic ou"
+
+
+def porter(w: str) -> str:
+    """The stem by the published algorithm of suffix steps; words of other letters than a-z stay as they are."""
+    if len(w) < 3 or not re.fullmatch("[a-z]+", w):
+        return w
+    if w.endswith("sses") or w.endswith("ies"):
+        w = w[:-2]
+    elif w.endswith("s") and not w.endswith("ss"):
+        w = w[:-1]
+    has_vowel = lambda x: any(_vowel(x, i) for i in range(len(x)))
+    if w.endswith("eed"):
+        w = w[:-1] if _measure(w[:-3]) > 0 else w
+    else:
+        for end in ("ed", "ing"):
+            if w.endswith(end) and has_vowel(w[: -len(end)]):
+                w = w[: -len(end)]
+                if w.endswith(("at", "bl", "iz")):
+                    w += "e"
+                elif len(w) > 1 and w[-1] == w[-2] and not _vowel(w, len(w) - 1) and w[-1] not in "lsz":
+                    w = w[:-1]
+                elif _measure(w) == 1 and _short_end(w):
+                    w += "e"
+                break
+    if w.endswith("y") and has_vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for rules in (_STEP2, _STEP3):
+        pairs = [r.split(" ") for r in rules.split(",")]
+        for end, to in sorted(pairs, key=lambda p: -len(p[0])):
+            if w.endswith(end):
+                w = w[: -len(end)] + to if _measure(w[: -len(end)]) > 0 else w
+                break
+    for end in sorted(_STEP4.split(), key=len, reverse=True):
+        if w.endswith(end):
+            cut = w[: -len(end)]
+            if _measure(cut) > 1 and (end != "ion" or cut.endswith(("s", "t"))):
+                w = cut
+            break
+    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not _short_end(w[:-1])):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w

@@ -140,6 +140,10 @@ def page_index(spark: SparkSession, d: str) -> TextIndex:
     return _index(spark, d, "pages", lambda folder: write_index(pages(spark, d), "id", parts, folder))
 
 
+def asked_index(spark: SparkSession, d: str) -> TextIndex:
+    return _index(spark, d, "conversations", lambda folder: write_index(asked(spark, d), "seq", {"body": F.col("body")}, folder))
+
+
 #: The same frames as DuckDB common table expressions.
 CTE = {
     "ledger": "ledger AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts, event_type AS kind, CAST(user_id AS VARCHAR) AS author, user_id AS session, props AS payload, value FROM events)",

@@ -10,12 +10,14 @@ def test_query_plan():
     assert tx.plan_query("what is the")["terms"] == ["what", "is", "the"]
     assert tx.plan_query('"exact phrase" and open " quote')["phrases"] == ["exact phrase"]
     assert tx.looks_literal("see db.rs") and tx.looks_literal("a::b") and not tx.looks_literal("plain words here")
-    assert tx.follow_up("and that", "compaction rules").startswith("compaction")
+    assert tx.follow_up("and that", "compaction rules") == "and that compaction rules"
 
 
 def test_terms(spark):
     df = spark.createDataFrame([("src/db.rs --allowedTools é1, -x- ...",)], ["t"])
-    assert df.select(tx.terms(F.col("t")).alias("t")).first().t == ["src/db.rs", "--allowedtools", "é1", "x"]
+    assert df.select(tx.terms(F.col("t")).alias("t")).first().t == ["src/db.rs", "--allowedtools", "é1"]
+    more = spark.createDataFrame([("x Y ... --_flag a b",), ("x . y",)], ["t"]).select(tx.terms(F.col("t")).alias("t")).collect()
+    assert [r.t for r in more] == [["--flag", "a"], ["x", "y"]]
 
 
 def test_scrub_each_kind(spark):
@@ -43,13 +45,14 @@ def test_chunks():
 
 
 def test_simhash(spark):
-    assert simhash.fingerprint("") == 0 and simhash.fingerprint("One Two") == simhash.fingerprint("one  two")
+    one = lambda t: int(simhash.fingerprints([t])[0])
+    assert one("") == one(None) == 0 and one("One Two") == one("one  two")
     h = 14695981039346656037
     for b in b"a b c":
         h = (h ^ b) * 1099511628211 % 2**64
-    assert simhash.fingerprint("a b c") % 2**64 == h
+    assert one("a b c") % 2**64 == h and one("x" * 400 + " y") != one("x" * 400 + " z")
     rows = spark.createDataFrame([(1, 0b1111), (2, 0b1100), (3, 0xFF00), (4, 0b1111)], "id long, simhash long")
-    assert [tuple(r) for r in simhash.near_pairs(rows, "id").collect()] == [(1, 2, 2)]
+    assert sorted(map(tuple, simhash.near_pairs(rows, "id").collect())) == [(1, 2, 2), (1, 4, 0)]
 
 
 def test_chain(spark):
@@ -87,3 +90,54 @@ def test_trim_pack():
     pack = {"prompts": [{"x": "y" * 100} for _ in range(40)], "pages": [{"x": "z" * 100} for _ in range(40)]}
     out = trim_pack(pack, 3000)
     assert len(out["pages"]) == 1 and 1 <= len(out["prompts"]) < 40 and out["truncated"] == ["pages", "prompts"]
+
+
+def test_stems():
+    pairs = "caresses caress,ponies poni,cats cat,agreed agre,plastered plaster,motoring motor,conflated conflat,hopping hop,falling fall,filing file,happy happi,relational relat"
+    pairs += ",conditional condit,digitizer digit,operator oper,triplicate triplic,formative form,electrical electr,goodness good,revival reviv,adoption adopt,probate probat,rate rate,controlling control"
+    for w, stem in (p.split() for p in pairs.split(",")):
+        assert tx.porter(w) == stem, w
+    assert tx.porter("état") == "état"
+
+
+def test_context_block():
+    from quarry.plans.retrieval import context_block
+
+    pack = {"question": "q", "terms": ["beta"], "node": {"title": "The Beta"}, "prompts": [{"key": 5, "arms": "grep,lexical", "excerpt": "a\nb", "absorbed": [6], "superseded_by": 9}], "truncated": ["pages"]}
+    text = context_block(pack)
+    assert "- #5 [superseded by #9] [+1 near-identical] (grep+lexical) a b" in text and "TRIMMED: pages." in text and 'matched "beta"' in text
+    assert context_block({"terms": ["x"]}) is None and context_block({**pack, "terms": []}) is None
+    pack["prompts"] *= 200
+    short = context_block(pack, 2000)
+    assert len(short.encode()) <= 2000 and short.endswith("[evidence clipped to budget]\n")
+
+
+def test_greedy_keeps_the_best_copy(spark):
+    from quarry.operators import simhash
+
+    base = "one two three four five six seven eight nine ten " * 30
+    rows = [(1, "user", 9.0, base + "the end", "h1"), (2, "user", 8.0, base + "The end", "h2"), (3, "assistant", 7.0, base + "the end", "h1"), (4, "user", 6.0, "something else entirely here now", "h3"), (5, "user", 5.0, "x", "h3"), (6, "user", 4.0, "", None), (7, "user", 3.0, "", None)]
+    df = simhash.with_fingerprint(spark.createDataFrame(rows, "key long, role string, score double, body string, hash string"), "body")
+    got = {r.key: r.absorbed for r in simhash.greedy(df, ["role"], "key", [F.desc("score")], exact="hash").collect()}
+    assert got == {1: [2], 3: [], 4: [5], 6: [], 7: []}
+
+
+def test_near_pairs_against_all_pairs(spark):
+    import numpy as np
+
+    from quarry.operators import simhash
+
+    rng = np.random.default_rng(4)
+    marks = rng.integers(-(2**63), 2**63, 60)
+    for i in range(20, 60):
+        marks[i] = marks[i % 20]
+        for bit in rng.choice(64, i % 5, replace=False):
+            marks[i] ^= np.int64(np.uint64(1) << np.uint64(bit))
+    df = spark.createDataFrame([(i, int(m)) for i, m in enumerate(marks)], "id long, simhash long")
+    least = {}
+    for i, m in enumerate(marks):
+        least.setdefault(int(m), i)
+    heads = sorted(least.values())
+    gap = lambda a, b: ((int(marks[a]) ^ int(marks[b])) & (1 << 64) - 1).bit_count()
+    want = {(a, b, gap(a, b)) for a in heads for b in heads if a < b and gap(a, b) <= 3} | {(least[int(m)], i, 0) for i, m in enumerate(marks) if least[int(m)] != i}
+    assert {tuple(r) for r in simhash.near_pairs(df, "id").collect()} == want
