@@ -1,20 +1,21 @@
 """Nearest neighbours by a vantage-point tree in every shard.
 
-Rows are dealt into shards of at most about SHARD_ROWS and queries into blocks of QUERY_BLOCK; each shard meets each block in a task of
-its own, builds its tree and searches all of the block's queries together. A subtree is skipped where the triangle
-inequality, with the current k-th distance multiplied by `factor`, rules it out: factor 1 is exact search, smaller
-ones prune more.
+Rows are dealt into shards of about SHARD_ROWS at most. A shard's rows come first, its tree is built once, and the queries
+follow in a stream, searched batch by batch: no row is copied, and what a task holds is one shard. A subtree is skipped where
+the triangle inequality, with the current k-th distance multiplied by `factor`, rules it out: factor 1 is exact search,
+smaller ones prune more.
 """
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import cut
 from quarry.llm.vectors import finite_vectors, matrix
 
-SHARD_ROWS, QUERY_BLOCK, LEAF = 32768, 16384, 128
+SHARD_ROWS, LEAF = 32768, 128
 #: Tables of fewer rows are dealt into smaller shards, so that they still keep several tasks busy.
 SMALL_SHARD, LEAST_SHARDS = 4096, 64
 #: Numbers in one temporary array of a search.
@@ -89,28 +90,37 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10, factor: float = 1.0
     vec_id; vectors of different lengths are never compared. With fewer candidates than k, all are returned.
     """
 
-    def cell(part: pd.DataFrame) -> pd.DataFrame:
-        q, rows = part[part.asked], part[~part.asked]
-        out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        if len(q) and len(rows):
-            rows = rows.sort_values("id")
-            tree = VantageTree(matrix(rows.v), rows.id.to_numpy())
-            d, i = tree.search(matrix(q.v), q.id.to_numpy(), min(k, len(rows)), factor)
-            out = pd.DataFrame({"query_id": np.repeat(q.id.to_numpy(), d.shape[1]), "vec_id": i.ravel(), "score": d.ravel()})
-            out = out[np.isfinite(out.score)]
-        return out.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+    def run(batches):
+        of, rows, tree = None, [], None
+        for b in batches:
+            p = b.to_pandas()
+            kinds = p[["shard", "dim", "asked"]].to_numpy()
+            cuts = [0, *(np.flatnonzero((kinds[1:] != kinds[:-1]).any(axis=1)) + 1).tolist(), len(p)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                part = p.iloc[i:j]
+                if len(part) and (key := (part.shard.iloc[0], part.dim.iloc[0])) != of:
+                    of, rows, tree = key, [], None
+                if not len(part) or not part.asked.iloc[0]:
+                    rows.append(part[["id", "v"]])
+                    continue
+                if tree is None and rows:
+                    all_ = pd.concat(rows).sort_values("id")
+                    tree, rows = VantageTree(matrix(all_.v), all_.id.to_numpy()), []
+                if tree is None:
+                    continue
+                d, found = tree.search(matrix(part.v), part.id.to_numpy(), min(k, len(tree.ids)), factor)
+                ok = np.isfinite(d.ravel())
+                columns = np.repeat(part.id.to_numpy(), d.shape[1])[ok], found.ravel()[ok], d.ravel()[ok]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["query_id", "vec_id", "score"])
 
     rows = cut(finite_vectors(table).filter("valid").select("id", "v", F.size("v").alias("dim")))
     is_query = F.col("id") % every == 0
-    n, n_queries = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    # rows are copied to every block and queries to every shard: both are as large as a task's memory allows
+    n = rows.count()
     shards = max(1, -(-n // SHARD_ROWS), min(LEAST_SHARDS, -(-n // SMALL_SHARD)))
-    groups = max(1, -(-n_queries // QUERY_BLOCK))
-    spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    dealt = lambda m: F.pmod(F.xxhash64("id"), F.lit(m)).cast("int")
-    data = rows.select("id", "v", "dim", dealt(shards).alias("shard"), spread(groups).alias("block"), F.lit(False).alias("asked"))
-    asked = rows.filter(is_query).select("id", "v", "dim", spread(shards).alias("shard"), dealt(groups).alias("block"), F.lit(True).alias("asked"))
-    found = data.union(asked).groupBy("shard", "block", "dim").applyInPandas(cell, "query_id long, vec_id long, score double")
+    data = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")).withColumn("asked", F.lit(False))
+    asked = rows.filter(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("asked", F.lit(True))
+    dealt = data.union(asked).repartition("shard", "dim").sortWithinPartitions("shard", "dim", "asked")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
