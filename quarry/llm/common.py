@@ -1,5 +1,6 @@
 """Shared helpers: checkpoint folder, Arrow string access and byte-wise text hashing."""
 
+import gc
 import os
 from hashlib import blake2b
 
@@ -21,10 +22,20 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder or "/tmp/checkpoints")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise a frame in the shared checkpoint folder and cut its lineage."""
+def cut(df: DataFrame, release: bool = False) -> DataFrame:
+    """Materialise a frame in the shared checkpoint folder and cut its lineage.
+
+    release: ask the driver's JVM to collect, upon which Spark's cleaner removes the shuffle files of steps whose frames are
+    gone. They aren't needed once their result is in the shared folder, and would stay on the executors' disks for long.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if release:
+        jvm = df.sparkSession.sparkContext._jvm
+        del df
+        gc.collect()
+        jvm.System.gc()
+    return out
 
 
 def string_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -225,7 +225,7 @@ def classes_of(items: DataFrame) -> DataFrame:
     """(digest, id, n, sketch) of each class of items with equal, non-empty sets; id is the least."""
     live = items.filter("id IS NOT NULL AND n > 0")
     # equal sets have equal sizes and sketches, so any of a class will do
-    return cut(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    return cut(live.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), release=True)
 
 
 def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percent: int, rows: int = ROWS, judged: bool = True) -> DataFrame:
@@ -241,13 +241,13 @@ def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percen
     # the pivot is the least id under a scrambling of its own in every bucket
     low = F.min(F.col("id").bitwiseXOR(F.col("key")))
     pivots = bands.groupBy("key").agg(F.count("*").alias("size"), low.bitwiseXOR(F.col("key")).alias("pivot"))
-    members = cut(bands.join(pivots.filter("size > 1"), "key"))
+    members = cut(bands.join(pivots.filter("size > 1"), "key"), release=True)
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     stars = members.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).select(*pair)
     stars = cut(hopeful(stars.distinct()))
     # full sets only of those that a sketch leaves in question, or that share a bucket of three or more
     asked = stars.select(F.explode(F.array("a", "b")).alias("id")).union(members.filter("size > 2").select("id"))
-    sets = cut(load_sets(asked.distinct()))
+    sets = cut(load_sets(asked.distinct()), release=True)
     first = components(cut(_confirmed(stars, sets, percent)))
 
     named = members.filter("size > 2").join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))

@@ -28,6 +28,8 @@ JOINED = 60
 BANDS, ROWS = 6, 2
 #: Words of an anchor, and runs of which the one with the least hash is one.
 RUN, WINDOW = 16, 34
+#: Words beside the outer anchors to which an equal stretch can go on: with WINDOW of them there would be another anchor.
+REACH = WINDOW - 1
 
 _PARAGRAPH = np.dtype([("at", "<i4"), ("n", "<i4"), ("digest", "V16"), ("sketch", f"V{2 * BANDS * ROWS}")])
 _ANCHOR = np.dtype([("h", "<i8"), ("at", "<i4")])
@@ -168,7 +170,7 @@ def _edges(anchors: DataFrame) -> DataFrame:
 
     copies = copies.withColumn("left", parted(lambda c: F.lag(c).over(w))).withColumn("right", parted(lambda c: F.lead(c).over(w)))
     copies = copies.select(*[c.split()[0] for c in EDGES.split(", ")])
-    return cut(copies.filter("left OR right"))
+    return cut(copies.filter("left OR right"), release=True)
 
 
 def _hashed(texts: DataFrame, key: HashKey) -> DataFrame:
@@ -210,14 +212,14 @@ def _looked_up(texts: DataFrame, wanted: DataFrame, k: int, key: HashKey) -> Dat
                             members = next(shingle_sets(h[at : at + n].astype(np.uint64), np.array([0, n]), k, key))
                             rows.append([None] * len(names) + [None, members.tobytes(), w["id"]])
                     elif at + RUN <= len(h):
-                        low = max(0, at - WINDOW - RUN)
-                        rows.append([w[c] for c in names] + [low, words[4 * low : 4 * (at + 2 * RUN + WINDOW)], None])
+                        low = max(0, at - REACH)
+                        rows.append([w[c] for c in names] + [low, words[4 * low : 4 * (at + RUN + REACH)], None])
             columns = zip(*rows) if rows else [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [*names, "low", "blob", "id"])
 
     asked = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("n", "id", *names)).alias("wanted"))
     held = _hashed(texts, key).join(asked, "doc_id").select("words", "wanted")
-    return cut(held.mapInArrow(run, f"{EDGES}, low int, blob binary, id long"))
+    return cut(held.mapInArrow(run, f"{EDGES}, low int, blob binary, id long"), release=True)
 
 
 def _drawn_out(pairs: DataFrame) -> DataFrame:
@@ -294,7 +296,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     found = _unpacked(units, "paragraphs", _PARAGRAPH, "doc_id long, at int, n int, digest binary, sketch binary")
     head = F.min(F.struct("doc_id", "at", "n"))
     classes = found.groupBy("digest").agg(F.count("*").alias("copies"), head.alias("head"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()))
+    classes = cut(classes.withColumn("id", F.monotonically_increasing_id()), release=True)
     loaded = []
 
     def load(ids: DataFrame) -> DataFrame:
@@ -315,7 +317,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     )
     # a repeated row alone is no copy
     single = out.groupBy("first_doc_id", "first_place").agg(F.max(~F.col("kept")).alias("more")).filter("more").drop("more")
-    out = cut(out.join(single, ["first_doc_id", "first_place"], "left_semi").select(*PASSAGE))
+    out = cut(out.join(single, ["first_doc_id", "first_place"], "left_semi").select(*PASSAGE), release=True)
     over = out.select(F.col("doc_id").alias("of"), F.col("first_word").alias("from"), F.col("end_word").alias("to"), F.col("kept").alias("stays"))
     within = F.expr("doc_id = of AND first_word >= from AND end_word <= to AND (kept OR NOT stays)")
     inner = _stretches(loaded[0].filter("id IS NULL"), min_words)
