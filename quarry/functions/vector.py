@@ -18,16 +18,22 @@ def cosine(a, b) -> Column:
     return F.when((F.size(a) == F.size(b)) & (n > 0), dot(a, b) / n).otherwise(0.0)
 
 
+def _with(a, value, use) -> Column:
+    """use(v, value(v)) for v = a, each worked out once a row: a lambda would work them out for every element."""
+    held = F.transform(F.array(a), lambda v: F.struct(v.alias("v"), value(v).alias("x")))
+    return F.transform(held, lambda s: use(s["v"], s["x"]))[0]
+
+
 def unit(a) -> Column:
-    return F.transform(a, lambda x: x / F.greatest(norm(a), F.lit(1e-300)))
+    return _with(a, norm, lambda v, n: F.transform(v, lambda x: x / F.greatest(n, F.lit(1e-300))))
 
 
 def quantize(a) -> tuple[Column, Column]:
     """(int8 codes as array<int>, scale) of a unit-length copy: scale is the largest magnitude over 127."""
-    u = unit(a)
-    scale = F.array_max(F.transform(u, lambda x: F.abs(x))) / 127.0
-    codes = F.transform(u, lambda x: F.greatest(F.least(F.round(x / scale), F.lit(127.0)), F.lit(-127.0)).cast("int"))
-    return codes, scale
+    largest = lambda v: F.array_max(F.transform(v, lambda x: F.abs(x))) / 127.0
+    code = lambda x, scale: F.greatest(F.least(F.round(x / scale), F.lit(127.0)), F.lit(-127.0)).cast("int")
+    both = _with(unit(a), largest, lambda v, scale: F.struct(F.transform(v, lambda x: code(x, scale)).alias("codes"), scale.alias("scale")))
+    return both["codes"], both["scale"]
 
 
 def int_dot(a, b) -> Column:

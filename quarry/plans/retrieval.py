@@ -65,7 +65,7 @@ def answer_pack_hits(spark, d):
 
 # An injected block's floor, hits and bytes, the candidates looked at, and the characters of one line.
 FLOOR, HITS, BLOCK_BYTES, CANDIDATES, LINE = 0.5, 3, 1536, 30, 400
-SITE = {"words": ["erre", "thre", "thth"], "session": 3, "before": 1_704_067_200_000 + 1_500_000 * 1000}
+SITE = {"words": ["ther", "thre", "erth"], "session": 3, "before": 1_704_067_200_000 + 9_000_000 * 1000}
 _ASKED = f"toks AS (SELECT *, {_terms_sql('body')} AS t FROM asked) "
 _SITE = f"n AS (SELECT * FROM r WHERE n_terms > 0 AND role IN ('user', 'assistant') AND ts < {SITE['before']} ORDER BY score DESC, seq LIMIT {CANDIDATES})"
 

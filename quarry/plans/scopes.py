@@ -45,15 +45,20 @@ def timeline_of_thread(spark, d):
     return page.select("seq", "session", "thread", "tab")
 
 
-@query(sql("asked", "SELECT seq, role, model FROM asked WHERE role IN ('assistant', 'user') AND mission = 'm2' AND surface = 'web' AND thread_kind = 'review' AND thread = 't7' AND parent = 4 AND project = 'p1' AND model = 'model-1' AND session = 7 AND seq > 100 AND contains(lower(body), 'e') ORDER BY seq LIMIT 200"))
+@query(sql("asked", "SELECT seq, role, model FROM asked WHERE role IN ('assistant', 'user') AND mission = 'm2' AND surface = 'web' AND thread_kind = 'review' AND thread = 't7' AND parent = 4 AND project = 'p1' AND session = 7 AND seq > 100 AND contains(lower(body), 'e') ORDER BY seq LIMIT 200"))
 def facets_all(spark, d):
     rows = op.facet_filter(
         lake.asked(spark, d), roles=["assistant", "user"], since_seq=100, text="E", mission="m2", surface="web", thread_kind="review", thread="t7", parent=4,
-        project="p1", model="model-1", session=7,
+        project="p1", session=7,
     )
     return rows.select("seq", "role", "model")
 
 
+@query(sql("asked", "SELECT seq, role, model FROM asked WHERE role = 'assistant' AND model = 'model-1' ORDER BY seq LIMIT 200"))
+def facets_by_model(spark, d):
+    return op.facet_filter(lake.asked(spark, d), roles=["assistant"], model="model-1").select("seq", "role", "model")
+
+
 @query(sql("ledger notes turns", "+marks AS (SELECT target, min_by(text, id) AS text FROM notes WHERE target IS NOT NULL GROUP BY target), b AS (SELECT l.seq, coalesce(t.body, m.text) AS body FROM ledger l LEFT JOIN turns t ON t.session = l.session AND t.turn = 3 LEFT JOIN marks m ON m.target = l.seq) SELECT seq, CASE WHEN length(body) > 240 THEN substr(body, 1, 240) || '…' ELSE body END AS preview, length(body) AS chars FROM b"))
 def preview_notes(spark, d):
     marks = lake.notes(spark, d).filter("target IS NOT NULL").groupBy(F.col("target").alias("seq")).agg(F.min_by("text", "id").alias("note"))
