@@ -27,7 +27,7 @@ from quarry.llm.transducer import CountingTransducer
 
 OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)  # BLANK is U+0020 alone
 #: Pre-tokens, and bytes of pre-tokens and ids, that a worker remembers before it starts afresh.
-CACHE, CACHE_BYTES = 400_000, 64 << 20
+CACHE, CACHE_BYTES = 800_000, 96 << 20
 #: Characters of a chunk of a long text, and of the overlap before and after it.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 18, 64
 
