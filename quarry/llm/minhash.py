@@ -248,13 +248,13 @@ def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percen
     # full sets only of those that a sketch leaves in question, or that share a bucket of three or more
     asked = stars.select(F.explode(F.array("a", "b")).alias("id")).union(members.filter("size > 2").select("id"))
     sets = cut(load_sets(asked.distinct()), release=True)
-    first = components(cut(_confirmed(stars, sets, percent)))
+    first = components(cut(_confirmed(stars, sets, percent), release=True))
 
     named = members.filter("size > 2").join(first, "id", "left").withColumn("comp", F.coalesce("component_id", "id"))
     main = F.max(F.when(F.col("id") == F.col("pivot"), F.col("comp"))).alias("main")
     mixed = named.groupBy("key").agg(main, F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     mixed = mixed.filter("lo <> hi").select("key", "main")
-    left = cut(named.join(mixed, "key").select("key", "id", "comp", "size", "pivot", "main"))
+    left = cut(named.join(mixed, "key").select("key", "id", "comp", "size", "pivot", "main"), release=True)
     small = left.filter((F.col("size") <= SMALL_BUCKET) & (F.col("id") != F.col("pivot")))
     x, y = (small.select("key", F.col("id").alias(i), F.col("comp").alias(c)) for i, c in (("x", "cx"), ("y", "cy")))
     near = x.join(y, "key").filter("x < y AND cx <> cy").select(*pair).distinct()
@@ -271,7 +271,7 @@ def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percen
     near_side = large.join(there, "key").select("key", "id", "comp", "i", F.lit(1).alias("side"), F.col("block").alias("j"))
     cells = far.select("key", "id", "comp", "i", "side", "j").union(near_side).join(sets, "id")
     dense = cells.groupBy("key", "i", "j").applyInPandas(_cell_links(percent), "a long, b long")
-    more = cut(found.union(dense))
+    more = cut(found.union(dense), release=True)
     if more.isEmpty():
         return first
     # the further links join components, which are fewer than their members

@@ -1,6 +1,6 @@
 """Repeated passages: stretches of words of different documents that are equal or nearly so.
 
-A paragraph is a line of MIN_WORDS words or more, or shorter lines in a row with JOINED words together. Bands of SetSketch registers
+A paragraph is a line of MIN_WORDS words or more. Bands of SetSketch registers
 over its 5-word shingles, tuned for recall, bring paragraphs together; exact Jaccard similarities confirm them;
 components are clusters, and all but the first paragraph of a cluster (by doc_id and place) are removed.
 
@@ -22,10 +22,8 @@ from quarry.llm.minhash import linked, sketches
 
 #: The least words of a passage.
 MIN_WORDS = 25
-#: Words at which lines too short to stand alone make up a paragraph.
-JOINED = 60
-#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of six with a probability of 0.998.
-BANDS, ROWS = 6, 2
+#: Unrelated paragraphs share few shingles, so short bands do: a pair at 0.8 meets in one of eight with a probability of 0.997.
+BANDS, ROWS = 8, 3
 #: Words of an anchor, and runs of which the one with the least hash is one.
 RUN, WINDOW = 16, 34
 #: Words beside the outer anchors to which an equal stretch can go on: with WINDOW of them there would be another anchor.
@@ -46,26 +44,11 @@ def _digests(h: np.ndarray, begin: np.ndarray, n: np.ndarray, key: HashKey) -> n
     return out
 
 
-def _joined(line_at: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """(first word, words) of a text's paragraphs, given the word numbers at which its lines begin and the last ends.
-
-    What is left between them has fewer than `least` words.
-    """
-    out, at = [], np.unique(line_at).tolist()
-    begin = at[0]
-    for a, b in zip(at[:-1], at[1:]):
-        alone = b - a >= least
-        if alone:
-            if a - begin >= least:
-                out.append((begin, a - begin))
-            out.append((a, b - a))
-        elif b - begin >= JOINED:
-            out.append((begin, b - begin))
-        if alone or b - begin >= JOINED:
-            begin = b
-    if at[-1] - begin >= least:
-        out.append((begin, at[-1] - begin))
-    return out
+def _lines(line_at: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """(first word, words) of a text's paragraphs, given the word numbers at which its lines begin and the last ends."""
+    n = np.diff(line_at)
+    some = n >= least
+    return list(zip(line_at[:-1][some].tolist(), n[some].tolist()))
 
 
 def _slide(x: np.ndarray, width: int, least: bool) -> np.ndarray:
@@ -116,7 +99,7 @@ def _units(texts: DataFrame, key: HashKey, min_words: int, k: int) -> DataFrame:
                         found = np.zeros(len(chosen), _ANCHOR)
                         found["h"], found["at"] = runs[chosen].view(np.int64), chosen
                     anchors.append(found.tobytes())
-                    stretches = _joined(counts[bound[i] : bound[i + 1] + 1], min_words) if y - x >= min_words else []
+                    stretches = _lines(counts[bound[i] : bound[i + 1] + 1], min_words)
                     begin += [b for b, _ in stretches]
                     n += [m for _, m in stretches]
                     per.append((x, len(stretches)))
