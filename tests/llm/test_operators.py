@@ -317,9 +317,9 @@ def test_large_labels_of_vectors(spark, shape):
     """Labels of several shards: links are counted at both ends, and at least 0.95 of them."""
     rng = np.random.default_rng(3)
     if shape == "dense":
-        x = np.eye(1, 16) * 2.6 + rng.standard_normal((2000, 16)) * 0.21
+        x = np.eye(1, 16) * 2.6 + rng.standard_normal((1400, 16)) * 0.21
     else:
-        x = np.repeat(rng.standard_normal((150, 32)), 20, axis=0) + rng.standard_normal((3000, 32)) * 0.25
+        x = np.repeat(rng.standard_normal((100, 32)), 20, axis=0) + rng.standard_normal((2000, 32)) * 0.25
     docs = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = u @ u.T >= 0.93
