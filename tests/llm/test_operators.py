@@ -567,7 +567,7 @@ def test_queries_with_sql(spark):
     from quarry.llm import queries
 
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     for name, sql in queries.oracle_sql().items():
         got = sorted(map(tuple, queries.queries()[name](spark, DATA).select(*con.execute(sql).df().columns).collect()))
