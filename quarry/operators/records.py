@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.operators import graph
+from quarry.operators.ordered import with_previous
 
 # The tools that name an edited file, and the characters of a turn.
 EDITORS = ("Edit", "MultiEdit", "Write", "NotebookEdit")
@@ -67,11 +68,12 @@ def bundle_rows(chain: DataFrame, prompts: DataFrame, nodes: DataFrame, links: D
 def verify_bundle(events: DataFrame) -> DataFrame:
     """(chain, checked, bad, full_chain, ok): each event's hash; where the numbers follow each other from the first, the links and
     the beginning too. place: an event's number in its chain."""
-    w = Window.partitionBy("chain").orderBy("place")
+    rows = with_previous(events, ["chain", "place"], ["chain", "place", "entry_hash"])
+    follows = F.coalesce(F.col("before.chain") == F.col("chain"), F.lit(False))
     wrong = F.sha2(graph.event_body(), 256) != F.col("entry_hash")
-    gap = F.coalesce(F.col("place") - F.lag("place").over(w) != 1, F.lit(False))
-    broken = F.coalesce(F.lag("entry_hash").over(w) != F.col("prev_hash"), F.lit(False))
-    rows = events.withColumn("wrong", wrong).withColumn("gap", gap).withColumn("broken", broken & ~gap)
+    gap = follows & (F.col("place") - F.col("before.place") != 1)
+    broken = follows & (F.col("before.entry_hash") != F.col("prev_hash"))
+    rows = rows.withColumn("wrong", wrong).withColumn("gap", gap).withColumn("broken", broken & ~gap)
     by = rows.groupBy("chain").agg(
         F.count("*").alias("checked"), F.count_if("wrong").alias("bad"), F.max("gap").alias("gaps"), F.max("broken").alias("breaks"),
         F.min_by("prev_hash", "place").alias("begin"), F.min("place").alias("low"),

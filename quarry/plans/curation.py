@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vector as vx
 from quarry.operators import curation as cur
-from quarry.operators import graph, search, simhash
+from quarry.operators import graph, intervals, search, simhash
 from quarry.operators import relational as op
 from quarry.plans.trees import KNOWN_AT, VALID_AT
 from quarry.registry import query
@@ -42,8 +42,8 @@ def bitemporal_asof(spark, d):
     """Every subject's claims as they were known and valid at each time at which one was recorded."""
     c = claim_rows(spark, d)
     probes = c.select("subject", F.col("recorded_at").alias("at")).distinct()
-    holds = "recorded_at <= at AND valid_from <= at AND (valid_until IS NULL OR valid_until > at) AND (retired_at IS NULL OR retired_at > at)"
-    return probes.join(c, "subject").filter(holds).select("subject", "at", "id", "value")
+    known = c.select("subject", "id", "value", F.when(F.col("recorded_at").isNotNull() & F.col("valid_from").isNotNull(), F.greatest("recorded_at", "valid_from")).alias("begins"), F.least("valid_until", "retired_at").alias("ends"))
+    return intervals.stab(probes, known, ["subject"], "at", "begins", "ends", DAY_MS).select("subject", "at", "id", "value")
 
 
 @query(sql("claims", _CLAIMS + ", f AS (SELECT id, value, recorded_at, CASE WHEN id % 9 = 4 THEN recorded_at + 3456000000 END AS retired_at FROM cl WHERE subject % 7 <> 3) SELECT * FROM f"))
