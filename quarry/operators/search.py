@@ -1,6 +1,8 @@
 """Ranked text search: a token table, BM25, staged widening, literal search, fusion."""
 
 import math
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -8,10 +10,14 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 
 K1, B, RRF_K = 1.2, 0.75, 60
+COLUMN_BITS = 40
 
 
 class TextIndex:
-    """An inverted index in Parquet: tokens (term, key, len, tf of each column), sorted by term, and the corpus's size."""
+    """An inverted index in Parquet: tokens (term, key, len, tf of each column, places), sorted by term and key, and the corpus's size.
+
+    places: where in the row the term stands, the number of its column in the bits from COLUMN_BITS on.
+    """
 
     def __init__(self, tokens: DataFrame, columns: list[str], n: int, average: float):
         self.tokens, self.columns, self.n, self.average = tokens, columns, n, average
@@ -30,9 +36,12 @@ def write_index(rows: DataFrame, key: str, columns: dict[str, Column], folder: s
     each = [F.struct(F.lit(name).alias("c"), tx.terms(F.coalesce(column, F.lit(""))).alias("t")) for name, column in columns.items()]
     found = rows.select(F.col(key).alias("key"), F.array(*each).alias("c"))
     size = F.aggregate("c", F.lit(0), lambda n, c: n + F.size(c["t"]))
-    one = found.select("key", size.alias("len"), F.explode("c").alias("c")).select("key", "len", F.col("c.c").alias("c"), F.explode("c.t").alias("term"))
-    counted = one.groupBy("key", "term").agg(F.first("len").alias("len"), *[F.count_if(F.col("c") == name).alias(f"tf_{name}") for name in columns])
-    counted.repartitionByRange("term").sortWithinPartitions("term", "key").write.parquet(f"{folder}/tokens")
+    one = found.select("key", size.alias("len"), F.posexplode("c").alias("k", "c")).select("key", "len", "k", F.col("c.c").alias("c"), F.posexplode("c.t").alias("at", "term"))
+    place = F.shiftleft(F.col("k").cast("long"), COLUMN_BITS) + F.col("at")
+    tf = [F.count_if(F.col("c") == name).alias(f"tf_{name}") for name in columns]
+    counted = one.withColumn("place", place).groupBy("key", "term").agg(F.first("len").alias("len"), *tf, F.array_sort(F.collect_list("place")).alias("places"))
+    # by ranges of (term, key): a term that a third of all rows have fills many files
+    counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{folder}/tokens")
     n, total = found.agg(F.count("*"), F.sum(size)).first()
     return TextIndex(rows.sparkSession.read.parquet(f"{folder}/tokens"), list(columns), n, (total or 0) / max(n, 1))
 
@@ -62,6 +71,43 @@ def cascade(index: TextIndex, rows: DataFrame, key: str, body: str, words: list[
     return rows.filter(inside).select(F.col(key).alias("key"), F.lit(3).alias("stage"))
 
 
+def planned(index: TextIndex, terms: list[str], phrases: list[list[str]]) -> DataFrame:
+    """(key, stage) of the first stage with any hit: 1 all phrases and all terms, 2 any phrase, any term or its prefix.
+
+    A phrase's words stand next to each other in one column: the places of each, less its offset in the phrase, have one in
+    common. A row's places are gathered for the words asked alone.
+    """
+    words = sorted({*terms, *(w for p in phrases for w in p)})
+    asked = F.col("term").isin(words)
+    hits = index.hits(words, prefixes=False)
+    begun = [w for w in terms if len(w) >= tx.PREFIX_FROM]
+    if begun:
+        hits = index.hits(sorted({*words, *begun}), prefixes=True)
+    found = F.map_from_entries(F.collect_list(F.when(asked, F.struct("term", "places"))))
+    prefix = F.bool_or(_any([F.col("term").startswith(w) for w in begun])) if begun else F.lit(False)
+    by = hits.groupBy("key").agg(found.alias("at"), prefix.alias("begun"))
+    has = {w: F.col("at")[w].isNotNull() for w in words}
+    adjacent = []
+    for p in phrases:
+        starts = None
+        for k, w in enumerate(p):
+            here = F.transform(F.col("at")[w], lambda x, k=k: x - k)
+            starts = here if starts is None else F.array_intersect(starts, here)
+        adjacent.append(F.coalesce(F.size(starts) > 0, F.lit(False)) & _all([has[w] for w in p]))
+    every, some = _all([*adjacent, *(has[w] for w in terms)]), _any([*adjacent, *(has[w] for w in terms), F.col("begun")])
+    staged = by.select("key", F.when(every, 1).when(some, 2).alias("stage")).filter("stage IS NOT NULL")
+    first = staged.agg(F.min("stage").alias("least"))  # one row
+    return staged.join(F.broadcast(first), staged.stage == first.least).select("key", "stage")
+
+
+def _all(tests: list[Column]) -> Column:
+    return reduce(and_, tests, F.lit(True))
+
+
+def _any(tests: list[Column]) -> Column:
+    return reduce(or_, tests, F.lit(False))
+
+
 def token_table(rows: DataFrame, key: str, body: str) -> DataFrame:
     """(key, term, tf, len): the index's rows as a frame."""
     t = rows.select(key, tx.terms(F.col(body)).alias("_t"))
@@ -69,17 +115,6 @@ def token_table(rows: DataFrame, key: str, body: str) -> DataFrame:
     return counted.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
-def grep(rows: DataFrame, key: str, body: str, needle: str, pattern: str | None = None, limit: int = 200) -> DataFrame:
-    """Newest rows whose text holds the needle in any case, and the pattern; excerpts of 240 characters."""
-    if len(needle) < 3:
-        raise ValueError("a needle needs at least 3 characters")
-    hit = F.lower(body).contains(needle.lower())
-    if pattern:
-        hit = hit & F.col(body).rlike(pattern)
-    out = rows.filter(hit).orderBy(F.desc(key)).limit(limit)
-    return out.select(key, tx.excerpt(F.col(body), [needle.lower()], 240).alias("excerpt"))
-
-
 def rank(rows: DataFrame, arm: str, key: str, order: list, limit: int) -> DataFrame:
     """(arm, key, rank) of the first `limit` rows."""
     top = rows.orderBy(*order).limit(limit)

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quarry.operators import trigrams
 from quarry.registry import query
 from quarry.sources import lake
 from quarry.sources.lake import sql
@@ -10,20 +11,13 @@ from quarry.sources.lake import sql
 
 @query("SELECT item_id, count(doc_id) AS hits, min(doc_id) AS first FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY item_id")
 def gold_hits(spark, d):
-    """Documents that hold a probe's whole text: both meet by the probe's first words, and the texts are then compared."""
-    opening = 60
-    b = lake.table(spark, d, "benchmark").select("item_id", F.col("text").alias("probe"), F.substring("text", 1, opening).alias("key"))
-    words = b.select(F.regexp_extract("key", r"^\s*(\S+\s+\S+\s+\S+)\s", 1).alias("w"), "item_id", "probe")
-    docs = lake.table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.size("t") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("t", i + 1, 3), " ")))
-    near = docs.select("doc_id", F.split("text", r"\s+").alias("t")).select("doc_id", F.explode(F.array_distinct(runs)).alias("h"))
-    asked = words.select("item_id", F.xxhash64(F.regexp_replace("w", r"\s+", " ")).alias("h"))
-    # a probe may begin inside a word, so its second to fourth words are the key of those whose first is cut
-    inner = b.select("item_id", F.xxhash64(F.array_join(F.slice(F.split("probe", r"\s+"), 2, 3), " ")).alias("h"))
-    pairs = near.join(asked.union(inner), "h").select("doc_id", "item_id").distinct()
-    found = pairs.join(docs, "doc_id").join(b.select("item_id", "probe"), "item_id").filter(F.col("text").contains(F.col("probe")))
-    hits = found.groupBy("item_id").agg(F.count("*").alias("hits"), F.min("doc_id").alias("first"))
-    return b.select("item_id").join(hits, "item_id", "left").select("item_id", F.coalesce("hits", F.lit(0)).alias("hits"), "first")
+    """Documents that hold a probe's whole text, wherever it begins and however short it is."""
+    probes = lake.table(spark, d, "benchmark").select("item_id", "text")
+    index = lake.prompt_grams(spark, d)
+    found = trigrams.containing(index, probes, "item_id", "text", "body").groupBy("item_id").agg(F.count("*").alias("hits"), F.min("key").alias("first"))
+    everywhere = index.texts.filter("body IS NOT NULL").agg(F.count("*").alias("all"), F.min("key").alias("least"))  # one row: an empty probe's hits
+    out = probes.join(found, "item_id", "left").join(F.broadcast(everywhere), F.col("text") == "", "left")
+    return out.select("item_id", F.coalesce("hits", "all", F.lit(0)).alias("hits"), F.coalesce("first", "least").alias("first"))
 
 
 @query("WITH r AS (SELECT v.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank, e.label = v.label AS gold FROM embeddings v JOIN embeddings e ON e.vec_id <> v.vec_id WHERE v.vec_id % 100 = 0), f AS (SELECT q, min(rank) AS rank, bool_or(rank <= 20 AND gold) AS packed FROM r WHERE gold GROUP BY q) SELECT count(*) AS n, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS recall5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS recall10, round(avg(CAST(rank <= 20 AS DOUBLE)), 6) AS recall20, round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(packed AS DOUBLE)), 6) AS packed FROM f")

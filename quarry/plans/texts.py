@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
 from quarry.operators import relational as op
-from quarry.operators import search
+from quarry.operators import search, trigrams
 from quarry.registry import query
 from quarry.sources import lake
 from quarry.sources.lake import sql
@@ -103,7 +103,37 @@ def _excerpt_sql(word, n):
 
 @query(sql("prompts", f"SELECT id, {_excerpt_sql('tionhe', 240)} AS excerpt FROM prompts WHERE contains(lower(body), 'tionhe') ORDER BY id DESC LIMIT 100"))
 def grep_literal(spark, d):
-    return search.grep(lake.prompts(spark, d), "id", "body", "Tionhe", limit=100)
+    hits = trigrams.grep(lake.prompt_grams(spark, d), "Tionhe").orderBy(F.desc("key")).limit(100)
+    return hits.select(F.col("key").alias("id"), tx.excerpt(F.col("body"), ["tionhe"], 240).alias("excerpt"))
+
+
+@query(sql("prompts", "SELECT id FROM prompts WHERE regexp_matches(body, '(?i)(tionhe|ererth)[.,] +[a-z]+') OR regexp_matches(body, '(?i)thenti(on)+ ')"))
+def grep_pattern(spark, d):
+    """Rows that match a pattern: the runs of letters that it is sure to have choose the lists, either of several ways."""
+    index = lake.prompt_grams(spark, d)
+    return trigrams.grep(index, pattern=r"(?:(tionhe|ererth)[.,] +[a-z]+)|thenti(on)+ ").select(F.col("key").alias("id"))
+
+
+@query(sql("pagev", "SELECT id, url, title FROM pagev WHERE contains(url, 'ththre') OR contains(title, 'ththre')"))
+def grep_pages(spark, d):
+    """Pages whose address or title holds the needle, in this very case."""
+    return trigrams.grep(lake.page_grams(spark, d), "ththre", case_sensitive=True).select(F.col("key").alias("id"), "url", "title")
+
+
+_PHRASE = ["the", "in"]
+_NEXT = "list_contains(list_transform(range(1, len({t})), lambda i: {t}[i] || ' ' || {t}[i + 1]), '" + " ".join(_PHRASE) + "')"
+_FOUND = f"({_NEXT.format(t='th')} OR {_NEXT.format(t='tt')})"
+
+
+@query(sql("prompts", "+" + _HT + _bm25_sql([*_PHRASE, "ererth"], [("th", 3.0), ("tt", 1.0)]) + f", staged AS (SELECT *, CASE WHEN {_FOUND} AND list_contains(t, 'ererth') THEN 1 WHEN {_FOUND} OR len(list_filter(t, lambda x: starts_with(x, 'ererth'))) > 0 THEN 2 END AS stage FROM r) SELECT id, stage, coalesce(CASE WHEN n_terms > 0 THEN score END, 0) AS score FROM staged WHERE stage = (SELECT min(stage) FROM staged)"))
+def phrase_search(spark, d):
+    """A quoted phrase and a word: rows with both, failing that with either."""
+    plan = tx.plan_query('"the in" ererth')
+    index = lake.prompt_index(spark, d)
+    phrases = [p.split() for p in plan["phrases"]]
+    found = search.planned(index, plan["terms"], phrases)
+    scored = search.bm25(index, [w for p in phrases for w in p] + plan["terms"], [3.0, 1.0]).withColumn("score", F.round("score", 6))
+    return found.join(scored, "key", "left").select(F.col("key").alias("id"), "stage", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 
 @query(sql("prompts", f"SELECT id, {_excerpt_sql('ererth', 100)} AS excerpt FROM prompts"))

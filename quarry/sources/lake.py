@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.lineage import shared_folder
 from quarry.operators.search import TextIndex, write_index
+from quarry.operators.trigrams import TrigramIndex, write_trigrams
 
 #: Room for a conversation's turns in a sequence number.
 TURNS = 100_000
@@ -120,13 +121,13 @@ def indexed(spark: SparkSession, d: str) -> DataFrame:
     return e.select(kind, F.floor(F.col("vec_id") / 5).cast("long").alias("target"), (F.col("vec_id") % 5).cast("int").alias("chunk"), model, F.col("embedding").cast("array<double>").alias("v"))
 
 
-def _index(spark: SparkSession, d: str, name: str, build) -> TextIndex:
-    """An index of one snapshot of a table, written once a session into the shared folder."""
+def _index(spark: SparkSession, d: str, name: str, build, kind: str = "terms"):
+    """An index of one snapshot of a table, written once a session into the shared folder; a newer snapshot's takes its place."""
     files = tuple(sorted(table(spark, d, name).inputFiles()))
     known = spark.sparkContext.__dict__.setdefault("_quarry_indexes", {})
-    if (name, files) not in known:
-        known[name, files] = build(f"{shared_folder(spark)}/index-{name}-{uuid.uuid4().hex}")
-    return known[name, files]
+    if known.get((kind, name, d), (None,))[0] != files:
+        known[kind, name, d] = files, build(f"{shared_folder(spark)}/index-{kind}-{name}-{uuid.uuid4().hex}")
+    return known[kind, name, d][1]
 
 
 def prompt_index(spark: SparkSession, d: str) -> TextIndex:
@@ -144,6 +145,15 @@ def asked_index(spark: SparkSession, d: str) -> TextIndex:
     return _index(spark, d, "conversations", lambda folder: write_index(asked(spark, d), "seq", {"body": F.col("body")}, folder))
 
 
+def prompt_grams(spark: SparkSession, d: str) -> TrigramIndex:
+    return _index(spark, d, "documents", lambda folder: write_trigrams(prompts(spark, d), "id", {"body": F.col("body")}, folder), "grams")
+
+
+def page_grams(spark: SparkSession, d: str) -> TrigramIndex:
+    """Addresses and titles of pages; what stands in a page is found by its terms."""
+    return _index(spark, d, "pages", lambda folder: write_trigrams(pages(spark, d), "id", {"url": F.col("url"), "title": F.col("title")}, folder), "grams")
+
+
 #: The same frames as DuckDB common table expressions.
 CTE = {
     "ledger": "ledger AS (SELECT event_id AS seq, epoch_us(ts) // 1000 AS ts, event_type AS kind, CAST(user_id AS VARCHAR) AS author, user_id AS session, props AS payload, value FROM events)",
