@@ -25,3 +25,32 @@ def session_counts(stream: DataFrame, gap: str = "1 hour", late: str = "1 day")
 def run_available(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Process all that is there and stop."""
     df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
+
+
+#: Kinds of bookkeeping that no delta has.
+MACHINE = ("view", "signup")
+
+
+def delta(events: DataFrame, prompts: DataFrame, pages: DataFrame, notes: DataFrame, agents: bool = False, body: int = 4000, wait: str = "1 hour") -> DataFrame:
+    """(seq, kind, role, body): a stream of events (seq, at, kind, session, turn) with what was said, seen or noted at each.
+
+    prompts (session, turn, role, said) and pages (seq, page) are tables, joined to each batch as it comes. notes (target,
+    noted_at, note) is a stream of its own: an event waits for a note on it until `wait` after its time, and both sides'
+    state is dropped as the watermarks pass that. Bookkeeping kinds are left out, and agents' rows unless asked for.
+    """
+    kept = events.filter(~F.col("kind").isin(*MACHINE)).withWatermark("at", "1 day")
+    rows = kept.join(prompts, ["session", "turn"], "left").join(pages, "seq", "left")
+    if not agents:
+        rows = rows.filter(F.coalesce("role", F.lit("")) != "assistant")
+    later = notes.withWatermark("noted_at", "1 day")
+    near = (F.col("target") == F.col("seq")) & (F.col("noted_at") >= F.col("at")) & (F.col("noted_at") <= F.col("at") + F.expr(f"INTERVAL {wait}"))
+    out = rows.join(later, near, "left")
+    role = F.coalesce("role", F.when(F.col("page").isNotNull(), "page").when(F.col("note").isNotNull(), "note"))
+    text = F.coalesce("said", "page", "note")
+    return out.select("seq", "kind", role.alias("role"), F.when(F.length(text) > body, F.concat(F.substring(text, 1, body), F.lit("…"))).otherwise(text).alias("body"))
+
+
+def in_steps(frames: list[DataFrame], folder: str) -> None:
+    """Writes frames one after the other as one file each, the order in which a stream of the folder takes them."""
+    for f in frames:
+        f.coalesce(1).write.mode("append").parquet(folder)
