@@ -1,9 +1,14 @@
 """Maintenance passes and evaluation."""
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quarry.operators import trigrams
+from quarry.functions import text as tx
+from quarry.operators import canary, trigrams, variants
+from quarry.operators.lineage import shared_folder
+from quarry.plans.texts import _HT, _terms_sql
 from quarry.registry import query
 from quarry.sources import lake
 from quarry.sources.lake import sql
@@ -51,3 +56,66 @@ def catalog_health(spark, d):
     b = nodes.filter("id LIKE 'c:%'").join(filed, "id", "left_anti").agg(F.count("*").alias("orphans"))
     c = nodes.groupBy("parent", "title").count().filter("count > 1").agg(F.count("*").alias("same_titles"))
     return a.crossJoin(b).crossJoin(c)  # one row each
+
+
+SEED, EACH, DEPTH = 7, 25, 20
+_STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+
+
+def _drawn_sql(subject, frame, key, text):
+    """Candidates of a subject with their draw, in DuckDB."""
+    return f"(SELECT {key} AS gold, list_filter(string_split_regex(trim({text}), '\\s+'), lambda x: regexp_matches(x, '[\\p{{L}}\\p{{N}}]')) AS w, md5('{SEED}:{subject}:' || {key}) AS h FROM {frame})"
+
+
+def _ranks_sql(subject, toks, weights):
+    """Ranks of a subject's probes among a frame of (id, term lists)."""
+    tf = " + ".join(f"{w} * count(*) FILTER (col = '{c}')" for c, w in weights)
+    each = " UNION ALL ".join(f"SELECT id, '{c}' AS col, unnest({c}) AS term FROM {toks}" for c, _ in weights)
+    return (
+        f"{subject}_t AS (SELECT id AS key, term, {tf} AS tf FROM ({each}) GROUP BY ALL), {subject}_n AS (SELECT count(*) AS n, avg(len(t)) AS a FROM {toks}), {subject}_k AS (SELECT id AS key, len(t) AS k FROM {toks}), "
+        f"{subject}_d AS (SELECT term, count(*) AS df FROM {subject}_t GROUP BY term), {subject}_q AS (SELECT gold, unnest(list_distinct(asked)) AS term FROM probes WHERE subject = '{subject}'), "
+        f"{subject}_s AS (SELECT gold, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * k / a))), 6) AS score FROM {subject}_q JOIN {subject}_t USING (term) JOIN {subject}_d USING (term) JOIN {subject}_k USING (key), {subject}_n GROUP BY ALL), "
+        f"{subject}_r AS (SELECT gold, (SELECT count(*) FROM {subject}_s x WHERE x.gold = o.gold AND (x.score > o.score OR (x.score = o.score AND x.key <= o.gold))) AS rank FROM {subject}_s o WHERE o.key = o.gold)"
+    )
+
+
+_CANARY = (
+    f", c AS (SELECT 'prompt_span' AS subject, gold, h, array_to_string(w[s + 1 : s + n], ' ') AS query FROM (SELECT *, ('0x' || substr(h, 9, 7))::BIGINT % (len(w) - n + 1) AS s FROM (SELECT *, least(8 + ('0x' || substr(h, 1, 7))::BIGINT % 5, len(w)) AS n FROM {_drawn_sql('prompt_span', 'prompts', 'id', 'body')} WHERE len(w) >= 8)) "
+    f"UNION ALL SELECT 'browse_title', gold, h, array_to_string(w[1:8], ' ') FROM {_drawn_sql('browse_title', 'pagev', 'id', 'title')} WHERE len(w) > 0), "
+    f"f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY h, gold) AS r FROM c) WHERE r <= {EACH}), ft AS (SELECT subject, gold, query, {_terms_sql('query')} AS t FROM f), "
+    f"fc AS (SELECT *, list_filter(t, lambda x: x NOT IN ({_STOP})) AS k FROM ft), probes AS (SELECT subject, gold, query, (CASE WHEN len(k) > 0 THEN k ELSE t END)[1:12] AS asked FROM fc)"
+)
+
+
+@query(sql("prompts pagev", "+" + _HT.rstrip() + f", ptoks AS (SELECT id, {_terms_sql('title')} AS ti, {_terms_sql('url')} AS tu, {_terms_sql('text')} AS tx FROM pagev), pt AS (SELECT *, list_concat(list_concat(ti, tu), tx) AS t FROM ptoks)" + _CANARY + ", " + _ranks_sql("prompt_span", "toks", [("th", 3.0), ("tt", 1.0)]) + ", " + _ranks_sql("browse_title", "pt", [("ti", 5.0), ("tu", 2.0), ("tx", 1.0)])
+           + f", r AS (SELECT p.subject, p.gold, CASE WHEN rank <= {DEPTH} THEN rank END AS rank FROM probes p LEFT JOIN (SELECT 'prompt_span' AS subject, * FROM prompt_span_r UNION ALL SELECT 'browse_title', * FROM browse_title_r) x ON x.subject = p.subject AND x.gold = p.gold) SELECT subject, count(*) AS n, count(rank) AS hits, round(count(rank) / count(*), 6) AS recall, round(avg(coalesce(1.0 / rank, 0)), 6) AS mrr FROM r GROUP BY subject"))
+def canary_eval(spark, d):
+    """Probes of two subjects are drawn, stored, read again and put to the ranked arms of prompts and pages."""
+    said = canary.spans(lake.prompts(spark, d), "prompt_span", "id", "body", SEED)
+    seen = canary.titles(lake.pages(spark, d), "browse_title", "id", "title", SEED)
+    folder = f"{shared_folder(spark)}/canary-{uuid.uuid4().hex}"
+    canary.freeze(said.union(seen), EACH).write.parquet(folder)
+    probes = spark.read.parquet(folder)
+    ranks = canary.evaluate(lake.prompt_index(spark, d), probes.filter("subject = 'prompt_span'"), [3.0, 1.0], DEPTH)
+    return canary.report(ranks.union(canary.evaluate(lake.page_index(spark, d), probes.filter("subject = 'browse_title'"), [5.0, 2.0, 1.0], DEPTH)))
+
+
+@query(sql("turns", """+j AS (SELECT seq, json_object('seq', seq, 'who', json_object('role', role, 'long', length(body) > 200), 'marks', json_array(turn, json_array(session, turn % 3), 'it''s'), 'none', NULL) AS j FROM turns) SELECT seq, fullkey AS path, CASE type WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'NULL' THEN 'null' ELSE 'number' END AS kind, CASE WHEN type NOT IN ('OBJECT', 'ARRAY', 'NULL') THEN json_extract_string(j, fullkey) END AS value FROM j, json_tree(j.j)"""))
+def nested_values(spark, d):
+    """Everything inside nested texts with its path."""
+    t = lake.turns(spark, d)
+    text = F.concat(
+        F.lit('{"seq":'), F.col("seq").cast("string"), F.lit(',"who":'), F.to_json(F.struct("role", (F.length("body") > 200).alias("long"))), F.lit(',"marks":['), F.col("turn").cast("string"),
+        F.lit(",["), F.col("session").cast("string"), F.lit(","), (F.col("turn") % 3).cast("string"), F.lit('],"it\'s"],"none":null}'),
+    )
+    return variants.json_tree(t.select("seq", text.alias("j")), "seq", "j")
+
+
+@query("SELECT event_type AS kind, count(DISTINCT user_id) AS users, count(DISTINCT event_id) AS events, true AS users_near, true AS events_near FROM events GROUP BY event_type")
+def distinct_by_sketch(spark, d):
+    """Different users and events of each kind: exact, and whether the sketches of single days, rolled up, come within their bound."""
+    e = lake.table(spark, d, "events").select(F.col("event_type").alias("kind"), F.to_date("ts").alias("day"), "user_id", "event_id")
+    est = variants.estimated(variants.sketches(e, ["kind", "day"], ["user_id", "event_id"]), ["kind"], ["user_id", "event_id"])
+    exact = e.groupBy("kind").agg(F.countDistinct("user_id").alias("users"), F.countDistinct("event_id").alias("events"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= variants.error_bound() * F.col(a)
+    return exact.join(est, "kind").select("kind", "users", "events", near("users", "user_id").alias("users_near"), near("events", "event_id").alias("events_near"))
