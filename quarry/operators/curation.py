@@ -90,10 +90,9 @@ def adjudicate_creates(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     """(op, verdict, twins) of new titles (op, parent, title): where a sibling's title has nearly the same words, it is used instead,
     and several such siblings are to be merged."""
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
-    mine, theirs = words("title"), words("sibling")
-    both, all_ = F.size(F.array_intersect(mine, theirs)), F.size(F.array_union(mine, theirs))
-    alike = F.when(all_ == 0, 1.0).otherwise(both / all_) >= TWIN
-    near = ops.join(nodes.select("parent", F.col("id").alias("twin"), F.col("title").alias("sibling")), "parent").filter(alike)
+    mine = ops.select("op", "parent", words("title").alias("mine"))
+    theirs = nodes.filter("parent IS NOT NULL").select("parent", F.col("id").alias("twin"), words("title").alias("theirs"))
+    near = _alike(mine, theirs)
     twins = near.groupBy("op").agg(F.array_sort(F.collect_list("twin")).alias("twins"))
     rows = ops.join(twins, "op", "left").join(nodes.select(F.col("id").alias("parent"), F.lit(True).alias("there")), "parent", "left")
     n = F.coalesce(F.size("twins"), F.lit(0))
@@ -101,6 +100,28 @@ def adjudicate_creates(ops: DataFrame, nodes: DataFrame) -> DataFrame:
     return rows.select("op", verdict.alias("verdict"), F.coalesce("twins", F.array().cast("array<string>")).alias("twins"))
 
 
+def _alike(mine: DataFrame, theirs: DataFrame) -> DataFrame:
+    """(op, twin) of word sets (op, parent, mine) and (twin, parent, theirs) under one parent with a Jaccard similarity of TWIN.
+
+    Sets that alike share one of each one's rarest words, as many as may be missed and one more, so only these are joined:
+    a parent's titles are never all compared. Sets without words equal each other.
+    """
+    every = mine.select("parent", F.explode("mine").alias("word")).union(theirs.select("parent", F.explode("theirs").alias("word")))
+    often = every.groupBy("parent", "word").agg(F.count("*").alias("n"))
+
+    def rarest(sets: DataFrame, key: str, s: str) -> DataFrame:
+        words = sets.select(key, "parent", F.explode(s).alias("word"), F.size(s).alias("size")).join(often, ["parent", "word"])
+        by = words.groupBy(key, "parent", "size").agg(F.array_sort(F.collect_list(F.struct("n", "word"))).alias("w"))  # one title's words
+        few = F.slice("w", 1, (F.col("size") - F.ceil(F.lit(TWIN) * F.col("size")) + 1).cast("int"))
+        return by.select(key, "parent", F.explode(F.transform(few, lambda x: x["word"])).alias("word"))
+
+    met = rarest(mine, "op", "mine").join(rarest(theirs, "twin", "theirs"), ["parent", "word"]).select("op", "twin").distinct()
+    both = met.join(mine.select("op", "mine"), "op").join(theirs.select("twin", "theirs"), "twin")
+    near = both.filter(F.size(F.array_intersect("mine", "theirs")) / F.size(F.array_union("mine", "theirs")) >= TWIN).select("op", "twin")
+    bare = mine.filter(F.size("mine") == 0).join(theirs.filter(F.size("theirs") == 0), "parent").select("op", "twin")
+    return near.union(bare)
+
+
 def adjudicate_moves(ops: DataFrame, nodes: DataFrame, closure: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     """(op, verdict) of moves (op, node, new_parent): refused for nodes that aren't there, for a cycle, and beyond the depth."""
     depth = closure.groupBy("id").agg(F.max("up").alias("depth"))

@@ -71,8 +71,9 @@ def cascade(index: TextIndex, rows: DataFrame, key: str, body: str, words: list[
     return rows.filter(inside).select(F.col(key).alias("key"), F.lit(3).alias("stage"))
 
 
-def planned(index: TextIndex, terms: list[str], phrases: list[list[str]]) -> DataFrame:
-    """(key, stage) of the first stage with any hit: 1 all phrases and all terms, 2 any phrase, any term or its prefix.
+def planned(index: TextIndex, terms: list[str], phrases: list[list[str]], among: DataFrame | None = None) -> DataFrame:
+    """(key, stage) of the first stage with any hit: 1 all phrases and all terms, 2 any phrase, any term or its prefix; among: only
+    rows with these keys.
 
     A phrase's words stand next to each other in one column: the places of each, less its offset in the phrase, have one in
     common. A row's places are gathered for the words asked alone.
@@ -83,6 +84,8 @@ def planned(index: TextIndex, terms: list[str], phrases: list[list[str]]) -> Dat
     begun = [w for w in terms if len(w) >= tx.PREFIX_FROM]
     if begun:
         hits = index.hits(sorted({*words, *begun}), prefixes=True)
+    if among is not None:
+        hits = hits.join(among, "key", "left_semi")
     found = F.map_from_entries(F.collect_list(F.when(asked, F.struct("term", "places"))))
     prefix = F.bool_or(_any([F.col("term").startswith(w) for w in begun])) if begun else F.lit(False)
     by = hits.groupBy("key").agg(found.alias("at"), prefix.alias("begun"))

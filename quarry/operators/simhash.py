@@ -65,6 +65,22 @@ def distance(a, b) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def bands(mark: str) -> Column:
+    """The blocks of a fingerprint, three of six at a time: two that differ in at most NEAR bits have one of them in common."""
+    edges = [round(64 * i / 6) for i in range(7)]
+    block = [F.shiftrightunsigned(mark, lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges[:-1], edges[1:])]
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.xxhash64(*[block[j] for j in chosen]).alias("v")) for i, chosen in enumerate(combinations(range(6), 3))])
+
+
+def near_within(rows: DataFrame, others: DataFrame, within: str, key: str) -> DataFrame:
+    """Keys of rows (key, within, simhash) whose fingerprint is at most NEAR bits from one of others (within, simhash) of the same
+    `within`. They meet by bands, each fingerprint of a group once; zero fingerprints are near nothing."""
+    theirs = others.filter("simhash <> 0").select(within, F.col("simhash").alias("theirs")).distinct().select(within, "theirs", F.explode(bands("theirs")).alias("band"))
+    mine = rows.filter("simhash <> 0").select(within, "simhash").distinct().select(within, "simhash", F.explode(bands("simhash")).alias("band"))
+    near = mine.join(theirs, [within, "band"]).filter(distance("simhash", "theirs") <= NEAR).select(within, "simhash").distinct()
+    return rows.join(near, [within, "simhash"], "left_semi").select(key)
+
+
 def near_pairs(rows: DataFrame, key: str) -> DataFrame:
     """(a, b, distance): pairs of classes of equal fingerprints at most NEAR bits apart, a and b each class's least key; and
     every further member b of a class with its least key a, at distance 0.
@@ -73,10 +89,7 @@ def near_pairs(rows: DataFrame, key: str) -> DataFrame:
     """
     marked = rows.filter("simhash <> 0").select("simhash", F.col(key).alias("b"))
     classes = marked.groupBy("simhash").agg(F.min("b").alias("a"))
-    edges = [round(64 * i / 6) for i in range(7)]
-    block = [F.shiftrightunsigned("simhash", lo).bitwiseAND((1 << hi - lo) - 1) for lo, hi in zip(edges[:-1], edges[1:])]
-    keys = [F.struct(F.lit(i).alias("i"), F.xxhash64(*[block[j] for j in chosen]).alias("v")) for i, chosen in enumerate(combinations(range(6), 3))]
-    banded = classes.select("a", "simhash", F.explode(F.array(*keys)).alias("band"))
+    banded = classes.select("a", "simhash", F.explode(bands("simhash")).alias("band"))
     x, y = banded.select("a", F.col("simhash").alias("sa"), "band"), banded.select(F.col("a").alias("b"), F.col("simhash").alias("sb"), "band")
     near = x.join(y, "band").filter("a < b").filter(distance("sa", "sb") <= NEAR).select("a", "b", distance("sa", "sb").alias("distance")).distinct()
     copies = marked.join(classes, "simhash").filter("a <> b").select("a", "b", F.lit(0).alias("distance"))

@@ -7,6 +7,7 @@ from quarry.functions import vector as vx
 from quarry.operators import curation as cur
 from quarry.operators import graph, intervals, search, simhash
 from quarry.operators import relational as op
+from quarry.plans.texts import _bm25_sql, _terms_sql
 from quarry.plans.trees import KNOWN_AT, VALID_AT
 from quarry.registry import query
 from quarry.sources import lake
@@ -105,15 +106,15 @@ def session_tree(spark, d):
     return cur.session_tree(lake.asked(spark, d).select(F.col("session").alias("id"), "parent").distinct())
 
 
-@query(sql("nodes links sup", "+f AS (SELECT DISTINCT l_orderkey AS session, 'n:' || l_suppkey % 25 AS node FROM lineitem), co AS (SELECT x.node AS a, y.node AS b, count(*) AS weight FROM f x JOIN f y USING (session) WHERE x.node < y.node GROUP BY 1, 2 HAVING count(*) >= 3) SELECT * FROM (SELECT 'contains' AS kind, parent AS a, id AS b, 1 AS weight FROM nodes WHERE parent LIKE 'r:%' UNION ALL SELECT 'lineage', a.node, b.node, count(*) FROM sup s JOIN links a ON a.id = s.old_seq JOIN links b ON b.id = s.new_seq WHERE s.old_seq % 10 = 0 GROUP BY 2, 3 UNION ALL SELECT 'supersedes', CAST(new_seq AS VARCHAR), CAST(old_seq AS VARCHAR), 1 FROM sup WHERE old_seq % 10 = 1 UNION ALL SELECT 'co_occurs', a, b, weight FROM co)"))
+@query(sql("nodes links sup", "+f AS (SELECT DISTINCT l_orderkey AS session, 'n:' || l_suppkey % 25 AS node FROM lineitem), co AS (SELECT x.node AS a, y.node AS b, count(*) AS weight FROM f x JOIN f y USING (session) WHERE x.node < y.node GROUP BY 1, 2 HAVING count(*) >= 3) SELECT * FROM (SELECT 'contains' AS kind, parent AS a, id AS b, 1 AS weight FROM nodes WHERE parent IS NOT NULL UNION ALL SELECT 'lineage', a.node, b.node, count(*) FROM sup s JOIN links a ON a.id = s.old_seq JOIN links b ON b.id = s.new_seq GROUP BY 2, 3 UNION ALL SELECT 'supersedes', CAST(new_seq AS VARCHAR), CAST(old_seq AS VARCHAR), 1 FROM sup UNION ALL SELECT 'co_occurs', a, b, weight FROM co)"))
 def memory_map(spark, d):
     """Edges of four kinds: a class holds another, items go on from one another, replace each other, or occur in the same sessions."""
     nodes, links, sup = lake.nodes(spark, d), lake.links(spark, d), lake.supersessions(spark, d)
     one = F.lit(1).cast("long")
-    contains = nodes.filter("parent LIKE 'r:%'").select(F.lit("contains").alias("kind"), F.col("parent").alias("a"), F.col("id").alias("b"), one.alias("weight"))
+    contains = nodes.filter("parent IS NOT NULL").select(F.lit("contains").alias("kind"), F.col("parent").alias("a"), F.col("id").alias("b"), one.alias("weight"))
     old, new = links.select(F.col("id").alias("old_seq"), F.col("node").alias("a")), links.select(F.col("id").alias("new_seq"), F.col("node").alias("b"))
-    lineage = sup.filter("old_seq % 10 = 0").join(old, "old_seq").join(new, "new_seq").groupBy("a", "b").agg(F.count("*").alias("weight"))
-    replaced = sup.filter("old_seq % 10 = 1").select(F.lit("supersedes"), F.col("new_seq").cast("string"), F.col("old_seq").cast("string"), one)
+    lineage = sup.join(old, "old_seq").join(new, "new_seq").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    replaced = sup.select(F.lit("supersedes"), F.col("new_seq").cast("string"), F.col("old_seq").cast("string"), one)
     filed = lake.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("session"), F.concat(F.lit("n:"), (F.col("l_suppkey") % 25).cast("string")).alias("node"))
     family = nodes.filter("parent IS NOT NULL").select(F.col("id").alias("child"), "parent")
     together = op.co_occurrence(filed, 3, family).select(F.lit("co_occurs"), "a", "b", "weight")
@@ -170,9 +171,9 @@ def adjudicate_files(spark, d):
     return cur.adjudicate_files(ops, roots, lake.ledger(spark, d).select("seq", "kind"), projects)
 
 
-@query(sql("nodes", "SELECT 'op ' || id AS op, CASE WHEN parent IS NULL THEN 'no parent' ELSE 'redirect' END AS verdict, CASE WHEN parent IS NULL THEN '' ELSE id END AS twins FROM nodes WHERE id LIKE 'n:%' OR id LIKE 'r:%' UNION ALL SELECT 'new ' || id, 'apply', '' FROM nodes WHERE id LIKE 'r:%'"))
+@query(sql("nodes", "SELECT 'op ' || id AS op, CASE WHEN parent IS NULL THEN 'no parent' ELSE 'redirect' END AS verdict, CASE WHEN parent IS NULL THEN '' ELSE id END AS twins FROM nodes UNION ALL SELECT 'new ' || id, 'apply', '' FROM nodes WHERE id LIKE 'r:%'"))
 def adjudicate_creates(spark, d):
-    n = lake.nodes(spark, d).filter("id LIKE 'n:%' OR id LIKE 'r:%'")
+    n = lake.nodes(spark, d)
     again = n.select(F.concat(F.lit("op "), "id").alias("op"), F.coalesce("parent", F.lit("lost")).alias("parent"), F.concat(F.lower("title"), F.lit("!")).alias("title"))
     new = n.filter("id LIKE 'r:%'").select(F.concat(F.lit("new "), "id"), F.col("id"), F.lit("A class of its own"))
     out = cur.adjudicate_creates(again.union(new), n)
@@ -288,9 +289,8 @@ def greedy_dedup(spark, d):
 def echoes(spark, d):
     """Assistant texts that nearly repeat what was put before them, found by fingerprint."""
     t = simhash.with_fingerprint(lake.turns(spark, d), "body")
-    given = t.filter("role <> 'assistant'").select("session", F.col("simhash").alias("given"))
     said = t.filter("role = 'assistant'").select("seq", "session", "simhash")
-    near = said.join(given, "session").filter((F.col("given") != 0) & (simhash.distance("simhash", "given") <= simhash.NEAR)).select("seq").distinct()
+    near = simhash.near_within(said, t.filter("role <> 'assistant'"), "session", "seq")
     return said.select("seq").join(near.withColumn("echo", F.lit(True)), "seq", "left").select("seq", F.coalesce("echo", F.lit(False)).alias("echo"))
 
 
@@ -304,11 +304,16 @@ def node_resolution(spark, d):
     return search.resolve(n.withColumn("t", words), ["customer", "000000007"], [F.desc("exact"), F.length("title"), F.asc("id")]).select("id", "title", "exact", "prefix")
 
 
-@query(sql("notes", "SELECT id, text, round(coalesce(CAST(contains(text, 'bolt') AS INT), 0) + 0.2 * greatest(0, 1 - (50006 - updated) * 100000.0 / 2592000000.0) + CASE WHEN starred THEN 0.1 ELSE 0 END, 6) AS score FROM notes ORDER BY score DESC, length(text), id LIMIT 40"))
+_WANTED = ["blue", "bolt"]
+
+
+@query(sql("notes", f"+toks AS (SELECT *, {_terms_sql('text')} AS t FROM notes)" + _bm25_sql(_WANTED, [("t", 1.0)]) + ", x AS (SELECT max(updated) AS newest FROM notes) SELECT id, text, round(score + 0.2 * greatest(0, 1 - (newest - updated) * 100000.0 / 2592000000.0) + CASE WHEN starred THEN 0.1 ELSE 0 END, 5) AS score FROM r, x WHERE n_terms > 0 ORDER BY score DESC, length(text), id LIMIT 40"))
 def node_match_order(spark, d):
-    """Relevance with a little for what is new and for what was accepted; shorter titles first among equals."""
-    newest = 50_006
-    recent = 0.2 * F.greatest(F.lit(0.0), 1 - (newest - F.col("updated")) * 100_000.0 / 2_592_000_000.0)
-    score = F.col("text").contains("bolt").cast("int") + recent + F.when(F.col("starred"), 0.1).otherwise(0.0)
-    rows = lake.notes(spark, d).select("id", "text", F.round(score, 6).alias("score"))
+    """Matches by BM25 with a little for what is new and for what was accepted; shorter titles first among equals."""
+    notes = lake.notes(spark, d)
+    found = search.bm25(lake.note_index(spark, d), _WANTED).withColumnRenamed("score", "match")
+    newest = notes.agg(F.max("updated").alias("newest"))  # one row
+    recent = 0.2 * F.greatest(F.lit(0.0), 1 - (F.col("newest") - F.col("updated")) * 100_000.0 / 2_592_000_000.0)
+    score = F.round("match", 6) + recent + F.when(F.col("starred"), 0.1).otherwise(0.0)
+    rows = notes.join(found, F.col("id") == F.col("key")).crossJoin(F.broadcast(newest)).select("id", "text", F.round(score, 5).alias("score"))
     return rows.orderBy(F.desc("score"), F.length("text"), "id").limit(40)

@@ -2,11 +2,13 @@
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import canary, trigrams, variants
+from quarry.operators import blocks, canary, trigrams, variants
 from quarry.operators.lineage import shared_folder
 from quarry.plans.texts import _HT, _terms_sql
 from quarry.registry import query
@@ -25,26 +27,38 @@ def gold_hits(spark, d):
     return out.select("item_id", F.coalesce("hits", "all", F.lit(0)).alias("hits"), F.coalesce("first", "least").alias("first"))
 
 
-@query("WITH r AS (SELECT v.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank, e.label = v.label AS gold FROM embeddings v JOIN embeddings e ON e.vec_id <> v.vec_id WHERE v.vec_id % 100 = 0), f AS (SELECT q, min(rank) AS rank, bool_or(rank <= 20 AND gold) AS packed FROM r WHERE gold GROUP BY q) SELECT count(*) AS n, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS recall5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS recall10, round(avg(CAST(rank <= 20 AS DOUBLE)), 6) AS recall20, round(avg(1.0 / rank), 6) AS mrr, round(avg(CAST(packed AS DOUBLE)), 6) AS packed FROM f")
+@query("WITH r AS (SELECT v.vec_id AS q, e.vec_id, row_number() OVER (PARTITION BY v.vec_id ORDER BY round(list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 9) DESC, e.vec_id) AS rank, e.label = v.label AS gold FROM embeddings v JOIN embeddings e ON e.vec_id <> v.vec_id WHERE v.vec_id % 100 = 0), f AS (SELECT q, min(rank) AS rank FROM r WHERE gold GROUP BY q) SELECT count(*) AS n, round(avg(CAST(rank <= 5 AS DOUBLE)), 6) AS recall5, round(avg(CAST(rank <= 10 AS DOUBLE)), 6) AS recall10, round(avg(CAST(rank <= 20 AS DOUBLE)), 6) AS recall20, round(avg(1.0 / rank), 6) AS mrr FROM f")
 def recall_mrr(spark, d):
     """How early a vector of the same class comes, for every vector whose id is divisible by 100."""
-    from quarry.functions import vector as vx
-
-    e = lake.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    asked = e.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("ql"), F.col("v").alias("qv"))
-    # queries in blocks: each block is small, and rows meet one at a time
-    dealt = asked.withColumn("block", F.floor(F.col("q") / 100_000))
-    last = asked.agg(F.coalesce(F.floor(F.max("q") / 100_000), F.lit(0))).first()[0]
-    rows = e.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(last).cast("long"))))
-    s = rows.join(dealt, "block").filter("vec_id <> q").select("q", "vec_id", (F.col("label") == F.col("ql")).alias("gold"), F.round(vx.cosine("v", "qv"), 9).alias("s"))
-    # the first of the class is found by aggregates, its rank by counting what comes before
-    top = s.filter("gold").groupBy("q").agg(F.max(F.struct("s", (-F.col("vec_id")).alias("n"))).alias("best"))
-    ahead = s.join(top, "q").filter((F.col("s") > F.col("best.s")) | ((F.col("s") == F.col("best.s")) & (F.col("vec_id") <= -F.col("best.n"))))
-    first = ahead.groupBy("q").agg(F.count("*").alias("rank"))
+    e = lake.table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").alias("v"))
+    first = ranks_of_first(e.filter("vec_id % 100 = 0"), e)
     hit = lambda k: F.round(F.avg((F.col("rank") <= k).cast("double")), 6)
-    return first.agg(
-        F.count("*").alias("n"), hit(5).alias("recall5"), hit(10).alias("recall10"), hit(20).alias("recall20"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"), hit(20).alias("packed")
-    )
+    return first.agg(F.count("*").alias("n"), hit(5).alias("recall5"), hit(10).alias("recall10"), hit(20).alias("recall20"), F.round(F.avg(1.0 / F.col("rank")), 6).alias("mrr"))
+
+
+def ranks_of_first(queries, rows):
+    """(q, rank): the place of the nearest row of the query's own label among all rows but itself (vec_id, label, v), ties to the
+    smaller vec_id; queries without such a row have none. Blocks give their best row and, once the best of all is
+    known, how many are ahead of it."""
+
+    def best(q, r, near):
+        good = (q["label"].to_numpy()[:, None] == r["label"].to_numpy()) & (q["vec_id"].to_numpy()[:, None] != r["vec_id"].to_numpy())
+        some = np.flatnonzero(good.any(1)) if good.size else np.zeros(0, int)
+        ids, at = r["vec_id"].to_numpy(), []
+        for i in some:
+            row = np.where(good[i], near[i], -2)
+            at.append(min(ids[row == row.max()]))
+        return pa.table([q["vec_id"].take(pa.array(some)), pa.array([float(np.where(good[i], near[i], -2).max()) for i in some], pa.float64()), pa.array(at, pa.int64())], names=["q", "s", "id"])
+
+    def ahead(q, r, near):
+        ids, s, own = r["vec_id"].to_numpy(), q["s"].to_numpy(), q["best"].to_numpy()
+        n = (((near > s[:, None]) | ((near == s[:, None]) & (ids <= own[:, None]))) & (q["vec_id"].to_numpy()[:, None] != ids)).sum(1) if near.size else []
+        return pa.table([q["vec_id"], pa.array(n, pa.int64())], names=["q", "n"])
+
+    found = blocks.against(queries, rows, "vec_id", "vec_id", best, "q long, s double, id long")
+    top = found.groupBy("q").agg(F.max(F.struct("s", (-F.col("id")).alias("n"))).alias("t")).select(F.col("q").alias("vec_id"), F.col("t.s").alias("s"), (-F.col("t.n")).alias("best"))
+    counted = blocks.against(queries.join(top, "vec_id"), rows, "vec_id", "vec_id", ahead, "q long, n long")
+    return counted.groupBy("q").agg(F.sum("n").alias("rank"))
 
 
 @query(sql("nodes links", "+k AS (SELECT parent, count(*) AS fan FROM nodes WHERE parent IS NOT NULL GROUP BY parent), o AS (SELECT count(*) AS orphans FROM nodes n WHERE parent IS NOT NULL AND NOT EXISTS (SELECT 1 FROM links l WHERE l.node = n.id) AND n.id LIKE 'c:%') SELECT max(fan) AS fan_out_max, count(*) FILTER (WHERE fan > 120) AS over_120, count(*) FILTER (WHERE fan > 150) AS over_150, (SELECT orphans FROM o) AS orphans, (SELECT count(*) FROM (SELECT parent, title FROM nodes GROUP BY 1, 2 HAVING count(*) > 1)) AS same_titles FROM k"))

@@ -7,6 +7,7 @@ from operator import or_
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.functions import vector
 from quarry.operators import search, simhash
 from quarry.plans.texts import _bm25_sql, _terms_sql
 from quarry.registry import query
@@ -65,21 +66,32 @@ def answer_pack_hits(spark, d):
 
 # An injected block's floor, hits and bytes, the candidates looked at, and the characters of one line.
 FLOOR, HITS, BLOCK_BYTES, CANDIDATES, LINE = 0.5, 3, 1536, 30, 400
-SITE = {"words": ["ther", "thre", "erth"], "session": 3, "before": 1_704_067_200_000 + 9_000_000 * 1000}
+SITE = {"words": ["andingntou", "onornt", "heenat"], "session": 3, "before": 1_704_067_200_000 + 9_000_000 * 1000}
 _ASKED = f"toks AS (SELECT *, {_terms_sql('body')} AS t FROM asked) "
 _SITE = f"n AS (SELECT * FROM r WHERE n_terms > 0 AND role IN ('user', 'assistant') AND ts < {SITE['before']} ORDER BY score DESC, seq LIMIT {CANDIDATES})"
 
 
-def injection_candidates(spark, d, words, session, before):
+def injection_candidates(spark, d, words, session, before, prompt: str | None = None):
     """Prompts and answers that may be put before a model with a new prompt: earlier ones with any of its words, best first,
-    not of its own session, no user's question, nothing a later decision replaced."""
+    not of its own session, no user's question, nothing a later decision replaced, and neither the prompt itself nor nearly."""
     found = search.bm25(lake.asked_index(spark, d), words)
     rows = lake.asked(spark, d).filter(F.col("role").isin("user", "assistant") & (F.col("ts") < before))
     best = rows.join(found, F.col("seq") == F.col("key")).withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "seq").limit(CANDIDATES)
     replaced = lake.supersessions(spark, d).select(F.col("old_seq").alias("session"), F.lit(True).alias("replaced"))
     best = best.join(F.broadcast(best.select("session").distinct().join(replaced, "session")), "session", "left")  # of at most CANDIDATES sessions
     question = (F.col("role") == "user") & F.trim("body").endswith("?")
-    return best.filter((F.col("session") != session) & ~question & (F.trim("body") != "") & ~(F.coalesce("replaced", F.lit(False)) & (F.col("turn") % 2 == 1)))
+    best = best.filter((F.col("session") != session) & ~question & (F.trim("body") != "") & ~(F.coalesce("replaced", F.lit(False)) & (F.col("turn") % 2 == 1)))
+    if prompt is None:
+        return best
+    own = int(simhash.fingerprints([prompt])[0])
+    near = (F.col("simhash") != 0) & F.lit(own != 0) & (F.bit_count(F.col("simhash").bitwiseXOR(F.lit(own))) <= simhash.NEAR)
+    return simhash.with_fingerprint(best, "body").filter((F.trim("body") != prompt.strip()) & ~near).drop("simhash")
+
+
+def prompt_terms(prompt: str) -> list[str]:
+    """The terms of a prompt that says enough to match on: two at least, stopwords aside; else none."""
+    found = [t for t in tx.plan_query(prompt)["terms"] if t not in tx.STOPWORDS]
+    return found if len(found) >= 2 else []
 
 
 @query(sql("asked sup", "+" + _ASKED + _bm25_sql(SITE["words"], [("t", 1.0)]) + f", {_SITE} SELECT seq, score FROM n WHERE session <> {SITE['session']} AND NOT (role = 'user' AND ends_with(trim(body), '?')) AND trim(body) <> '' AND NOT (session IN (SELECT old_seq FROM sup) AND turn % 2 = 1)"))
@@ -87,21 +99,24 @@ def injection_admissible(spark, d):
     return injection_candidates(spark, d, **SITE).select("seq", "score")
 
 
-@query(sql("asked sup", "+" + _ASKED + _bm25_sql(SITE["words"], [("t", 1.0)]) + f", {_SITE}, ok AS (SELECT * FROM n WHERE session <> {SITE['session']} AND NOT (session IN (SELECT old_seq FROM sup) AND turn % 2 = 1)), w AS (SELECT (SELECT count(*) FROM toks) AS n, " + ", ".join(f"ln(1 + (SELECT count(*) FROM toks) / (1.0 + (SELECT count(*) FROM toks WHERE list_contains(t, '{x}')))) AS i{k}" for k, x in enumerate(SITE["words"])) + "), g AS (SELECT seq, " + " + ".join(f"CASE WHEN list_contains(t, '{x}') THEN i{k} ELSE 0 END" for k, x in enumerate(SITE["words"])) + " AS got, greatest(" + ", ".join(f"CASE WHEN list_contains(t, '{x}') THEN i{k} ELSE 0 END" for k, x in enumerate(SITE["words"])) + ") AS rarest, i0 + i1 + i2 AS total, n_terms, w.n AS docs FROM ok, w) SELECT seq, round(got / total * least(rarest / ln(1 + docs), 1), 6) AS score FROM g WHERE n_terms >= 2 AND round(got / total * least(rarest / ln(1 + docs), 1), 6) >= 0.05 ORDER BY score DESC, seq DESC LIMIT 3"))
+@query(sql("asked sup", "+" + _ASKED + _bm25_sql(SITE["words"], [("t", 1.0)]) + f", {_SITE}, ok AS (SELECT * FROM n WHERE session <> {SITE['session']} AND NOT (session IN (SELECT old_seq FROM sup) AND turn % 2 = 1)), w AS (SELECT (SELECT count(*) FROM toks) AS n, " + ", ".join(f"ln(1 + (SELECT count(*) FROM toks) / (1.0 + (SELECT count(*) FROM toks WHERE list_contains(t, '{x}')))) AS i{k}" for k, x in enumerate(SITE["words"])) + "), g AS (SELECT seq, " + " + ".join(f"CASE WHEN list_contains(t, '{x}') THEN i{k} ELSE 0 END" for k, x in enumerate(SITE["words"])) + " AS got, greatest(" + ", ".join(f"CASE WHEN list_contains(t, '{x}') THEN i{k} ELSE 0 END" for k, x in enumerate(SITE["words"])) + ") AS rarest, i0 + i1 + i2 AS total, n_terms, w.n AS docs FROM ok, w) SELECT seq, round(got / total * least(rarest / ln(1 + docs), 1), 6) AS score FROM g WHERE n_terms >= 2 AND round(got / total * least(rarest / ln(1 + docs), 1), 6) >= 0.5 ORDER BY score DESC, seq DESC LIMIT 3"))
 def injection_hits(spark, d):
-    """The few that share enough with the prompt; the floor here suits these texts."""
-    return injected(spark, d, 0.05, **SITE).select("seq", "score")
+    """The few that share enough with the prompt."""
+    return injected(spark, d, FLOOR, **SITE).select("seq", "score")
 
 
-def injected(spark, d, floor: float, words, session, before):
-    rows = injection_candidates(spark, d, words, session, before).drop("score")
+def injected(spark, d, floor: float, words, session, before, prompt: str | None = None):
+    rows = injection_candidates(spark, d, words, session, before, prompt).drop("score")
     scored = search.relevance(lake.asked_index(spark, d), words, rows.select("key")).filter("corroborated").withColumn("score", F.round("score", 6))
     return rows.join(scored, "key").filter(F.col("score") >= floor).orderBy(F.desc("score"), F.desc("seq")).limit(HITS)
 
 
-def injection_block(spark, d, words, session, before, floor: float = FLOOR) -> str | None:
+def injection_block(spark, d, prompt: str, session, before, floor: float = FLOOR) -> str | None:
     """The block to put before a prompt, or none; at most BLOCK_BYTES."""
-    rows = injected(spark, d, floor, words, session, before)
+    words = prompt_terms(prompt)
+    if not words:
+        return None
+    rows = injected(spark, d, floor, words, session, before, prompt)
     rows = rows.select("seq", F.date_format(F.timestamp_millis("ts"), "yyyy-MM-dd").alias("day"), "role", "body").collect()
     if not rows:
         return None
@@ -132,9 +147,9 @@ def context_block(pack: dict, budget: int = BYTES) -> str | None:
         why = next((f' (matched "{t}" in the title)' for t in pack["terms"] if t in node["title"].lower()), "")
         out.append(f"Resolved: [[{node['title']}]]{why}.")
     if pack.get("truncated"):
-        out.append(f"TRIMMED: {', '.join(pack['truncated'])}.")
+        out.append(f"Cut short to fit: {', '.join(pack['truncated'])}.")
     gone = lambda h: f" [superseded by #{h['superseded_by']}]" if h.get("superseded_by") else ""
-    copies = lambda h: f" [+{len(h['absorbed'])} near-identical]" if h.get("absorbed") else ""
+    copies = lambda h: f" [and {len(h['absorbed'])} more like it]" if h.get("absorbed") else ""
     line = {
         "notes": lambda h: f"- {'★ ' if h.get('starred') else ''}#{h['key']} {clip(h['text'], LINE)}",
         "prompts": lambda h: f"- #{h['key']}{gone(h)}{copies(h)} ({h.get('arms', '').replace(',', '+')}) {clip(h['excerpt'], LINE)}",
@@ -149,17 +164,36 @@ def context_block(pack: dict, budget: int = BYTES) -> str | None:
     text = "\n".join(out) + "\n"
     if len(text.encode()) <= budget:
         return text
-    notice = "\n[evidence clipped to budget]\n"
+    notice = "\n[the rest is over the budget]\n"
     short = text.encode()[: max(budget - 80, 0)].decode("utf-8", "ignore").rsplit("\n", 1)[0]
     return short + notice if len((short + notice).encode()) <= budget else notice[:budget]
 
 
-@query(sql("prompts", f"+t AS (SELECT id, {_terms_sql('body')} AS t FROM prompts WHERE id % 3 = 0 AND id % 9 <> 0) SELECT id, CASE WHEN list_contains(t, 'tionhe') AND list_contains(t, 'ererth') THEN 1 ELSE 2 END AS stage FROM t WHERE list_contains(t, 'tionhe') OR list_contains(t, 'ererth')"))
+_SHARED = ["tionhe", "ererth"]
+_FOREIGN = "id % 3 = 0 AND id % 9 <> 0"
+
+
+@query(sql("prompts vecs", f"+toks AS (SELECT id, {_terms_sql('body')} AS t FROM prompts)" + _bm25_sql(_SHARED, [("t", 1.0)]) + f", st AS (SELECT id, score, n_terms, CASE WHEN n_terms = {len(_SHARED)} THEN 1 WHEN len(list_filter(t, lambda x: {' OR '.join(f"starts_with(x, '{w}')" for w in _SHARED)})) > 0 THEN 2 END AS stage FROM r WHERE {_FOREIGN}), lx AS (SELECT id, stage, coalesce(CASE WHEN n_terms > 0 THEN score END, 0) AS s FROM st WHERE stage = (SELECT min(stage) FROM st)), "
+           f"arms AS (SELECT 'lexical' AS arm, id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT * FROM lx ORDER BY s DESC, id LIMIT {LIMIT}) UNION ALL SELECT 'semantic', id, row_number() OVER (ORDER BY s DESC, id) FROM (SELECT a.id, round(list_cosine_similarity(a.v, q.v), 9) AS s FROM vecs a, vecs q WHERE q.id = 0 AND a.{_FOREIGN.replace('AND id', 'AND a.id')} ORDER BY s DESC, id LIMIT {LIMIT})) "
+           f"SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(arm, ',' ORDER BY arm) AS arms FROM arms GROUP BY id ORDER BY score DESC, id LIMIT {LIMIT}"))
 def foreign_search(spark, d):
-    """Ranked search over rows from elsewhere, without forgotten ones: all words, and failing that any."""
-    here = lake.prompts(spark, d).filter("id % 3 = 0").select(F.col("id").alias("key"), (F.col("id") % 9 == 0).alias("tombstoned")).filter("NOT tombstoned")
-    hits = lake.prompt_index(spark, d).hits(["tionhe", "ererth"]).join(here, "key", "left_semi")
-    return hits.groupBy(F.col("key").alias("id")).agg(F.when(F.countDistinct("term") == 2, 1).otherwise(2).alias("stage"))
+    """Ranked search over rows from elsewhere, without forgotten ones: all words, and only where none has them all, any word or its
+    beginning; fused with the vectors nearest to the question's."""
+    here = lake.prompts(spark, d).select("id", (F.col("id") % 3 == 0).alias("foreign"), (F.col("id") % 9 == 0).alias("forgotten")).filter("foreign AND NOT forgotten")
+    return shared_hits(spark, d, here.select("id"), _SHARED, lake.vectors(spark, d).filter("id = 0").select(F.col("v").alias("q")))
+
+
+def shared_hits(spark, d, rows, words, question, limit: int = LIMIT):
+    """(id, score, arms) of the best of rows (id). question: one row with the question's vector q."""
+    index = lake.prompt_index(spark, d)
+    among = rows.select(F.col("id").alias("key"))
+    scores = search.bm25(index, words)
+    staged = search.planned(index, words, [], among).join(scores, "key", "left").select(F.col("key").alias("id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("s"))
+    near = lake.vectors(spark, d).join(rows, "id", "left_semi").crossJoin(F.broadcast(question))  # one row
+    near = near.select("id", F.round(vector.cosine("v", "q"), 9).alias("s"))
+    arms = [search.rank(r, arm, "id", [F.desc("s"), F.asc("id")], limit) for arm, r in (("lexical", staged), ("semantic", near))]
+    fused = search.fuse(arms[0].union(arms[1])).withColumn("score", F.round("score", 9))
+    return fused.orderBy(F.desc("score"), "key").limit(limit).select(F.col("key").alias("id"), "score", "arms")
 
 
 @query()

@@ -58,28 +58,35 @@ def centroids(vectors):
 SENT = 64 << 20
 
 
-def _met(vectors, cents):
-    """Every vector with every centroid (to, c, n): sent along where they are proven small, else by blocks of classes."""
-    size = cents.agg(F.count("*"), F.max(F.size("c"))).first()
-    if size[0] * (size[1] or 0) * 8 <= SENT:
-        return vectors.crossJoin(F.broadcast(cents))
-    blocks = -(-size[0] * size[1] * 8 // SENT)
-    dealt = cents.withColumn("block", F.pmod(F.xxhash64("to"), F.lit(blocks)))
-    return vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").drop("block")
-
+def _best_two(vectors, cents, own: bool = False):
+    """(id, node, top1, score, margin) of each vector's nearest centroid (to, c, n), ties to the smaller class; a class alone has a
+    margin of 1. own: a vector is taken out of its own class's centroid first, and a class of it alone doesn't count.
 
-def _best_two(scored):
-    """(id, node, top1, score, margin) by similarity, ties to the smaller class; a class alone has a margin of 1."""
-    top = F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("s", (-F.col("to")).alias("neg"))))), 1, 2)
-    best = scored.groupBy("id", "node").agg(top.alias("top"))
-    second = F.try_element_at("top", F.lit(2))["s"]
-    return best.select("id", "node", (-F.col("top")[0]["neg"]).alias("top1"), F.col("top")[0]["s"].alias("score"), F.coalesce(F.col("top")[0]["s"] - second, F.lit(1.0)).alias("margin"))
+    Centroids that are proven small come to the vectors as one list; else vectors meet the blocks they are dealt to, and each
+    block gives its best two.
+    """
+    size = cents.agg(F.count("*"), F.max(F.size("c"))).first()
+    blocks = max(1, -(-size[0] * (size[1] or 0) * 8 // SENT))
+    block = F.pmod(F.xxhash64("to"), F.lit(blocks)).cast("int")
+    lists = cents.groupBy(block.alias("block")).agg(F.collect_list(F.struct("to", "c", "n")).alias("all"))  # a block is at most about SENT bytes
+    if blocks == 1:
+        met = vectors.crossJoin(F.broadcast(lists))  # one row
+    else:
+        met = vectors.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(lists, "block")
+    centre = lambda x: F.when(x["to"] == F.col("node"), F.zip_with(x["c"], "v", lambda a, b: a - b)).otherwise(x["c"]) if own else x["c"]
+    there = F.filter("all", lambda x: (x["n"] > 1) | ~x["to"].eqNullSafe(F.col("node"))) if own else F.col("all")
+    scored = met.select("id", "node", F.transform(there, lambda x: F.struct(F.round(vx.cosine(centre(x), "v"), 9).alias("s"), (-x["to"]).alias("neg"))).alias("near"))
+    first = scored.withColumn("one", F.array_max("near")).withColumn("two", F.array_max(F.filter("near", lambda x: x["neg"] != F.col("one.neg"))))
+    if blocks > 1:
+        both = first.groupBy("id", "node").agg(F.flatten(F.collect_list(F.array_compact(F.array("one", "two")))).alias("near"))
+        first = both.withColumn("one", F.array_max("near")).withColumn("two", F.array_max(F.filter("near", lambda x: x["neg"] != F.col("one.neg"))))
+    out = first.filter("one IS NOT NULL")
+    return out.select("id", "node", (-F.col("one.neg")).alias("top1"), F.col("one.s").alias("score"), F.coalesce(F.col("one.s") - F.col("two.s"), F.lit(1.0)).alias("margin"))
 
 
 def ranked_centroids(vectors):
     """(id, node, top1, score, margin): each vector's nearest centroid of all classes."""
-    cents = centroids(vectors).withColumnRenamed("node", "to")
-    return _best_two(_met(vectors, cents).select("id", "node", "to", F.round(vx.cosine("v", "c"), 9).alias("s")))
+    return _best_two(vectors, centroids(vectors).withColumnRenamed("node", "to"))
 
 
 _RANKED = "+" + _CENT + ", sc AS (SELECT v.id, v.node, c.node AS \"to\", round(list_cosine_similarity(v.v, c.c), 9) AS s FROM vecs v, cent c), rk AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS r, s - lead(s) OVER (PARTITION BY id ORDER BY s DESC, \"to\") AS margin FROM sc) "
@@ -106,9 +113,7 @@ def filing_grid(spark, v):
     """(t1, margin, filed, correct) of leave-one-out filing at every cell of the grid: each vector is counted once, in the last
     cell that it passes, and cells then add up all beyond them."""
     cents = centroids(v).withColumnRenamed("node", "to")
-    own = F.when(F.col("to") == F.col("node"), F.zip_with("c", "v", lambda x, y: x - y)).otherwise(F.col("c"))
-    scored = _met(v, cents).filter("n > 1 OR to <> node").select("id", "node", "to", F.round(vx.cosine(own, "v"), 9).alias("s"))
-    best = _best_two(scored).filter(F.col("score") >= T1)
+    best = _best_two(v, cents, own=True).filter(F.col("score") >= T1)
     i = F.least(F.floor((F.col("score") - T1) / STEP + 1e-6), F.lit(9))
     j = F.least(F.floor(F.round("margin", 9) / GAP + 1e-6), F.lit(10))
     cells = best.groupBy(i.alias("i"), j.alias("j")).agg(F.count("*").alias("n"), F.count_if(F.col("top1") == F.col("node")).alias("k"))  # at most 110

@@ -145,6 +145,10 @@ def asked_index(spark: SparkSession, d: str) -> TextIndex:
     return _index(spark, d, "conversations", lambda folder: write_index(asked(spark, d), "seq", {"body": F.col("body")}, folder))
 
 
+def note_index(spark: SparkSession, d: str) -> TextIndex:
+    return _index(spark, d, "part", lambda folder: write_index(notes(spark, d), "id", {"text": F.col("text")}, folder))
+
+
 def prompt_grams(spark: SparkSession, d: str) -> TrigramIndex:
     return _index(spark, d, "documents", lambda folder: write_trigrams(prompts(spark, d), "id", {"body": F.col("body")}, folder), "grams")
 
