@@ -23,24 +23,55 @@ OPAQUE = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/=])"
 ENDPOINT = r"https?://[A-Za-z0-9.-]+\.[A-Za-z]{2,}(?::[0-9]+)?"
 #: Characters within which the parts of a credential lie.
 SCOPE = 400
+#: Matches that are put together at once, and characters of a piece of a text.
+CHUNK, PIECE = 128, 1024
+SPANS = "array<struct<start:long,end:long,kind:int>>"
+
+
+def _held(value: Column, use) -> Column:
+    """use(value), with the value worked out once: inside a lambda it would be for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _running(rows: Column, measure, join, step, kind: str) -> Column:
+    """The arrays (of `kind`) that step(at, row) gives for each row, put together; at: what the rows before measure, joined from 0.
+
+    Appending copies what is there, so rows are taken in chunks of CHUNK: chunks' measures are joined first, then each
+    chunk goes from what was before it. The work grows with the rows, but for one copy in CHUNK squared of them.
+    """
+    zero, none = F.lit(0).cast("long"), F.array().cast(kind)
+
+    def parts(r):
+        chunks = F.sequence(F.lit(0), F.floor((F.size(r) - 1) / CHUNK).cast("int"))
+        part = lambda i: F.slice(r, i * CHUNK + 1, F.lit(CHUNK))
+        totals = F.transform(chunks, lambda i: F.aggregate(part(i), zero, lambda t, x: join(t, measure(x).cast("long"))))
+        first = F.struct(zero.alias("at"), F.array().cast("array<long>").alias("out"))
+        before = F.aggregate(totals, first, lambda a, t: F.struct(join(a["at"], t).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))["out"]
+
+        def chunk(x):
+            begin = F.struct(x["at"].alias("at"), none.alias("out"))
+            return F.aggregate(x["rows"], begin, lambda a, y: F.struct(join(a["at"], measure(y).cast("long")).alias("at"), F.concat(a["out"], step(a["at"], y)).alias("out")))["out"]
+
+        return _held(before, lambda at: F.flatten(F.transform(F.transform(chunks, lambda i: F.struct(F.get(at, i).alias("at"), part(i).alias("rows"))), chunk)))
+
+    return _held(rows, lambda r: F.when(F.size(r) > 0, parts(r)).otherwise(none))
 
 
 def spans(text: Column, pattern: str, kind: str, at_least: int = 0, group: int = 0) -> Column:
     """array<struct<start, end, kind>> of the matches whose group has at least so many code points."""
     between = F.split(text, pattern, -1)
     whole, part = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
-    empty = F.array().cast("array<struct<start:long,end:long,kind:int>>")
-    start = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("out"))
+    zipped = F.arrays_zip(F.slice(between, 1, F.size(whole)).alias("gap"), whole.alias("whole"), part.alias("part"))
+    rows = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["whole"]).alias("whole"), F.length(x["part"]).alias("part")))
+    empty = _no_spans()
 
-    def step(acc, x):
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["whole"])
-        span = F.struct(begin.cast("long").alias("start"), end.cast("long").alias("end"), F.lit(KINDS.index(kind)).alias("kind"))
-        out = F.when(F.length(x["part"]) >= at_least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(end.cast("long").alias("at"), out.alias("out"))
+    def step(at, x):
+        begin = (at + x["gap"]).cast("long")
+        span = F.struct(begin.alias("start"), (begin + x["whole"]).cast("long").alias("end"), F.lit(KINDS.index(kind)).alias("kind"))
+        return F.when(x["part"] >= at_least, F.array(span)).otherwise(empty)
 
-    return F.when(text.rlike(pattern), F.aggregate(rows, start, step, lambda acc: acc["out"])).otherwise(empty)
+    found = _running(rows, lambda x: x["gap"] + x["whole"], lambda a, b: a + b, step, SPANS)
+    return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -101,7 +132,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 
 def _no_spans() -> Column:
-    return F.array().cast("array<struct<start:long,end:long,kind:int>>")
+    return F.array().cast(SPANS)
 
 
 def _hinted(text: Column) -> Column:
@@ -110,17 +141,28 @@ def _hinted(text: Column) -> Column:
 
 
 def _redacted(text: Column, found: Column) -> Column:
+    """The text with each span replaced by a mark, of overlapping ones the first. It is cut into pieces of PIECE characters once, so
+    that what stands between two spans is found without counting from the beginning."""
     kinds = F.array(*map(F.lit, KINDS))
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def between(cut_up, low, high):
+        """Characters [low, high)."""
+        numbers = F.sequence(F.floor(low / PIECE), F.floor((high - 1) / PIECE))
+        one = lambda k: F.substr(F.get(cut_up, k.cast("int")), (F.greatest(low - k * PIECE, F.lit(0)) + 1).cast("int"), (F.least(high - k * PIECE, F.lit(PIECE)) - F.greatest(low - k * PIECE, F.lit(0))).cast("int"))
+        return F.when(high > low, F.array_join(F.transform(numbers, one), "")).otherwise("")
+
+    def marked(cut_up):
+        def step(at, s):
+            mark = F.concat(between(cut_up, at, s["start"]), F.lit("[SECRET:"), F.element_at(kinds, s["kind"] + 1), F.lit("]"))
+            return F.when(s["start"] >= at, F.array(mark)).otherwise(F.array().cast("array<string>"))
 
-    def step(acc, s):
-        at = F.greatest(acc["at"], s["start"])
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (at - acc["at"]).cast("int"))
-        mark = F.when(s["start"] >= acc["at"], F.concat(gap, F.lit("[SECRET:"), F.element_at(kinds, s["kind"] + 1), F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], mark).alias("out"))
+        ordered = F.array_sort(found)
+        out = _running(ordered, lambda s: s["end"], F.greatest, step, "array<string>")
+        last = F.aggregate(found, F.lit(0).cast("long"), lambda m, s: F.greatest(m, s["end"]))
+        return F.concat(F.array_join(out, ""), _held(F.struct(last.alias("low"), F.length(text).cast("long").alias("high")), lambda x: between(cut_up, x["low"], x["high"])))
 
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    tail = lambda acc: F.concat(acc["out"], F.substr(text, (acc["at"] + 1).cast("int"), F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(F.array_sort(found), start, step, tail)).otherwise(text)
+    return F.when(F.size(found) > 0, _held(pieces, marked)).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:

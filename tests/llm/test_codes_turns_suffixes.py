@@ -260,3 +260,36 @@ def test_registered_forms(spark):
 
     for name, rows in (("op11_vector_codes", 500), ("op12_conversation_repair", 20), ("op13_suffix_dedup", 200)):
         assert queries.queries()[name](spark, DATA).count() == rows
+
+
+# ---- secrets in texts with very many matches
+
+
+def test_secrets_of_one_rich_text(spark):
+    """Positions are taken in chunks: spans, overlaps and marks at all places around a chunk's and a piece's ends."""
+    from quarry.llm import secrets
+
+    rng = random.Random(8)
+    words = lambda: rng.choice(["token=abcdef12", "secret: 'zz", "é🙂 " * rng.randrange(200), "password = " + "f" * rng.randrange(20, 40), "0123456789abcdef" * 2 + " ", "AKIA" + "Q" * 20 + " ", "x "])
+    texts = ["".join(words() for _ in range(n)) for n in (0, 1, 127, 128, 129, 700, 3000)] + ["token=1234567 " * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    patterns = [(secrets.ASSIGN, 6, 2), (secrets.ACCESS, 20, 0), (secrets.HEX, 0, 0)]
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for k, t in enumerate(texts):
+        spans, kinds = [], []
+        for kind, (pattern, least, group) in zip(secrets.KINDS, patterns):
+            found = [m.span() for m in re.finditer(pattern, t) if len(m.group(group)) >= least]
+            kinds.append(len(found))
+            spans += [(a, secrets.KINDS.index(kind), b) for a, b in found]
+        assert (got[k].n_assign, got[k].n_access, got[k].n_hex) == tuple(kinds), k
+        spans.sort()
+        assert got[k].base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[c]}:{a}:{b}" for a, c, b in spans).encode()).hexdigest()
+        if re.search(f"{secrets.OPAQUE}|{secrets.ENDPOINT}", t):
+            continue
+        out, at = [], 0
+        for a, b, c in sorted((a, b, c) for a, c, b in spans):
+            if a >= at:
+                out += [t[at:a], f"[SECRET:{secrets.KINDS[c]}]"]
+            at = max(at, b)
+        assert clean[k] == "".join(out) + t[at:], k
