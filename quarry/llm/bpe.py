@@ -4,9 +4,10 @@ The pre-token rules are those of `public_tokenizers.PATTERN`: contractions ('s '
 letters, of numbers or of other characters with one optional space before, and white space. They are local, so
 boundaries follow from character classes of neighbours; a batch's distinct pre-tokens are encoded once.
 
-A text of more than CHUNK_CHARS characters is dealt out as rows of overlapping chunks. Each is pre-tokenised by itself;
-boundaries depend on the closest neighbours only, so within the overlap a chunk's list agrees again with its
-predecessor's, and what lies across a seam (from a chunk's last boundary to the next one's first) is encoded in stitching.
+Texts are taken as overlapping chunks of CHUNK_BYTES, a short one as one chunk. Each is pre-tokenised by itself; boundaries
+depend on the closest neighbours only, so within the overlap a chunk's list agrees again with its predecessor's, and
+pre-tokens are encoded once the lists are stitched. A text of more than CHUNK_CHARS characters is dealt out as rows of such chunks
+over all tasks; there what lies across a seam (from a chunk's last boundary to the next one's first) is encoded in stitching.
 """
 
 import re
@@ -30,6 +31,8 @@ OTHER, LETTER, NUMBER, SPACE, BLANK = range(5)  # BLANK is U+0020 alone
 CACHE, CACHE_BYTES = 800_000, 96 << 20
 #: Characters of a chunk of a long text, and of the overlap before and after it.
 CHUNK_CHARS, OVERLAP_CHARS = 1 << 18, 64
+#: The same in bytes for chunks of one batch.
+CHUNK_BYTES, OVERLAP_BYTES = 1 << 13, 256
 
 
 @lru_cache(1)
@@ -144,6 +147,39 @@ def pretoken_starts(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def _at_characters(buf: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places moved back to the first byte of the character they are in."""
+    places = places.copy()
+    for _ in range(3):
+        inside = (places < len(buf)) & (places > 0)
+        places[inside] -= (buf[places[inside]] & 0xC0) == 0x80
+    return places
+
+
+def stitched_starts(buf: np.ndarray, off: np.ndarray, size: int = CHUNK_BYTES, overlap: int = OVERLAP_BYTES) -> np.ndarray:
+    """pretoken_starts() of texts taken as overlapping chunks of `size` bytes; a short text is one.
+
+    Each chunk is pre-tokenised by itself. Its first boundaries may be its edge's own, but boundaries depend on the nearest
+    neighbours, so they agree with the predecessor's before the overlap ends: a chunk's boundaries count from where it begins
+    without the overlap up to where the next one does.
+    """
+    n = np.diff(off)
+    many = np.maximum(-(-n // size), 1)
+    if (many <= 1).all():
+        return pretoken_starts(buf, off)
+    text = np.repeat(np.arange(len(n)), many)
+    k = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    low = np.where(k == 0, off[:-1][text], _at_characters(buf, off[:-1][text] + k * size))
+    high = np.where(k + 1 == many[text], off[1:][text], np.append(low[1:], len(buf)))
+    first = _at_characters(buf, np.maximum(low - overlap, off[:-1][text]))
+    last = _at_characters(buf, np.minimum(high + overlap, off[1:][text]))
+    ends = np.append(0, np.cumsum(last - first))
+    starts = pretoken_starts(np.concatenate([buf[a:b] for a, b in zip(first, last)]), ends)
+    chunk = np.searchsorted(ends, starts, side="right") - 1
+    starts = starts - ends[chunk] + first[chunk]
+    return starts[(starts >= low[chunk]) & (starts < high[chunk])]
+
+
 class PieceCache:
     """What was worked out for the pre-tokens met so far. A hash finds the entry and the bytes confirm it.
 
@@ -231,7 +267,7 @@ class Vocabulary:
         """Ids of texts back to back, and each text's first id (n + 1 places)."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
-        starts, cache = pretoken_starts(buf, off), self.encoded
+        starts, cache = stitched_starts(buf, off), self.encoded
         slot = cache.slots_of(buf, starts)
         n = cache.n[slot]
         ends = np.cumsum(n)

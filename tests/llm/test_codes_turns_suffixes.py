@@ -293,3 +293,18 @@ def test_secrets_of_one_rich_text(spark):
                 out += [t[at:a], f"[SECRET:{secrets.KINDS[c]}]"]
             at = max(at, b)
         assert clean[k] == "".join(out) + t[at:], k
+
+
+# ---- pre-tokens of overlapping chunks
+
+
+def test_stitched_chunks():
+    from quarry.llm import bpe
+
+    rng = random.Random(11)
+    bits = ["'", "s", "ll", " ", "  ", "\n", "a", "é", "1", "!", "中", " ", "　", "🙂", "\r\n", "word", "'re", " " * 90, "x" * 70]
+    for size, overlap in ((16, 8), (64, 16), (50, 256)):
+        texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(150))).encode() for _ in range(300)] + [b"", "🙂".encode() * 80]
+        buf = np.frombuffer(b"".join(texts), np.uint8)
+        off = np.append(0, np.cumsum([len(t) for t in texts]))
+        assert bpe.stitched_starts(buf, off, size, overlap).tolist() == bpe.pretoken_starts(buf, off).tolist()
