@@ -196,6 +196,51 @@ def shared_hits(spark, d, rows, words, question, limit: int = LIMIT):
     return fused.orderBy(F.desc("score"), "key").limit(limit).select(F.col("key").alias("id"), "score", "arms")
 
 
+ASK = "which blue bolt has the tionhe and the theha of asia"
+
+
+def _arm_sql(arm, frames, toks, columns, limit, order=""):
+    """One ranked arm as a subquery with frames of its own."""
+    words = tx.plan_query(ASK)["terms"]
+    return f"SELECT '{arm}' AS arm, CAST(id AS VARCHAR) AS key, score, n_terms AS found FROM ({sql(frames, '+' + toks + _bm25_sql(words, columns) + f'SELECT id, score, n_terms FROM r WHERE n_terms > 0 ORDER BY {order}score DESC, id LIMIT {limit}')})"
+
+
+_PROMPT_TOKS = f"parts AS (SELECT id, {_terms_sql('substr(body, 1, 400)')} AS th, {_terms_sql('substr(body, 401)')} AS tt FROM prompts), toks AS (SELECT *, list_concat(th, tt) AS t FROM parts)"
+_PAGE_TOKS = f"parts AS (SELECT id, {_terms_sql('title')} AS ti, {_terms_sql('url')} AS tu, {_terms_sql('text')} AS tx FROM pagev), toks AS (SELECT *, list_concat(list_concat(ti, tu), tx) AS t FROM parts)"
+_NOTE_TOKS = f"toks AS (SELECT id, starred, {_terms_sql('text')} AS t FROM notes)"
+_NODE_TOKS = f"toks AS (SELECT id, {_terms_sql('title')} AS t FROM nodes)"
+
+
+@query(
+    f"WITH lx AS ({_arm_sql('lexical', 'prompts', _PROMPT_TOKS, [('th', 3.0), ('tt', 1.0)], 3 * LIMIT)}), {lake.CTE['vecs']}, sem AS (SELECT 'semantic' AS arm, CAST(a.id AS VARCHAR) AS key, round(list_cosine_similarity(a.v, q.v), 9) AS score FROM vecs a, vecs q WHERE q.id = 0 ORDER BY score DESC, a.id LIMIT {3 * LIMIT}), "
+    "ranked AS (SELECT key, row_number() OVER (PARTITION BY arm ORDER BY score DESC, CAST(key AS BIGINT)) AS rank FROM (SELECT arm, key, score FROM lx UNION ALL SELECT * FROM sem)), fused AS (SELECT 'prompts' AS arm, key, round(sum(1.0 / (60 + rank)), 9) AS score FROM ranked GROUP BY key ORDER BY score DESC, CAST(key AS BIGINT) LIMIT " + f"{LIMIT}) "
+    f"SELECT arm, key, round(score, 6) AS score FROM fused UNION ALL SELECT arm, key, score FROM ({_arm_sql('pages', 'pagev', _PAGE_TOKS, [('ti', 5.0), ('tu', 2.0), ('tx', 1.0)], LIMIT)}) UNION ALL SELECT arm, key, score FROM ({_arm_sql('notes', 'notes', _NOTE_TOKS, [('t', 1.0)], LIMIT, 'starred DESC, ')}) UNION ALL SELECT arm, key, score FROM ({_arm_sql('nodes', 'nodes', _NODE_TOKS, [('t', 1.0)], LIMIT)})"
+)
+def pack_arms(spark, d):
+    """The ranked arms of an answer to one question: prompts by words and by vectors, pages, notes with starred ones first, and nodes."""
+    return arms(spark, d, ASK, lake.vectors(spark, d).filter("id = 0").select(F.col("v").alias("q")))
+
+
+def arms(spark, d, question: str, vector_of, limit: int = LIMIT):
+    """(arm, key, score), at most `limit` an arm, each read from its index. vector_of: one row with the question's vector q, or None."""
+    words = tx.plan_query(question)["terms"]
+
+    def ranked(index, weights, first=None):
+        found = search.bm25(index, words, weights).withColumn("score", F.round("score", 6))
+        found = found if first is None else found.join(first, "key")
+        return found.orderBy(*([F.desc("starred")] if first is not None else []), F.desc("score"), "key").limit(limit).select(F.col("key").cast("string").alias("key"), "score")
+
+    lexical = search.bm25(lake.prompt_index(spark, d), words, [3.0, 1.0]).withColumn("score", F.round("score", 6))
+    both = search.rank(lexical, "lexical", "key", [F.desc("score"), F.asc("key")], 3 * limit)
+    if vector_of is not None:
+        near = lake.vectors(spark, d).crossJoin(F.broadcast(vector_of)).select("id", F.round(vector.cosine("v", "q"), 9).alias("s"))  # one row
+        both = both.union(search.rank(near, "semantic", "id", [F.desc("s"), F.asc("id")], 3 * limit))
+    fused = search.fuse(both).withColumn("score", F.round("score", 9)).orderBy(F.desc("score"), "key").limit(limit).select(F.col("key").cast("string").alias("key"), F.round("score", 6).alias("score"))
+    starred = lake.notes(spark, d).select(F.col("id").alias("key"), "starred")
+    every = {"prompts": fused, "pages": ranked(lake.page_index(spark, d), [5.0, 2.0, 1.0]), "notes": ranked(lake.note_index(spark, d), [1.0], starred), "nodes": ranked(lake.node_index(spark, d), [1.0])}
+    return reduce(lambda x, y: x.union(y), [f.select(F.lit(arm).alias("arm"), "key", "score") for arm, f in every.items()])
+
+
 @query()
 def stemmed_terms(spark, d):
     """Documents per stem: terms without their diacritics and endings."""

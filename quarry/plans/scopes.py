@@ -171,7 +171,8 @@ def index_stats(spark, d):
 
 @query(sql("indexed", "SELECT kind, target, chunk FROM indexed WHERE model = 'new'"))
 def model_scan(spark, d):
-    return lake.indexed(spark, d).filter("model = 'new'").select("kind", "target", "chunk")
+    """One model's vectors: the others' folders aren't read."""
+    return lake.vector_store(spark, d).filter("model = 'new'").select("kind", "target", "chunk")
 
 
 @query(sql("prompts", "SELECT count(*) FILTER (WHERE strlen(body) >= 2048) AS compacted, CAST(sum(CASE WHEN strlen(body) >= 2048 THEN strlen(body) ELSE 0 END) AS BIGINT) AS released, CAST(sum(CASE WHEN strlen(body) >= 2048 THEN least(strlen(body), 355) ELSE strlen(body) END) AS BIGINT) AS kept, count(DISTINCT project) AS chains FROM prompts"))

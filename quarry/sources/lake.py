@@ -149,6 +149,20 @@ def note_index(spark: SparkSession, d: str) -> TextIndex:
     return _index(spark, d, "part", lambda folder: write_index(notes(spark, d), "id", {"text": F.col("text")}, folder))
 
 
+def node_index(spark: SparkSession, d: str) -> TextIndex:
+    return _index(spark, d, "customer", lambda folder: write_index(nodes(spark, d), "id", {"title": F.col("title")}, folder))
+
+
+def vector_store(spark: SparkSession, d: str) -> DataFrame:
+    """The vector index, written once a session with a folder for each model: a scan of one model reads no other's files."""
+
+    def write(folder):
+        indexed(spark, d).repartition("model").write.partitionBy("model").parquet(folder)
+        return spark.read.parquet(folder)
+
+    return _index(spark, d, "embeddings", write, "vectors")
+
+
 def prompt_grams(spark: SparkSession, d: str) -> TrigramIndex:
     return _index(spark, d, "documents", lambda folder: write_trigrams(prompts(spark, d), "id", {"body": F.col("body")}, folder), "grams")
 
