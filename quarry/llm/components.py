@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     Null ends and loops link nothing. Minima are pre-aggregated and joined back, so a node with very many
     neighbours is never gathered into one task. Each round is cut; rounds end when the edges stay the same.
     """
-    e = cut(_directed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()))
+    e = cut(_directed(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).dropna()), release=True)
     before = _checksum(e)
     while True:
         both = e.union(e.select("b", "a"))
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         e = _directed(both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         low = e.groupBy("a").agg(F.min("b").alias("m"))
         star = e.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(_directed(star.union(low.select("a", F.col("m").alias("b")))))
+        e = cut(_directed(star.union(low.select("a", F.col("m").alias("b")))), release=True)
         after = _checksum(e)
         if after == before:
             break

@@ -244,7 +244,7 @@ def linked(items: DataFrame, load_sets: Callable[[DataFrame], DataFrame], percen
     members = cut(bands.join(pivots.filter("size > 1"), "key"), release=True)
     pair = [F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")]
     stars = members.filter("id <> pivot").select(F.col("id").alias("x"), F.col("pivot").alias("y")).select(*pair)
-    stars = cut(hopeful(stars.distinct()))
+    stars = cut(hopeful(stars.distinct()), release=True)
     # full sets only of those that a sketch leaves in question, or that share a bucket of three or more
     asked = stars.select(F.explode(F.array("a", "b")).alias("id")).union(members.filter("size > 2").select("id"))
     sets = cut(load_sets(asked.distinct()), release=True)

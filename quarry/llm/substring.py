@@ -249,7 +249,7 @@ def _stretches(around: DataFrame, min_words: int) -> DataFrame:
     spans = ends.withColumn("z", z).filter("left AND z IS NOT NULL").filter(F.col("z.end_word") - F.col("word") >= min_words)
     same = (F.col("z.head_id") == F.col("head_id")) & (F.col("z.head_word") - F.col("head_word") == F.col("z.word") - F.col("word"))
     last = F.when(same | (F.col("z.at") == F.col("at")), F.col("z.head_end_word")).otherwise(F.col("head_end_word"))
-    spans = cut(spans.withColumn("head_last", last))
+    spans = cut(spans.withColumn("head_last", last), release=True)
     out = spans.select("doc_id", F.col("word").alias("first_word"), "z.end_word", F.col("head_id").alias("first_doc_id"), F.col("head_word").alias("first_place"), "n_copies", F.lit(False).alias("kept"))
     firsts = spans.groupBy("head_id", "head_word").agg(F.max("head_last").alias("end_word"), F.max("n_copies").alias("n_copies"))
     firsts = firsts.select(F.col("head_id").alias("doc_id"), F.col("head_word").alias("first_word"), "end_word", F.col("head_id").alias("first_doc_id"), F.col("head_word").alias("first_place"), "n_copies", F.lit(True).alias("kept"))
@@ -291,7 +291,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, k: int = 5, p
     # a cluster is several classes, or one with copies
     of = classes.select("id", "digest", "copies", "head").join(groups, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
     sums = of.groupBy("component_id").agg(F.sum("copies").alias("n_copies"), F.min("head").alias("first"))
-    named = cut(of.filter("copies > 1 OR id <> component_id").select("component_id").distinct().join(sums, "component_id").join(of.select("component_id", "digest"), "component_id"))
+    named = cut(of.filter("copies > 1 OR id <> component_id").select("component_id").distinct().join(sums, "component_id").join(of.select("component_id", "digest"), "component_id"), release=True)
     out = found.select("doc_id", "at", "n", "digest").join(named, "digest").dropDuplicates(["doc_id", "at", "digest"])
     kept = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("at") == F.col("first.at"))
     out = out.select(
