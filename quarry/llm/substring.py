@@ -250,6 +250,12 @@ def _stretches(around: DataFrame, min_words: int) -> DataFrame:
     same = (F.col("z.head_id") == F.col("head_id")) & (F.col("z.head_word") - F.col("head_word") == F.col("z.word") - F.col("word"))
     last = F.when(same | (F.col("z.at") == F.col("at")), F.col("z.head_end_word")).otherwise(F.col("head_end_word"))
     spans = cut(spans.withColumn("head_last", last), release=True)
+    # a place that an anchor of its own makes first can be a copy of an earlier one all the same
+    again = spans.select(F.col("doc_id").alias("head_id"), F.col("word").alias("head_word"), F.col("z.end_word").alias("to"), F.col("head_id").alias("id"), F.col("head_word").alias("place"))
+    spans = spans.join(again.dropDuplicates(["head_id", "head_word"]), ["head_id", "head_word"], "left")
+    is_copy = F.coalesce(F.col("head_last") <= F.col("to"), F.lit(False))
+    earlier = {"head_id": F.col("id"), "head_word": F.col("place"), "head_last": F.col("place") + F.col("head_last") - F.col("head_word")}
+    spans = spans.select("doc_id", "word", "z", "n_copies", *[F.when(is_copy, e).otherwise(F.col(c)).alias(c) for c, e in earlier.items()])
     out = spans.select("doc_id", F.col("word").alias("first_word"), "z.end_word", F.col("head_id").alias("first_doc_id"), F.col("head_word").alias("first_place"), "n_copies", F.lit(False).alias("kept"))
     firsts = spans.groupBy("head_id", "head_word").agg(F.max("head_last").alias("end_word"), F.max("n_copies").alias("n_copies"))
     firsts = firsts.select(F.col("head_id").alias("doc_id"), F.col("head_word").alias("first_word"), "end_word", F.col("head_id").alias("first_doc_id"), F.col("head_word").alias("first_place"), "n_copies", F.lit(True).alias("kept"))
