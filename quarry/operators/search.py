@@ -94,7 +94,7 @@ def planned(index: TextIndex, terms: list[str], phrases: list[list[str]], among:
     for p in phrases:
         starts = None
         for k, w in enumerate(p):
-            here = F.transform(F.col("at")[w], lambda x, k=k: x - k)
+            here = F.transform(F.col("at")[w], _less(k))
             starts = here if starts is None else F.array_intersect(starts, here)
         adjacent.append(F.coalesce(F.size(starts) > 0, F.lit(False)) & _all([has[w] for w in p]))
     every, some = _all([*adjacent, *(has[w] for w in terms)]), _any([*adjacent, *(has[w] for w in terms), F.col("begun")])
@@ -103,6 +103,10 @@ def planned(index: TextIndex, terms: list[str], phrases: list[list[str]], among:
     return staged.join(F.broadcast(first), staged.stage == first.least).select("key", "stage")
 
 
+def _less(k: int):
+    return lambda x: x - k
+
+
 def _all(tests: list[Column]) -> Column:
     return reduce(and_, tests, F.lit(True))
 

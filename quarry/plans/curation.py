@@ -44,7 +44,7 @@ def bitemporal_asof(spark, d):
     c = claim_rows(spark, d)
     probes = c.select("subject", F.col("recorded_at").alias("at")).distinct()
     known = c.select("subject", "id", "value", F.when(F.col("recorded_at").isNotNull() & F.col("valid_from").isNotNull(), F.greatest("recorded_at", "valid_from")).alias("begins"), F.least("valid_until", "retired_at").alias("ends"))
-    return intervals.stab(probes, known, ["subject"], "at", "begins", "ends", DAY_MS).select("subject", "at", "id", "value")
+    return intervals.stab(probes, known, ["subject"], "at", "begins", "ends", 16 * DAY_MS).select("subject", "at", "id", "value")
 
 
 @query(sql("claims", _CLAIMS + ", f AS (SELECT id, value, recorded_at, CASE WHEN id % 9 = 4 THEN recorded_at + 3456000000 END AS retired_at FROM cl WHERE subject % 7 <> 3) SELECT * FROM f"))

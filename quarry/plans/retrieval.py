@@ -174,7 +174,7 @@ _FOREIGN = "id % 3 = 0 AND id % 9 <> 0"
 
 
 @query(sql("prompts vecs", f"+toks AS (SELECT id, {_terms_sql('body')} AS t FROM prompts)" + _bm25_sql(_SHARED, [("t", 1.0)]) + f", st AS (SELECT id, score, n_terms, CASE WHEN n_terms = {len(_SHARED)} THEN 1 WHEN len(list_filter(t, lambda x: {' OR '.join(f"starts_with(x, '{w}')" for w in _SHARED)})) > 0 THEN 2 END AS stage FROM r WHERE {_FOREIGN}), lx AS (SELECT id, stage, coalesce(CASE WHEN n_terms > 0 THEN score END, 0) AS s FROM st WHERE stage = (SELECT min(stage) FROM st)), "
-           f"arms AS (SELECT 'lexical' AS arm, id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT * FROM lx ORDER BY s DESC, id LIMIT {LIMIT}) UNION ALL SELECT 'semantic', id, row_number() OVER (ORDER BY s DESC, id) FROM (SELECT a.id, round(list_cosine_similarity(a.v, q.v), 9) AS s FROM vecs a, vecs q WHERE q.id = 0 AND a.{_FOREIGN.replace('AND id', 'AND a.id')} ORDER BY s DESC, id LIMIT {LIMIT})) "
+           f"arms AS (SELECT 'lexical' AS arm, id, row_number() OVER (ORDER BY s DESC, id) AS rank FROM (SELECT * FROM lx ORDER BY s DESC, id LIMIT {LIMIT}) UNION ALL SELECT 'semantic', id, row_number() OVER (ORDER BY s DESC, id) FROM (SELECT a.id, round(list_cosine_similarity(a.v, q.v), 9) AS s FROM vecs a, vecs q WHERE q.id = 0 AND a.{_FOREIGN.replace('AND id', 'AND a.id')} AND a.id IN (SELECT id FROM prompts) ORDER BY s DESC, id LIMIT {LIMIT})) "
            f"SELECT id, round(sum(1.0 / (60 + rank)), 9) AS score, string_agg(arm, ',' ORDER BY arm) AS arms FROM arms GROUP BY id ORDER BY score DESC, id LIMIT {LIMIT}"))
 def foreign_search(spark, d):
     """Ranked search over rows from elsewhere, without forgotten ones: all words, and only where none has them all, any word or its

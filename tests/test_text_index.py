@@ -49,7 +49,10 @@ def test_runs_of_patterns():
     assert runs("abc.*defg") == [["abc", "defg"]] and runs("ab+c") == [] and runs("ab+cd") == [["bcd"]] and runs("gre{2}n") == [["green"]] and runs("gre{2,}n") == [["gree", "een"]] and runs("(foo|barr)baz") == [["foo", "baz"], ["barr", "baz"]]
     assert runs("abc?def") == [["def"]] and runs("(abc)?def") == [["def"]] and runs(r"\bword\b") == [["word"]] and runs("a|bcd") == []
     assert runs("abc[de]ef") == [["abc"]] and runs("(?:xyz){2,}") == [["xyz"]] and runs("[") == [] and runs(r"\p{L}abc") == [] and runs("") == []
-    assert runs("|".join(f"way{k:03}" for k in range(99))) == [["way"]] and runs("|".join(f"{k:03}" for k in range(50)))[49] == ["049"]
+    assert runs("|".join(f"way{k:03}" for k in range(99))) == [["way0"]]  # what all have in common
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    assert runs("|".join(f"{c}way" for c in letters)) == [[f"{c}way"] for c in letters]
+    assert runs("|".join(f"{c}way" for c in [*letters, *map(str.upper, letters), *"0123456789éèê"])) == []  # too many ways
 
 
 def test_refusals(index):
@@ -96,7 +99,7 @@ def test_probes_of_any_length(spark, index):
 
 def test_phrases(spark, tmp_path):
     rng = random.Random(6)
-    rows = [(k, " ".join(rng.choice("red green blue redder x1 of".split()) for _ in range(rng.randrange(12)))) for k in range(300)] + [(900, None), (901, "red"), (902, "the red red green")]
+    rows = [(k, " ".join(rng.choice("red green blue redder x1 of".split()) for _ in range(rng.randrange(12)))) for k in range(300)] + [(900, None), (901, "red"), (902, "the red red green"), (903, "of red of red x1 x1 of blue x1 red of green blue")]
     frame = spark.createDataFrame(rows, "id long, body string")
     cut_at = {"head": F.substring("body", 1, 20), "tail": F.substring("body", 21, 1 << 30)}
     made = search.write_index(frame, "id", cut_at, f"{tmp_path}/i")
@@ -115,6 +118,6 @@ def test_phrases(spark, tmp_path):
         first = min(stages.values(), default=None)
         return {k for k, s in stages.items() if s == first}
 
-    for terms, phrases in (([], [["red", "green"]]), (["blue"], [["red", "red", "green"]]), (["redd"], []), (["blue", "x1"], [["of", "red"], ["green", "blue"]]), (["nowhere"], [["red", "nowhere"]]), (["nowhere"], [])):
+    for terms, phrases in (([], [["red", "green"]]), (["blue"], [["red", "red", "green"]]), (["redd"], []), (["blue", "x1"], [["of", "red"], ["green", "blue"]]), (["nowhere"], [["red", "nowhere"]]), (["nowhere"], []), ([], [["x1", "red", "of"]]), ([], [["of", "red", "x1", "x1"]]), (["redder"], [["blue", "of"]])):
         got = search.planned(made, terms, phrases).collect()
         assert {r.key for r in got} == brute(terms, phrases), (terms, phrases)
