@@ -100,11 +100,11 @@ def test_context_block():
 
     pack = {"question": "q", "terms": ["beta"], "node": {"title": "The Beta"}, "prompts": [{"key": 5, "arms": "grep,lexical", "excerpt": "a\nb", "absorbed": [6], "superseded_by": 9}], "truncated": ["pages"]}
     text = context_block(pack)
-    assert "- #5 [superseded by #9] [+1 near-identical] (grep+lexical) a b" in text and "TRIMMED: pages." in text and 'matched "beta"' in text
+    assert "- #5 [superseded by #9] [and 1 more like it] (grep+lexical) a b" in text and "Cut short to fit: pages." in text and 'matched "beta"' in text
     assert context_block({"terms": ["x"]}) is None and context_block({**pack, "terms": []}) is None
     pack["prompts"] *= 200
     short = context_block(pack, 2000)
-    assert len(short.encode()) <= 2000 and short.endswith("[evidence clipped to budget]\n")
+    assert len(short.encode()) <= 2000 and short.endswith("[the rest is over the budget]\n")
 
 
 def test_greedy_keeps_the_best_copy(spark):
