@@ -6,7 +6,7 @@ import numpy as np
 
 from quarry.operators import curation, simhash
 from quarry.plans import vectors
-from quarry.plans.maintenance import ranks_of_first
+from quarry.plans.maintenance import ranks_of_first, recall_mrr
 
 
 def _cosine(a, b):
@@ -34,6 +34,13 @@ def test_first_of_the_class(spark, monkeypatch):
     assert got == want and 500 not in got
 
 
+def test_packs_that_hold_the_class(spark, tmp_path):
+    rows = [(0, 1, [1.0, 0.0]), (100, 2, [0.0, 1.0])] + [(k, 3, [1.0, k / 1000]) for k in range(1, 25)] + [(201, 1, [-1.0, 0.1]), (202, 2, [0.1, 1.0])]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    row = recall_mrr(spark, str(tmp_path)).first()
+    assert (row.n, row.packed, row.recall20) == (2, 0.5, 0.5)  # one's class is behind 24 others
+
+
 def test_best_two_centroids(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, int(rng.integers(6)), rng.normal(size=4).tolist()) for i in range(120)] + [(200, 9, [1.0, 0.0, 0.0, 0.0])]
