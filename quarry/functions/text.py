@@ -42,10 +42,15 @@ def terms(text: Column) -> Column:
     Lone letters are dropped unless they are stopwords, or nothing else is there.
     """
     found = F.regexp_extract_all(F.lower(text), F.lit(_TERM), F.lit(0))
-    flags = F.transform(found, lambda t: F.when(t.startswith("--"), F.regexp_replace(t, "^--[_./@-]+", "--")).otherwise(t))
-    found = F.when(F.contains(text, F.lit("--")), flags).otherwise(found)
-    kept = F.filter(found, lambda t: (F.length(t) > 1) | ~t.between("a", "z") | t.isin("a", "i"))
-    return F.when(F.size(kept) > 0, kept).otherwise(found)
+    flags = lambda ts: F.transform(ts, lambda t: F.when(t.startswith("--"), F.regexp_replace(t, "^--[_./@-]+", "--")).otherwise(t))
+    kept = lambda ts: F.filter(ts, lambda t: (F.octet_length(t) > 1) | ~t.between("a", "z") | t.isin("a", "i"))
+    found = _once(found, lambda ts: F.when(F.contains(text, F.lit("--")), flags(ts)).otherwise(ts))
+    return _once(found, lambda ts: _once(kept(ts), lambda some: F.when(F.size(some) > 0, some).otherwise(ts)))
+
+
+def _once(value: Column, use) -> Column:
+    """use(value) with the value worked out once a row, wherever it stands in use."""
+    return F.transform(F.array(value), use)[0]
 
 
 def plan_query(q: str) -> dict:

@@ -4,13 +4,19 @@ import math
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.operators import ranges
 
 K1, B, RRF_K = 1.2, 0.75, 60
 COLUMN_BITS = 40
+#: Terms that a task holds at a time while it counts, and of how many tokens one is looked at for the bounds of ranges.
+BATCH_TERMS, SPARED = 1_000_000, 8
 
 
 class TextIndex:
@@ -32,18 +38,65 @@ class TextIndex:
 
 
 def write_index(rows: DataFrame, key: str, columns: dict[str, Column], folder: str) -> TextIndex:
-    """Tokenises the columns once and writes the index; queries read the terms they ask for."""
-    each = [F.struct(F.lit(name).alias("c"), tx.terms(F.coalesce(column, F.lit(""))).alias("t")) for name, column in columns.items()]
-    found = rows.select(F.col(key).alias("key"), F.array(*each).alias("c"))
-    size = F.aggregate("c", F.lit(0), lambda n, c: n + F.size(c["t"]))
-    one = found.select("key", size.alias("len"), F.posexplode("c").alias("k", "c")).select("key", "len", "k", F.col("c.c").alias("c"), F.posexplode("c.t").alias("at", "term"))
-    place = F.shiftleft(F.col("k").cast("long"), COLUMN_BITS) + F.col("at")
-    tf = [F.count_if(F.col("c") == name).alias(f"tf_{name}") for name in columns]
-    counted = one.withColumn("place", place).groupBy("key", "term").agg(F.first("len").alias("len"), *tf, F.array_sort(F.collect_list("place")).alias("places"))
+    """Tokenises the columns once and writes the index; queries read the terms they ask for.
+
+    All tokens of a row are in that row, so they are counted in the task that reads it, and one shuffle brings them into order.
+    """
+    n, kind = rows.count(), rows.schema[key].dataType.simpleString()
+    cut = lambda part: part.select(F.col(key).alias("key"), *[tx.terms(F.coalesce(column, F.lit(""))).alias(f"t{k}") for k, column in enumerate(columns.values())])
+    few, each = ranges.some(rows, key, n)
+    drawn = cut(few).mapInArrow(_postings(list(columns), None), f"term string, key {kind}").collect()  # one of SPARED tokens of a few rows
+    ends = ranges.bounds([(*r, SPARED) for r in drawn], each)
+    counts = ", ".join(f"tf_{c} long" for c in columns)
+    counted = cut(rows).mapInArrow(_postings(list(columns), ends), f"key {kind}, term string, len int, {counts}, places array<long>, {ranges.PART} int")
     # by ranges of (term, key): a term that a third of all rows have fills many files
-    counted.repartitionByRange("term", "key").sortWithinPartitions("term", "key").write.parquet(f"{folder}/tokens")
-    n, total = found.agg(F.count("*"), F.sum(size)).first()
-    return TextIndex(rows.sparkSession.read.parquet(f"{folder}/tokens"), list(columns), n, (total or 0) / max(n, 1))
+    ranges.deal(counted, ends, ["term", "key"]).write.parquet(f"{folder}/tokens")
+    tokens = rows.sparkSession.read.parquet(f"{folder}/tokens")
+    total = tokens.agg(F.sum(sum(F.col(f"tf_{c}") for c in columns))).first()[0]
+    return TextIndex(tokens, list(columns), n, (total or 0) / max(n, 1))
+
+
+def _postings(columns: list[str], ends: list[tuple] | None):
+    """From rows (key, terms of each column) to the index's rows, in order of term within a batch; without ends, to (term, key) of
+    some of them."""
+
+    def slices(b):
+        sizes = sum(pc.list_value_length(b.column(k + 1)).to_numpy() for k in range(len(columns)))
+        at, filled = 0, np.cumsum(sizes)
+        while at < b.num_rows:  # at least one row, however long
+            end = max(at + 1, int(np.searchsorted(filled, (filled[at - 1] if at else 0) + BATCH_TERMS, side="right")))
+            yield b.slice(at, end - at)
+            at = end
+
+    def made(b):
+        sizes = [pc.list_value_length(b.column(k + 1)).to_numpy() for k in range(len(columns))]
+        total, rows = sum(sizes), np.arange(b.num_rows)
+        found = pa.concat_arrays([b.column(k + 1).flatten() for k in range(len(columns))]).dictionary_encode()
+        row = np.concatenate([np.repeat(rows, n) for n in sizes])
+        place = np.concatenate([(k << COLUMN_BITS) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) for k, n in enumerate(sizes)])
+        words = found.dictionary.take(order := pc.sort_indices(found.dictionary))
+        rank = np.empty(len(order), np.int64)
+        rank[order.to_numpy()] = np.arange(len(order))
+        both = rank[found.indices.to_numpy()] * b.num_rows + row
+        by = np.argsort(both, kind="stable")  # places stay in order
+        both, place = both[by], place[by]
+        first = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.zeros(0, np.int64)
+        code, of = both[first] // b.num_rows, both[first] % b.num_rows
+        keys, terms = b.column(0).take(pa.array(of)), words.take(pa.array(code))
+        if ends is None:
+            some = np.flatnonzero((code * 7919 + of) % SPARED == 0)
+            return pa.RecordBatch.from_arrays([terms.take(pa.array(some)), keys.take(pa.array(some))], ["term", "key"])
+        tf = [np.add.reduceat((place >> COLUMN_BITS == k).astype(np.int64), first) if len(first) else first for k in range(len(columns))]
+        places = pa.ListArray.from_arrays(pa.array(np.append(first, len(both)).astype(np.int32)), pa.array(place))
+        part = ranges.part_of(words.to_pylist() if ends else [], code, keys, ends)
+        return pa.RecordBatch.from_arrays([keys, terms, pa.array(total[of].astype(np.int32)), *map(pa.array, tf), places, pa.array(part)], ["key", "term", "len", *[f"tf_{c}" for c in columns], "places", ranges.PART])
+
+    def run(batches):
+        for b in batches:
+            for part in slices(b):
+                yield made(part)
+
+    return run
 
 
 def bm25(index: TextIndex, words: list[str], weights: list[float] | None = None) -> DataFrame:

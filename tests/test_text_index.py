@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import search, trigrams
+from quarry.operators import ranges, search, trigrams
 
 TEXTS = [
     "alpha beta gamma delta epsilon zeta", "日本語の文章の中に言葉がある。", "", None, "ab", "a", "ABC abc AbC", "x" * 5000 + "needle" + "y" * 5000, "ΟΔΟΣ και οδός", "İstanbul ve ISPARTA",
@@ -121,3 +121,30 @@ def test_phrases(spark, tmp_path):
     for terms, phrases in (([], [["red", "green"]]), (["blue"], [["red", "red", "green"]]), (["redd"], []), (["blue", "x1"], [["of", "red"], ["green", "blue"]]), (["nowhere"], [["red", "nowhere"]]), (["nowhere"], []), ([], [["x1", "red", "of"]]), ([], [["of", "red", "x1", "x1"]]), (["redder"], [["blue", "of"]])):
         got = search.planned(made, terms, phrases).collect()
         assert {r.key for r in got} == brute(terms, phrases), (terms, phrases)
+
+
+def test_tokens_by_ranges(spark, tmp_path, monkeypatch):
+    """Tokens and places against plain counting, in small batches and ranges; a word that all rows have fills several ranges."""
+    monkeypatch.setattr(ranges, "EACH", 200)
+    monkeypatch.setattr(search, "BATCH_TERMS", 100)
+    rng = random.Random(7)
+    words = ["the", "Émile", "日本", "x1", "--flag", "b", "🙂a", *(f"w{k}" for k in range(300))]
+    rows = [(f"k{k}", " ".join(["the", *(rng.choice(words) for _ in range(rng.randrange(30)))]), rng.choice([None, "", "one the one", "b"])) for k in range(400)] + [("none", None, None), ("long", "the " * 500, "")]
+    frame = spark.createDataFrame(rows, "id string, body string, title string").repartition(3)
+    made = search.write_index(frame, "id", {"title": F.col("title"), "body": F.col("body")}, f"{tmp_path}/i")
+    want, total = [], 0
+    for r in frame.select("id", *[tx.terms(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "body")]).collect():
+        at = {}
+        for k, found in enumerate((r.title, r.body)):
+            for i, t in enumerate(found):
+                at.setdefault(t, []).append((k << search.COLUMN_BITS) + i)
+        total += len(r.title) + len(r.body)
+        want += [(t, r.id, len(r.title) + len(r.body), r.title.count(t), r.body.count(t), tuple(p)) for t, p in at.items()]
+    got = made.tokens.select("term", "key", "len", "tf_title", "tf_body", "places").withColumn("file", F.input_file_name()).collect()
+    assert sorted((*r[:5], tuple(r.places)) for r in got) == sorted(want) and made.n == len(rows) and made.average == total / len(rows)
+    files = {}
+    for r in got:
+        files.setdefault(r.file, []).append((r.term, r.key))
+    spans = sorted((min(f), max(f)) for f in files.values())
+    assert len(spans) > 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and all(f == sorted(f) for f in files.values())
+    assert sum(a[0] <= "the" <= b[0] for a, b in spans) > 1
