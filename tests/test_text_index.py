@@ -148,3 +148,21 @@ def test_tokens_by_ranges(spark, tmp_path, monkeypatch):
     spans = sorted((min(f), max(f)) for f in files.values())
     assert len(spans) > 5 and all(a[1] < b[0] for a, b in zip(spans, spans[1:])) and all(f == sorted(f) for f in files.values())
     assert sum(a[0] <= "the" <= b[0] for a, b in spans) > 1
+
+
+def test_lists_of_keys(spark, tmp_path, monkeypatch):
+    """A gram's keys stand together, a row for each stretch of a block's texts; ranges by gram don't overlap."""
+    monkeypatch.setattr(ranges, "EACH", 500)
+    monkeypatch.setattr(trigrams, "BATCH_CHARS", 300)
+    rng = random.Random(8)
+    rows = [(k, "".join(rng.choice("abcde 日🙂Σς\0") for _ in range(rng.randrange(40)))) for k in range(300)] + [(900, None), (901, "ab"), (902, "aab" * 400)]
+    made = trigrams.write_trigrams(spark.createDataFrame(rows, "id long, body string").repartition(3), "id", {"body": F.col("body")}, f"{tmp_path}/i")
+    got = made.postings.withColumn("file", F.input_file_name()).collect()
+    low = lambda t: (t or "").lower().replace("ς", "σ")
+    want = sorted({(low(t)[i : i + 3], k) for k, t in rows for i in range(len(low(t)) - 2)})
+    assert sorted((r.gram, k) for r in got for k in r["keys"]) == want and len(got) < len(want)
+    files = {}
+    for r in got:
+        files.setdefault(r.file, []).append((r.gram, r.block))
+    spans = sorted((min(f), max(f)) for f in files.values())
+    assert len(spans) > 3 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
