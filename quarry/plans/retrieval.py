@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as tx
 from quarry.functions import vector
 from quarry.operators import search, simhash
+from quarry.operators.lineage import cut
 from quarry.plans.texts import _bm25_sql, _terms_sql
 from quarry.registry import query
 from quarry.sources import lake
@@ -245,5 +246,9 @@ def arms(spark, d, question: str, vector_of, limit: int = LIMIT):
 def stemmed_terms(spark, d):
     """Documents per stem: terms without their diacritics and endings."""
     t = lake.prompt_index(spark, d).tokens.select("key", "term")
-    stems = t.select("term").distinct().withColumn("stem", tx.stem(tx.plain(F.col("term"))))
-    return t.join(stems, "term").groupBy("stem").agg(F.countDistinct("key").alias("df"), F.countDistinct("term").alias("terms"))
+    counted = t.groupBy("term").agg(F.count("*").alias("n")).withColumn("stem", tx.stem(tx.plain(F.col("term"))))
+    by = cut(counted.groupBy("stem").agg(F.sum("n").alias("df"), F.count("*").alias("terms"), F.collect_list("term").alias("t")))
+    # a stem of one term has that term's documents; only where several terms share one, documents are told apart
+    several = by.filter("terms > 1").select("stem", F.explode("t").alias("term"))
+    apart = t.join(several, "term").select("stem", "key").distinct().groupBy("stem").agg(F.count("*").alias("df"))
+    return by.filter("terms = 1").select("stem", "df", "terms").union(by.filter("terms > 1").select("stem", "terms").join(apart, "stem").select("stem", "df", "terms"))

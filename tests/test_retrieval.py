@@ -39,3 +39,12 @@ def test_shared_search_stages(spark, tmp_path):
     ask = lambda rows, words: {r.id: r.arms for r in retrieval.shared_hits(spark, d, spark.createDataFrame(rows, "id long"), words, spark.sql("SELECT array(0.0D, 1.0D) AS q"), 3).collect()}
     assert ask([(0,), (1,), (2,)], ["red", "fox"]) == {0: "lexical,semantic", 1: "lexical,semantic", 2: "semantic"}  # all words: the second stage isn't asked
     assert ask([(2,), (3,), (4,)], ["redd", "foxe"]) == {3: "lexical,semantic", 2: "semantic", 4: "semantic"}
+
+
+def test_documents_of_stems(spark, tmp_path):
+    texts = ["walking walked façade", "walks", "walk facade xyz", "xyz", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    found = retrieval.stemmed_terms(spark, str(tmp_path))
+    assert "Expand" not in found._jdf.queryExecution().toString()  # no row is made once more for a second count of different values
+    got = {r.stem: (r.df, r.terms) for r in found.collect()}
+    assert got == {"walk": (3, 4), "facad": (2, 2), "xyz": (2, 1)}
