@@ -1,5 +1,7 @@
 """Vector expressions over array<double> columns."""
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,7 +46,10 @@ def hashed_embedding(text, dim: int) -> Column:
     """A test embedder: words hashed into dim places with a sign, at length 1; zeros for a text without words."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
     place = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(2 * dim)).cast("int"))
-    zero = F.array_repeat(F.lit(0.0), 2 * dim)
-    counts = F.aggregate(place, zero, lambda acc, p: F.transform(acc, lambda x, i: F.when(i == p, x + 1).otherwise(x)))
-    signed = F.zip_with(F.slice(counts, 1, dim), F.slice(counts, dim + 1, dim), lambda a, b: a - b)
-    return unit(signed)
+
+    @F.pandas_udf("array<double>")
+    def signed(places: pd.Series) -> pd.Series:
+        counts = (np.bincount(np.asarray(p, np.int64), minlength=2 * dim).astype(float) if p is not None else None for p in places)
+        return pd.Series([None if c is None else c[:dim] - c[dim:] for c in counts], dtype=object)
+
+    return unit(signed(place))

@@ -82,3 +82,27 @@ def test_alike_titles(spark):
     want = {(a, b) for a, p, x in mine for b, q, y in theirs if p == q and (not x and not y or (x or y) and len(set(x) & set(y)) / len(set(x) | set(y)) >= curation.TWIN)}
     assert {tuple(r) for r in got.collect()} == want
     assert got.count() == len(want)
+
+
+def test_embeddings_by_words(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.functions import vector
+
+    texts = ["red fox red", "", None, "日本 red", "--", " ".join(f"w{k % 700}" for k in range(20_000))]
+    got = spark.createDataFrame(list(enumerate(texts)), "id long, t string").select("id", vector.hashed_embedding(F.col("t"), 8).alias("v"), F.expr("transform(filter(split(lower(t), '[^\\\\p{L}\\\\p{N}]+'), w -> w <> ''), w -> pmod(xxhash64(w), 16))").alias("p"))
+    for r in got.collect():
+        if r.p is None:
+            assert r.v is None
+            continue
+        raw = np.bincount(r.p, minlength=16)[:8] - np.bincount(r.p, minlength=16)[8:]
+        assert np.allclose(r.v, raw / max(np.linalg.norm(raw), 1e-300)) and len(r.v) == 8
+
+
+def test_fingerprints_are_made_once(spark, tmp_path):
+    from quarry.plans import vectors as plans
+
+    spark.createDataFrame([(k, f"one two three four {k % 3}", "en", "s", 1) for k in range(9)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = plans.simhash_pairs(spark, str(tmp_path))
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b) for r in found.collect() if r.distance == 0} >= {(k, k + n) for k in range(3) for n in (3, 6)}
