@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import vector as vx
 from quarry.operators import search, simhash
+from quarry.operators.lineage import cut
 from quarry.registry import query
 from quarry.sources import lake
 from quarry.sources.lake import sql
@@ -144,4 +145,5 @@ def exact_dedup(spark, d):
 
 @query()
 def simhash_pairs(spark, d):
-    return simhash.near_pairs(simhash.with_fingerprint(lake.prompts(spark, d), "body"), "id")
+    marked = simhash.with_fingerprint(lake.prompts(spark, d).select("id", "body"), "body").select("id", "simhash")
+    return simhash.near_pairs(cut(marked), "id")  # made once, as pairs read them several times
