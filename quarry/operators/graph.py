@@ -1,7 +1,6 @@
 """Trees, chains and time-bounded claims."""
 
 import hashlib
-import json
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -74,24 +73,26 @@ def build_chain(events: DataFrame, chain: str) -> DataFrame:
     """CHAIN rows, each with the hash of the one before.
 
     A chain is sequential by nature, so one task goes through it, in order and batch by batch: it holds the last hash, not the rows.
+    All that doesn't hang on the hash before is put together where the events are read.
     """
     names = [c.split()[0] for c in CHAIN.split(", ")]
 
     def run(batches):
         of, prev = None, GENESIS
         for b in batches:
-            hashes = []
-            for r in b.to_pylist():
-                if r["chain"] != of:
-                    of, prev = r["chain"], GENESIS
-                body = {k: r[k] for k in ("seq", "ts", "kind", "author", "payload_hash")} | {"prev_hash": prev}
-                entry = hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-                hashes.append((prev, entry))
-                prev = entry
-            more = [pa.array([h[k] for h in hashes], pa.string()) for k in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *more], names)
+            before, hashes = [], []
+            for c, head in zip(b.column("chain").to_pylist(), b.column("head").to_pylist()):
+                if c != of:
+                    of, prev = c, GENESIS
+                before.append(prev)
+                prev = hashlib.sha256(f'{head}{prev}"}}'.encode()).hexdigest()
+                hashes.append(prev)
+            kept = [b.column(c) for c in names[:-2]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(before, pa.string()), pa.array(hashes, pa.string())], names)
 
     src = events.select(F.col(chain).cast("string").alias("chain"), "seq", "ts", "kind", "author", F.sha2("payload", 256).alias("payload_hash"))
+    whole = src.withColumn("prev_hash", F.lit("")).withColumn("head", event_body())
+    src = whole.withColumn("head", F.expr("left(head, length(head) - 2)")).drop("prev_hash")  # up to the place of the hash before
     return src.repartition("chain").sortWithinPartitions("chain", "seq").mapInArrow(run, CHAIN)
 
 

@@ -58,3 +58,12 @@ def test_stabbing_compares_no_pairs_that_do_not_hold(spark):
     found.collect()
     text = found._jdf.queryExecution().executedPlan().toString() or plan.toString()
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_chains_of_any_text(spark):
+    """What a chain is built from is what it is checked against, whatever the texts hold."""
+    rows = [(k, k * 10, "a\x1fb\"\\/é🙂" if k % 2 else None, f"u{k % 3}", None if k % 5 == 0 else f"p{k}") for k in range(40)]
+    events = spark.createDataFrame(rows, "seq long, ts long, kind string, author string, payload string")
+    made = graph.build_chain(events, "author")
+    assert [r.ok for r in graph.verify_chain(made).collect()] == [True] * 3
+    assert {r.kind for r in made.collect()} == {r[2] for r in rows}
