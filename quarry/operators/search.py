@@ -42,7 +42,7 @@ def write_index(rows: DataFrame, key: str, columns: dict[str, Column], folder: s
 
     All tokens of a row are in that row, so they are counted in the task that reads it, and one shuffle brings them into order.
     """
-    n, kind = rows.count(), rows.schema[key].dataType.simpleString()
+    (n, different), kind = rows.agg(F.count("*"), F.countDistinct(key)).first(), rows.schema[key].dataType.simpleString()
     cut = lambda part: part.select(F.col(key).alias("key"), *[tx.terms(F.coalesce(column, F.lit(""))).alias(f"t{k}") for k, column in enumerate(columns.values())])
     few, each = ranges.some(rows, key, n)
     drawn = cut(few).mapInArrow(_postings(list(columns), None), f"term string, key {kind}").collect()  # one of SPARED tokens of a few rows
@@ -53,6 +53,9 @@ def write_index(rows: DataFrame, key: str, columns: dict[str, Column], folder: s
     ranges.deal(counted, ends, ["term", "key"]).write.parquet(f"{folder}/tokens")
     tokens = rows.sparkSession.read.parquet(f"{folder}/tokens")
     total = tokens.agg(F.sum(sum(F.col(f"tf_{c}") for c in columns))).first()[0]
+    if different < n:  # rows that share a key, or have none, count as one
+        sums = [F.sum(f"tf_{c}").alias(f"tf_{c}") for c in columns]
+        tokens = tokens.groupBy("key", "term").agg(F.first("len").alias("len"), *sums, F.array_sort(F.flatten(F.collect_list("places"))).alias("places"))
     return TextIndex(tokens, list(columns), n, (total or 0) / max(n, 1))
 
 

@@ -166,3 +166,11 @@ def test_lists_of_keys(spark, tmp_path, monkeypatch):
         files.setdefault(r.file, []).append((r.gram, r.block))
     spans = sorted((min(f), max(f)) for f in files.values())
     assert len(spans) > 3 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_rows_that_share_a_key(spark, tmp_path):
+    frame = spark.createDataFrame([(1, "red fox"), (1, "red hen"), (2, "red")], "id long, body string")
+    made = search.write_index(frame, "id", {"body": F.col("body")}, f"{tmp_path}/i")
+    assert {(r.key, r.term): (r.tf_body, r.places) for r in made.tokens.collect()} == {(1, "red"): (2, [0, 0]), (1, "fox"): (1, [1]), (1, "hen"): (1, [1]), (2, "red"): (1, [0])}
+    assert [(r.key, r.stage) for r in search.planned(made, ["red", "fox"], []).collect()] == [(1, 1)]
+    assert sorted((r.key, r.stage) for r in search.cascade(made, frame, "id", "body", ["red", "cat"]).collect()) == [(1, 2), (2, 2)]
