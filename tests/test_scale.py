@@ -106,3 +106,26 @@ def test_fingerprints_are_made_once(spark, tmp_path):
     found = plans.simhash_pairs(spark, str(tmp_path))
     assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()
     assert {(r.a, r.b) for r in found.collect() if r.distance == 0} >= {(k, k + n) for k in range(3) for n in (3, 6)}
+
+
+def test_similar_titles_in_blocks(spark):
+    from quarry.operators import relational
+
+    rng = random.Random(7)
+    rows = [(i, i % 3 if i % 31 else None, sorted({rng.choice("abcdefgh") for _ in range(rng.randrange(6))})) for i in range(160)]
+    frame = spark.createDataFrame(rows, "id long, parent int, s array<string>")
+    for least in (0.5, 0.8):
+        want = {}
+        for i, p, s in rows:
+            for j, o, t in rows:
+                if i < j and p is not None and p == o:
+                    score = len(set(s) & set(t)) / len(set(s) | set(t)) if s or t else 1.0
+                    if score >= least:
+                        want[i, j] = score
+        for block in (4, 1024):
+            found = relational.similar_titles(frame, least, block)
+            got = [((r.a, r.b), r.jaccard) for r in found.collect()]
+            assert len(got) == len(want) and dict(got) == want
+            # pairs are kept nowhere to tell them apart
+            plan = found._jdf.queryExecution().optimizedPlan().toString()
+            assert "Aggregate [a#" not in plan
