@@ -129,3 +129,32 @@ def test_similar_titles_in_blocks(spark):
             # pairs are kept nowhere to tell them apart
             plan = found._jdf.queryExecution().optimizedPlan().toString()
             assert "Aggregate [a#" not in plan
+
+
+def test_co_occurrence_in_blocks(spark, monkeypatch):
+    from quarry.operators import relational
+
+    rng = random.Random(8)
+    rows = [(i % 9 if i % 13 else None, rng.randrange(40) if i % 17 else None) for i in range(300)] + [(99, k) for k in range(40)]
+    want = {}
+    for s in range(100):
+        nodes = sorted({n for t, n in rows if t == s and n is not None})
+        for k, a in enumerate(nodes):
+            for b in nodes[k + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    want = {k: v for k, v in want.items() if v >= 2}
+    frame = spark.createDataFrame(rows, "session long, node long")
+    for block, each in ((6, 50), (256, 2_000_000)):
+        monkeypatch.setattr(relational, "PAIRS", each)
+        found = relational.co_occurrence(frame, 2, block=block)
+        assert {(r.a, r.b): r.weight for r in found.collect()} == want
+        if each == 50:  # tasks grow with the pairs
+            assert f", {-(-sum(n * min(n, 6) for n in _sizes(rows)) // 50)}" in found._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression")[1].splitlines()[0]
+
+
+def _sizes(rows):
+    by = {}
+    for s, n in rows:
+        if s is not None and n is not None:
+            by[s] = by.get(s, 0) + 1
+    return by.values()
