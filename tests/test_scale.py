@@ -158,3 +158,48 @@ def _sizes(rows):
         if s is not None and n is not None:
             by[s] = by.get(s, 0) + 1
     return by.values()
+
+
+def test_claim_rules_in_one_pass(spark):
+    writes = spark.createDataFrame(
+        [(1, "s", "p", "x", "v", 5, None, "structured", 9, []), (2, " ", "p", "x", "v", 5, 5, "structured", 9, []), (3, "s", "p", "x", "v", 5, None, "derived", 1, [7, 8]),
+         (4, "s", "p", "x", "v", 5, 4, "structured", 9, []), (5, None, "p", "x", "v", 5, 9, "structured", 9, [7])],
+        "id long, subject string, predicate string, scope string, value string, valid_from long, valid_until long, derivation string, recorded_at long, supersedes array<long>",
+    )
+    sources = spark.createDataFrame(
+        [(1, 10, "user", "is v", None), (1, 10, "user", "is v", 1), (2, 10, "assistant", "is v", 7), (2, 11, "user", "v", None), (3, 99, "user", "v", None), (3, 99, "user", "v", None), (5, 12, "user", " ", 0), (6, 10, "user", "v", 0)],
+        "id long, seq long, role string, quote string, start int",
+    )
+    evidence = spark.createDataFrame([(10, "status is v.", "user", "n"), (11, "v", "user", "m"), (12, "v", None, "n")], "seq long, body string, role string, namespace string")
+    claims = spark.createDataFrame([(7, "s", "p", "x", "n", 5, True)], "id long, subject string, predicate string, scope string, namespace string, recorded_at long, by_user boolean")
+    found = curation.claim_violations(writes, sources, evidence, claims)
+    got = sorted((r.id, r.violation) for r in found.collect())
+    assert got == [
+        (1, "unsupported"), (2, "empty"), (2, "interval"), (2, "namespaces"), (2, "role"), (3, "authority"), (3, "order"), (3, "unavailable"), (3, "unknown"),
+        (4, "interval"), (4, "uncited"), (5, "empty"), (5, "unsupported"),
+    ]
+    # the evidence isn't joined again for each rule
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 4
+
+
+def test_delta_of_events_in_many_files(spark, tmp_path):
+    """More files than a trigger takes by default, in no order of time, still come as one batch: no event is late."""
+    from pyspark.sql import functions as F
+
+    from quarry.streaming import streams
+
+    day = F.timestamp_millis((F.col("seq") + 1) * 86_400_000)
+    events = spark.range(40).repartition(20, "id").select(F.col("id").alias("seq")).select("seq", day.alias("at"), F.lit("click").alias("kind"), F.col("seq").alias("session"), F.lit(0).alias("turn"))
+    events = events.unionAll(events.select((F.col("seq") + 40).alias("seq"), "at", "kind", "session", "turn")).repartition(20, "seq")
+    end = events.limit(1).select(F.lit(-1).cast("long").alias("seq"), F.timestamp_millis(F.lit(10**11)).alias("at"), "kind", F.lit(-1).cast("long").alias("session"), "turn")
+    notes = events.filter("seq % 2 = 0").select(F.col("seq").alias("target"), F.col("at").alias("noted_at"), F.lit("n").alias("note"))
+    last = end.select(F.col("seq").alias("target"), F.col("at").alias("noted_at"), F.lit("").alias("note"))
+    n = streams.at_once([events, end], f"{tmp_path}/events")
+    m = streams.at_once([notes, last], f"{tmp_path}/notes")
+    assert n > 16
+    said = spark.createDataFrame([], "session long, turn int, role string, said string")
+    seen = spark.createDataFrame([], "seq long, page string")
+    made = streams.delta(streams.event_stream(spark, f"{tmp_path}/events", n), said, seen, streams.event_stream(spark, f"{tmp_path}/notes", m))
+    streams.run_available(made, f"{tmp_path}/out", f"{tmp_path}/state")
+    got = {r.seq: r.body for r in spark.read.parquet(f"{tmp_path}/out").filter("seq >= 0").collect()}
+    assert got == {k: "n" if k % 2 == 0 else None for k in range(80)}
