@@ -131,14 +131,14 @@ def stream_delta(spark, d):
     events = lake.ledger(spark, d).select("seq", at.alias("at"), "kind", "session", (F.col("seq") % 8).cast("int").alias("turn"))
     # an event and a note far ahead move both watermarks past all others
     end = events.agg((F.max("at") + F.expr("INTERVAL 30 DAYS")).alias("at")).select(F.lit(-1).cast("long").alias("seq"), "at", F.lit("click").alias("kind"), F.lit(-1).cast("long").alias("session"), F.lit(-1).alias("turn"))
-    streams.in_steps([events.repartitionByRange(1, "at").sortWithinPartitions("at"), end], f"{base}/events")
+    all_events = streams.at_once([events, end], f"{base}/events")
     minutes = F.make_dt_interval(F.lit(0), F.lit(0), (F.col("target") % 90).cast("int"))
     noted = lake.notes(spark, d).filter("target IS NOT NULL").join(events.select(F.col("seq").alias("target"), "at"), "target")
     noted = noted.select("target", (F.col("at") + minutes).alias("noted_at"), F.col("text").alias("note"))
     last = end.select(F.col("seq").alias("target"), (F.col("at") + F.expr("INTERVAL 2 DAYS")).alias("noted_at"), F.lit("").alias("note"))
-    streams.in_steps([noted, last], f"{base}/notes")
+    all_notes = streams.at_once([noted, last], f"{base}/notes")
     said = lake.turns(spark, d).select("session", F.col("turn").cast("int").alias("turn"), "role", F.col("body").alias("said"))
     seen = lake.pages(spark, d).select(F.col("id").alias("seq"), F.col("text").alias("page"))
-    made = streams.delta(streams.event_stream(spark, f"{base}/events"), said, seen, streams.event_stream(spark, f"{base}/notes"))
+    made = streams.delta(streams.event_stream(spark, f"{base}/events", all_events), said, seen, streams.event_stream(spark, f"{base}/notes", all_notes))
     streams.run_available(made, f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").filter("seq >= 0")

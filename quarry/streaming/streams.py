@@ -54,3 +54,11 @@ def in_steps(frames: list[DataFrame], folder: str) -> None:
     """Writes frames one after the other as one file each, the order in which a stream of the folder takes them."""
     for f in frames:
         f.coalesce(1).write.mode("append").parquet(folder)
+
+
+def at_once(frames: list[DataFrame], folder: str) -> int:
+    """Writes frames as they are dealt, no task more than its part of one, and returns how many files a trigger of the folder has
+    to take for all rows to come in one batch, in which their order doesn't matter."""
+    for f in frames:
+        f.write.mode("append").parquet(folder)
+    return len(frames[0].sparkSession.read.parquet(folder).inputFiles())
