@@ -39,7 +39,7 @@ CHUNK_BYTES, OVERLAP_BYTES = 1 << 13, 256
 def class_table() -> np.ndarray:
     """The class of every code point."""
     table = np.zeros(0x110000, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    every = np.delete(np.arange(0x110000, dtype="<u4"), slice(0xD800, 0xE000)).tobytes().decode("utf-32-le")
     for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (SPACE, r"\p{White_Space}+")):
         for m in regex.finditer(pattern, every):
             a, b = ord(m[0][0]), ord(m[0][-1])
@@ -412,13 +412,14 @@ def encoded(docs: DataFrame, path: str, special: bool, emit: Callable, schema: s
 
     def short(batches):
         for b in batches:
-            column = b.column("text")
-            n_bytes = np.diff(string_buffer(column)[1])
+            off = string_buffer(b.column("text"))[1]
             if count is not None:
-                yield emit(b.column("doc_id"), n_bytes, count(column), None)
-            else:
-                ids = list(encode_texts(column, path, special))
-                yield emit(b.column("doc_id"), n_bytes, np.array([len(x) for x in ids], np.int64), ids)
+                yield emit(b.column("doc_id"), np.diff(off), count(b.column("text")), None)
+                continue
+            for s, e in blocks(off):  # ids of one block at a time, whatever a batch holds
+                part = b.slice(s, e - s)
+                ids = list(encode_texts(part.column("text"), path, special))
+                yield emit(part.column("doc_id"), np.diff(off[s : e + 1]), np.array([len(x) for x in ids], np.int64), ids)
 
     def long(batches):
         v = vocabulary(path)

@@ -31,8 +31,10 @@ def pieces(docs: DataFrame, path: str, window: int, end_id: int, with_ids: bool
             x = np.append(x, np.uint32(end_id))
             for s in range(0, len(x), window):
                 part = x[s : s + window]
-                for column, value in zip(out, (doc, s, len(part), crc32_ids(part), len(x), part.astype(np.int64))):
+                for column, value in zip(out, (doc, s, len(part), crc32_ids(part), len(x))):
                     column.append(value)
+                if with_ids:
+                    out[5].append(part.astype(np.int64))
         columns = [pa.array(x, pa.int64()) for x in out[:5]]
         if with_ids:
             return pa.RecordBatch.from_arrays([*columns, pa.array(out[5], pa.list_(pa.int64()))], [*names, "token_ids"])

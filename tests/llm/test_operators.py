@@ -15,7 +15,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from quarry.llm import ann, bpe, graphdedup, langid, minhash, packing, secrets, substring, tokencount, toxicity
-from quarry.llm.common import HashKey, word_hashes, words
+from quarry.llm.common import BLOCK_BYTES, HashKey, word_hashes, words
 from quarry.llm.components import components
 
 DATA = "/root/testdata/sf0.001"
@@ -192,6 +192,18 @@ def test_long_texts_in_chunks(spark, documents):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
 
 
+def test_ids_of_one_block_are_held(spark):
+    docs = spark.createDataFrame([(k, f"word{k} " * 15000) for k in range(60)], "doc_id long, text string").coalesce(1)
+
+    def emit(doc_ids, n_bytes, n, ids):
+        return pa.RecordBatch.from_arrays([doc_ids, pa.array(n, pa.int64()), pa.array(np.full(len(n), n_bytes.sum()), pa.int64())], ["doc_id", "n", "held"])
+
+    rows = bpe.encoded(docs, JSON, True, emit, "doc_id long, n long, held long").collect()
+    tk = Tokenizer.from_file(JSON)
+    assert [(r.doc_id, r.n) for r in rows] == [(k, len(tk.encode(f"word{k} " * 15000, add_special_tokens=False).ids)) for k in range(60)]
+    assert max(r.held for r in rows) <= BLOCK_BYTES
+
+
 def test_keyed_hashes():
     one, two = "#3ymobda!!_%_!!! one two", "n5sbgzbjfxz:co3x one two"
     key = HashKey()
