@@ -13,7 +13,7 @@ over all tasks; there what lies across a seam (from a chunk's last boundary to t
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -191,18 +191,16 @@ class PieceCache:
         self.reset()
 
     def reset(self) -> None:
-        self.keys, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.at, self.n = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool, self.pool_at, self.size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.keys, self.ids, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.slots, self.at, self.n, self.pool_at, self.size = (np.zeros(0, np.int32) for _ in range(5))  # CACHE_BYTES keeps them small
 
     def _add(self, pieces: list[bytes]) -> np.ndarray:
         ids, n = self.work(pieces)
         size = np.fromiter(map(len, pieces), np.int64, len(pieces))
         slots = np.arange(len(self.n), len(self.n) + len(n))
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(n) - n])
-        self.n, self.ids = np.concatenate([self.n, n]), np.concatenate([self.ids, ids.astype(np.uint32)])
-        self.pool_at = np.concatenate([self.pool_at, len(self.pool) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
+        more = lambda old, new: np.concatenate([old, new.astype(old.dtype)])
+        self.at, self.n, self.ids = more(self.at, len(self.ids) + np.cumsum(n) - n), more(self.n, n), more(self.ids, ids)
+        self.pool_at, self.size = more(self.pool_at, len(self.pool) + np.cumsum(size) - size), more(self.size, size)
         self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(pieces), np.uint8)])
         return slots
 
@@ -241,12 +239,15 @@ class Vocabulary:
     def __init__(self, path: str):
         self.merges = Merges(path)
         self.special = self.merges.special
-        self.transducer = CountingTransducer(self.merges)
         self.bytes = np.frombuffer(b"".join(self.merges.piece), np.uint8)
         self.lengths = np.array(self.merges.size, np.int64)
         self.first = np.concatenate([[0], np.cumsum(self.lengths)[:-1]])
         self.encoded, self.counted = PieceCache(self.encode_pieces), PieceCache(self.count_pieces)
 
+    @cached_property
+    def transducer(self) -> CountingTransducer:
+        return CountingTransducer(self.merges)
+
     def encode_pieces(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         long = [k for k, p in enumerate(pieces) if len(p) > HASHED]
         ids, bounds = self.merges.encode([b"" if len(p) > HASHED else p for p in pieces])
